@@ -11,6 +11,7 @@ from shelfmart.bindings import tables as T
 from shelfmart.functions.calendar import calendar, calendar_between
 from shelfmart.functions.coerce import base_amount, json_payload, marketplace_money, sanitise, website_money
 from shelfmart.functions.keys import CHANNEL_ID, MARKETPLACE, WEBSITE, date_from_key, date_key
+from shelfmart.operators.constants import fixed_table
 from shelfmart.operators.merge import insert_if_absent
 from shelfmart.operators.quarantine import accepted, outcome_counts, rejected
 from shelfmart.plans import alerts, dimensions, export, facts, history, refresh, reports, staging
@@ -71,11 +72,11 @@ def src_marketplace_lines(spark, sf_dir):
 def stream_marketplace_ingest(spark, sf_dir):
     store = T.new_store(spark, sf_dir, "stream")
     ingest_available(store, T.landing_folder(spark, sf_dir), T.RUN_AT, max_files=4)
-    return store.read(staging.MARKETPLACE_ORDERS.name).drop("raw_json")
+    return store.read(staging.MARKETPLACE_ORDERS.name).drop("raw_json", staging.BLOCK)
 
 
 def sync_watermark(spark, sf_dir):
-    channels = spark.createDataFrame([(WEBSITE,), (MARKETPLACE,), ("phone",)], "channel string")
+    channels = fixed_table(spark, [(WEBSITE,), (MARKETPLACE,), ("phone",)], "channel string")
     return watermark.watermarks(T.sync_log(spark, sf_dir), channels)
 
 

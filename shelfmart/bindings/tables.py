@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from shelfmart import schemas, seeds
 from shelfmart.functions.calendar import at, calendar
 from shelfmart.functions.keys import KEY_SPAN, CHANNEL_ID, WEBSITE
+from shelfmart.operators.constants import fixed_table
 from shelfmart.plans import refresh, staging
 from shelfmart.plans.mart import Mart
 from shelfmart.plans.staging import stage
@@ -439,7 +440,7 @@ def alert_rules(spark) -> DataFrame:
         (7, "price_drop", "Unknown", Decimal("1"), None, None, True, 24, None, RULES_CREATED),
         (8, "revenue_spike", "All revenue", Decimal("10"), None, None, True, 24, None, RULES_CREATED),
     ]
-    return seeds.alert_rules(spark, RULES_CREATED).unionByName(spark.createDataFrame(extra, schemas.ALERT_RULE))
+    return seeds.alert_rules(spark, RULES_CREATED).unionByName(fixed_table(spark, extra, schemas.ALERT_RULE))
 
 
 def supplier_rules(spark, sf_dir) -> DataFrame:
@@ -459,7 +460,7 @@ def supplier_rules(spark, sf_dir) -> DataFrame:
 
 
 def stock_statuses(spark) -> DataFrame:
-    return spark.createDataFrame([(7, 1, "In stock"), (7, 2, "На складі")], schemas.SHOP["stock_statuses"])
+    return fixed_table(spark, [(7, 1, "In stock"), (7, 2, "На складі")], schemas.SHOP["stock_statuses"])
 
 
 def days(spark) -> DataFrame:

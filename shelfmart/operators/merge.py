@@ -47,7 +47,7 @@ def _settled(target: DataFrame, update_cols: Sequence[str], keys: Sequence[str])
 
 
 def merge_batch(target: DataFrame, batch: DataFrame, keys: Sequence[str], update_cols: Sequence[str]) -> DataFrame:
-    """Merge a batch (one row per key) that is small next to its target.
+    """Merge a batch (one row per key, all columns of the target) that is small next to its target.
 
     Existing rows take a left join and new rows an anti join against the keys the batch found in the target. When
     Spark measures the batch as small enough to broadcast, the target is not shuffled at all; otherwise both joins
@@ -79,18 +79,6 @@ def merge_full(target: DataFrame, batch: DataFrame, keys: Sequence[str], update_
     return joined.select(*[value(c) for c in target.columns])
 
 
-def upsert(
-    target: DataFrame | None,
-    batch: DataFrame,
-    keys: Sequence[str],
-    update_cols: Sequence[str],
-    version: Sequence[str] = (),
-) -> DataFrame:
-    """Collapse a raw batch and merge it into `target`; no target means a first load."""
-    rows = collapse(batch, keys, update_cols, version)
-    return rows if target is None else merge_batch(target, rows, keys, update_cols)
-
-
 def insert_if_absent(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add the batch rows (one per key) whose key the target does not have."""
     keys = list(keys)

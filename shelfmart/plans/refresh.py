@@ -7,11 +7,12 @@ import datetime as dt
 from pyspark.sql import DataFrame, Observation, functions as F
 
 from shelfmart import schemas
+from shelfmart.functions.calendar import at
 from shelfmart.functions.keys import MARKETPLACE, WEBSITE
 from shelfmart.operators.quarantine import accepted, rejected
 from shelfmart.plans import dimensions, facts, staging
 from shelfmart.plans.mart import Mart
-from shelfmart.plans.staging import StagingTable, stage
+from shelfmart.plans.staging import BLOCK, StagingTable, collapsed
 from shelfmart.sources import marketplace, shop
 from shelfmart.sources.watermark import sync_record
 from shelfmart.storage import TableStore
@@ -21,7 +22,12 @@ def land(store: TableStore, table: StagingTable, batch: DataFrame, run_at: dt.da
     """Store a batch once, count it while writing, and merge the stored rows into the staging table."""
     seen = Observation()
     landed = store.write(f"batch_{table.name}", batch.observe(seen, F.count(F.lit(1)).alias("rows")))
-    store.write(table.name, stage(store.read(table.name), landed, table, run_at))
+    rows = collapsed(landed, table, run_at)
+    if table.block is None:
+        store.merge(table.name, rows, table.keys, table.updated)
+    else:
+        rows = rows.withColumn(BLOCK, F.floor(F.col(table.keys[0]) / table.block))
+        store.merge(table.name, rows, table.keys, table.updated, BLOCK, table.keys[0], fixed_by_key=True)
     return landed, seen.get["rows"]
 
 
@@ -66,11 +72,23 @@ def load_marketplace(
 ) -> DataFrame:
     """Marketplace pages into staging; orders that break a rule are set aside and counted, the rest go on."""
     flagged = marketplace.flag_orders(marketplace.orders(landed_pages, since, until))
-    seen = Observation()
-    store.append("rejected_marketplace_orders", rejected(flagged).observe(seen, F.count(F.lit(1)).alias("rows")))
+    failed = store.append_counted("rejected_marketplace_orders", rejected(flagged))
     _, n_orders = land(store, staging.MARKETPLACE_ORDERS, accepted(flagged), run_at)
     land(store, staging.MARKETPLACE_ORDER_LINES, marketplace.order_lines(landed_pages, since, until), run_at)
-    return _log(store, MARKETPLACE, n_orders, seen.get["rows"], run_at, run_at, sync_type)
+    return _log(store, MARKETPLACE, n_orders, failed, run_at, run_at, sync_type)
+
+
+def _changed(rows: DataFrame, since: dt.datetime | None) -> DataFrame:
+    return rows if since is None else rows.where(F.col("ingested_at") >= at(since))
+
+
+def _changed_lines(lines: DataFrame, orders: DataFrame, key: str, since: dt.datetime | None) -> DataFrame:
+    """Lines staged since, and all lines of orders staged since: an order may come after its lines."""
+    if since is None:
+        return lines
+    touched = orders.select(key, F.lit(True).alias("_touched"))
+    staged_since = F.col("ingested_at") >= at(since)
+    return lines.join(touched, key, "left").where(staged_since | F.col("_touched").isNotNull()).drop("_touched")
 
 
 def transform(
@@ -80,35 +98,34 @@ def transform(
     seed_statuses: DataFrame,
     run_at: dt.datetime,
     stock_statuses: DataFrame | None = None,
+    changed_since: dt.datetime | None = None,
 ) -> Mart:
-    """Dimensions, then facts, from the staging tables of `store`. Facts are stored by month."""
-    spark = store.spark
-    stored = store.paths()
-
-    def old(name):
-        return spark.read.parquet(stored[name]) if name in stored else None
+    """Dimensions, then facts, from the staging tables of `store`. Facts are stored by month.
 
+    With `changed_since` only orders and lines staged since then are worked through and only the months they touch
+    are rewritten. Staged rows that did not change would come out as they are stored already.
+    """
     if stock_statuses is None:
-        stock_statuses = spark.createDataFrame([], schemas.SHOP["stock_statuses"])
-    web_orders, web_lines = old(staging.WEBSITE_ORDERS.name), old(staging.WEBSITE_ORDER_LINES.name)
-    mkt_orders, mkt_lines = old(staging.MARKETPLACE_ORDERS.name), old(staging.MARKETPLACE_ORDER_LINES.name)
-
+        stock_statuses = store.spark.createDataFrame([], schemas.SHOP["stock_statuses"])
     publisher = store.write(
-        "dim_publisher", dimensions.publishers(old(staging.WEBSITE_MANUFACTURERS.name), old("dim_publisher"))
+        "dim_publisher", dimensions.publishers(store.read(staging.WEBSITE_MANUFACTURERS.name), store.read("dim_publisher"))
     )
     category = store.write(
-        "dim_category", dimensions.categories(old(staging.WEBSITE_CATEGORIES.name), old("dim_category"))
+        "dim_category", dimensions.categories(store.read(staging.WEBSITE_CATEGORIES.name), store.read("dim_category"))
     )
     product = store.write(
         "dim_product",
         dimensions.products(
-            old(staging.WEBSITE_PRODUCTS.name), publisher, category, stock_statuses, run_at, old("dim_product")
+            store.read(staging.WEBSITE_PRODUCTS.name), publisher, category, stock_statuses, run_at,
+            store.read("dim_product"),
         ),
-    )
+    )
     customer = store.write(
-        "dim_customer", dimensions.customers(old(staging.WEBSITE_CUSTOMERS.name), old("dim_customer"))
+        "dim_customer", dimensions.customers(store.read(staging.WEBSITE_CUSTOMERS.name), store.read("dim_customer"))
     )
-    known = old("dim_order_status")
+    web_orders = _changed(store.read(staging.WEBSITE_ORDERS.name), changed_since)
+    mkt_orders = _changed(store.read(staging.MARKETPLACE_ORDERS.name), changed_since)
+    known = store.read("dim_order_status")
     statuses = dimensions.add_statuses(
         seed_statuses if known is None else known, dimensions.website_statuses(web_orders)
     )
@@ -119,27 +136,40 @@ def transform(
 
     web_checked = facts.flag_website_orders(web_orders, days)
     mkt_checked = facts.flag_marketplace_orders(mkt_orders, days)
-    for name, flagged in (("website", web_checked), ("marketplace", mkt_checked)):
-        store.append(f"rejected_{name}_facts", rejected(flagged))
-    incoming = facts.both_channels(
-        facts.website_orders(accepted(web_checked), customer, statuses),
-        facts.marketplace_orders(accepted(mkt_checked), statuses),
-    )
-    orders = store.write(
+    store.append("rejected_website_facts", rejected(web_checked))
+    store.append("rejected_marketplace_facts", rejected(mkt_checked))
+    bulk = changed_since is None
+    orders = store.merge(
         "fact_orders",
-        facts.merge_orders(old("fact_orders"), facts.with_month(incoming)),
+        facts.with_month(
+            facts.both_channels(
+                facts.website_orders(accepted(web_checked), customer, statuses),
+                facts.marketplace_orders(accepted(mkt_checked), statuses),
+            )
+        ),
+        facts.ORDER_KEYS,
+        facts.ORDER_UPDATES,
         partition_by=facts.MONTH,
         sort_by="date_added",
+        bulk=bulk,
     )
-    incoming = facts.both_channels(
-        facts.website_lines(accepted(facts.flag_lines(web_lines)), orders, product),
-        facts.marketplace_lines(accepted(facts.flag_lines(mkt_lines)), orders, product),
+    web_lines = _changed_lines(store.read(staging.WEBSITE_ORDER_LINES.name), web_orders, "order_id", changed_since)
+    mkt_lines = _changed_lines(
+        store.read(staging.MARKETPLACE_ORDER_LINES.name), mkt_orders, "marketplace_order_id", changed_since
     )
-    lines = store.write(
+    lines = store.merge(
         "fact_order_lines",
-        facts.merge_lines(old("fact_order_lines"), facts.with_month(incoming)),
+        facts.with_month(
+            facts.both_channels(
+                facts.website_lines(accepted(facts.flag_lines(web_lines)), orders, product),
+                facts.marketplace_lines(accepted(facts.flag_lines(mkt_lines)), orders, product),
+            )
+        ),
+        facts.LINE_KEYS,
+        facts.LINE_UPDATES,
         partition_by=facts.MONTH,
         sort_by="order_id",
+        bulk=bulk,
     )
     return Mart(days, dim_sales_channel, category, publisher, product, customer, statuses, orders, lines)
 

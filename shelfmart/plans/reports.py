@@ -29,6 +29,7 @@ def _of_channel(fact: DataFrame, channel_id: int | None) -> DataFrame:
 
 
 def completed(mart: Mart, orders: DataFrame) -> DataFrame:
+    """Orders, or sums of orders by status, whose status counts as completed."""
     done = mart.dim_order_status.where(F.col("status_group") == COMPLETED).select("status_id")
     return orders.join(done, "status_id", "left_semi")
 
@@ -47,6 +48,15 @@ def _lines_of_completed(mart: Mart, first: dt.date, last: dt.date, channel_id: i
     return lines.join(orders.select("order_id"), "order_id", "left_semi")
 
 
+def _completed_sums(mart: Mart, orders: DataFrame, *keys: str) -> DataFrame:
+    """Revenue and number of completed orders by `keys`, added up by status first, so that the look-up of the status
+    group and everything after it sees a few rows per key."""
+    sums = orders.groupBy(*keys, "status_id").agg(
+        F.sum("total_amount_uah").alias("revenue"), F.count("order_id").alias("orders")
+    )
+    return completed(mart, sums)
+
+
 def _zero(column: Column) -> Column:
     return F.coalesce(column, F.lit(0))
 
@@ -57,8 +67,8 @@ def _zero(column: Column) -> Column:
 def kpi_mtd(mart: Mart, as_of: dt.datetime) -> DataFrame:
     first, following = month_bounds(as_of.date())
     orders = _between_days(mart.fact_orders, first, following - dt.timedelta(days=1))
-    return completed(mart, orders).agg(
-        _zero(F.sum("total_amount_uah")).alias("total_revenue_mtd"), F.count("*").alias("orders_mtd")
+    return _completed_sums(mart, orders).agg(
+        _zero(F.sum("revenue")).alias("total_revenue_mtd"), _zero(F.sum("orders")).alias("orders_mtd")
     )
 
 
@@ -131,15 +141,13 @@ def kpi_summary(mart: Mart, rules: DataFrame, sync_log: DataFrame, as_of: dt.dat
 def revenue_by_channel(mart: Mart, first: dt.date, last: dt.date) -> DataFrame:
     """Monthly completed revenue and orders per channel; a month without orders has a row of zeros.
 
-    Orders are added up per day and channel first, which leaves no more rows than days and channels. Each channel row
+    Orders are added up per day, channel and status first, which leaves a few rows per day. Each channel row
     explodes into the months of the period, and the calendar drops the months it does not hold.
     """
     days = mart.dim_date.where(F.col("full_date").between(F.lit(first), F.lit(last)))
     months = days.select("year", "month", "month_name").distinct()
     sold = (
-        completed(mart, _between_days(mart.fact_orders, first, last))
-        .groupBy("date_id", "channel_id")
-        .agg(F.sum("total_amount_uah").alias("revenue"), F.count("order_id").alias("orders"))
+        _completed_sums(mart, _between_days(mart.fact_orders, first, last), "date_id", "channel_id")
         .join(days.select("date_id", "year", "month"), "date_id")
         .groupBy("year", "month", "channel_id")
         .agg(F.sum("revenue").alias("revenue"), F.sum("orders").alias("orders"))
@@ -165,11 +173,8 @@ def revenue_by_channel(mart: Mart, first: dt.date, last: dt.date) -> DataFrame:
 
 def seasonal_trend(mart: Mart, first: dt.date, last: dt.date, channel_id: int | None = None) -> DataFrame:
     days = mart.dim_date.where(F.col("full_date").between(F.lit(first), F.lit(last)))
-    sold = (
-        completed(mart, _of_channel(_between_days(mart.fact_orders, first, last), channel_id))
-        .groupBy("date_id")
-        .agg(F.sum("total_amount_uah").alias("revenue"), F.count("order_id").alias("orders"))
-    )
+    orders = _of_channel(_between_days(mart.fact_orders, first, last), channel_id)
+    sold = _completed_sums(mart, orders, "date_id")
     return (
         days.select("date_id", "year", "month", "month_name", "season")
         .join(sold, "date_id", "left")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from shelfmart.functions.calendar import at
 from shelfmart.functions.coerce import json_payload
-from shelfmart.operators.merge import upsert
+from shelfmart.operators.merge import collapse, merge_batch
 
 
 @dataclass(frozen=True)
@@ -19,6 +19,13 @@ class StagingTable:
     updated: tuple[str, ...]
     version: tuple[str, ...] = ()
     keeps_payload: bool = False
+    block: int | None = None
+
+
+# Large staging tables are stored in blocks of this many ids. Ids grow with time, so that a batch touches the last
+# blocks and few others, and a block holds no more rows than ids.
+BLOCK = "id_block"
+BLOCK_IDS = 50_000_000
 
 
 # Which columns a repeated key overwrites; all others stay as first inserted.
@@ -28,12 +35,14 @@ WEBSITE_ORDERS = StagingTable(
     ("total", "order_status_id", "date_modified", "raw_json", "ingested_at"),
     ("date_modified",),
     True,
+    BLOCK_IDS,
 )
 WEBSITE_ORDER_LINES = StagingTable(
     "stg_website_order_lines",
     ("order_product_id",),
     ("quantity", "price", "total", "raw_json", "ingested_at"),
     keeps_payload=True,
+    block=BLOCK_IDS,
 )
 WEBSITE_PRODUCTS = StagingTable(
     "stg_website_products",
@@ -57,6 +66,7 @@ MARKETPLACE_ORDERS = StagingTable(
     ("changed", "status", "status_group", "cost_with_discount", "raw_json", "ingested_at"),
     ("changed",),
     True,
+    BLOCK_IDS,
 )
 MARKETPLACE_ORDER_LINES = StagingTable(
     "stg_marketplace_order_lines",
@@ -64,11 +74,12 @@ MARKETPLACE_ORDER_LINES = StagingTable(
     ("quantity", "cost_with_discount", "raw_json", "ingested_at"),
     ("changed",),
     True,
+    BLOCK_IDS,
 )
 
 
-def stage(existing: DataFrame | None, batch: DataFrame, table: StagingTable, run_at: dt.datetime) -> DataFrame:
-    """The staging table after one batch; a key repeated within the batch is applied version by version.
+def collapsed(batch: DataFrame, table: StagingTable, run_at: dt.datetime) -> DataFrame:
+    """The rows a batch brings, one per key; a key repeated within it is applied version by version.
 
     A version column the batch does not carry is ignored; one that is not itself an updatable column is used for
     the order only and not stored.
@@ -79,4 +90,10 @@ def stage(existing: DataFrame | None, batch: DataFrame, table: StagingTable, run
     if table.keeps_payload and "raw_json" not in stored:
         rows = rows.withColumn("raw_json", json_payload(*stored))
     rows = rows.withColumn("ingested_at", at(run_at))
-    return upsert(existing, rows, table.keys, table.updated, version)
+    return collapse(rows, table.keys, table.updated, version)
+
+
+def stage(existing: DataFrame | None, batch: DataFrame, table: StagingTable, run_at: dt.datetime) -> DataFrame:
+    """The staging table after one batch; no existing table means a first load."""
+    rows = collapsed(batch, table, run_at)
+    return rows if existing is None else merge_batch(existing, rows, table.keys, table.updated)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfmart import schemas
 from shelfmart.functions.keys import CHANNEL_ID, KEY_SPAN, MARKETPLACE, WEBSITE
+from shelfmart.operators.constants import fixed_table
 
 PROCESSING, COMPLETED, CANCELLED = 1, 2, 3
 
@@ -73,7 +74,7 @@ def sales_channels(spark: SparkSession, website_url: str | None = None, marketpl
         (CHANNEL_ID[WEBSITE], "Website", website_url, True),
         (CHANNEL_ID[MARKETPLACE], "Marketplace", marketplace_url, True),
     ]
-    return spark.createDataFrame(rows, schemas.SALES_CHANNEL)
+    return fixed_table(spark, rows, schemas.SALES_CHANNEL)
 
 
 def order_statuses(spark: SparkSession) -> DataFrame:
@@ -82,7 +83,7 @@ def order_statuses(spark: SparkSession) -> DataFrame:
         for channel, seeds in ((WEBSITE, WEBSITE_STATUSES), (MARKETPLACE, MARKETPLACE_STATUSES))
         for source_id, label, group in seeds
     ]
-    return spark.createDataFrame(rows, schemas.ORDER_STATUS)
+    return fixed_table(spark, rows, schemas.ORDER_STATUS)
 
 
 def alert_rules(spark: SparkSession, created_at: dt.datetime) -> DataFrame:
@@ -90,7 +91,7 @@ def alert_rules(spark: SparkSession, created_at: dt.datetime) -> DataFrame:
         (number, kind, name, Decimal(threshold), None, None, True, cooldown, None, created_at)
         for number, (kind, name, threshold, cooldown) in enumerate(DEFAULT_RULES, start=1)
     ]
-    return spark.createDataFrame(rows, schemas.ALERT_RULE)
+    return fixed_table(spark, rows, schemas.ALERT_RULE)
 
 
 def with_missing_rules(rules: DataFrame, wanted: DataFrame) -> DataFrame:

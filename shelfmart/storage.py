@@ -1,18 +1,22 @@
-"""Stored tables: whole snapshots in fresh folders, and append-only logs, all plain Parquet.
+"""Stored tables: Parquet folders, never changed once written, and a log of which folders are current.
 
-A merge reads the current snapshot and writes the next one beside it. The snapshot becomes current when its path is
-added to the `_snapshots` log, after the write has finished, so a lost job leaves the old one in place.
+A change writes new folders beside the old ones and then names them in the `_current` log, so a job that dies half
+way leaves the table as it was. Partitioned tables are replaced partition by partition: a merge reads and rewrites
+only the partitions its batch touches.
 """
 
 from __future__ import annotations
 
 import time
-import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
 
-SNAPSHOTS = "name string, version long, path string"
+from shelfmart.operators.merge import merge_batch, merge_full
+
+# `whole` rows start a table anew; partitions named before them no longer count.
+CURRENT = "name string, part string, version long, path string, whole boolean"
 
 
 class TableStore:
@@ -20,41 +24,110 @@ class TableStore:
         self.spark = spark
         self.root = root.rstrip("/")
 
+    # Snapshots
+
     def write(self, name: str, df: DataFrame, partition_by: str | None = None, sort_by: str | None = None) -> DataFrame:
-        """Write the next snapshot of a table and return it.
+        """Replace a table and return it as stored."""
+        version = time.time_ns()
+        path = f"{self.root}/{name}/v={version}"
+        if partition_by is None:
+            df.write.parquet(path)
+            self._publish(name, version, {"": path}, whole=True)
+        else:
+            self._write_partitions(path, df, partition_by, sort_by)
+            found = self.spark.read.parquet(path).select(F.col(partition_by).cast("string").alias("part")).distinct()
+            parts = [row["part"] for row in found.toLocalIterator()]
+            self._publish(name, version, {p: f"{path}/{partition_by}={p}" for p in parts}, whole=True)
+        return self.read(name)
 
-        With a partition column the rows are rebalanced by it first: adaptive execution then cuts a month that holds
-        much of the data into several tasks and packs small months together.
+    def merge(
+        self,
+        name: str,
+        batch: DataFrame,
+        keys: Sequence[str],
+        updated: Sequence[str],
+        partition_by: str | None = None,
+        sort_by: str | None = None,
+        fixed_by_key: bool = False,
+        bulk: bool = False,
+    ) -> DataFrame:
+        """Merge a batch (one row per key) into a table and return it as stored.
+
+        Only touched partitions are read and rewritten. Where the partition follows from the key (`fixed_by_key`)
+        the batch alone tells which those are; otherwise the keys of the table are looked up as well. `bulk` is for
+        a batch about as large as the table.
         """
+        merge_rows = merge_full if bulk else merge_batch
+        table = self.read(name)
+        if table is None:
+            return self.write(name, batch, partition_by, sort_by)
+        if partition_by is None:
+            return self.write(name, merge_rows(table, batch, keys, updated))
+        touched = batch.select(partition_by)
+        if not fixed_by_key:
+            known = table.select(*keys, partition_by).join(batch.select(*keys), list(keys), "left_semi")
+            touched = touched.unionByName(known.select(partition_by))
+        parts = [row[0] for row in touched.distinct().toLocalIterator()]
+        if not parts:
+            return table
         version = time.time_ns()
-        path = f"{self.root}/{name}/{version}-{uuid.uuid4().hex[:8]}"
-        if partition_by:
-            df = df.hint("rebalance", partition_by).sortWithinPartitions(partition_by, *([sort_by] if sort_by else []))
-            df.write.partitionBy(partition_by).parquet(path)
-        else:
-            df.hint("rebalance").write.parquet(path)
-        entry = self.spark.range(1).select(
-            F.lit(name).alias("name"), F.lit(version).alias("version"), F.lit(path).alias("path")
+        path = f"{self.root}/{name}/v={version}"
+        rows = merge_rows(table.where(F.col(partition_by).isin(parts)), batch, keys, updated)
+        self._write_partitions(path, rows, partition_by, sort_by)
+        self._publish(name, version, {str(p): f"{path}/{partition_by}={p}" for p in parts}, whole=False)
+        return self.read(name)
+
+    def read(self, name: str) -> DataFrame | None:
+        paths = self._paths(name)
+        if not paths:
+            return None
+        tables = self.spark.read.option("basePath", f"{self.root}/{name}").parquet(*paths)
+        return tables.drop("v")
+
+    def _write_partitions(self, path: str, df: DataFrame, partition_by: str, sort_by: str | None) -> None:
+        """Rebalanced by partition, so that adaptive execution cuts one that holds much of the data into several
+        tasks and packs small ones together."""
+        order = [partition_by, *([sort_by] if sort_by else [])]
+        df.hint("rebalance", partition_by).sortWithinPartitions(*order).write.partitionBy(partition_by).parquet(path)
+
+    def _publish(self, name: str, version: int, paths: dict[str, str], whole: bool) -> None:
+        entries = [
+            F.struct(F.lit(part).alias("part"), F.lit(path).alias("path")) for part, path in sorted(paths.items())
+        ]
+        rows = self.spark.range(1).select(
+            F.lit(name).alias("name"),
+            F.inline(F.array(*entries)).alias("part", "path"),
+            F.lit(version).alias("version"),
+            F.lit(whole).alias("whole"),
         )
-        entry.write.mode("append").parquet(f"{self.root}/_snapshots")
-        return self.spark.read.parquet(path)
+        rows.coalesce(1).write.mode("append").parquet(f"{self.root}/_current")
 
-    def paths(self) -> dict[str, str]:
-        """Current snapshot folder of every table; as many rows as there are tables."""
+    def _paths(self, name: str) -> list[str]:
+        """Current folders of a table: one, or one per partition."""
         try:
-            log = self.spark.read.schema(SNAPSHOTS).parquet(f"{self.root}/_snapshots")
+            entries = self.spark.read.schema(CURRENT).parquet(f"{self.root}/_current").where(F.col("name") == name)
         except AnalysisException:
-            return {}
-        newest = log.groupBy("name").agg(F.max_by("path", "version").alias("path"))
-        return {row["name"]: row["path"] for row in newest.toLocalIterator()}
+            return []
+        newest = entries.groupBy("part").agg(
+            F.max_by("path", "version").alias("path"),
+            F.max("version").alias("version"),
+            F.max(F.when(F.col("whole"), F.col("version"))).alias("started"),
+        )
+        found = list(newest.toLocalIterator())
+        start = max((row["started"] for row in found if row["started"] is not None), default=0)
+        return sorted(row["path"] for row in found if row["version"] >= start)
 
-    def read(self, name: str) -> DataFrame | None:
-        path = self.paths().get(name)
-        return None if path is None else self.spark.read.parquet(path)
+    # Logs
 
     def append(self, name: str, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(f"{self.root}/{name}")
 
+    def append_counted(self, name: str, rows: DataFrame) -> int:
+        """Append and return the number of rows, counted while they are written."""
+        seen = Observation()
+        self.append(name, rows.observe(seen, F.count(F.lit(1)).alias("rows")))
+        return seen.get["rows"]
+
     def log(self, name: str, schema: str) -> DataFrame:
         """An append-only table; empty until its first append."""
         try:
