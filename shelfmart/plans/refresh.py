@@ -3,20 +3,28 @@
 from __future__ import annotations
 
 import datetime as dt
+import logging
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, functions as F
 
 from shelfmart import schemas
 from shelfmart.functions.calendar import at
 from shelfmart.functions.keys import MARKETPLACE, WEBSITE
+from shelfmart.operators.constants import fixed_table
 from shelfmart.operators.quarantine import accepted, rejected
 from shelfmart.plans import dimensions, facts, staging
 from shelfmart.plans.mart import Mart
 from shelfmart.plans.staging import BLOCK, StagingTable, collapsed
 from shelfmart.sources import marketplace, shop
-from shelfmart.sources.watermark import sync_record
+from shelfmart.sources.watermark import sync_record, watermarks
 from shelfmart.storage import TableStore
 
+logger = logging.getLogger(__name__)
+
+SYNC_LOG = "sync_log"
+TRANSFORM_LOG = "transform_log"
+
 
 def land(store: TableStore, table: StagingTable, batch: DataFrame, run_at: dt.datetime) -> tuple[DataFrame, int]:
     """Store a batch once, count it while writing, and merge the stored rows into the staging table."""
@@ -31,14 +39,26 @@ def land(store: TableStore, table: StagingTable, batch: DataFrame, run_at: dt.da
     return landed, seen.get["rows"]
 
 
-def _log(store: TableStore, channel: str, ingested: int, failed: int, started_at, completed_at, sync_type) -> DataFrame:
-    counts = store.spark.range(1).select(
-        F.lit(ingested).alias("records_ingested"), F.lit(failed).alias("records_failed")
-    )
-    sync_id = int(started_at.timestamp() * 1000)
-    record = sync_record(counts, sync_id, channel, started_at, completed_at, sync_type=sync_type)
-    store.append("sync_log", record)
-    return record
+def _logged(
+    store: TableStore, channel: str, run_at: dt.datetime, sync_type: str, work: Callable[[], tuple[int, int]]
+) -> None:
+    """Run a load and log it, failed ones too. The row carries the start of the run as its end, so that the next
+    window begins where this one's reads did."""
+
+    def log(ingested, failed, status, error=None):
+        counts = store.spark.range(1).select(
+            F.lit(ingested).alias("records_ingested"), F.lit(failed).alias("records_failed")
+        )
+        sync_id = int(run_at.timestamp() * 1000)
+        record = sync_record(counts, sync_id, channel, run_at, run_at, status, error, sync_type)
+        store.append(SYNC_LOG, record)
+
+    try:
+        ingested, failed = work()
+    except Exception as error:
+        log(0, 0, "failed", str(error))
+        raise
+    log(ingested, failed, "success")
 
 
 def load_website(
@@ -48,47 +68,90 @@ def load_website(
     run_at: dt.datetime,
     until: dt.datetime | None = None,
     sync_type: str = "scheduled",
-) -> DataFrame:
-    """Website batch into staging. The log row carries the start of the run as its end, so that the next run's
-    window begins where this one's reads did."""
-    orders, n_orders = land(store, staging.WEBSITE_ORDERS, shop.coerce_orders(shop.orders(read, since, until)), run_at)
-    lines = shop.coerce_order_lines(shop.order_lines(read, orders))
-    land(store, staging.WEBSITE_ORDER_LINES, lines, run_at)
-    products = shop.coerce_products(shop.products(read, since, until))
-    _, n_products = land(store, staging.WEBSITE_PRODUCTS, products, run_at)
-    land(store, staging.WEBSITE_CATEGORIES, shop.coerce_categories(shop.categories(read)), run_at)
-    land(store, staging.WEBSITE_MANUFACTURERS, shop.publishers(read), run_at)
-    land(store, staging.WEBSITE_CUSTOMERS, shop.coerce_customers(shop.customers(read, since, until)), run_at)
-    return _log(store, WEBSITE, n_orders + n_products, 0, run_at, run_at, sync_type)
+) -> None:
+    """Website batch into staging; the log counts orders and products."""
+
+    def work():
+        changed = shop.coerce_orders(shop.orders(read, since, until))
+        orders, n_orders = land(store, staging.WEBSITE_ORDERS, changed, run_at)
+        lines = shop.coerce_order_lines(shop.order_lines(read, orders))
+        land(store, staging.WEBSITE_ORDER_LINES, lines, run_at)
+        products = shop.coerce_products(shop.products(read, since, until))
+        _, n_products = land(store, staging.WEBSITE_PRODUCTS, products, run_at)
+        land(store, staging.WEBSITE_CATEGORIES, shop.coerce_categories(shop.categories(read)), run_at)
+        land(store, staging.WEBSITE_MANUFACTURERS, shop.publishers(read), run_at)
+        land(store, staging.WEBSITE_CUSTOMERS, shop.coerce_customers(shop.customers(read, since, until)), run_at)
+        return n_orders + n_products, 0
+
+    _logged(store, WEBSITE, run_at, sync_type, work)
+
+
+def stage_marketplace(
+    store: TableStore, pages: DataFrame, run_at: dt.datetime, since: dt.date | None = None, until: dt.date | None = None
+) -> tuple[int, int]:
+    """Pages into staging; rows that break a rule are set aside and counted, the rest of their batch goes on."""
+    orders = marketplace.flagged_orders(pages, since, until)
+    lines = marketplace.flagged_order_lines(pages, since, until)
+    failed = store.append_counted("rejected_marketplace_orders", rejected(orders))
+    failed += store.append_counted("rejected_marketplace_lines", rejected(lines))
+    _, staged = land(store, staging.MARKETPLACE_ORDERS, accepted(orders), run_at)
+    land(store, staging.MARKETPLACE_ORDER_LINES, accepted(lines), run_at)
+    return staged, failed
 
 
 def load_marketplace(
     store: TableStore,
-    landed_pages: DataFrame,
+    pages: DataFrame,
     run_at: dt.datetime,
     since: dt.date | None = None,
     until: dt.date | None = None,
     sync_type: str = "scheduled",
-) -> DataFrame:
-    """Marketplace pages into staging; orders that break a rule are set aside and counted, the rest go on."""
-    flagged = marketplace.flag_orders(marketplace.orders(landed_pages, since, until))
-    failed = store.append_counted("rejected_marketplace_orders", rejected(flagged))
-    _, n_orders = land(store, staging.MARKETPLACE_ORDERS, accepted(flagged), run_at)
-    land(store, staging.MARKETPLACE_ORDER_LINES, marketplace.order_lines(landed_pages, since, until), run_at)
-    return _log(store, MARKETPLACE, n_orders, failed, run_at, run_at, sync_type)
+) -> None:
+    _logged(store, MARKETPLACE, run_at, sync_type, lambda: stage_marketplace(store, pages, run_at, since, until))
+
+
+def cycle(
+    store: TableStore,
+    read: shop.Reader,
+    pages: DataFrame,
+    run_at: dt.datetime,
+    dim_date: DataFrame,
+    dim_sales_channel: DataFrame,
+    seed_statuses: DataFrame,
+    stock_statuses: DataFrame | None = None,
+    sync_type: str = "scheduled",
+) -> Mart:
+    """One scheduled run: both loads from their own high-water mark, then the transform of what they changed. A
+    source that fails is logged and does not hold up the other."""
+    channels = fixed_table(store.spark, [(WEBSITE,), (MARKETPLACE,)], "channel string")
+    marks = watermarks(store.log(SYNC_LOG, schemas.SYNC_LOG), channels).toLocalIterator()
+    since = {row["channel"]: row["since"] for row in marks}
+    loads = {
+        WEBSITE: lambda: load_website(store, read, since[WEBSITE], run_at, sync_type=sync_type),
+        MARKETPLACE: lambda: load_marketplace(store, pages, run_at, since[MARKETPLACE].date(), sync_type=sync_type),
+    }
+    for channel, load in loads.items():
+        try:
+            load()
+        except Exception:
+            logger.exception("load of %s failed", channel)
+    done = store.log(TRANSFORM_LOG, "run_at timestamp_ntz").agg(F.max("run_at").alias("run_at")).first()["run_at"]
+    mart = transform(store, dim_date, dim_sales_channel, seed_statuses, run_at, stock_statuses, done)
+    store.append(TRANSFORM_LOG, store.spark.range(1).select(at(run_at).alias("run_at")))
+    return mart
 
 
-def _changed(rows: DataFrame, since: dt.datetime | None) -> DataFrame:
-    return rows if since is None else rows.where(F.col("ingested_at") >= at(since))
+def _changed(rows: DataFrame, after: dt.datetime | None) -> DataFrame:
+    return rows if after is None else rows.where(F.col("ingested_at") > at(after))
 
 
-def _changed_lines(lines: DataFrame, orders: DataFrame, key: str, since: dt.datetime | None) -> DataFrame:
-    """Lines staged since, and all lines of orders staged since: an order may come after its lines."""
-    if since is None:
+def _changed_lines(lines: DataFrame, orders: DataFrame, key: str, after: dt.datetime | None) -> DataFrame:
+    """Lines staged after a run, and all lines of orders staged after it: an order may come after its lines."""
+    if after is None:
         return lines
     touched = orders.select(key, F.lit(True).alias("_touched"))
-    staged_since = F.col("ingested_at") >= at(since)
-    return lines.join(touched, key, "left").where(staged_since | F.col("_touched").isNotNull()).drop("_touched")
+    staged_after = F.col("ingested_at") > at(after)
+    return lines.join(touched, key, "left").where(staged_after | F.col("_touched").isNotNull()).drop("_touched")
 
 
 def transform(
@@ -98,11 +161,11 @@ def transform(
     seed_statuses: DataFrame,
     run_at: dt.datetime,
     stock_statuses: DataFrame | None = None,
-    changed_since: dt.datetime | None = None,
+    changed_after: dt.datetime | None = None,
 ) -> Mart:
     """Dimensions, then facts, from the staging tables of `store`. Facts are stored by month.
 
-    With `changed_since` only orders and lines staged since then are worked through and only the months they touch
+    With `changed_after` only orders and lines staged after that run are worked through and only the months they touch
     are rewritten. Staged rows that did not change would come out as they are stored already.
     """
     if stock_statuses is None:
@@ -123,8 +186,8 @@ def transform(
     customer = store.write(
         "dim_customer", dimensions.customers(store.read(staging.WEBSITE_CUSTOMERS.name), store.read("dim_customer"))
     )
-    web_orders = _changed(store.read(staging.WEBSITE_ORDERS.name), changed_since)
-    mkt_orders = _changed(store.read(staging.MARKETPLACE_ORDERS.name), changed_since)
+    web_orders = _changed(store.read(staging.WEBSITE_ORDERS.name), changed_after)
+    mkt_orders = _changed(store.read(staging.MARKETPLACE_ORDERS.name), changed_after)
     known = store.read("dim_order_status")
     statuses = dimensions.add_statuses(
         seed_statuses if known is None else known, dimensions.website_statuses(web_orders)
@@ -138,7 +201,7 @@ def transform(
     mkt_checked = facts.flag_marketplace_orders(mkt_orders, days)
     store.append("rejected_website_facts", rejected(web_checked))
     store.append("rejected_marketplace_facts", rejected(mkt_checked))
-    bulk = changed_since is None
+    bulk = changed_after is None
     orders = store.merge(
         "fact_orders",
         facts.with_month(
@@ -153,9 +216,9 @@ def transform(
         sort_by="date_added",
         bulk=bulk,
     )
-    web_lines = _changed_lines(store.read(staging.WEBSITE_ORDER_LINES.name), web_orders, "order_id", changed_since)
+    web_lines = _changed_lines(store.read(staging.WEBSITE_ORDER_LINES.name), web_orders, "order_id", changed_after)
     mkt_lines = _changed_lines(
-        store.read(staging.MARKETPLACE_ORDER_LINES.name), mkt_orders, "marketplace_order_id", changed_since
+        store.read(staging.MARKETPLACE_ORDER_LINES.name), mkt_orders, "marketplace_order_id", changed_after
     )
     lines = store.merge(
         "fact_order_lines",

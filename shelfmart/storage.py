@@ -23,6 +23,7 @@ class TableStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._current: dict[str, dict[str, str]] | None = None
 
     # Snapshots
 
@@ -101,21 +102,39 @@ class TableStore:
             F.lit(whole).alias("whole"),
         )
         rows.coalesce(1).write.mode("append").parquet(f"{self.root}/_current")
+        if self._current is not None:
+            before = {} if whole else self._current.get(name, {})
+            self._current[name] = {**before, **paths}
 
     def _paths(self, name: str) -> list[str]:
-        """Current folders of a table: one, or one per partition."""
+        """Current folders of a table: one, or one per partition. The log is read once; this store adds to its copy
+        what it publishes itself, and `reload` picks up the changes of others."""
+        if self._current is None:
+            self._current = self._load()
+        return sorted(self._current.get(name, {}).values())
+
+    def reload(self) -> None:
+        self._current = None
+
+    def _load(self) -> dict[str, dict[str, str]]:
         try:
-            entries = self.spark.read.schema(CURRENT).parquet(f"{self.root}/_current").where(F.col("name") == name)
+            entries = self.spark.read.schema(CURRENT).parquet(f"{self.root}/_current")
         except AnalysisException:
-            return []
-        newest = entries.groupBy("part").agg(
+            return {}
+        newest = entries.groupBy("name", "part").agg(
             F.max_by("path", "version").alias("path"),
             F.max("version").alias("version"),
             F.max(F.when(F.col("whole"), F.col("version"))).alias("started"),
         )
         found = list(newest.toLocalIterator())
-        start = max((row["started"] for row in found if row["started"] is not None), default=0)
-        return sorted(row["path"] for row in found if row["version"] >= start)
+        starts: dict[str, int] = {}
+        for row in found:
+            starts[row["name"]] = max(starts.get(row["name"], 0), row["started"] or 0)
+        current: dict[str, dict[str, str]] = {}
+        for row in found:
+            if row["version"] >= starts[row["name"]]:
+                current.setdefault(row["name"], {})[row["part"]] = row["path"]
+        return current
 
     # Logs
 

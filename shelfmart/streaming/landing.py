@@ -1,7 +1,7 @@
 """Marketplace pages as a file stream: each micro-batch is merged into the staging tables.
 
 The stream's checkpoint remembers which files were read, which replaces a polling schedule. A batch replayed after a
-failure is merged again with the same result.
+failure is merged again with the same staging tables; only its set-aside rows are then logged twice.
 """
 
 from __future__ import annotations
@@ -10,9 +10,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame
 
-from shelfmart.operators.quarantine import accepted, rejected
-from shelfmart.plans import staging
-from shelfmart.plans.refresh import land
+from shelfmart.plans.refresh import stage_marketplace
 from shelfmart.sources import marketplace
 from shelfmart.storage import TableStore
 
@@ -23,11 +21,7 @@ def ingest_available(
     """Merge every page file not read before, then stop."""
 
     def merge(pages: DataFrame, batch_id: int) -> None:
-        flagged = marketplace.flag_orders(marketplace.orders(pages))
-        bad = rejected(flagged)
-        bad.write.mode("overwrite").parquet(f"{store.root}/rejected_streamed_orders/batch={batch_id}")
-        land(store, staging.MARKETPLACE_ORDERS, accepted(flagged), run_at)
-        land(store, staging.MARKETPLACE_ORDER_LINES, marketplace.order_lines(pages), run_at)
+        stage_marketplace(store, pages, run_at)
 
     query = (
         marketplace.page_stream(store.spark, folder, max_files)
