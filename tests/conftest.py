@@ -32,4 +32,5 @@ def at():
 
 
 def rows(df):
-    return sorted((tuple(r) for r in df.collect()), key=repr)
+    """Rows in column order, missing values last."""
+    return sorted((tuple(r) for r in df.collect()), key=lambda r: [(v is None, v) for v in r])
