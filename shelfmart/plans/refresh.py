@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import logging
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, functions as F
 
@@ -12,7 +13,7 @@ from shelfmart import schemas
 from shelfmart.functions.calendar import at
 from shelfmart.functions.keys import MARKETPLACE, WEBSITE
 from shelfmart.operators.constants import fixed_table
-from shelfmart.operators.quarantine import accepted, rejected
+from shelfmart.operators.quarantine import VIOLATION, accepted, rejected
 from shelfmart.plans import dimensions, facts, staging
 from shelfmart.plans.mart import Mart
 from shelfmart.plans.staging import BLOCK, StagingTable, collapsed
@@ -26,17 +27,34 @@ SYNC_LOG = "sync_log"
 TRANSFORM_LOG = "transform_log"
 
 
-def land(store: TableStore, table: StagingTable, batch: DataFrame, run_at: dt.datetime) -> tuple[DataFrame, int]:
-    """Store a batch once, count it while writing, and merge the stored rows into the staging table."""
+@dataclass(frozen=True)
+class Landed:
+    rows: DataFrame
+    staged: int
+    failed: int
+
+
+def land(store: TableStore, table: StagingTable, batch: DataFrame, run_at: dt.datetime) -> Landed:
+    """Store a batch once, count it while writing, and merge the stored rows into the staging table.
+
+    Rows of a flagged batch that break a rule are counted and set aside.
+    """
+    flagged = VIOLATION in batch.columns
+    bad = F.col(VIOLATION).isNotNull() if flagged else F.lit(False)
     seen = Observation()
-    landed = store.write(f"batch_{table.name}", batch.observe(seen, F.count(F.lit(1)).alias("rows")))
-    rows = collapsed(landed, table, run_at)
+    counted = batch.observe(seen, F.count_if(~bad).alias("staged"), F.count_if(bad).alias("failed"))
+    landed = store.write(f"batch_{table.name}", counted)
+    staged, failed = seen.get["staged"], seen.get["failed"]
+    if failed:
+        store.append(f"rejected_{table.name}", rejected(landed))
+    good = accepted(landed) if flagged else landed
+    rows = collapsed(good, table, run_at)
     if table.block is None:
         store.merge(table.name, rows, table.keys, table.updated)
     else:
         rows = rows.withColumn(BLOCK, F.floor(F.col(table.keys[0]) / table.block))
         store.merge(table.name, rows, table.keys, table.updated, BLOCK, table.keys[0], fixed_by_key=True)
-    return landed, seen.get["rows"]
+    return Landed(good, staged, failed)
 
 
 def _logged(
@@ -73,15 +91,15 @@ def load_website(
 
     def work():
         changed = shop.coerce_orders(shop.orders(read, since, until))
-        orders, n_orders = land(store, staging.WEBSITE_ORDERS, changed, run_at)
-        lines = shop.coerce_order_lines(shop.order_lines(read, orders))
+        orders = land(store, staging.WEBSITE_ORDERS, changed, run_at)
+        lines = shop.coerce_order_lines(shop.order_lines(read, orders.rows))
         land(store, staging.WEBSITE_ORDER_LINES, lines, run_at)
         products = shop.coerce_products(shop.products(read, since, until))
-        _, n_products = land(store, staging.WEBSITE_PRODUCTS, products, run_at)
+        n_products = land(store, staging.WEBSITE_PRODUCTS, products, run_at).staged
         land(store, staging.WEBSITE_CATEGORIES, shop.coerce_categories(shop.categories(read)), run_at)
         land(store, staging.WEBSITE_MANUFACTURERS, shop.publishers(read), run_at)
         land(store, staging.WEBSITE_CUSTOMERS, shop.coerce_customers(shop.customers(read, since, until)), run_at)
-        return n_orders + n_products, 0
+        return orders.staged + n_products, 0
 
     _logged(store, WEBSITE, run_at, sync_type, work)
 
@@ -90,13 +108,9 @@ def stage_marketplace(
     store: TableStore, pages: DataFrame, run_at: dt.datetime, since: dt.date | None = None, until: dt.date | None = None
 ) -> tuple[int, int]:
     """Pages into staging; rows that break a rule are set aside and counted, the rest of their batch goes on."""
-    orders = marketplace.flagged_orders(pages, since, until)
-    lines = marketplace.flagged_order_lines(pages, since, until)
-    failed = store.append_counted("rejected_marketplace_orders", rejected(orders))
-    failed += store.append_counted("rejected_marketplace_lines", rejected(lines))
-    _, staged = land(store, staging.MARKETPLACE_ORDERS, accepted(orders), run_at)
-    land(store, staging.MARKETPLACE_ORDER_LINES, accepted(lines), run_at)
-    return staged, failed
+    orders = land(store, staging.MARKETPLACE_ORDERS, marketplace.flagged_orders(pages, since, until), run_at)
+    lines = land(store, staging.MARKETPLACE_ORDER_LINES, marketplace.flagged_order_lines(pages, since, until), run_at)
+    return orders.staged, orders.failed + lines.failed
 
 
 def load_marketplace(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from shelfmart.functions.calendar import at
 from shelfmart.functions.coerce import json_payload
@@ -25,7 +25,8 @@ class StagingTable:
 # Large staging tables are stored in blocks of this many ids. Ids grow with time, so that a batch touches the last
 # blocks and few others, and a block holds no more rows than ids.
 BLOCK = "id_block"
-BLOCK_IDS = 50_000_000
+ORDER_BLOCK = 50_000_000
+LINE_BLOCK = 500_000_000
 
 
 # Which columns a repeated key overwrites; all others stay as first inserted.
@@ -35,14 +36,14 @@ WEBSITE_ORDERS = StagingTable(
     ("total", "order_status_id", "date_modified", "raw_json", "ingested_at"),
     ("date_modified",),
     True,
-    BLOCK_IDS,
+    ORDER_BLOCK,
 )
 WEBSITE_ORDER_LINES = StagingTable(
     "stg_website_order_lines",
     ("order_product_id",),
     ("quantity", "price", "total", "raw_json", "ingested_at"),
     keeps_payload=True,
-    block=BLOCK_IDS,
+    block=LINE_BLOCK,
 )
 WEBSITE_PRODUCTS = StagingTable(
     "stg_website_products",
@@ -66,7 +67,7 @@ MARKETPLACE_ORDERS = StagingTable(
     ("changed", "status", "status_group", "cost_with_discount", "raw_json", "ingested_at"),
     ("changed",),
     True,
-    BLOCK_IDS,
+    ORDER_BLOCK,
 )
 MARKETPLACE_ORDER_LINES = StagingTable(
     "stg_marketplace_order_lines",
@@ -74,7 +75,7 @@ MARKETPLACE_ORDER_LINES = StagingTable(
     ("quantity", "cost_with_discount", "raw_json", "ingested_at"),
     ("changed",),
     True,
-    BLOCK_IDS,
+    LINE_BLOCK,
 )
 
 
@@ -86,11 +87,11 @@ def collapsed(batch: DataFrame, table: StagingTable, run_at: dt.datetime) -> Dat
     """
     version = [c for c in table.version if c in batch.columns]
     stored = [c for c in batch.columns if c not in version or c in table.updated]
-    rows = batch
-    if table.keeps_payload and "raw_json" not in stored:
-        rows = rows.withColumn("raw_json", json_payload(*stored))
-    rows = rows.withColumn("ingested_at", at(run_at))
-    return collapse(rows, table.keys, table.updated, version)
+    rows = batch.withColumn("ingested_at", at(run_at))
+    if not table.keeps_payload or "raw_json" in stored:
+        return collapse(rows, table.keys, table.updated, version)
+    rows = collapse(rows.withColumn("raw_json", F.struct(*stored)), table.keys, table.updated, version)
+    return rows.withColumn("raw_json", json_payload("raw_json.*"))
 
 
 def stage(existing: DataFrame | None, batch: DataFrame, table: StagingTable, run_at: dt.datetime) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import time
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
 
 from shelfmart.operators.merge import merge_batch, merge_full
@@ -36,8 +36,11 @@ class TableStore:
             self._publish(name, version, {"": path}, whole=True)
         else:
             self._write_partitions(path, df, partition_by, sort_by)
-            found = self.spark.read.parquet(path).select(F.col(partition_by).cast("string").alias("part")).distinct()
+            written = self.spark.read.schema(df.schema).parquet(path)
+            found = written.select(F.col(partition_by).cast("string").alias("part")).distinct()
             parts = [row["part"] for row in found.toLocalIterator()]
+            if not parts:
+                return self.write(name, df.limit(0))
             self._publish(name, version, {p: f"{path}/{partition_by}={p}" for p in parts}, whole=True)
         return self.read(name)
 
@@ -60,7 +63,7 @@ class TableStore:
         """
         merge_rows = merge_full if bulk else merge_batch
         table = self.read(name)
-        if table is None:
+        if table is None or (partition_by is not None and self._whole_path(name) is not None):
             return self.write(name, batch, partition_by, sort_by)
         if partition_by is None:
             return self.write(name, merge_rows(table, batch, keys, updated))
@@ -113,6 +116,11 @@ class TableStore:
             self._current = self._load()
         return sorted(self._current.get(name, {}).values())
 
+    def _whole_path(self, name: str) -> str | None:
+        """Folder of a table stored in one piece, which a partitioned one is only while it is empty."""
+        self._paths(name)
+        return self._current.get(name, {}).get("")
+
     def reload(self) -> None:
         self._current = None
 
@@ -141,12 +149,6 @@ class TableStore:
     def append(self, name: str, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(f"{self.root}/{name}")
 
-    def append_counted(self, name: str, rows: DataFrame) -> int:
-        """Append and return the number of rows, counted while they are written."""
-        seen = Observation()
-        self.append(name, rows.observe(seen, F.count(F.lit(1)).alias("rows")))
-        return seen.get["rows"]
-
     def log(self, name: str, schema: str) -> DataFrame:
         """An append-only table; empty until its first append."""
         try:

@@ -135,3 +135,21 @@ def test_shared_folder_comes_from_the_session(spark):
     from shelfmart.session import shared_dir
 
     assert shared_dir(spark) == shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_an_empty_batch_is_staged_as_nothing(spark, small, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    orders = T.marketplace_orders(spark, small)
+    nothing = orders.where("marketplace_order_id IS NULL")
+    assert refresh.land(store, staging.MARKETPLACE_ORDERS, orders, T.RUN_AT).staged == orders.count()
+    assert refresh.land(store, staging.MARKETPLACE_ORDERS, nothing, T.SECOND_RUN_AT).staged == 0
+    assert refresh.land(store, staging.MARKETPLACE_ORDERS, spark.createDataFrame([], orders.schema), T.SECOND_RUN_AT).staged == 0
+    assert store.read(staging.MARKETPLACE_ORDERS.name).count() == orders.count()
+
+
+def test_a_first_load_may_be_empty(spark, small, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    orders = T.marketplace_orders(spark, small)
+    assert refresh.land(store, staging.MARKETPLACE_ORDERS, spark.createDataFrame([], orders.schema), T.RUN_AT).staged == 0
+    assert refresh.land(store, staging.MARKETPLACE_ORDERS, orders, T.SECOND_RUN_AT).staged == orders.count()
+    assert store.read(staging.MARKETPLACE_ORDERS.name).count() == orders.count()
