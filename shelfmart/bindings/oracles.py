@@ -265,9 +265,8 @@ BLOCKS = {
             FROM ranked_months GROUP BY ALL)
       WHERE prior_rev <> 0 AND abs((current_rev - prior_rev) / prior_rev) * 100 >= threshold""",
     "silent": """
-      SELECT rule_id, notify_email, hours, newest AS newest_order
+      SELECT rule_id, notify_email, hours
       FROM (SELECT rule_id, any_value(notify_email) AS notify_email, CAST(any_value(threshold) AS INTEGER) AS hours,
-                   max(f.date_added) AS newest,
                    count(*) FILTER (f.date_added >= TIMESTAMP '2001-08-02 12:00:00' - to_hours(r.threshold)) AS recent
             FROM rules r LEFT JOIN fact_orders f ON r.channel_id IS NULL OR r.channel_id = f.channel_id
             WHERE rule_type = 'no_orders' AND is_active GROUP BY rule_id)
@@ -750,7 +749,7 @@ ORACLES = {
     ),
     "alert_cooldown": _present("SELECT rule_id, product_id, quantity_in_stock FROM stock_alerts"),
     "alert_revenue_swing": _present("SELECT * EXCLUDE (notify_email) FROM swings"),
-    "alert_no_orders": _present("SELECT * FROM silent", times="newest_order"),
+    "alert_no_orders": _present("SELECT * FROM silent"),
     "alert_events_new": _present(
         f"""
       SELECT rule_id, product_id, {COOLDOWN_AT} AS triggered_at,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfmart.functions.calendar import at, month_bounds
 from shelfmart.functions.keys import MARKETPLACE, WEBSITE, date_key_of, surrogate
@@ -206,21 +206,20 @@ def top_books(mart: Mart, first: dt.date, last: dt.date, channel_id: int | None
 
 def sales_by_category(mart: Mart, first: dt.date, last: dt.date, channel_id: int | None = None) -> DataFrame:
     """Units and revenue per category with its share of all revenue, lines without a category included in the
-    total. The lines are added up once per category; the total is taken from that small result."""
+    total. The lines are read and added up once; the window for the total sees one row per category."""
     sold = (
         _lines_of_completed(mart, first, last, channel_id)
         .groupBy("category_id")
         .agg(F.sum("quantity_sold").alias("units"), F.sum("line_total_uah").alias("revenue"))
+        .withColumn("total", F.sum("revenue").over(Window.partitionBy()).cast("decimal(38,4)"))
     )
-    total = sold.agg(F.sum("revenue").alias("total")).scalar()
+    category = mart.dim_category.select("category_id", F.col("name").alias("category_name"), "parent_name")
+    share = F.col("revenue_uah") * 100 / F.nullif(F.col("total"), F.lit(0).cast("decimal(38,4)"))
     return (
-        sold.join(mart.dim_category.select("category_id", F.col("name").alias("category_name"), "parent_name"), "category_id")
-        .groupBy("category_name", "parent_name")
+        sold.join(category, "category_id")
+        .groupBy("category_name", "parent_name", "total")
         .agg(F.sum("units").alias("units_sold"), F.sum("revenue").alias("revenue_uah"))
-        .withColumn(
-            "pct_of_total",
-            F.round(F.col("revenue_uah") * 100 / F.nullif(total.cast("decimal(38,4)"), F.lit(0).cast("decimal(38,4)")), 2),
-        )
+        .select("category_name", "parent_name", "units_sold", "revenue_uah", F.round(share, 2).alias("pct_of_total"))
         .orderBy(descending("revenue_uah"), ascending("category_name"), ascending("parent_name"))
     )
 

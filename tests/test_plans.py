@@ -22,15 +22,26 @@ def plan(capsys):
     return text
 
 
-# The only window ranks the months of each channel.
-RANKED = {"alert_revenue_swing", "alert_events_new", "alert_notifications", "alert_dispatch"}
+# The windows: months ranked per channel, and the total over one row per category.
+WINDOWED = {
+    "alert_revenue_swing", "alert_events_new", "alert_notifications", "alert_dispatch",
+    "sales_by_category", "sales_by_category_marketplace", "dashboard_bundle",
+}
 
 
 @pytest.mark.parametrize("name", sorted(queries()))
-def test_no_nested_loops_windows_or_python(spark, small, plan, name):
+def test_no_nested_loops_or_python(spark, small, plan, name):
     text = plan(queries()[name](spark, small))
     assert [word for word in UNWANTED if word in text] == []
-    assert (re.search(r"\bWindow\b", text) is not None) == (name in RANKED)
+    if re.search(r"\bWindow\b", text):
+        assert name in WINDOWED
+
+
+def test_category_total_is_taken_from_sums(spark, small, plan):
+    text = plan(queries()["sales_by_category"](spark, small))
+    below = text[text.index("Window (") : text.index("(1) ")]
+    assert below.index("HashAggregate") < below.index("Scan parquet")
+    assert text[: text.index("(1) ")].count("Scan parquet") == 4
 
 
 def test_months_are_ranked_per_channel(spark, small, plan):

@@ -214,7 +214,7 @@ def test_revenue_swing(spark, mart):
 def test_no_orders(spark, mart):
     rules = rules_of(spark, rule(1, "no_orders", "48"), rule(2, "no_orders", "48", 2), rule(3, "no_orders", "48", 1))
     found = alerts.no_orders(mart.fact_orders, rules, dt.datetime(2020, 3, 2))
-    assert rows(found.select("rule_id", "newest_order")) == [(2, dt.datetime(2020, 2, 1))]
+    assert rows(found.select("rule_id")) == [(2,)]
     at_edge = alerts.no_orders(mart.fact_orders, rules, dt.datetime(2020, 3, 2, 0, 0, 1))
     assert rows(at_edge.select("rule_id")) == [(2,)]
     later = alerts.no_orders(mart.fact_orders, rules, dt.datetime(2020, 3, 2, 0, 0, 2))
