@@ -469,25 +469,32 @@ def days(spark) -> DataFrame:
 
 # Staging and star schema
 
+STAGED = {
+    "orders": staging.WEBSITE_ORDERS,
+    "order_lines": staging.WEBSITE_ORDER_LINES,
+    "products": staging.WEBSITE_PRODUCTS,
+    "categories": staging.WEBSITE_CATEGORIES,
+    "manufacturers": staging.WEBSITE_MANUFACTURERS,
+    "customers": staging.WEBSITE_CUSTOMERS,
+    "marketplace_orders": staging.MARKETPLACE_ORDERS,
+    "marketplace_order_lines": staging.MARKETPLACE_ORDER_LINES,
+}
+
 
 def staged(spark, sf_dir, name: str) -> DataFrame:
     """A staging table after a first load."""
     read = shop_reader(spark, sf_dir)
-    if name == "orders":
-        return stage(None, shop.coerce_orders(website_orders(spark, sf_dir)), staging.WEBSITE_ORDERS, RUN_AT)
-    if name == "order_lines":
-        return stage(None, shop.coerce_order_lines(website_lines(spark, sf_dir)), staging.WEBSITE_ORDER_LINES, RUN_AT)
-    if name == "products":
-        return stage(None, shop.coerce_products(shop.products(read, EVERYTHING)), staging.WEBSITE_PRODUCTS, RUN_AT)
-    if name == "categories":
-        return stage(None, shop.coerce_categories(shop.categories(read)), staging.WEBSITE_CATEGORIES, RUN_AT)
-    if name == "manufacturers":
-        return stage(None, shop.publishers(read), staging.WEBSITE_MANUFACTURERS, RUN_AT)
-    if name == "customers":
-        return stage(None, shop.coerce_customers(shop.customers(read, EVERYTHING)), staging.WEBSITE_CUSTOMERS, RUN_AT)
-    if name == "marketplace_orders":
-        return stage(None, marketplace_orders(spark, sf_dir), staging.MARKETPLACE_ORDERS, RUN_AT)
-    return stage(None, marketplace_lines(spark, sf_dir), staging.MARKETPLACE_ORDER_LINES, RUN_AT)
+    batches = {
+        "orders": lambda: shop.coerce_orders(website_orders(spark, sf_dir)),
+        "order_lines": lambda: shop.coerce_order_lines(website_lines(spark, sf_dir)),
+        "products": lambda: shop.coerce_products(shop.products(read, EVERYTHING)),
+        "categories": lambda: shop.coerce_categories(shop.categories(read)),
+        "manufacturers": lambda: shop.publishers(read),
+        "customers": lambda: shop.coerce_customers(shop.customers(read, EVERYTHING)),
+        "marketplace_orders": lambda: marketplace_orders(spark, sf_dir),
+        "marketplace_order_lines": lambda: marketplace_lines(spark, sf_dir),
+    }
+    return stage(None, batches[name](), STAGED[name], RUN_AT)
 
 
 _WRITTEN: dict[tuple[str, str, str], object] = {}
@@ -513,14 +520,13 @@ def new_store(spark, sf_dir, name: str) -> TableStore:
 
 
 def mart(spark: SparkSession, sf_dir: str) -> Mart:
-    """The star schema, built by the loads and the transform and written once per session and data set."""
+    """The star schema of a first load, written once per session and data set."""
     configure(spark)
     key = (spark.sparkContext.applicationId, sf_dir, "mart")
     if key not in _WRITTEN:
         store = new_store(spark, sf_dir, "mart")
-        refresh.load_website(store, shop_reader(spark, sf_dir), EVERYTHING, RUN_AT)
-        refresh.land(store, staging.MARKETPLACE_ORDERS, marketplace_orders(spark, sf_dir), RUN_AT)
-        refresh.land(store, staging.MARKETPLACE_ORDER_LINES, marketplace_lines(spark, sf_dir), RUN_AT)
+        for name, table in STAGED.items():
+            store.write(table.name, staged(spark, sf_dir, name))
         _WRITTEN[key] = refresh.transform(
             store, days(spark), seeds.sales_channels(spark), seeds.order_statuses(spark), RUN_AT, stock_statuses(spark)
         )
