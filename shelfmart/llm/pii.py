@@ -20,8 +20,8 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-# A token with a digit or an at sign, 6 to 128 characters long.
-CANDIDATE = r"(?<!\S)(?=[^\s0-9@]{0,64}[0-9@])\S{6,128}+(?!\S)"
+# A token's rest from its first digit or at sign on; what stands before that in the token is added afterwards.
+CANDIDATE = r"[0-9@]\S{4,127}+"
 CANDIDATE_KIND = len(KINDS)
 CONTEXT_WORDS, CONTEXT_CHARS = 2, 48
 MASKS = [f"<{kind}>" for kind in KINDS]
@@ -64,16 +64,42 @@ def is_phone(value: Column) -> Column:
 
 def base_spans(text: Column) -> Column:
     """Spans of the four kinds, by kind and start."""
-    rules = [(EMAIL, is_email), (IP, is_ip), (CARD, is_card), (PHONE, is_phone)]
-    return F.concat(*[spans(text, kind, pattern, keep) for kind, (pattern, keep) in enumerate(rules)])
+    digit = F.rlike(text, F.lit("[0-9]"))
+    rules = [
+        (EMAIL, is_email, F.contains(text, F.lit("@"))),
+        (IP, is_ip, digit),
+        (CARD, is_card, digit),
+        (PHONE, is_phone, F.contains(text, F.lit("+"))),
+    ]
+    return F.concat(*[spans(text, kind, *rule) for kind, rule in enumerate(rules)])
+
+
+def _before(text: Column, start: Column, chars: int) -> Column:
+    begin = F.greatest(start - chars, F.lit(0))
+    return F.substr(text, begin + 1, start - begin)
+
+
+def token_spans(text: Column) -> Column:
+    """Tokens with a digit or an at sign, widened to the left by up to 64 characters of the token."""
+    found = spans(text, CANDIDATE_KIND, CANDIDATE, lambda m: F.lit(True), F.rlike(text, F.lit("[0-9@]")))
+
+    def widened(s: Column) -> Column:
+        left = F.regexp_extract(_before(text, s["start"], 64), r"\S*$", 0)
+        return F.struct(
+            s["kind"],
+            (s["start"] - F.length(left)).alias("start"),
+            s["end"],
+            F.concat(left, s["value"]).alias("value"),
+        )
+
+    return F.transform(found, widened)
 
 
 def _with_context(text: Column, found: Column) -> Column:
     """Spans with the two words before them, lower case and without digits; null where there are fewer."""
 
     def context(s: Column) -> Column:
-        begin = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
-        before = F.lower(F.substr(text, begin + 1, s["start"] - begin))
+        before = F.lower(_before(text, s["start"], CONTEXT_CHARS))
         words = F.regexp_extract(before, r"(?<!\S)(\S+\s+\S+)\s*$", 1)
         return F.nullif(F.regexp_replace(F.regexp_replace(words, "[0-9]+", "0"), r"\s+", " "), F.lit(""))
 
@@ -87,7 +113,7 @@ def extracted(docs: DataFrame, text: str = "text") -> DataFrame:
     """Row ids, the kept columns, base spans and the identifier-like tokens outside them, each with its context."""
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select("*", body.alias("_body")).select("*", base_spans(F.col("_body")).alias("_base"))
-    tokens = spans(F.col("_body"), CANDIDATE_KIND, CANDIDATE, lambda m: F.lit(True))
+    tokens = token_spans(F.col("_body"))
     outside = F.filter(
         tokens, lambda t: ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"]))
     )

@@ -10,6 +10,8 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -23,19 +25,20 @@ class Rule:
     pattern: str
     keep: Callable[[Column], Column]
     judged_by: str  # what `keep` asks for, in words; part of the rules' version
+    needs: tuple[str, ...]  # a text with a match contains one of these
 
 
 # The patterns of the base kinds.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 BASE_RULES = [
-    Rule("assign", ASSIGN, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 12, "12 characters of value"),
-    Rule("access", r"AKIA[A-Z0-9]++", lambda m: F.length(m) >= 18, "18 characters"),
+    Rule("assign", ASSIGN, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 12, "12 characters of value", (":", "=")),
+    Rule("access", r"AKIA[A-Z0-9]++", lambda m: F.length(m) >= 18, "18 characters", ("AKIA",)),
     # runs of at least 16 only: a shorter run fails as a whole and begins or ends no other match
-    Rule("hex", r"(?<![0-9a-f])[0-9a-f]{16,}+", lambda m: F.lit(True), "16 characters"),
+    Rule("hex", r"(?<![0-9a-f])[0-9a-f]{16,}+", lambda m: F.lit(True), "16 characters", ()),
 ]
 MORE_RULES = [
-    Rule("pem", r"-----BEGIN (?:[A-Z]{2,12} ){0,2}PRIVATE KEY-----", lambda m: F.lit(True), "any"),
-    Rule("forge", r"(?<![A-Za-z0-9_])gh[opsur]_[A-Za-z0-9]{36,255}+", lambda m: F.lit(True), "36 characters"),
+    Rule("pem", r"-----BEGIN (?:[A-Z]{2,12} ){0,2}PRIVATE KEY-----", lambda m: F.lit(True), "any", ("PRIVATE KEY-----",)),
+    Rule("forge", r"(?<![A-Za-z0-9_])gh[opsur]_[A-Za-z0-9]{36,255}+", lambda m: F.lit(True), "36 characters", ("gh",)),
 ]
 RULES = BASE_RULES + MORE_RULES
 
@@ -52,7 +55,11 @@ def blob_id(text: Column) -> Column:
 
 def findings(text: Column, rules: list[Rule] = RULES) -> Column:
     """All spans of a text by start, then by the order of the rules."""
-    found = F.concat(*[spans(text, kind, rule.pattern, rule.keep) for kind, rule in enumerate(rules)])
+
+    def possible(rule: Rule) -> Column | None:
+        return reduce(or_, [F.contains(text, F.lit(part)) for part in rule.needs]) if rule.needs else None
+
+    found = F.concat(*[spans(text, kind, r.pattern, r.keep, possible(r)) for kind, r in enumerate(rules)])
     ordered = F.array_sort(F.transform(found, lambda s: F.struct(s["start"], s["kind"], s["end"], s["value"])))
     return F.transform(ordered, lambda s: F.struct(s["kind"], s["start"], s["end"], s["value"])).cast(SPAN)
 

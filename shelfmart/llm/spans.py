@@ -13,9 +13,12 @@ from pyspark.sql import Column, functions as F
 SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 
 
-def spans(text: Column, kind: int, pattern: str, keep: Callable[[Column], Column]) -> Column:
+def spans(
+    text: Column, kind: int, pattern: str, keep: Callable[[Column], Column], possible: Column | None = None
+) -> Column:
     """Matches of `pattern` whose text passes `keep`, as an array of (kind, start, end, value); a text without matches
-    gives an empty array. `keep` judges the matched text alone."""
+    gives an empty array. `keep` judges the matched text alone. `possible` is a cheap condition that every text with a
+    match meets."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     steps = F.arrays_zip(gaps.alias("gap"), found.alias("value"))
@@ -34,7 +37,7 @@ def spans(text: Column, kind: int, pattern: str, keep: Callable[[Column], Column
         )
 
     walked = F.aggregate(steps, start, step, lambda acc: acc["out"])
-    return F.when(F.rlike(text, F.lit(pattern)), walked).otherwise(F.array().cast(SPAN))
+    return F.when(F.rlike(text, F.lit(pattern)) if possible is None else possible, walked).otherwise(F.array().cast(SPAN))
 
 
 def joined(found: Column, names: list[str]) -> Column:
