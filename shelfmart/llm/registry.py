@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from shelfmart.llm import oracles
+from shelfmart.llm.grammar import op5_grammar_token_files
+from shelfmart.llm.packing import op1_best_fit_packing
 from shelfmart.llm.pii import op3_pii
 from shelfmart.llm.secrets import op9_secret_scans
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op3_pii": op3_pii,
+    "op5_grammar_token_files": op5_grammar_token_files,
     "op9_secret_scans": op9_secret_scans,
 }
 ORACLES = oracles.SQL
