@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from shelfmart.llm import oracles
+from shelfmart.llm.decontaminate import op4_decontamination
 from shelfmart.llm.grammar import op5_grammar_token_files
 from shelfmart.llm.packing import op1_best_fit_packing
 from shelfmart.llm.pii import op3_pii
 from shelfmart.llm.secrets import op9_secret_scans
+from shelfmart.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_pii": op3_pii,
+    "op4_decontamination": op4_decontamination,
     "op5_grammar_token_files": op5_grammar_token_files,
     "op9_secret_scans": op9_secret_scans,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES = oracles.SQL
