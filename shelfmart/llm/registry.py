@@ -5,6 +5,7 @@ from __future__ import annotations
 from shelfmart.llm import oracles
 from shelfmart.llm.decontaminate import op4_decontamination
 from shelfmart.llm.grammar import op5_grammar_token_files
+from shelfmart.llm.jaccard import op8_ngram_jaccard_join
 from shelfmart.llm.packing import op1_best_fit_packing
 from shelfmart.llm.pii import op3_pii
 from shelfmart.llm.secrets import op9_secret_scans
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op4_decontamination": op4_decontamination,
     "op5_grammar_token_files": op5_grammar_token_files,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_secret_scans": op9_secret_scans,
     "op10_toxicity": op10_toxicity,
 }
