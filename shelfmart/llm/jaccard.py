@@ -150,29 +150,33 @@ def tiles(sets: DataFrame, percent: int) -> DataFrame:
     A tile of band b holds the sets of b (own) and of b + 1. Groups above TILE_ROWS are cut into blocks of that size;
     tile (i, j) holds two blocks, x and y saying which of them a row is of.
     """
-    postings = sets.select(F.explode("prefix").alias("h"), "no")
+    postings = sets.select(F.explode("prefix").alias("h"), "no", "n")
     groups = postings.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1")
-    shared = postings.join(groups, "h").join(sets.select("no", "n", "bits"), "no")
     own_band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(percent / 100)) + 1e-9).cast("int")
     blocks = F.ceil(F.col("rows") / TILE_ROWS).cast("int")
-    block = F.pmod(F.xxhash64("no"), blocks).cast("int")
-    return (
-        shared.withColumn("_block", block)
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    banded = (
+        postings.join(groups, "h")
         .withColumn("_band", own_band)
         .withColumn("band", F.explode(F.array(F.col("_band"), F.col("_band") - 1)))
+        .withColumn("own", F.col("band") == F.col("_band"))
+    )
+    of_band = banded.groupBy("h", "band").agg(F.count("*").alias("_here"), F.max("own").alias("_any"))
+    crowded = of_band.where("_here > 1 and _any").select("h", "band")
+    return (
+        banded.join(crowded, ["h", "band"])
+        .withColumn("_block", F.pmod(F.xxhash64("no"), blocks).cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select(
             "h",
             "band",
             F.least("_block", "_other").alias("i"),
             F.greatest("_block", "_other").alias("j"),
-            (F.col("band") == F.col("_band")).alias("own"),
+            "own",
             (F.col("_block") <= F.col("_other")).alias("x"),
             (F.col("_block") >= F.col("_other")).alias("y"),
             "no",
-            "n",
-            "bits",
         )
+        .join(sets.select("no", "n", "bits"), "no")
     )
 
 
@@ -200,14 +204,15 @@ def _by_tile(rows: DataFrame, pairs_of: Callable[[pd.DataFrame], list[tuple[int,
 
 
 def _tile_pairs(tile: pd.DataFrame, percent: int, roots: np.ndarray | None) -> list[tuple[int, int]]:
-    """Without `roots`: each set with the first possible partner before it. With `roots`: all possible pairs of sets
-    with different roots. A pair has a set of the tile's own band and, in a tile of two blocks, one of each."""
+    """Without `roots`: each set with the first possible partner before it, and (no, no) for every set with any possible
+    partner. With `roots`: all possible pairs of sets with different roots. A pair has a set of the tile's own band and, in a tile of two blocks, one of each."""
     own, x, y = (tile[c].to_numpy(bool) for c in ("own", "x", "y"))
     no, n = tile["no"].to_numpy(np.int64), tile["n"].to_numpy(np.int64)
     size = min(map(len, tile["bits"]))
     maps = [folded(b, size) for b in tile["bits"]]
     words = np.array([np.frombuffer(m.to_bytes(size, "little"), dtype="<u8") for m in maps]) if len(tile) > 16 else None
     out = []
+    active: set[int] = set()
     for k in range(1, len(tile)):
         near = (own[:k] | own[k]) & ((x[:k] & y[k]) | (y[:k] & x[k]))
         near &= (100 * n[:k] >= percent * n[k]) & (100 * n[k] >= percent * n[:k]) & (no[:k] != no[k])
@@ -219,12 +224,13 @@ def _tile_pairs(tile: pd.DataFrame, percent: int, roots: np.ndarray | None) -> l
             lack = n[k] - np.bitwise_count(mine & ~theirs).sum(axis=1, dtype=np.int64)
             overlap = np.minimum(lack, n[places] - np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64))
             places = places[100 * overlap >= percent * (n[k] + n[places] - overlap)]
-            places = places[:1] if roots is None else places
         else:
             places = [p for p in places if may_link(maps[k], maps[p], int(n[k]), int(n[p]), percent)]
-            places = places[:1] if roots is None else places
+        if roots is None and len(places):
+            active.update(places, [k])
+            places = places[:1]
         out += [(int(min(no[k], no[p])), int(max(no[k], no[p]))) for p in places]
-    return out
+    return out + [(int(no[k]), int(no[k])) for k in active]
 
 
 def linked(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
@@ -267,17 +273,20 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
         "distinct-sets",
     )
     met = written(tiles(sets, percent), "tiles")
-    shingles = written(_candidate_shingles(plain, doc_id, text, sets, met), "shingles")
 
-    small_batches(spark, 10_000)  # rows are short from here on
+    small_batches(spark, 10_000)  # rows are short here
     first = written(_by_tile(met, lambda tile: _tile_pairs(tile, percent, None)), "pairs")
-    links = written(linked(first, shingles, percent), "links")
+    small_batches(spark)
+    active = first.where("a = b").select(F.col("a").alias("no"))
+    shingles = written(_candidate_shingles(plain, doc_id, text, sets, active), "shingles")
+    links = written(linked(first.where("a < b"), shingles, percent), "links")
     roots = written(components(links), "roots")
-    known = met.join(roots.withColumnRenamed("node", "no"), "no", "left")
+    known = met.join(active, "no", "left_semi").join(roots.withColumnRenamed("node", "no"), "no", "left")
     known = known.withColumn("root", F.coalesce("root", "no"))
-    more = _by_tile(known, lambda tile: _tile_pairs(tile, percent, tile["root"].to_numpy(np.int64)))
-    more_links = written(linked(more.join(first, ["a", "b"], "left_anti"), shingles, percent), "links")
+    small_batches(spark, 10_000)
+    more = written(_by_tile(known, lambda tile: _tile_pairs(tile, percent, tile["root"].to_numpy(np.int64))), "pairs")
     small_batches(spark)
+    more_links = written(linked(more.join(first, ["a", "b"], "left_anti"), shingles, percent), "links")
 
     roots = components(links.union(more_links))
     numbered = sets.select("digest", "no").join(roots.withColumnRenamed("node", "no"), "no", "left")
@@ -299,9 +308,9 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
     )
 
 
-def _candidate_shingles(docs: DataFrame, doc_id: str, text: str, sets: DataFrame, met: DataFrame) -> DataFrame:
-    """(no, shingles) of the sets that meet others, made again from their texts."""
-    wanted = sets.join(met.select("no").distinct(), "no", "left_semi").select("no", "id", "digest")
+def _candidate_shingles(docs: DataFrame, doc_id: str, text: str, sets: DataFrame, active: DataFrame) -> DataFrame:
+    """(no, shingles) of the active sets, made again from their texts."""
+    wanted = sets.join(active, "no", "left_semi").select("no", "id", "digest")
     # ids are enough to fetch texts; the digest then picks the right one where an id has several
     ids = wanted.select("id").distinct().hint("shuffle_hash")
     source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
