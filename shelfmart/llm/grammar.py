@@ -23,7 +23,7 @@ from shelfmart.llm.tokens import encoder
 from shelfmart.session import shared_dir
 
 END_ID = 1
-BLOCK_IDS = 1 << 19
+BLOCK_IDS = 1 << 18
 SHARD_BYTES = 32 << 20  # of text
 ROUNDS = 6
 SLOT_BITS = 18
@@ -209,7 +209,7 @@ def write(
         if names:
             yield closed()
 
-    small_batches(spark)
+    small_batches(spark, 256)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
     ordered = rows.repartitionByRange(shards, "id", "h").sortWithinPartitions("id", "h")
     ordered.select(F.col("id").cast("string").alias("k"), "t").mapInPandas(blocks, FILE_SCHEMA).write.parquet(path)

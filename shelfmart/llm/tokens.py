@@ -14,7 +14,7 @@ from collections.abc import Iterable
 
 import numpy as np
 
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 WORDS_AT_ONCE = 256
 BLANK = re.compile(r"[ \t\n\r]+")
 NOT_PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xa9\xab-\xb4\xb6-\xb9\xbb-\xff]")
