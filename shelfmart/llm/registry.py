@@ -6,16 +6,20 @@ from shelfmart.llm import oracles
 from shelfmart.llm.decontaminate import op4_decontamination
 from shelfmart.llm.grammar import op5_grammar_token_files
 from shelfmart.llm.jaccard import op8_ngram_jaccard_join
+from shelfmart.llm.neighbours import op7_nearest_neighbours
 from shelfmart.llm.packing import op1_best_fit_packing
 from shelfmart.llm.pii import op3_pii
 from shelfmart.llm.secrets import op9_secret_scans
 from shelfmart.llm.toxicity import op10_toxicity
+from shelfmart.llm.wordpieces import op6_token_counts
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_pii": op3_pii,
     "op4_decontamination": op4_decontamination,
     "op5_grammar_token_files": op5_grammar_token_files,
+    "op6_token_counts": op6_token_counts,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_secret_scans": op9_secret_scans,
     "op10_toxicity": op10_toxicity,
