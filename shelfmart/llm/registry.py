@@ -10,11 +10,13 @@ from shelfmart.llm.neighbours import op7_nearest_neighbours
 from shelfmart.llm.packing import op1_best_fit_packing
 from shelfmart.llm.pii import op3_pii
 from shelfmart.llm.secrets import op9_secret_scans
+from shelfmart.llm.substrings import op2_suffix_dedup
 from shelfmart.llm.toxicity import op10_toxicity
 from shelfmart.llm.wordpieces import op6_token_counts
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_pii": op3_pii,
     "op4_decontamination": op4_decontamination,
     "op5_grammar_token_files": op5_grammar_token_files,
