@@ -250,18 +250,20 @@ def linked(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     return both.where(F.pandas_udf(check, "boolean")("s", "t")).select("a", "b")
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """`docs` without its text, with n_shingles, component_id (the smallest id reachable by links, its own included) and
+def join(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """doc_id, the carried columns, n_shingles, component_id (the smallest id reachable by links, its own included) and
     keep (true for one row of each component: that of the smallest id).
 
     Null, empty and blank texts have no shingles, are linked with nothing and are kept. Repeated rows are one component.
-    Rows without an id take part; their component's id is null where no row of it has one. Columns named like the
-    results are replaced; names that begin with an underscore are reserved. An empty table gives no rows.
+    Rows without an id take part; their component's id is null where no row of it has one. Columns that are
+    not carried are not returned. An empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    plain = docs.drop("n_shingles", "component_id", "keep")
-    rows = written(described(plain.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")), "_t", percent), "sets")
+    plain = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t"), *carry)
+    rows = written(described(plain, "_t", percent), "sets")
     full = rows.where("_n > 0")
     sets = written(
         full.select(
@@ -278,7 +280,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
     first = written(_by_tile(met, lambda tile: _tile_pairs(tile, percent, None)), "pairs")
     small_batches(spark)
     active = first.where("a = b").select(F.col("a").alias("no"))
-    shingles = written(_candidate_shingles(plain, doc_id, text, sets, active), "shingles")
+    shingles = written(_candidate_shingles(plain, sets, active), "shingles")
     links = written(linked(first.where("a < b"), shingles, percent), "links")
     roots = written(components(links), "roots")
     known = met.join(active, "no", "left_semi").join(roots.withColumnRenamed("node", "no"), "no", "left")
@@ -292,7 +294,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
     numbered = sets.select("digest", "no").join(roots.withColumnRenamed("node", "no"), "no", "left")
     of_set = numbered.select(F.col("digest").alias("_digest"), F.coalesce("root", "no").alias("_root"))
     placed = written(
-        rows.select("_id", "_row", "_n", "_digest")
+        rows.select("_id", *carry, "_row", "_n", "_digest")
         .join(of_set, "_digest", "left")
         # rows without shingles are components of their own
         .withColumn("_root", F.when(F.col("_n") > 0, F.col("_root")).otherwise(-1 - F.col("_row")))
@@ -302,18 +304,19 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
     best = placed.groupBy("_root").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("_best"))
     return placed.join(best, "_root").select(
         F.col("_id").alias(doc_id),
+        *carry,
         F.col("_n").alias("n_shingles"),
         F.col("_best._id").alias("component_id"),
         (F.col("_best._row") == F.col("_row")).alias("keep"),
     )
 
 
-def _candidate_shingles(docs: DataFrame, doc_id: str, text: str, sets: DataFrame, active: DataFrame) -> DataFrame:
+def _candidate_shingles(docs: DataFrame, sets: DataFrame, active: DataFrame) -> DataFrame:
     """(no, shingles) of the active sets, made again from their texts."""
     wanted = sets.join(active, "no", "left_semi").select("no", "id", "digest")
     # ids are enough to fetch texts; the digest then picks the right one where an id has several
     ids = wanted.select("id").distinct().hint("shuffle_hash")
-    source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
+    source = docs.select(F.col("_id").alias("id"), F.col("_t").alias("t"))
     named = source.where(F.col("id").isNotNull()).join(ids.where(F.col("id").isNotNull()), "id", "left_semi")
     nameless = source.where(F.col("id").isNull())
 

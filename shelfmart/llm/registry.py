@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from shelfmart.llm import oracles
 from shelfmart.llm.decontaminate import op4_decontamination
 from shelfmart.llm.grammar import op5_grammar_token_files
@@ -25,5 +26,6 @@ QUERIES = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_secret_scans": op9_secret_scans,
     "op10_toxicity": op10_toxicity,
+    "pipeline": corpus_pipeline.run,
 }
-ORACLES = oracles.SQL
+ORACLES = oracles.SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
