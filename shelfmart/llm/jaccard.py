@@ -12,25 +12,26 @@ one possible partner; the links found make components, and only pairs of differe
 from __future__ import annotations
 
 import hashlib
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from shelfmart.llm.common import small_batches, table, written
 from shelfmart.llm.components import components
+from shelfmart.llm.substrings import PrefixHashes
 
 N = 5
 PERCENT = 80
 SKETCH_BITS, SLICE_BITS = 18, 12
 FREQUENT = 16  # times the mean of the sketch's counters
 TILE_ROWS = 2000
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-WORD_CACHE = 500_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
-_words: dict[bytes, int] = {}
+PART = 1 << 19  # bytes of text hashed at once
+BLANK = np.zeros(256, dtype=bool)
+BLANK[[0x20, *range(0x09, 0x0E)]] = True
+ACTIVE_BITS = 1 << 24  # of the bitmap that thins the texts fetched again
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -42,31 +43,69 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_numbers(texts: list[str | None]) -> list[np.ndarray]:
-    """64-bit numbers of each text's words, lower-cased in A to Z."""
-    split = [WORD.findall(t.encode().lower()) if t else [] for t in texts]
-    if len(_words) > WORD_CACHE:
-        _words.clear()
-    for w in set().union(*split).difference(_words):
-        _words[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-    return [np.fromiter(map(_words.__getitem__, ws), dtype=np.uint64, count=len(ws)) for ws in split]
-
-
-def shingle_set(words: np.ndarray, n: int = N) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's `n`-word shingles; the whole sequence where it is shorter."""
+def _parts(data: bytes) -> Iterator[bytes]:
+    """A text in parts of about PART bytes, cut where a word ends."""
+    at = 0
+    while at < len(data):
+        end = at + PART
+        while end < len(data) and not BLANK[data[end]]:
+            end += 1
+        yield data[at:end]
+        at = end
+
+
+def word_numbers(texts: Iterable[str | None]) -> list[np.ndarray]:
+    """64-bit numbers of each text's words, lower-cased in A to Z, from prefix polynomial hashes of the bytes."""
+    out: list[list[np.ndarray]] = []
+    waiting: list[tuple[int, bytes]] = []
+    size = 0
+
+    def hash_waiting() -> None:
+        data = np.frombuffer(b" ".join(part for _, part in waiting) + b" ", dtype=np.uint8)
+        lengths = np.array([len(part) + 1 for _, part in waiting])
+        blank = BLANK[data]
+        ends = np.flatnonzero(blank & ~np.r_[True, blank[:-1]])
+        starts = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
+        numbers = _mixed(PrefixHashes(data).of(starts, ends - starts) + (ends - starts).astype(np.uint64))
+        cuts = np.searchsorted(starts, np.cumsum(lengths)[:-1])
+        for (text, _), mine in zip(waiting, np.split(numbers, cuts), strict=True):
+            out[text].append(mine)
+        waiting.clear()
+
+    for k, text in enumerate(texts):
+        out.append([])
+        for part in _parts(text.encode().lower() if text else b""):
+            waiting.append((k, part))
+            size += len(part)
+            if size >= PART:
+                hash_waiting()
+                size = 0
+    if waiting:
+        hash_waiting()
+    none = np.empty(0, dtype=np.uint64)
+    return [parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else none for parts in out]
+
+
+def shingle_hashes(words: np.ndarray, n: int = N) -> np.ndarray:
+    """64-bit hashes of a text's `n`-word shingles in order; of the whole sequence where it is shorter."""
     if not len(words):
         return words
     width = min(n, len(words))
     count = len(words) - width + 1
     acc = np.full(count, width, dtype=np.uint64)
     for k in range(width):
-        acc = _mixed(acc + words[k : k + count])
-    return np.unique(acc)
+        acc = acc * MIX + words[k : k + count]
+    return _mixed(acc)
+
+
+def shingle_set(words: np.ndarray, n: int = N) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles."""
+    return np.unique(shingle_hashes(words, n))
 
 
 def bitmap_bits(size: int) -> int:
-    """Width of a set's bitmap: two to four bits a shingle, a power of two."""
-    return max(64, 1 << (2 * size - 1).bit_length())
+    """Width of a set's bitmap: one to two bits a shingle, a power of two."""
+    return max(64, 1 << (size - 1).bit_length())
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
@@ -92,18 +131,17 @@ def may_link(a: int, b: int, n_a: int, n_b: int, percent: int) -> bool:
 
 
 def sketch(docs: DataFrame, text: str) -> np.ndarray:
-    """How many (document, shingle) pairs fall on each of 2^18 counters."""
+    """How many shingles of all documents fall on each of 2^18 counters."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for batch in batches:
-            sets = [shingle_set(w) for w in word_numbers(batch["t"])]
-            if sets:
-                total += np.bincount(_counter(np.concatenate(sets)), minlength=len(total))
+            for words in word_numbers(batch["t"]):
+                np.add.at(total, _counter(shingle_hashes(words)), 1)
         parts = total.reshape(-1, 1 << SLICE_BITS)
         yield pd.DataFrame({"slice": range(len(parts)), "counts": [p.tobytes() for p in parts]})
 
-    def add(key, parts: pd.DataFrame) -> pd.DataFrame:
+    def add(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(c, dtype=np.int64) for c in parts["counts"])
         return pd.DataFrame({"slice": [key[0]], "counts": [total.tobytes()]})
 
@@ -120,50 +158,77 @@ def _counter(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def described(docs: DataFrame, text: str, percent: int) -> DataFrame:
-    """`docs` without its text, with each row's set: digest, n, prefix (the shingles it is met by) and bitmap."""
-    counts = sketch(docs, text)
-    frequent = np.where(counts > FREQUENT * max(1.0, counts.mean()), np.log2(np.maximum(counts, 1)), 0).astype(np.uint8)
-    order = docs.sparkSession.sparkContext.broadcast(frequent)
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+def numbered(docs: DataFrame, text: str) -> DataFrame:
+    """`docs` without its text, with each row's number, the size of its set and the set's digest."""
 
     def describe(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            out = []
-            for words in word_numbers(texts):
-                s = shingle_set(words)
-                # any order that is the same for all sets will do
-                first = s[np.lexsort((s, order.value[_counter(s)]))][: len(s) - -(-percent * len(s) // 100) + 1]
-                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                out.append((digest, len(s), first.view(np.int64) if len(s) else [], bitmap(s) if len(s) else b""))
-            yield pd.DataFrame(out, columns=["_digest", "_n", "_prefix", "_bits"])
+            sets = [shingle_set(w) for w in word_numbers(texts)]
+            yield pd.DataFrame({"_n": [len(s) for s in sets], "_digest": [_digest(s) for s in sets]})
 
-    kind = "struct<_digest:binary,_n:long,_prefix:array<long>,_bits:binary>"
     kept = [c for c in docs.columns if c != text]
-    return docs.select(*kept, F.pandas_udf(describe, kind)(F.col(text)).alias("_set")).select(
+    found = F.pandas_udf(describe, "struct<_n:long,_digest:binary>")
+    return docs.select(*kept, found(F.col(text)).alias("_set")).select(
         *kept, F.monotonically_increasing_id().alias("_row"), "_set.*"
     )
 
 
+def distinct_sets(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
+    """(no, digest, id of a document, n, rare, frequent, bits): each set once, empty ones left out. `rare` and
+    `frequent` are the shingles it is met by."""
+    counts = sketch(docs, text)
+    frequent = np.where(counts > FREQUENT * max(1.0, counts.mean()), np.log2(np.maximum(counts, 1)), 0).astype(np.uint8)
+    order = docs.sparkSession.sparkContext.broadcast(frequent)
+
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, words in zip(batch["k"], word_numbers(batch["t"]), strict=True):
+                s = shingle_set(words)
+                if len(s):
+                    # any order that is the same for all sets will do
+                    rank = order.value[_counter(s)]
+                    first = np.lexsort((s, rank))[: len(s) - -(-percent * len(s) // 100) + 1]
+                    met, often = s[first].view(np.int64), rank[first] > 0
+                    out.append((_digest(s), key, len(s), met[~often], met[often], bitmap(s)))
+            yield pd.DataFrame(out, columns=["digest", "id", "n", "rare", "frequent", "bits"])
+
+    kind = dict(docs.dtypes)[doc_id]
+    schema = "digest binary, id string, n long, rare array<long>, frequent array<long>, bits binary"
+    rows = docs.select(F.col(doc_id).cast("string").alias("k"), F.col(text).alias("t")).mapInPandas(describe, schema)
+    once = rows.dropDuplicates(["digest"]).withColumn("no", F.monotonically_increasing_id())
+    return once.withColumn("id", F.col("id").cast(kind))
+
+
 def tiles(sets: DataFrame, percent: int) -> DataFrame:
-    """Rows (h, band, i, j, own, x, y, no, n, bits): the sets that share shingle `h`, in tiles of sizes near each other.
+    """Rows (h, band, i, j, own, x, y, no): the sets that share shingle `h`, in tiles of sizes near each other.
 
     A tile of band b holds the sets of b (own) and of b + 1. Groups above TILE_ROWS are cut into blocks of that size;
-    tile (i, j) holds two blocks, x and y saying which of them a row is of.
+    tile (i, j) holds two blocks, x and y saying which of them a row is of. Groups of rare shingles are small and are
+    counted where they meet; those of frequent ones are counted before, so that no task holds a whole one.
     """
-    postings = sets.select(F.explode("prefix").alias("h"), "no", "n")
-    groups = postings.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1")
     own_band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(percent / 100)) + 1e-9).cast("int")
+    postings = lambda c: sets.select(F.explode(c).alias("h"), own_band.alias("_band"), "no")
+    rare = postings("rare").withColumn("rows", F.count("*").over(Window.partitionBy("h"))).where("rows > 1")
+    often = postings("frequent")
+    groups = often.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1")
     blocks = F.ceil(F.col("rows") / TILE_ROWS).cast("int")
-    banded = (
-        postings.join(groups, "h")
-        .withColumn("_band", own_band)
-        .withColumn("band", F.explode(F.array(F.col("_band"), F.col("_band") - 1)))
-        .withColumn("own", F.col("band") == F.col("_band"))
-    )
-    of_band = banded.groupBy("h", "band").agg(F.count("*").alias("_here"), F.max("own").alias("_any"))
-    crowded = of_band.where("_here > 1 and _any").select("h", "band")
+
+    def banded(rows: DataFrame) -> DataFrame:
+        twice = rows.withColumn("band", F.explode(F.array(F.col("_band"), F.col("_band") - 1)))
+        return twice.withColumn("own", F.col("band") == F.col("_band"))
+
+    here = Window.partitionBy("h", "band")
+    crowded = (F.col("_here") > 1) & F.col("_any")
+    rare = banded(rare).withColumn("_here", F.count("*").over(here)).withColumn("_any", F.max("own").over(here))
     return (
-        banded.join(crowded, ["h", "band"])
+        rare.where(crowded)
+        .drop("_here", "_any")
+        .unionByName(banded(often.join(groups, "h")))
         .withColumn("_block", F.pmod(F.xxhash64("no"), blocks).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select(
@@ -176,7 +241,6 @@ def tiles(sets: DataFrame, percent: int) -> DataFrame:
             (F.col("_block") >= F.col("_other")).alias("y"),
             "no",
         )
-        .join(sets.select("no", "n", "bits"), "no")
     )
 
 
@@ -263,36 +327,28 @@ def join(
     spark = docs.sparkSession
     small_batches(spark)
     plain = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t"), *carry)
-    rows = written(described(plain, "_t", percent), "sets")
-    full = rows.where("_n > 0")
-    sets = written(
-        full.select(
-            F.col("_digest").alias("digest"), F.col("_id").alias("id"), F.col("_n").alias("n"),
-            F.col("_prefix").alias("prefix"), F.col("_bits").alias("bits"),
-        )
-        .dropDuplicates(["digest"])
-        .withColumn("no", F.monotonically_increasing_id()),
-        "distinct-sets",
-    )
+    rows = written(numbered(plain, "_t"), "sets")
+    sets = written(distinct_sets(plain, "_id", "_t", percent), "distinct-sets")
     met = written(tiles(sets, percent), "tiles")
+    maps = sets.select("no", "n", "bits")
 
     small_batches(spark, 10_000)  # rows are short here
-    first = written(_by_tile(met, lambda tile: _tile_pairs(tile, percent, None)), "pairs")
+    first = written(_by_tile(met.join(maps, "no"), lambda tile: _tile_pairs(tile, percent, None)), "pairs")
     small_batches(spark)
     active = first.where("a = b").select(F.col("a").alias("no"))
     shingles = written(_candidate_shingles(plain, sets, active), "shingles")
     links = written(linked(first.where("a < b"), shingles, percent), "links")
     roots = written(components(links), "roots")
     known = met.join(active, "no", "left_semi").join(roots.withColumnRenamed("node", "no"), "no", "left")
-    known = known.withColumn("root", F.coalesce("root", "no"))
+    known = known.withColumn("root", F.coalesce("root", "no")).join(maps, "no")
     small_batches(spark, 10_000)
     more = written(_by_tile(known, lambda tile: _tile_pairs(tile, percent, tile["root"].to_numpy(np.int64))), "pairs")
     small_batches(spark)
     more_links = written(linked(more.join(first, ["a", "b"], "left_anti"), shingles, percent), "links")
 
     roots = components(links.union(more_links))
-    numbered = sets.select("digest", "no").join(roots.withColumnRenamed("node", "no"), "no", "left")
-    of_set = numbered.select(F.col("digest").alias("_digest"), F.coalesce("root", "no").alias("_root"))
+    rooted = sets.select("digest", "no").join(roots.withColumnRenamed("node", "no"), "no", "left")
+    of_set = rooted.select(F.col("digest").alias("_digest"), F.coalesce("root", "no").alias("_root"))
     placed = written(
         rows.select("_id", *carry, "_row", "_n", "_digest")
         .join(of_set, "_digest", "left")
@@ -311,20 +367,48 @@ def join(
     )
 
 
+def _likely(ids: DataFrame) -> Callable[[Column], Column]:
+    """A test of hashed ids that every id of `ids` passes: a bitmap of fixed size, so that most texts that are not
+    wanted need not be shuffled to be dropped."""
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(ACTIVE_BITS, dtype=bool)
+        for batch in batches:
+            bits[batch["h"].to_numpy(np.int64) % ACTIVE_BITS] = True  # of a null id too; it is never asked for
+        parts = np.packbits(bits).reshape(64, -1)
+        yield pd.DataFrame({"slice": range(64), "bits": [p.tobytes() for p in parts]})
+
+    def unite(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        bits = np.bitwise_or.reduce([np.frombuffer(b, dtype=np.uint8) for b in parts["bits"]])
+        return pd.DataFrame({"slice": [key[0]], "bits": [bits.tobytes()]})
+
+    marked = ids.select(F.xxhash64("id").alias("h")).coalesce(8).mapInPandas(mark, "slice int, bits binary")
+    rows = sorted(marked.groupBy("slice").applyInPandas(unite, "slice int, bits binary").collect())
+    packed = np.frombuffer(b"".join(bytes(r["bits"]) for r in rows), dtype=np.uint8)
+    shared = ids.sparkSession.sparkContext.broadcast(packed if len(packed) else np.zeros(ACTIVE_BITS // 8, np.uint8))
+
+    def test(hashes: pd.Series) -> pd.Series:
+        place = hashes.to_numpy(np.int64) % ACTIVE_BITS
+        return pd.Series((shared.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1)
+
+    return F.pandas_udf(test, "boolean")
+
+
 def _candidate_shingles(docs: DataFrame, sets: DataFrame, active: DataFrame) -> DataFrame:
     """(no, shingles) of the active sets, made again from their texts."""
     wanted = sets.join(active, "no", "left_semi").select("no", "id", "digest")
     # ids are enough to fetch texts; the digest then picks the right one where an id has several
     ids = wanted.select("id").distinct().hint("shuffle_hash")
     source = docs.select(F.col("_id").alias("id"), F.col("_t").alias("t"))
-    named = source.where(F.col("id").isNotNull()).join(ids.where(F.col("id").isNotNull()), "id", "left_semi")
+    likely = _likely(wanted.select("id"))
+    named = source.where(F.col("id").isNotNull()).where(likely(F.xxhash64("id")))
+    named = named.join(ids.where(F.col("id").isNotNull()), "id", "left_semi")
     nameless = source.where(F.col("id").isNull())
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = [shingle_set(w) for w in word_numbers(batch["t"])]
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in made]
-            yield pd.DataFrame({"digest": digests, "shingles": [s.tobytes() for s in made]})
+            yield pd.DataFrame({"digest": [_digest(s) for s in made], "shingles": [s.tobytes() for s in made]})
 
     texts = named.select("t").unionByName(nameless.select("t"))
     made = texts.mapInPandas(make, "digest binary, shingles binary")
