@@ -23,12 +23,12 @@ from shelfmart.llm.tokens import encoder
 from shelfmart.session import shared_dir
 
 END_ID = 1
-BLOCK_IDS = 1 << 18
+BLOCK_IDS = 3 << 17
 SHARD_BYTES = 32 << 20  # of text
-ROUNDS = 6
+ROUNDS = 5
 SLOT_BITS = 18
 PAIRS_A_ROUND = 2048
-LEAST_PAIRS = 32  # how often a pair must occur to become a rule
+LEAST_PAIRS = 64  # how often a pair must occur to become a rule
 FILE_SCHEMA = (
     "shard int, block long, first_id long, n_ids long, doc_ids array<string>, doc_lengths array<long>, "
     "first_rule long, rules binary, rule_lengths binary, symbols binary"

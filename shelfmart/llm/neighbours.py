@@ -239,7 +239,7 @@ def search(
 
     tile = ["list", "uid_block", "id_block"]
 
-    def meet(key, queries: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
+    def meet(key: tuple, queries: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(mine):
             uids, x = mine["uid"].to_numpy(np.int64), _matrix(mine["x"])
@@ -257,7 +257,7 @@ def search(
     found = left.cogroup(right).applyInPandas(meet, "query_id long, uids binary, scores binary")
     parts = max(1, -(-asked.count() // 500))
 
-    def merge(key, lists: pd.DataFrame) -> pd.DataFrame:
+    def merge(key: tuple, lists: pd.DataFrame) -> pd.DataFrame:
         out = []
         for query, mine in lists.groupby("query_id"):
             uids = np.concatenate([np.frombuffer(u, dtype=np.int64) for u in mine["uids"]])

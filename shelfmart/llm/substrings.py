@@ -375,15 +375,15 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
     by_block = rows.groupBy("block")
 
-    def ask(key, mine: pd.DataFrame) -> pd.DataFrame:
+    def ask(key: tuple, mine: pd.DataFrame) -> pd.DataFrame:
         out = [(b, int(key[0]), blob) for b, blob in Block(mine, buckets).questions()]
         return pd.DataFrame(out, columns=["bucket", "block", "hashes"])
 
-    def answer(key, mine: pd.DataFrame) -> pd.DataFrame:
+    def answer(key: tuple, mine: pd.DataFrame) -> pd.DataFrame:
         codes = answer_anchors([np.frombuffer(h, dtype=U64) for h in mine["hashes"]])
         return mine.assign(kind=0, answer=[c.tobytes() for c in codes]).drop(columns="hashes")
 
-    def send(key, mine: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    def send(key: tuple, mine: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(mine):
             block = Block(mine, buckets)
@@ -391,7 +391,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             out = [(b, int(key[0]), *parts) for b, *parts in block.messages()]
         return pd.DataFrame(out, columns=["bucket", "block", "least", "sizes", "stretches"])
 
-    def compare(key, mine: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, mine: pd.DataFrame) -> pd.DataFrame:
         messages = []
         for least, sizes, body in zip(mine["least"], mine["sizes"], mine["stretches"], strict=True):
             ends = np.cumsum(np.frombuffer(sizes, dtype=np.uint8), dtype=np.int64).tolist()
@@ -399,7 +399,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         found = [a.tobytes() for a in answer_stretches(messages)]
         return mine[["block", "bucket"]].assign(kind=1, answer=found)
 
-    def finish(key, mine: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    def finish(key: tuple, mine: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(mine):
             return pd.DataFrame(columns=["k", "named", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
         block = Block(mine, buckets)

@@ -14,7 +14,7 @@ from collections.abc import Iterable
 
 import numpy as np
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 500_000
 WORDS_AT_ONCE = 256
 BLANK = re.compile(r"[ \t\n\r]+")
 NOT_PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xa9\xab-\xb4\xb6-\xb9\xbb-\xff]")
@@ -57,8 +57,6 @@ class Encoder:
         return out
 
     def _learn(self, cache: dict[str, bytes], new: Iterable[str], plain: bool) -> None:
-        if len(cache) > CACHE_ENTRIES:
-            cache.clear()
         alone, letters, built = [], set(), []
         for chunk in new:
             m = WORD.fullmatch(chunk) if plain else None
@@ -84,8 +82,10 @@ class Encoder:
                 split.append((self.lowered, text.lower().split()))
         for cache, plain in ((self.raw, False), (self.lowered, True)):
             chunks = set().union(*[c for which, c in split if which is cache])
-            if len(cache) + len(chunks) > CACHE_ENTRIES:
+            if len(cache) + len(chunks) > CACHE_ENTRIES:  # only what this batch has in common with the past is kept
+                kept = {c: cache[c] for c in chunks if c in cache}
                 cache.clear()
+                cache.update(kept)
             new = chunks.difference(cache)
             if new:
                 self._learn(cache, new, plain)
