@@ -22,11 +22,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from shelfmart.llm.common import small_batches, table, text_bytes
 
 LENGTH, GRAM = 50, 20
-BLOCK_BYTES = 4 << 20
-BLOCKS_A_BUCKET = 4  # about so many blocks' anchors meet in a bucket
+BLOCK_BYTES = 3 << 20
+BLOCKS_A_BUCKET = 2  # about so many blocks' anchors meet in a bucket
 HOT_BLOCKS = 2_000  # an anchor in more blocks sends its windows one by one, to buckets of their own hash
-PIECE = 1 << 19  # window starts hashed at once
-PLACE_BITS = 20
+PIECE = 1 << 18  # window starts hashed at once
+PLACE_BITS = 19
+WINDOWS_AT_ONCE = 200_000  # sorted together, where one anchor has no more
 BASE = 0x9E3779B97F4A7C15  # odd, of the polynomial hash modulo 2^64
 UNIQUE, REPEATED, HOT = 0, 1, 2
 U64 = np.uint64
@@ -88,7 +89,7 @@ class Anchors:
 
 
 def _anchors_of(parts: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
-    """Of some pieces (document, place in it, bytes), together no longer than 2^20 bytes."""
+    """Of some pieces (document, place in it, bytes), together no longer than 2^PLACE_BITS bytes."""
     data = np.frombuffer(b"".join(p[2] for p in parts), dtype=np.uint8)
     lengths = np.array([len(p[2]) for p in parts])
     begins = np.cumsum(lengths) - lengths
@@ -293,8 +294,23 @@ def least_of_windows(keys: list[bytes], least: np.ndarray, length: int = LENGTH)
     groups: dict[bytes, int] = {}
     group = np.array([groups.setdefault(k[1 + k[0] : 1 + k[0] + GRAM], len(groups)) for k in keys])
     crowded = np.flatnonzero(np.bincount(group, minlength=len(groups))[group] > 1)
-    if not len(crowded):
-        return first, out
+    crowded = crowded[np.argsort(group[crowded], kind="stable")]
+    new = np.flatnonzero(np.r_[True, group[crowded][1:] != group[crowded][:-1]]) if len(crowded) else crowded
+    part = np.cumsum(counts[crowded])[new - 1] // WINDOWS_AT_ONCE if len(crowded) else crowded
+    if len(part):
+        part[0] = 0
+    cuts = [*new[np.flatnonzero(np.r_[True, part[1:] != part[:-1]])].tolist(), len(crowded)] if len(part) else []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        _settle(keys, crowded[a:b], group, sizes, first, out, length)
+    return first, out
+
+
+def _settle(
+    keys: list[bytes], crowded: np.ndarray, group: np.ndarray, sizes: np.ndarray, first: np.ndarray, out: np.ndarray,
+    length: int,
+) -> None:
+    """Lower `out` for the windows of the stretches `crowded`, whole groups of equal anchors lying together."""
+    counts = sizes - length + 1
     text = np.frombuffer(b"".join(keys[k][1:] for k in crowded), dtype=np.uint8)
     base = np.cumsum(sizes[crowded]) - sizes[crowded]
     owner = np.repeat(np.arange(len(crowded)), counts[crowded])
@@ -308,7 +324,7 @@ def least_of_windows(keys: list[bytes], least: np.ndarray, length: int = LENGTH)
     alone = new & np.r_[new[1:], True]
     by, segment = by[~alone], segment[~alone]
     if not len(by):
-        return first, out
+        return
     starts = (base[owner] + nth)[by]
     h = PrefixHashes(text)
     order = suffix_order(text, h, starts, segment, length)
@@ -326,10 +342,9 @@ def least_of_windows(keys: list[bytes], least: np.ndarray, length: int = LENGTH)
             best[key] = min(best.get(key, int(out[w])), int(out[w]))
         for s, w in zip(starts, window, strict=True):
             out[w] = best[views[s].tobytes()]
-        return first, out
+        return
     head = np.flatnonzero(~same)
     out[window] = np.repeat(np.minimum.reduceat(out[window], head), np.diff(np.r_[head, len(window)]))
-    return first, out
 
 
 def answer_stretches(messages: list[tuple[np.ndarray, list[bytes]]]) -> list[np.ndarray]:
