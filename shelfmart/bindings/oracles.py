@@ -22,8 +22,11 @@ def _values(rows) -> str:
     return ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in rows)
 
 
-def _pick(source: str, key: str, frozen: list[str], updated: list[str], first: str, last: str) -> str:
-    """Keyed upsert of a table of versions: frozen columns of the first one, the others of the last one."""
+def _pick(source: str, key: str, frozen: list[str], updated: list[str], order: list[str]) -> str:
+    """Keyed upsert of a table of versions: frozen columns of the first one, the others of the last one, both by batch
+    and then by `order`."""
+    first = ", ".join(f"{c} NULLS FIRST" for c in ["batch", *order])
+    last = ", ".join(f"{c} DESC NULLS LAST" for c in ["batch", *order])
     return f"""
       SELECT f.{key}, {", ".join("f." + c for c in frozen)}, u.* EXCLUDE ({key}, rn)
       FROM (SELECT {key}, {", ".join(frozen)}, row_number() OVER (PARTITION BY {key} ORDER BY {first}) AS rn
@@ -55,6 +58,9 @@ def _mkt_line(source: str) -> str:
       FROM {source} LEFT JOIN part ON p_partkey = l_partkey"""
 
 
+# All columns of a line but its key, as staged: the order of versions that carry no version.
+WEB_LINE_ORDER = ["order_id", "product_id", "name", "model", "quantity", "price", "total", "tax"]
+MKT_LINE_ORDER = ["marketplace_order_id", "item_id", "item_name", "quantity", "price", "cost", "cost_with_discount"]
 WEB_LINE_FROZEN = ["order_id", "product_id", "name", "model", "tax"]
 WEB_LINE_UPDATED = ["quantity", "price", "total"]
 MKT_LINE_FROZEN = ["marketplace_order_id", "item_id", "item_name", "price", "cost"]
@@ -62,14 +68,21 @@ MKT_LINE_UPDATED = ["quantity", "cost_with_discount"]
 
 
 def _line_pick(source: str, key: str, frozen: list[str], updated: list[str], extra: list[str] | None = None) -> str:
-    return _pick(
-        source,
-        key,
-        frozen,
-        updated + (extra or []),
-        "batch, " + ", ".join(frozen),
-        "batch DESC, " + ", ".join(f"{c} DESC" for c in updated),
-    )
+    order = WEB_LINE_ORDER if key == "order_product_id" else MKT_LINE_ORDER
+    return _pick(source, key, frozen, updated + (extra or []), order)
+
+
+# Customers as a category tree of any depth: a binary heap of ids with some broken and some circular links.
+DEEP_TREE = """WITH RECURSIVE deep AS (
+      SELECT c_custkey + 1 AS category_id, c_name AS name,
+             CASE WHEN c_custkey = 0 THEN 0 WHEN c_custkey % 97 = 5 THEN c_custkey + 100000000
+                  WHEN c_custkey % 89 = 7 THEN c_custkey + 1 ELSE (c_custkey + 1) // 2 END AS parent_id
+      FROM customer),
+    tree AS (
+      SELECT category_id, name, CAST(NULL AS BIGINT) AS parent_id, CAST(NULL AS VARCHAR) AS parent_name
+      FROM deep WHERE parent_id = 0
+      UNION ALL
+      SELECT d.category_id, d.name, d.parent_id, t.name FROM deep d JOIN tree t ON d.parent_id = t.category_id)"""
 
 
 def _calendar(first: str, last: str) -> str:
@@ -237,7 +250,7 @@ BLOCKS = {
     "alert_events": f"""
       SELECT event_id, CAST(1 + event_id % 2 AS INTEGER) AS rule_id, {WEB} + event_id % 200 AS product_id,
              ts AS triggered_at, TRUE AS email_sent
-      FROM events WHERE event_type = 'purchase'""",
+      FROM events""",
     "stock_pairs": """
       SELECT r.rule_id, p.product_id, title, author, quantity_in_stock, threshold, cooldown_hours, notify_email
       FROM dim_product p JOIN rules r ON r.rule_type = 'low_stock' AND r.is_active AND quantity_in_stock <= threshold
@@ -499,7 +512,14 @@ ORACLES = {
       UNION ALL SELECT 'products', count(*), NULL FROM part
       UNION ALL SELECT 'customers', count(*), NULL FROM customer
       UNION ALL SELECT 'categories', count(*), NULL FROM (SELECT n_name FROM nation UNION ALL SELECT r_name FROM region)
-      UNION ALL SELECT 'manufacturers', count(*), NULL FROM supplier""",
+      UNION ALL SELECT 'manufacturers', count(*), NULL FROM supplier
+      UNION ALL SELECT 'product_descriptions', 2 * count(*), NULL FROM part
+      UNION ALL SELECT 'product_to_category', count(*) + count(*) FILTER (p_partkey % 17 <> 0), NULL FROM part
+      UNION ALL SELECT 'category_descriptions', 2 * count(*), NULL
+                FROM (SELECT n_name FROM nation UNION ALL SELECT r_name FROM region)
+      UNION ALL SELECT 'manufacturer_descriptions', count(*), NULL FROM supplier
+      UNION ALL SELECT 'customer_group_descriptions', count(DISTINCT length(c_mktsegment)), NULL FROM customer
+      UNION ALL SELECT 'stock_statuses', NULL, NULL""",
         times="newest",
     ),
     # Coercion
@@ -517,7 +537,11 @@ ORACLES = {
         """
       SELECT order_id, '{"order_id":' || order_id || ',"customer_id":' || customer_id || ',"total":' || total
              || ',"order_status_id":' || order_status_id || ',"currency_code":"' || currency_code || '"}' AS payload
-      FROM web_orders"""
+      FROM web_orders
+      UNION ALL
+      SELECT marketplace_order_id, '{"marketplace_order_id":' || marketplace_order_id || ',"cost_with_discount":'
+             || cost_with_discount || ',"status":' || status || ',"delivery_city":"' || delivery_city || '"}'
+      FROM mkt_orders"""
     ),
     "date_key_roundtrip": _present(
         "SELECT CAST(strftime(o_orderdate, '%Y%m%d') AS INTEGER) AS date_id, CAST(o_orderdate AS DATE) AS day, "
@@ -525,11 +549,13 @@ ORACLES = {
         dates="day",
     ),
     "currency_convert": _present(
-        "SELECT order_id, total, currency_value, CAST(CAST(total AS DECIMAL(23,4)) * currency_value AS DECIMAL(15,4)) AS total_uah FROM web_orders",
+        "SELECT order_id, total, currency_value, CAST(CAST(total AS DECIMAL(23,4)) * currency_value AS DECIMAL(15,4)) AS total_uah FROM web_orders "
+        "UNION ALL SELECT marketplace_order_id, cost_with_discount, 1, cost_with_discount FROM mkt_orders",
         "total currency_value total_uah",
     ),
     "report_sanitise": _present(
-        "SELECT order_id, total, date_added, CAST(date_modified AS DATE) AS day, payment_method FROM web_orders",
+        "SELECT order_id, total, date_added, CAST(date_modified AS DATE) AS day, payment_method FROM web_orders "
+        "UNION ALL SELECT marketplace_order_id, cost_with_discount, created, CAST(changed AS DATE), NULL FROM mkt_orders",
         "total",
         "date_added",
         "day",
@@ -541,8 +567,7 @@ ORACLES = {
             "order_id",
             ["customer_id", "shipping_city", "payment_method", "currency_code", "currency_value", "date_added"],
             ["total", "order_status_id", "date_modified", "ingested_at"],
-            "batch, date_modified",
-            "batch DESC, date_modified DESC",
+            ["date_modified", "total"],
         ),
         "total currency_value",
         "date_added date_modified ingested_at",
@@ -564,8 +589,7 @@ ORACLES = {
             "product_id",
             ["author", "main_category_id"],
             ["quantity", "price", "status", "date_modified", "name", "ingested_at"],
-            "batch",
-            "batch DESC",
+            ["date_modified"],
         ),
         "price",
         "date_modified ingested_at",
@@ -576,8 +600,7 @@ ORACLES = {
             "category_id",
             ["sort_order"],
             ["parent_id", "status", "name", "ingested_at"],
-            "batch",
-            "batch DESC",
+            ["parent_id"],
         ),
         times="ingested_at",
     ),
@@ -601,8 +624,7 @@ ORACLES = {
             "marketplace_order_id",
             ["market_id", "created", "amount", "amount_with_discount", "delivery_city", "delivery_service"],
             ["changed", "status", "status_group", "cost_with_discount", "ingested_at"],
-            "batch, changed",
-            "batch DESC, changed DESC",
+            ["changed"],
         ),
         "amount amount_with_discount cost_with_discount",
         "created changed ingested_at",
@@ -636,6 +658,12 @@ ORACLES = {
     # Dimensions and facts
     "dim_publisher": _present("SELECT * FROM dim_publisher"),
     "dim_category": _present("SELECT * FROM dim_category"),
+    "dim_category_deep": _present(f"{DEEP_TREE} SELECT category_id AS source_category_id, name, parent_name, "
+                                  "parent_id IS NULL AS is_age_group FROM tree"),
+    "category_quarantine": _present(
+        f"{DEEP_TREE} SELECT category_id, parent_id, 'no_root' AS violation FROM deep "
+        "WHERE category_id NOT IN (SELECT category_id FROM tree)"
+    ),
     "dim_product": _present(
         "SELECT * FROM dim_product", "price", "date_added last_updated", "date_available"
     ),
@@ -763,23 +791,46 @@ ORACLES = {
     "alert_notifications": _present(
         f"""
       SELECT rule_id, coalesce(max(notify_email), 'alerts@example.org') AS recipient,
-             '⚠️ Low Stock Alert: ' || count(*) || ' book(s) at risk' AS subject,
+             'Stock running out: ' || count(*) || ' titles' AS subject,
              '{{"books":' || count(*) || '}}' AS fields, {COOLDOWN_AT} AS created_at
       FROM stock_alerts GROUP BY rule_id
       UNION ALL
       SELECT rule_id, coalesce(notify_email, 'alerts@example.org'),
-             '📈 Revenue Alert: ' || CAST(pct_change AS DECIMAL(18,1)) || '% ' || direction || ' vs. last month',
+             'Month revenue moved: ' || direction || ' of ' || CAST(pct_change AS DECIMAL(18,1)) || ' percent',
              '{{"current_rev":' || CAST(current_rev AS DECIMAL(18,0)) || ',"prior_rev":'
                || CAST(prior_rev AS DECIMAL(18,0)) || ',"pct_change":' || CAST(pct_change AS DECIMAL(18,1))
                || ',"direction":"' || direction || '"}}', {COOLDOWN_AT}
       FROM swings
       UNION ALL
       SELECT rule_id, coalesce(notify_email, 'alerts@example.org'),
-             '🔔 No Orders Alert: no orders in the last ' || hours || ' hours', '{{"hours":' || hours || '}}',
+             'Nothing ordered for ' || hours || ' hours', '{{"hours":' || hours || '}}',
              {COOLDOWN_AT}
       FROM silent""",
         times="created_at",
     ),
+    "alert_run_twice": _present(
+        f"""
+      SELECT rule_id, {COOLDOWN_AT} AS triggered_at, count(*) AS events, count(*) AS ids FROM stock_alerts GROUP BY rule_id
+      UNION ALL
+      SELECT rule_id, unnest([{COOLDOWN_AT}, {COOLDOWN_AT} + INTERVAL 1 HOUR]), 1, 1 FROM swings
+      UNION ALL
+      SELECT s.rule_id, {COOLDOWN_AT} + INTERVAL 1 HOUR, count(*), count(*)
+      FROM stock_pairs s
+      JOIN (SELECT rule_id, product_id, max(triggered_at) AS last FROM alert_events GROUP BY ALL) e
+        USING (rule_id, product_id)
+      WHERE last + to_hours(cooldown_hours) > {COOLDOWN_AT}
+        AND last + to_hours(cooldown_hours) <= {COOLDOWN_AT} + INTERVAL 1 HOUR
+      GROUP BY s.rule_id""",
+        times="triggered_at",
+    ),
+    "alert_books": _present(
+        f"""
+      SELECT s.rule_id, rule_name, s.product_id, title, author, quantity_in_stock, CAST(s.threshold AS DECIMAL(12,2)) AS threshold,
+             {COOLDOWN_AT} AS created_at
+      FROM stock_alerts s JOIN rules r ON r.rule_id = s.rule_id""",
+        "threshold",
+        "created_at",
+    ),
     # History
     "sync_history": _present(
         "SELECT * FROM sync_log ORDER BY started_at DESC, sync_id DESC LIMIT 20", times="started_at completed_at"

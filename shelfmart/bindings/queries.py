@@ -99,9 +99,10 @@ def seed_order_status(spark, sf_dir):
 
 
 def source_profile(spark, sf_dir):
+    """Rows of every table of the shop; the sample has no stock statuses."""
     read = T.shop_reader(spark, sf_dir)
-    counted = ("orders", "order_products", "products", "customers", "categories", "manufacturers")
-    return profile.profile({name: read(name) for name in counted}, {"orders": "date_added"})
+    present = [name for name in profile.EXPECTED_TABLES if name not in T.ABSENT]
+    return profile.profile({name: read(name) for name in present}, {"orders": "date_added"})
 
 
 # Coercion
@@ -130,9 +131,14 @@ def _money_report(lines):
 
 
 def raw_json_payload(spark, sf_dir):
-    return T.website_orders(spark, sf_dir).select(
+    website = T.website_orders(spark, sf_dir).select(
         "order_id", json_payload("order_id", "customer_id", "total", "order_status_id", "currency_code").alias("payload")
     )
+    other = T.marketplace_orders(spark, sf_dir).select(
+        F.col("marketplace_order_id").alias("order_id"),
+        json_payload("marketplace_order_id", "cost_with_discount", "status", "delivery_city").alias("payload"),
+    )
+    return website.unionByName(other)
 
 
 def date_key_roundtrip(spark, sf_dir):
@@ -142,17 +148,28 @@ def date_key_roundtrip(spark, sf_dir):
 
 
 def currency_convert(spark, sf_dir):
-    return T.website_orders(spark, sf_dir).select(
-        "order_id", "total", "currency_value",
-        base_amount(F.col("total"), F.col("currency_value")).alias("total_uah"),
-    )
+    """Both channels; the marketplace's rate is 1."""
+    other = T.marketplace_orders(spark, sf_dir).select(
+        F.col("marketplace_order_id").alias("order_id"),
+        F.col("cost_with_discount").cast("decimal(15,4)").alias("total"),
+        F.lit(1).cast("decimal(15,8)").alias("currency_value"),
+    )
+    orders = T.website_orders(spark, sf_dir).select("order_id", "total", "currency_value").unionByName(other)
+    return orders.withColumn("total_uah", base_amount(F.col("total"), F.col("currency_value")))
 
 
 def report_sanitise(spark, sf_dir):
-    rows = T.website_orders(spark, sf_dir)
-    return sanitise(
-        rows.select("order_id", "total", "date_added", F.col("date_modified").cast("date").alias("day"), "payment_method")
+    website = T.website_orders(spark, sf_dir).select(
+        "order_id", "total", "date_added", F.col("date_modified").cast("date").alias("day"), "payment_method"
+    )
+    other = T.marketplace_orders(spark, sf_dir).select(
+        F.col("marketplace_order_id").alias("order_id"),
+        F.col("cost_with_discount").cast("decimal(15,4)").alias("total"),
+        F.col("created").alias("date_added"),
+        F.col("changed").cast("date").alias("day"),
+        F.lit(None).cast("string").alias("payment_method"),
     )
+    return sanitise(website.unionByName(other))
 
 
 # Staging
@@ -284,6 +301,18 @@ def dim_category(spark, sf_dir):
     return dimensions.categories(T.staged(spark, sf_dir, "categories"))
 
 
+def dim_category_deep(spark, sf_dir):
+    """A category tree of more levels than the shop's."""
+    found = dimensions.categories(T.deep_categories(spark, sf_dir))
+    return found.select("source_category_id", "name", "parent_name", "is_age_group")
+
+
+def category_quarantine(spark, sf_dir):
+    """Categories whose parents lead to no root."""
+    lost = dimensions.unrooted_categories(T.deep_categories(spark, sf_dir))
+    return lost.select("category_id", "parent_id", "violation")
+
+
 def dim_product(spark, sf_dir):
     return dimensions.products(
         T.staged(spark, sf_dir, "products"), dim_publisher(spark, sf_dir), dim_category(spark, sf_dir),
@@ -545,6 +574,30 @@ def alert_notifications(spark, sf_dir):
     )
 
 
+def _alert_store(spark, sf_dir, *moments):
+    """A store after alert runs at the given times, on top of the sample's events."""
+    store = T.new_store(spark, sf_dir, "alerts")
+    store.append(alerts.EVENT_LOG, T.alert_events(spark, sf_dir))
+    for moment in moments:
+        alerts.run_alerts(store, T.mart(spark, sf_dir), T.alert_rules(spark), moment, DEFAULT_RECIPIENT)
+    return store
+
+
+def alert_run_twice(spark, sf_dir):
+    """Events that two runs add; the second is within the cooldown of the first, so it adds no stock event."""
+    later = T.COOLDOWN_AT + dt.timedelta(hours=1)
+    events = _alert_store(spark, sf_dir, T.COOLDOWN_AT, later).log(alerts.EVENT_LOG, schemas.ALERT_EVENT)
+    added = events.where(F.col("detail").isNotNull())
+    return added.groupBy("rule_id", "triggered_at").agg(
+        F.count("*").alias("events"), F.count_distinct("event_id").alias("ids")
+    )
+
+
+def alert_books(spark, sf_dir):
+    store = _alert_store(spark, sf_dir, T.COOLDOWN_AT)
+    return spark.read.parquet(f"{store.root}/{alerts.BOOK_LOG}")
+
+
 def alert_dispatch(spark, sf_dir):
     return alerts.dispatch(
         T.alert_rules(spark), _stock(spark, sf_dir), _swings(spark, sf_dir), _silent(spark, sf_dir)
@@ -590,7 +643,7 @@ REGISTERED = [
     report_sanitise,
     upsert_orders, upsert_order_lines, upsert_products, upsert_categories, upsert_publishers, upsert_customers,
     upsert_mkt_orders, upsert_mkt_lines, quarantine_counts, insert_absent, sync_log_append,
-    dim_publisher, dim_category, dim_product, dim_customer, dim_status_website, dim_status_marketplace,
+    dim_publisher, dim_category, dim_category_deep, category_quarantine, dim_product, dim_customer, dim_status_website, dim_status_marketplace,
     fact_orders_website, fact_orders_marketplace, fact_orders_all, fact_lines_website, fact_lines_marketplace,
     fact_quarantine, transform_counts,
     kpi_summary, kpi_mtd, kpi_top_book, kpi_low_stock, kpi_low_stock_supplier_rules, kpi_last_sync,
@@ -598,7 +651,7 @@ REGISTERED = [
     seasonal_trend, seasonal_trend_website, inventory_status, inventory_status_filtered, weekly_sales,
     weekly_sales_order_grain, report_dispatch, report_catalogue, dashboard_bundle,
     alert_dispatch, alert_low_stock, alert_cooldown, alert_revenue_swing, alert_no_orders, alert_events_new,
-    alert_notifications,
+    alert_notifications, alert_run_twice, alert_books,
     sync_history, alert_event_history, audit_history, report_history, alert_rule_list, channel_list,
 ]
 

@@ -403,7 +403,6 @@ def users(spark, sf_dir) -> DataFrame:
 def alert_events(spark, sf_dir) -> DataFrame:
     return (
         raw(spark, sf_dir, "events")
-        .where(F.col("event_type") == "purchase")
         .select(
             F.col("event_id"),
             (1 + F.col("event_id") % 2).cast("int").alias("rule_id"),
@@ -459,6 +458,24 @@ def supplier_rules(spark, sf_dir) -> DataFrame:
     )
 
 
+# Shop tables that the sample cannot show.
+ABSENT = ("stock_statuses",)
+
+
+def deep_categories(spark, sf_dir) -> DataFrame:
+    """Customers as a category tree: a binary heap of ids, with some links to nowhere and some in a circle."""
+    key = F.col("c_custkey")
+    parent = (
+        F.when(key == 0, F.lit(0))
+        .when(key % 97 == 5, key + 100_000_000)
+        .when(key % 89 == 7, key + 1)
+        .otherwise(F.expr("(c_custkey + 1) div 2"))
+    )
+    return raw(spark, sf_dir, "customer").select(
+        (key + 1).alias("category_id"), F.col("c_name").alias("name"), parent.alias("parent_id"), F.lit(0).alias("sort_order")
+    )
+
+
 def stock_statuses(spark) -> DataFrame:
     return fixed_table(spark, [(7, 1, "In stock"), (7, 2, "На складі")], schemas.SHOP["stock_statuses"])
 

@@ -31,8 +31,8 @@ def source_date(value: Column) -> Column:
 
 
 def base_amount(amount: Column, rate: Column) -> Column:
-    """Amount in the base currency, rounded half-up to storage scale."""
-    return (amount * rate).cast(MONEY)
+    """Amount in the base currency, rounded half-up to storage scale; NULL where it does not fit."""
+    return (amount * rate).try_cast(MONEY)
 
 
 def activity_label(flag: Column) -> Column:

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def collapse(batch: DataFrame, keys: Sequence[str], update_cols: Sequence[str], version: Sequence[str] = ()) -> DataFrame:
     """One row per key, as if the versions had been upserted in order.
 
-    Updatable columns come from the last version and the others from the first. Ties in `version` are broken by the
-    values themselves. Both picks are struct aggregates, so a key repeated any number of times is reduced to one
-    row per input task before the shuffle. The `version` columns are not kept unless they are also data columns.
+    Updatable columns come from the last version and the others from the first. Both picks follow one order, by
+    `version` and then by all other columns, so the row is one that some order of upserts gives. Both are struct
+    aggregates: a key repeated any number of times is reduced to one row per input task before the shuffle. The
+    `version` columns are not kept unless they are also data columns.
     """
     carried = [c for c in batch.columns if c not in keys]
     frozen = [c for c in carried if c not in update_cols and c not in version]
@@ -20,9 +21,9 @@ def collapse(batch: DataFrame, keys: Sequence[str], update_cols: Sequence[str],
     order = [F.col(c).alias(f"_v{i}") for i, c in enumerate(version)]
     picks = []
     if updated:
-        picks.append(F.max(F.struct(*order, *updated)).alias("_last"))
+        picks.append(F.max(F.struct(*order, *carried)).alias("_last"))
     if frozen:
-        picks.append(F.min(F.struct(*order, *frozen)).alias("_first"))
+        picks.append(F.min(F.struct(*order, *carried)).alias("_first"))
     if not picks:
         return batch.select(*keys).distinct()
     grouped = batch.groupBy(*keys).agg(*picks)
@@ -35,45 +36,59 @@ def collapse(batch: DataFrame, keys: Sequence[str], update_cols: Sequence[str],
     )
 
 
-def _settled(target: DataFrame, update_cols: Sequence[str], keys: Sequence[str]):
+def _newer(version: Sequence[str], old: str, new: str) -> Column:
+    """The batch has the key, and its version, if there is one, is not older; a missing version is the oldest."""
+    found = F.coalesce("_in_batch", F.lit(False))
+    if not version:
+        return found
+    stored, arriving = (F.struct(*[F.col(f"{prefix}{c}") for c in version]) for prefix in (old, new))
+    return found & (arriving >= stored)
+
+
+def _settled(target: DataFrame, update_cols: Sequence[str], version: Sequence[str]):
+    replaced = _newer(version, "", "_new_")
     return [
-        F.col(c)
-        if c in keys
-        else F.when(F.col("_in_batch"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
-        if c in update_cols
-        else F.col(c)
+        F.when(replaced, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in update_cols else F.col(c)
         for c in target.columns
     ]
 
 
-def merge_batch(target: DataFrame, batch: DataFrame, keys: Sequence[str], update_cols: Sequence[str]) -> DataFrame:
+def merge_batch(
+    target: DataFrame, batch: DataFrame, keys: Sequence[str], update_cols: Sequence[str], version: Sequence[str] = ()
+) -> DataFrame:
     """Merge a batch (one row per key, all columns of the target) that is small next to its target.
 
+    With `version`, updatable columns of the target, a row of an older version than the stored one changes nothing.
+
     Existing rows take a left join and new rows an anti join against the keys the batch found in the target. When
     Spark measures the batch as small enough to broadcast, the target is not shuffled at all; otherwise both joins
     are sort-merge joins on the key.
     """
     keys = list(keys)
     patch = batch.select(*keys, F.lit(True).alias("_in_batch"), *[F.col(c).alias(f"_new_{c}") for c in update_cols])
-    kept = target.join(patch, keys, "left").select(*_settled(target, update_cols, keys))
+    kept = target.join(patch, keys, "left").select(*_settled(target, update_cols, version))
     known = target.select(*keys).join(batch.select(*keys), keys, "left_semi")
     fresh = batch.join(known, keys, "left_anti").select(*target.columns)
     return kept.unionByName(fresh)
 
 
-def merge_full(target: DataFrame, batch: DataFrame, keys: Sequence[str], update_cols: Sequence[str]) -> DataFrame:
-    """Merge a batch (one row per key) of the same order of size as its target: one full outer join on the key."""
+def merge_full(
+    target: DataFrame, batch: DataFrame, keys: Sequence[str], update_cols: Sequence[str], version: Sequence[str] = ()
+) -> DataFrame:
+    """Merge a batch (one row per key) of the same order of size as its target: one full outer join on the key. As for
+    `version`, see `merge_batch`."""
     keys = list(keys)
     others = [c for c in target.columns if c not in keys]
     old = target.select(*keys, F.lit(True).alias("_in_target"), *[F.col(c).alias(f"_old_{c}") for c in others])
     new = batch.select(*keys, F.lit(True).alias("_in_batch"), *[F.col(c).alias(f"_new_{c}") for c in others])
     joined = old.join(new, keys, "full_outer")
+    replaced = F.col("_in_target").isNull() | _newer(version, "_old_", "_new_")
 
     def value(c):
         if c in keys:
             return F.col(c)
         if c in update_cols:
-            return F.when(F.col("_in_batch"), F.col(f"_new_{c}")).otherwise(F.col(f"_old_{c}")).alias(c)
+            return F.when(replaced, F.col(f"_new_{c}")).otherwise(F.col(f"_old_{c}")).alias(c)
         return F.when(F.col("_in_target"), F.col(f"_old_{c}")).otherwise(F.col(f"_new_{c}")).alias(c)
 
     return joined.select(*[value(c) for c in target.columns])

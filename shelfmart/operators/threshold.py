@@ -6,58 +6,63 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Rule tables up to this many rows are carried inside each task; larger ones take the equi-join below.
-MAX_INLINE_RULES = 10_000
-
 _SHIFT = 1 << 31
 _LEVELS = 32
 
 
-def match_thresholds(
-    items: DataFrame,
-    value: str,
-    rules: DataFrame,
-    threshold: str,
-    rule_cols: Sequence[str],
-    max_inline: int = MAX_INLINE_RULES,
-) -> DataFrame:
-    """Items with the `rule_cols` of every rule whose threshold is at least the item's integer `value`."""
-    if rules.limit(max_inline + 1).count() <= max_inline:
-        return _match_inline(items, value, rules, threshold, rule_cols)
-    return _match_by_blocks(items, value, rules, threshold, rule_cols)
-
-
-def _match_inline(items, value, rules, threshold, rule_cols):
-    """The counted rules become one array constant; each item row explodes only its own matches."""
-    held = rules.agg(F.collect_list(F.struct(F.col(threshold).alias("_limit"), *rule_cols)).alias("rules")).scalar()
-    hits = F.filter("_rules", lambda rule: F.col(value) <= rule["_limit"])
-    matched = items.withColumn("_rules", held).select(*items.columns, F.explode(hits).alias("_rule"))
-    return matched.select(*items.columns, *[F.col(f"_rule.{c}").alias(c) for c in rule_cols])
-
+def reached(values: DataFrame, value: str, limits: DataFrame, limit: str) -> DataFrame:
+    """(value, limit) for every limit that is at least an integer value; both sides hold each value once.
 
-def _match_by_blocks(items, value, rules, threshold, rule_cols):
-    """Equi-join on aligned power-of-two blocks.
-
-    A threshold's values, all integers up to it, split into at most 32 blocks of aligned powers of two, and each
-    value lies in exactly one of them, so joining on (level, block) gives every pair once.
+    An equi-join on aligned power-of-two blocks: a limit's integers, all up to it, split into at most 32 such blocks,
+    and each value lies in exactly one of them. NULL reaches nothing and is reached by nothing.
     """
     count = F.greatest(
         F.lit(0).cast("long"),
-        F.least(F.floor(F.col(threshold)).cast("long"), F.lit(_SHIFT - 1)) + F.lit(_SHIFT + 1),
+        F.least(F.floor(F.col(limit)).cast("long"), F.lit(_SHIFT - 1)) + F.lit(_SHIFT + 1),
     )
-    covers = rules.select(
-        *rule_cols, count.alias("_count"), F.explode(F.sequence(F.lit(0), F.lit(_LEVELS))).alias("_level")
+    covers = limits.where(F.col(limit).isNotNull()).select(
+        limit, count.alias("_count"), F.explode(F.sequence(F.lit(0), F.lit(_LEVELS))).alias("_level")
     )
     covers = covers.where(_shift_right("_count", "_level") % 2 == 1).select(
-        *rule_cols, "_level", (_shift_right("_count", "_level") - 1).alias("_block")
+        limit, "_level", (_shift_right("_count", "_level") - 1).alias("_block")
     )
-    placed = items.where(F.col(value).isNotNull()).select(
-        "*",
+    placed = values.where(F.col(value).isNotNull()).select(
+        value,
         (F.col(value).cast("long") + F.lit(_SHIFT)).alias("_point"),
         F.explode(F.sequence(F.lit(0), F.lit(_LEVELS))).alias("_level"),
     )
     placed = placed.withColumn("_block", _shift_right("_point", "_level"))
-    return placed.join(covers, ["_level", "_block"]).select(*items.columns, *rule_cols)
+    return placed.join(covers, ["_level", "_block"]).select(value, limit)
+
+
+def match_thresholds(
+    items: DataFrame, value: str, rules: DataFrame, threshold: str, rule_cols: Sequence[str]
+) -> DataFrame:
+    """Items with the `rule_cols` of every rule whose threshold is at least the item's integer `value`.
+
+    The different values meet the different thresholds first, however many rows share them; items and rules then join
+    these on their own value. Rules without a threshold match nothing.
+    """
+    limits = rules.select(F.col(threshold).alias("_limit"), *rule_cols)
+    pairs = reached(items.select(value).distinct(), value, limits.select("_limit").distinct(), "_limit")
+    return items.join(pairs, value).join(limits, "_limit").select(*items.columns, *rule_cols)
+
+
+def count_matches(items: DataFrame, value: str, rules: DataFrame, threshold: str) -> DataFrame:
+    """One row with `pairs`, the rows `match_thresholds` has, and `items`, how many items have any. Counted from the
+    rows per value and per threshold; no pair of an item and a rule is made."""
+    per_value = items.groupBy(value).agg(F.count("*").alias("_items"))
+    per_limit = rules.groupBy(F.col(threshold).alias("_limit")).agg(F.count("*").alias("_rules"))
+    pairs = reached(per_value.select(value), value, per_limit.select("_limit"), "_limit")
+    per_pair = pairs.join(per_value, value).join(per_limit, "_limit")
+    return (
+        per_pair.groupBy(value)
+        .agg(F.max("_items").alias("_items"), F.sum("_rules").alias("_rules"))
+        .agg(
+            F.coalesce(F.sum(F.col("_items") * F.col("_rules")), F.lit(0)).alias("pairs"),
+            F.coalesce(F.sum("_items"), F.lit(0)).alias("items"),
+        )
+    )
 
 
 def _shift_right(name: str, by: str) -> Column:

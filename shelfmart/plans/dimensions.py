@@ -10,7 +10,7 @@ from shelfmart.functions.calendar import at
 from shelfmart.functions.coerce import activity_label
 from shelfmart.functions.keys import MARKETPLACE, WEBSITE, surrogate
 from shelfmart.operators.merge import insert_if_absent, merge_full
-from shelfmart.operators.quarantine import accepted, flag, missing, too_long
+from shelfmart.operators.quarantine import VIOLATION, accepted, flag, missing, too_long
 from shelfmart.seeds import CANCELLED, COMPLETED, FALLBACK_CANCELLED, FALLBACK_COMPLETED, PROCESSING
 from shelfmart.sources.shop import LABEL_LANGUAGE
 
@@ -45,23 +45,37 @@ def flag_categories(categories: DataFrame) -> DataFrame:
     return flag(categories, {"name_null": missing("name"), "name_length": too_long("name", 255)})
 
 
-def categories(staged: DataFrame, existing: DataFrame | None = None, max_depth: int = 4) -> DataFrame:
-    """Roots are age groups; a child takes its parent's key and name. A category whose chain of parents does not
-    reach a root within `max_depth` levels is an orphan and left out."""
+# Down from the roots, level by level, until one adds nothing; chains that run in a circle are never reached.
+_TREE = """
+    WITH RECURSIVE tree(category_id, name, parent_id, parent_name, sort_order) MAX RECURSION LEVEL 2147483647 AS (
+        SELECT category_id, name, CAST(NULL AS BIGINT), CAST(NULL AS STRING), sort_order
+        FROM {named} WHERE parent_id = 0
+        UNION ALL
+        SELECT c.category_id, c.name, CAST(c.parent_id AS BIGINT), t.name, c.sort_order
+        FROM {named} c JOIN tree t ON c.parent_id = t.category_id
+    )
+    SELECT * FROM tree"""
+
+
+def _rooted(named: DataFrame) -> DataFrame:
+    """Categories whose chain of parents reaches a root, with the parent's name."""
+    rows = named.select(F.col("category_id").cast("long").alias("category_id"), "name", "parent_id", "sort_order")
+    return named.sparkSession.sql(_TREE, named=rows)
+
+
+def unrooted_categories(staged: DataFrame) -> DataFrame:
+    """Categories left out for want of a root: a parent that is missing or rejected, or parents in a circle."""
     named = accepted(flag_categories(staged))
-    roots = named.where(F.col("parent_id") == 0).select(
-        "category_id", F.col("name"), F.lit(None).cast("long").alias("parent_id"),
-        F.lit(None).cast("string").alias("parent_name"), F.lit(True).alias("is_age_group"), "sort_order",
+    lost = named.join(_rooted(named).select("category_id"), "category_id", "left_anti")
+    return lost.withColumn(VIOLATION, F.lit("no_root"))
+
+
+def categories(staged: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """Roots are age groups; a child takes its parent's key and name. Those of `unrooted_categories` are left out."""
+    found = _rooted(accepted(flag_categories(staged))).select(
+        "category_id", "name", surrogate(WEBSITE, F.col("parent_id")).alias("parent_id"), "parent_name",
+        F.col("parent_id").isNull().alias("is_age_group"), "sort_order",
     )
-    children = named.where(F.col("parent_id") != 0).withColumnRenamed("parent_id", "source_parent_id")
-    found, level = roots, roots
-    for _ in range(max_depth - 1):
-        parents = level.select(F.col("category_id").alias("source_parent_id"), F.col("name").alias("parent_name"))
-        level = children.join(parents, "source_parent_id").select(
-            "category_id", "name", surrogate(WEBSITE, F.col("source_parent_id")).alias("parent_id"), "parent_name",
-            F.lit(False).alias("is_age_group"), "sort_order",
-        )
-        found = found.unionByName(level)
     incoming = found.select(
         surrogate(WEBSITE, F.col("category_id")).alias("category_id"),
         F.col("category_id").alias("source_category_id"),

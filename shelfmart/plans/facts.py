@@ -28,6 +28,9 @@ def flag_website_orders(staged: DataFrame, dim_date: DataFrame) -> DataFrame:
         staged.withColumn("date_id", date_key(F.col("date_added"))),
         dim_date,
         {
+            "key_null": missing("order_id"),
+            "total_null": missing("total"),
+            "amount_range": base_amount(F.col("total"), F.col("currency_value")).isNull(),
             "currency_length": too_long("currency_code", 3),
             "city_length": too_long("shipping_city", 128),
             "shipping_length": too_long("shipping_method", 128),
@@ -45,8 +48,16 @@ def flag_marketplace_orders(staged: DataFrame, dim_date: DataFrame) -> DataFrame
 
 
 def flag_lines(staged: DataFrame) -> DataFrame:
-    """A line takes its day from a loaded order, so only its quantity can be at fault."""
-    return flag(staged, {"quantity_null": missing("quantity")})
+    """A line takes its day from a loaded order, so only its own figures can be at fault."""
+    figures = [c for c in ("total", "cost_with_discount") if c in staged.columns]
+    return flag(
+        staged,
+        {
+            "quantity_null": missing("quantity"),
+            "quantity_range": F.col("quantity") < 0,
+            **{f"{c}_null": missing(c) for c in figures if c == "total"},
+        },
+    )
 
 
 def website_orders(checked: DataFrame, dim_customer: DataFrame, dim_status: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ import datetime as dt
 import logging
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, Observation, functions as F
 
@@ -16,7 +18,7 @@ from shelfmart.operators.constants import fixed_table
 from shelfmart.operators.quarantine import VIOLATION, accepted, rejected
 from shelfmart.plans import dimensions, facts, staging
 from shelfmart.plans.mart import Mart
-from shelfmart.plans.staging import BLOCK, StagingTable, collapsed
+from shelfmart.plans.staging import BLOCK, StagingTable, collapsed, stored_version
 from shelfmart.sources import marketplace, shop
 from shelfmart.sources.watermark import sync_record, watermarks
 from shelfmart.storage import TableStore
@@ -37,23 +39,27 @@ class Landed:
 def land(store: TableStore, table: StagingTable, batch: DataFrame, run_at: dt.datetime) -> Landed:
     """Store a batch once, count it while writing, and merge the stored rows into the staging table.
 
-    Rows of a flagged batch that break a rule are counted and set aside.
+    Rows that break a rule or lack a key are counted and set aside.
     """
-    flagged = VIOLATION in batch.columns
-    bad = F.col(VIOLATION).isNotNull() if flagged else F.lit(False)
+    keyless = F.when(reduce(or_, [F.col(key).isNull() for key in table.keys]), "key_null")
+    batch = batch.withColumn(VIOLATION, F.coalesce(VIOLATION, keyless) if VIOLATION in batch.columns else keyless)
+    bad = F.col(VIOLATION).isNotNull()
     seen = Observation()
     counted = batch.observe(seen, F.count_if(~bad).alias("staged"), F.count_if(bad).alias("failed"))
     landed = store.write(f"batch_{table.name}", counted)
     staged, failed = seen.get["staged"], seen.get["failed"]
     if failed:
         store.append(f"rejected_{table.name}", rejected(landed))
-    good = accepted(landed) if flagged else landed
+    good = accepted(landed)
     rows = collapsed(good, table, run_at)
     if table.block is None:
-        store.merge(table.name, rows, table.keys, table.updated)
+        store.merge(table.name, rows, table.keys, table.updated, version_by=stored_version(table))
     else:
-        rows = rows.withColumn(BLOCK, F.floor(F.col(table.keys[0]) / table.block))
-        store.merge(table.name, rows, table.keys, table.updated, BLOCK, table.keys[0], fixed_by_key=True)
+        rows = rows.withColumn(BLOCK, F.expr(f"{table.keys[0]} div {table.block}"))
+        store.merge(
+            table.name, rows, table.keys, table.updated, BLOCK, table.keys[0], fixed_by_key=True,
+            version_by=stored_version(table),
+        )
     return Landed(good, staged, failed)
 
 
@@ -124,6 +130,27 @@ def load_marketplace(
     _logged(store, MARKETPLACE, run_at, sync_type, lambda: stage_marketplace(store, pages, run_at, since, until))
 
 
+def _start_empty(store: TableStore, run_at: dt.datetime) -> None:
+    """Empty staging tables for those no load has written yet, so that the transform of the others goes on."""
+    spark = store.spark
+    none = lambda name: spark.createDataFrame([], schemas.SHOP[name])
+    pages = spark.createDataFrame([], schemas.PAGE)
+    orders = shop.orders(none, run_at)
+    first = {
+        staging.WEBSITE_ORDERS: lambda: shop.coerce_orders(orders),
+        staging.WEBSITE_ORDER_LINES: lambda: shop.coerce_order_lines(shop.order_lines(none, orders)),
+        staging.WEBSITE_PRODUCTS: lambda: shop.coerce_products(shop.products(none, run_at)),
+        staging.WEBSITE_CATEGORIES: lambda: shop.coerce_categories(shop.categories(none)),
+        staging.WEBSITE_MANUFACTURERS: lambda: shop.publishers(none),
+        staging.WEBSITE_CUSTOMERS: lambda: shop.coerce_customers(shop.customers(none, run_at)),
+        staging.MARKETPLACE_ORDERS: lambda: marketplace.orders(pages),
+        staging.MARKETPLACE_ORDER_LINES: lambda: marketplace.order_lines(pages),
+    }
+    for table, rows in first.items():
+        if store.read(table.name) is None:
+            land(store, table, rows(), run_at)
+
+
 def cycle(
     store: TableStore,
     read: shop.Reader,
@@ -142,13 +169,15 @@ def cycle(
     since = {row["channel"]: row["since"] for row in marks}
     loads = {
         WEBSITE: lambda: load_website(store, read, since[WEBSITE], run_at, sync_type=sync_type),
-        MARKETPLACE: lambda: load_marketplace(store, pages, run_at, since[MARKETPLACE].date(), sync_type=sync_type),
+        # no filter on the day of creation: an order of any age may have changed
+        MARKETPLACE: lambda: load_marketplace(store, pages, run_at, sync_type=sync_type),
     }
     for channel, load in loads.items():
         try:
             load()
         except Exception:
             logger.exception("load of %s failed", channel)
+    _start_empty(store, run_at)
     done = store.log(TRANSFORM_LOG, "run_at timestamp_ntz").agg(F.max("run_at").alias("run_at")).first()["run_at"]
     mart = transform(store, dim_date, dim_sales_channel, seed_statuses, run_at, stock_statuses, done)
     store.append(TRANSFORM_LOG, store.spark.range(1).select(at(run_at).alias("run_at")))
@@ -228,7 +257,9 @@ def transform(
         facts.ORDER_UPDATES,
         partition_by=facts.MONTH,
         sort_by="date_added",
+        fixed_by_key=True,  # the day an order is created on never changes in staging
         bulk=bulk,
+        version_by=["date_modified"],
     )
     web_lines = _changed_lines(store.read(staging.WEBSITE_ORDER_LINES.name), web_orders, "order_id", changed_after)
     mkt_lines = _changed_lines(
@@ -246,6 +277,7 @@ def transform(
         facts.LINE_UPDATES,
         partition_by=facts.MONTH,
         sort_by="order_id",
+        fixed_by_key=True,
         bulk=bulk,
     )
     return Mart(days, dim_sales_channel, category, publisher, product, customer, statuses, orders, lines)

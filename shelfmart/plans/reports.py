@@ -5,12 +5,12 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmart.functions.calendar import at, month_bounds
 from shelfmart.functions.keys import MARKETPLACE, WEBSITE, date_key_of, surrogate
 from shelfmart.operators.ordering import ascending, descending
-from shelfmart.operators.threshold import match_thresholds
+from shelfmart.operators.threshold import count_matches, match_thresholds
 from shelfmart.plans.facts import MONTH
 from shelfmart.plans.mart import Mart
 from shelfmart.seeds import COMPLETED
@@ -108,10 +108,8 @@ def low_stock_pairs(mart: Mart, rules: DataFrame) -> DataFrame:
 
 def kpi_low_stock(mart: Mart, rules: DataFrame) -> DataFrame:
     """Product and rule pairs, so that a product under two rules counts twice, and the products themselves."""
-    highest = _stock_rules(rules).agg(F.max("threshold")).scalar()
-    products = _active_products(mart).where(F.col("quantity_in_stock") <= highest).agg(F.count("*")).scalar()
-    pairs = low_stock_pairs(mart, rules).agg(F.count("*").alias("low_stock_count"))
-    return pairs.withColumn("low_stock_products", products)
+    counted = count_matches(_active_products(mart), "quantity_in_stock", _stock_rules(rules), "threshold")
+    return counted.select(F.col("pairs").alias("low_stock_count"), F.col("items").alias("low_stock_products"))
 
 
 def kpi_last_sync(sync_log: DataFrame) -> DataFrame:
@@ -206,18 +204,18 @@ def top_books(mart: Mart, first: dt.date, last: dt.date, channel_id: int | None
 
 def sales_by_category(mart: Mart, first: dt.date, last: dt.date, channel_id: int | None = None) -> DataFrame:
     """Units and revenue per category with its share of all revenue, lines without a category included in the
-    total. The lines are read and added up once; the window for the total sees one row per category."""
+    total, which is a sub-query over the same sums."""
     sold = (
         _lines_of_completed(mart, first, last, channel_id)
         .groupBy("category_id")
         .agg(F.sum("quantity_sold").alias("units"), F.sum("line_total_uah").alias("revenue"))
-        .withColumn("total", F.sum("revenue").over(Window.partitionBy()).cast("decimal(38,4)"))
     )
+    total = sold.agg(F.sum("revenue").cast("decimal(38,4)")).scalar()
     category = mart.dim_category.select("category_id", F.col("name").alias("category_name"), "parent_name")
-    share = F.col("revenue_uah") * 100 / F.nullif(F.col("total"), F.lit(0).cast("decimal(38,4)"))
+    share = F.col("revenue_uah") * 100 / F.nullif(total, F.lit(0).cast("decimal(38,4)"))
     return (
         sold.join(category, "category_id")
-        .groupBy("category_name", "parent_name", "total")
+        .groupBy("category_name", "parent_name")
         .agg(F.sum("units").alias("units_sold"), F.sum("revenue").alias("revenue_uah"))
         .select("category_name", "parent_name", "units_sold", "revenue_uah", F.round(share, 2).alias("pct_of_total"))
         .orderBy(descending("revenue_uah"), ascending("category_name"), ascending("parent_name"))

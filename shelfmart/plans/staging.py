@@ -79,6 +79,11 @@ MARKETPLACE_ORDER_LINES = StagingTable(
 )
 
 
+def stored_version(table: StagingTable) -> tuple[str, ...]:
+    """The version columns a stored row can be compared by."""
+    return tuple(c for c in table.version if c in table.updated)
+
+
 def collapsed(batch: DataFrame, table: StagingTable, run_at: dt.datetime) -> DataFrame:
     """The rows a batch brings, one per key; a key repeated within it is applied version by version.
 
@@ -97,4 +102,4 @@ def collapsed(batch: DataFrame, table: StagingTable, run_at: dt.datetime) -> Dat
 def stage(existing: DataFrame | None, batch: DataFrame, table: StagingTable, run_at: dt.datetime) -> DataFrame:
     """The staging table after one batch; no existing table means a first load."""
     rows = collapsed(batch, table, run_at)
-    return rows if existing is None else merge_batch(existing, rows, table.keys, table.updated)
+    return rows if existing is None else merge_batch(existing, rows, table.keys, table.updated, stored_version(table))

@@ -6,12 +6,9 @@ from collections.abc import Collection, Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
-# Tables the loads depend on.
-EXPECTED_TABLES = [
-    "orders", "order_products", "order_totals", "order_statuses", "products", "product_descriptions",
-    "product_to_category", "categories", "category_descriptions", "manufacturers", "manufacturer_descriptions",
-    "customers", "customer_groups", "customer_group_descriptions", "stock_statuses",
-]
+from shelfmart import schemas
+
+EXPECTED_TABLES = sorted(schemas.SHOP)
 
 
 def missing_tables(present: Collection[str]) -> list[str]:
@@ -19,7 +16,8 @@ def missing_tables(present: Collection[str]) -> list[str]:
 
 
 def profile(tables: Mapping[str, DataFrame], newest: Mapping[str, str]) -> DataFrame:
-    """One row per table: its row count and, where `newest` names a date column, the latest value."""
+    """One row per table: its row count and, where `newest` names a date column, the latest value. An expected table
+    that is not there has a row without a count."""
     parts = [
         df.agg(
             F.lit(name).alias("table_name"),
@@ -31,4 +29,10 @@ def profile(tables: Mapping[str, DataFrame], newest: Mapping[str, str]) -> DataF
     report = parts[0]
     for part in parts[1:]:
         report = report.unionByName(part)
+    absent = missing_tables(tables)
+    if absent:
+        rows = [(name, None, None) for name in absent]
+        report = report.unionByName(
+            report.sparkSession.createDataFrame(rows, "table_name string, row_count long, newest timestamp_ntz")
+        )
     return report

@@ -7,6 +7,7 @@ only the partitions its batch touches.
 
 from __future__ import annotations
 
+import functools
 import time
 from collections.abc import Sequence
 
@@ -54,14 +55,15 @@ class TableStore:
         sort_by: str | None = None,
         fixed_by_key: bool = False,
         bulk: bool = False,
+        version_by: Sequence[str] = (),
     ) -> DataFrame:
         """Merge a batch (one row per key) into a table and return it as stored.
 
         Only touched partitions are read and rewritten. Where the partition follows from the key (`fixed_by_key`)
         the batch alone tells which those are; otherwise the keys of the table are looked up as well. `bulk` is for
-        a batch about as large as the table.
+        a batch about as large as the table. With `version_by`, a row older than the stored one changes nothing.
         """
-        merge_rows = merge_full if bulk else merge_batch
+        merge_rows = functools.partial(merge_full if bulk else merge_batch, version=version_by)
         table = self.read(name)
         if table is None or (partition_by is not None and self._whole_path(name) is not None):
             return self.write(name, batch, partition_by, sort_by)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shelfmart.operators.merge import collapse, insert_if_absent, merge_batch, merge_full
 from shelfmart.operators.quarantine import accepted, flag, flag_unknown_day, missing, outcome_counts, rejected, too_long
-from shelfmart.operators.threshold import match_thresholds
+from shelfmart.operators.threshold import count_matches, match_thresholds
 from shelfmart.plans import staging
 from tests.conftest import rows
 
@@ -78,16 +78,30 @@ TABLES = [value for value in vars(staging).values() if isinstance(value, staging
 def test_every_staging_table_freezes_unlisted_columns(spark, at, table):
     columns = [c for c in table.updated if c not in ("raw_json", "ingested_at")] + ["frozen"]
     names = ", ".join([f"{table.keys[0]} int"] + [f"{c} string" for c in columns])
-    first = spark.createDataFrame([(1, *["old"] * len(columns))], names)
-    second = spark.createDataFrame([(1, *["new"] * len(columns))], names)
+    first = spark.createDataFrame([(1, *["1 old"] * len(columns))], names)
+    second = spark.createDataFrame([(1, *["2 new"] * len(columns))], names)
     loaded = staging.stage(None, first, table, at("2020-01-01"))
     row = staging.stage(loaded, second, table, at("2020-01-02")).first().asDict()
-    assert row["frozen"] == "old"
-    assert all(row[c] == "new" for c in columns if c != "frozen")
+    assert row["frozen"] == "1 old"
+    assert all(row[c] == "2 new" for c in columns if c != "frozen")
     assert row["ingested_at"] == at("2020-01-02")
     assert ("raw_json" in row) == table.keeps_payload
 
 
+def test_an_older_batch_changes_nothing(spark, at):
+    names = "order_id long, total decimal(15,4), order_status_id int, date_modified timestamp_ntz, shipping_city string"
+    fifth = spark.createDataFrame([(1, None, 5, at("2020-01-05"), "a")], names)
+    third = spark.createDataFrame([(1, None, 3, at("2020-01-03"), "b")], names)
+    loaded = staging.stage(None, fifth, staging.WEBSITE_ORDERS, at("2020-01-06"))
+    again = staging.stage(loaded, third, staging.WEBSITE_ORDERS, at("2020-01-07"))
+    assert rows(again) == rows(loaded)
+
+
+def test_a_collapsed_row_is_one_that_upserts_give(spark):
+    batch = spark.createDataFrame([(1, 5, 1), (1, 3, 2)], "id int, quantity int, tax int")
+    assert rows(collapse(batch, ["id"], ["quantity"])) == [(1, 5, 2)]
+
+
 def test_insert_if_absent(spark):
     target = spark.createDataFrame([(1, "kept")], "id int, name string")
     batch = spark.createDataFrame([(1, "ignored"), (2, "added")], "id int, name string")
@@ -109,16 +123,17 @@ def test_unknown_and_missing_days(spark):
     assert rows(flagged.select("id", "violation")) == [(1, None), (2, "date_unknown"), (3, "date_null")]
 
 
-@pytest.mark.parametrize("max_inline", [1000, 0], ids=["inline", "blocks"])
-def test_thresholds_against_brute_force(spark, max_inline):
+def test_thresholds_against_brute_force(spark):
     draw = random.Random(7)
     values = [draw.randint(-50, 300) for _ in range(200)] + [None, -(2**31), 2**31 - 1, 0]
-    limits = [round(draw.uniform(-60, 310), 2) for _ in range(30)] + [0.0, -1.0, 2.0**31 - 1, 9999999999.0, -9999999999.0]
+    limits = [round(draw.uniform(-60, 310), 2) for _ in range(30)] + [0.0, -1.0, 2.0**31 - 1, 9999999999.0, -9999999999.0, None]
     items = spark.createDataFrame(list(enumerate(values)), "item int, stock int")
     rules = spark.createDataFrame(list(enumerate(limits)), "rule int, cap double").withColumn(
         "cap", F.col("cap").cast("decimal(12,2)")
     )
-    found = match_thresholds(items, "stock", rules, "cap", ["rule"], max_inline)
-    expected = {(i, r) for i, v in enumerate(values) if v is not None for r, cap in enumerate(limits) if v <= cap}
+    found = match_thresholds(items, "stock", rules, "cap", ["rule"])
+    expected = {(i, r) for i, v in enumerate(values) if v is not None for r, cap in enumerate(limits) if cap is not None and v <= cap}
     pairs = [(row["item"], row["rule"]) for row in found.collect()]
     assert len(pairs) == len(set(pairs)) and set(pairs) == expected
+    counted = count_matches(items, "stock", rules, "cap").first()
+    assert tuple(counted) == (len(expected), len({i for i, _ in expected}))

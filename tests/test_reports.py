@@ -237,9 +237,9 @@ def test_events_notifications_and_dispatch(spark, mart):
     ]
     sent = alerts.notifications(stock, swings, silent, NOW, "all@example.org")
     assert rows(sent.select("rule_id", "recipient", "subject")) == [
-        (1, "stock@example.org", "⚠️ Low Stock Alert: 2 book(s) at risk"),
-        (2, "all@example.org", "📈 Revenue Alert: 1100.0% increase vs. last month"),
-        (3, "all@example.org", "🔔 No Orders Alert: no orders in the last 1 hours"),
+        (1, "stock@example.org", "Stock running out: 2 titles"),
+        (2, "all@example.org", "Month revenue moved: increase of 1100.0 percent"),
+        (3, "all@example.org", "Nothing ordered for 1 hours"),
     ]
     assert rows(alerts.dispatch(rules, stock, swings, silent)) == [
         (1, "low_stock", "checked", 2), (2, "revenue_spike", "checked", 1), (3, "no_orders", "checked", 1), (4, "mystery", "unknown type", 0),
