@@ -233,7 +233,9 @@ def pack(
     kind = dict(docs.dtypes)[doc_id]
     out = ranked.withColumn("doc_id", F.col("doc_id").cast("string"))
     schema = ", ".join(f"{c} {t}" for c, t in out.dtypes if c != "_rank") + ", sequence_id long, offset long"
-    return out.mapInPandas(lookup, schema).withColumn("doc_id", F.col("doc_id").cast(kind))
+    placed = out.mapInPandas(lookup, schema).withColumn("doc_id", F.col("doc_id").cast(kind))
+    names = [c for c in numbered.columns if c != "_row"]
+    return placed.select(*names, "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
