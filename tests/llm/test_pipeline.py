@@ -78,5 +78,5 @@ def test_stages(spark, corpus):
 
 def test_run_gives_the_last_stage(spark, corpus):
     out = corpus_pipeline.run(spark, corpus[0])
-    assert out.columns[:3] == ["doc_id", "piece", "start"] and out.count() > 400
+    assert out.columns[:3] == ["doc_id", "piece", "start"] and out.count() > 40
     assert toxicity.THRESHOLD == 0.3
