@@ -248,53 +248,94 @@ TILE = ["h", "band", "i", "j"]
 PAIRS = "a long, b long"
 
 
-def _by_tile(rows: DataFrame, pairs_of: Callable[[pd.DataFrame], list[tuple[int, int]]]) -> DataFrame:
-    """`pairs_of` applied to every tile; tiles are read in order, so that a task holds one batch and one tile."""
+COLUMNS = {"own": bool, "x": bool, "y": bool, "no": np.int64, "n": np.int64, "root": np.int64, "bits": object}
+SMALL_TILE = 16
+
+
+def _by_tile(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of every tile that may reach the threshold. Tiles are read in order, so that a task holds one batch and one
+    tile.
+
+    Without a column `root`: each set with the first possible partner before it, and (no, no) for every set with any
+    possible partner. With it: all possible pairs of sets with different roots.
+    """
+    given = [c for c in COLUMNS if c in rows.columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        rest = {c: np.empty(0, dtype=COLUMNS[c]) for c in given}
+        rest_keys = np.empty((0, len(TILE)), dtype=np.int64)
+
+        def pairs(end: int, cuts: np.ndarray) -> pd.DataFrame:
+            found = [p for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()) if b - a > 1 and b <= end
+                     for p in _tile_pairs({c: v[a:b] for c, v in rest.items()}, percent)]
+            return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
         for batch in batches:
-            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            keys = rows[TILE].to_numpy(np.int64)
-            cuts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1]
-            found = [p for a, b in zip(cuts[:-1], cuts[1:]) if b - a > 1 for p in pairs_of(rows.iloc[a:b])]
-            rest = rows.iloc[cuts[-1] :]
-            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-        if rest is not None and len(rest) > 1:
-            yield pd.DataFrame(pairs_of(rest), columns=["a", "b"], dtype="int64")
+            rest = {c: np.concatenate([rest[c], batch[c].to_numpy(COLUMNS[c])]) for c in given}
+            rest_keys = np.concatenate([rest_keys, batch[TILE].to_numpy(np.int64)])
+            cuts = np.r_[0, np.flatnonzero((rest_keys[1:] != rest_keys[:-1]).any(axis=1)) + 1, len(rest_keys)]
+            yield pairs(cuts[-2], cuts)
+            rest = {c: v[cuts[-2] :] for c, v in rest.items()}
+            rest_keys = rest_keys[cuts[-2] :]
+        yield pairs(len(rest_keys), np.array([0, len(rest_keys)]))
 
     dealt = rows.repartition(*TILE).sortWithinPartitions(*TILE, "no")
-    return dealt.mapInPandas(run, PAIRS).distinct()
+    return dealt.select(*TILE, *given).mapInPandas(run, PAIRS).distinct()
 
 
-def _tile_pairs(tile: pd.DataFrame, percent: int, roots: np.ndarray | None) -> list[tuple[int, int]]:
-    """Without `roots`: each set with the first possible partner before it, and (no, no) for every set with any possible
-    partner. With `roots`: all possible pairs of sets with different roots. A pair has a set of the tile's own band and, in a tile of two blocks, one of each."""
-    own, x, y = (tile[c].to_numpy(bool) for c in ("own", "x", "y"))
-    no, n = tile["no"].to_numpy(np.int64), tile["n"].to_numpy(np.int64)
+def _tile_pairs(tile: dict[str, np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A pair has a set of the tile's own band and, in a tile of two blocks, one of each."""
     size = min(map(len, tile["bits"]))
     maps = [folded(b, size) for b in tile["bits"]]
-    words = np.array([np.frombuffer(m.to_bytes(size, "little"), dtype="<u8") for m in maps]) if len(tile) > 16 else None
-    out = []
-    active: set[int] = set()
-    for k in range(1, len(tile)):
-        near = (own[:k] | own[k]) & ((x[:k] & y[k]) | (y[:k] & x[k]))
-        near &= (100 * n[:k] >= percent * n[k]) & (100 * n[k] >= percent * n[:k]) & (no[:k] != no[k])
+    if len(maps) <= SMALL_TILE:
+        return _small_tile_pairs(tile, maps, percent)
+    own, x, y, no, n = (tile[c] for c in ("own", "x", "y", "no", "n"))
+    roots = tile.get("root")
+    words = np.array([np.frombuffer(m.to_bytes(size, "little"), dtype="<u8") for m in maps])
+    out: list[tuple[int, int]] = []
+    active = np.zeros(len(maps), dtype=bool)
+    for k in range(1, len(maps)):
+        near = (own[:k] | own[k]) & ((x[:k] & y[k]) | (y[:k] & x[k])) & (no[:k] != no[k])
+        near &= (100 * n[:k] >= percent * n[k]) & (100 * n[k] >= percent * n[:k])
         if roots is not None:
             near &= roots[:k] != roots[k]
         places = np.flatnonzero(near)
-        if words is not None and len(places) > 16:
-            mine, theirs = words[k], words[places]
-            lack = n[k] - np.bitwise_count(mine & ~theirs).sum(axis=1, dtype=np.int64)
-            overlap = np.minimum(lack, n[places] - np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64))
-            places = places[100 * overlap >= percent * (n[k] + n[places] - overlap)]
-        else:
-            places = [p for p in places if may_link(maps[k], maps[p], int(n[k]), int(n[p]), percent)]
+        if not len(places):
+            continue
+        mine, theirs = words[k], words[places]
+        lack = n[k] - np.bitwise_count(mine & ~theirs).sum(axis=1, dtype=np.int64)
+        overlap = np.minimum(lack, n[places] - np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64))
+        places = places[100 * overlap >= percent * (n[k] + n[places] - overlap)]
         if roots is None and len(places):
-            active.update(places, [k])
+            active[places] = active[k] = True
             places = places[:1]
-        out += [(int(min(no[k], no[p])), int(max(no[k], no[p]))) for p in places]
-    return out + [(int(no[k]), int(no[k])) for k in active]
+        out += [(min(int(no[k]), p), max(int(no[k]), p)) for p in no[places].tolist()]
+    return out + [(p, p) for p in no[active].tolist()]
+
+
+def _small_tile_pairs(tile: dict[str, np.ndarray], maps: list[int], percent: int) -> list[tuple[int, int]]:
+    own, x, y, no, n = (tile[c].tolist() for c in ("own", "x", "y", "no", "n"))
+    roots = tile["root"].tolist() if "root" in tile else None
+    out: list[tuple[int, int]] = []
+    active: set[int] = set()
+    for k in range(1, len(no)):
+        first = True
+        for p in range(k):
+            if (
+                (own[p] or own[k])
+                and ((x[p] and y[k]) or (y[p] and x[k]))
+                and no[p] != no[k]
+                and (roots is None or roots[p] != roots[k])
+                and 100 * n[p] >= percent * n[k]
+                and 100 * n[k] >= percent * n[p]
+                and may_link(maps[k], maps[p], n[k], n[p], percent)
+            ):
+                if roots is None:
+                    active.update((no[p], no[k]))
+                if roots is not None or first:
+                    out.append((min(no[k], no[p]), max(no[k], no[p])))
+                first = False
+    return out + [(p, p) for p in active]
 
 
 def linked(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
@@ -333,7 +374,7 @@ def join(
     maps = sets.select("no", "n", "bits")
 
     small_batches(spark, 10_000)  # rows are short here
-    first = written(_by_tile(met.join(maps, "no"), lambda tile: _tile_pairs(tile, percent, None)), "pairs")
+    first = written(_by_tile(met.join(maps, "no"), percent), "pairs")
     small_batches(spark)
     active = first.where("a = b").select(F.col("a").alias("no"))
     shingles = written(_candidate_shingles(plain, sets, active), "shingles")
@@ -342,7 +383,7 @@ def join(
     known = met.join(active, "no", "left_semi").join(roots.withColumnRenamed("node", "no"), "no", "left")
     known = known.withColumn("root", F.coalesce("root", "no")).join(maps, "no")
     small_batches(spark, 10_000)
-    more = written(_by_tile(known, lambda tile: _tile_pairs(tile, percent, tile["root"].to_numpy(np.int64))), "pairs")
+    more = written(_by_tile(known, percent), "pairs")
     small_batches(spark)
     more_links = written(linked(more.join(first, ["a", "b"], "left_anti"), shingles, percent), "links")
 
