@@ -104,8 +104,8 @@ def shingle_set(words: np.ndarray, n: int = N) -> np.ndarray:
 
 
 def bitmap_bits(size: int) -> int:
-    """Width of a set's bitmap: one to two bits a shingle, a power of two."""
-    return max(64, 1 << (size - 1).bit_length())
+    """Width of a set's bitmap: two to four bits a shingle, a power of two."""
+    return max(64, 1 << (2 * size - 1).bit_length())
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
@@ -124,10 +124,9 @@ def folded(data: bytes, size: int) -> int:
     return x
 
 
-def may_link(a: int, b: int, n_a: int, n_b: int, percent: int) -> bool:
-    """Whether the sets can reach the threshold: each bit of one map that the other lacks is a shingle it lacks."""
-    overlap = min(n_a - (a & ~b).bit_count(), n_b - (b & ~a).bit_count())
-    return 100 * overlap >= percent * (n_a + n_b - overlap)
+def most_overlap(a: int, b: int, n_a: int, n_b: int) -> int:
+    """A bound of the sets' overlap from their bitmaps: each bit of one that the other lacks is a shingle it lacks."""
+    return min(n_a - (a & ~b).bit_count(), n_b - (b & ~a).bit_count())
 
 
 def sketch(docs: DataFrame, text: str) -> np.ndarray:
@@ -205,14 +204,22 @@ def distinct_sets(docs: DataFrame, doc_id: str, text: str, percent: int) -> Data
 
 
 def tiles(sets: DataFrame, percent: int) -> DataFrame:
-    """Rows (h, band, i, j, own, x, y, no): the sets that share shingle `h`, in tiles of sizes near each other.
+    """Rows (h, band, i, j, own, x, y, no, place): the sets that share shingle `h`, in tiles of sizes near each other;
+    `place` is the shingle's in the set's order.
 
     A tile of band b holds the sets of b (own) and of b + 1. Groups above TILE_ROWS are cut into blocks of that size;
     tile (i, j) holds two blocks, x and y saying which of them a row is of. Groups of rare shingles are small and are
     counted where they meet; those of frequent ones are counted before, so that no task holds a whole one.
     """
     own_band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(percent / 100)) + 1e-9).cast("int")
-    postings = lambda c: sets.select(F.explode(c).alias("h"), own_band.alias("_band"), "no")
+    before = {"rare": F.lit(0), "frequent": F.size("rare")}
+
+    def postings(column: str) -> DataFrame:
+        rows = sets.select(
+            F.posexplode(column).alias("_at", "h"), own_band.alias("_band"), "no", before[column].alias("_from")
+        )
+        return rows.select("h", "_band", "no", (F.col("_at") + F.col("_from")).alias("place"))
+
     rare = postings("rare").withColumn("rows", F.count("*").over(Window.partitionBy("h"))).where("rows > 1")
     often = postings("frequent")
     groups = often.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1")
@@ -240,35 +247,45 @@ def tiles(sets: DataFrame, percent: int) -> DataFrame:
             (F.col("_block") <= F.col("_other")).alias("x"),
             (F.col("_block") >= F.col("_other")).alias("y"),
             "no",
+            "place",
         )
     )
 
 
 TILE = ["h", "band", "i", "j"]
-PAIRS = "a long, b long"
+PAIRS = "a long, b long, bound int"
 
 
-COLUMNS = {"own": bool, "x": bool, "y": bool, "no": np.int64, "n": np.int64, "root": np.int64, "bits": object}
+COLUMNS = {
+    "own": bool, "x": bool, "y": bool, "no": np.int64, "place": np.int64, "n": np.int64, "root": np.int64, "bits": object,
+}
 SMALL_TILE = 16
+PARTNERS = 4  # that a set is checked with before components are known
+SEEN_PAIRS = 300_000  # that a task remembers, to send a pair once
 
 
 def _by_tile(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of every tile that may reach the threshold. Tiles are read in order, so that a task holds one batch and one
     tile.
 
-    Without a column `root`: each set with the first possible partner before it, and (no, no) for every set with any
-    possible partner. With it: all possible pairs of sets with different roots.
+    Without a column `root`: each set with the likeliest partner before it, and (no, no) for every set with any possible
+    partner. With it: all possible pairs of sets with different roots. `bound` is a bound of the similarity, in
+    thousandths.
     """
     given = [c for c in COLUMNS if c in rows.columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = {c: np.empty(0, dtype=COLUMNS[c]) for c in given}
         rest_keys = np.empty((0, len(TILE)), dtype=np.int64)
+        seen: set[tuple[int, int, int]] = set()
 
         def pairs(end: int, cuts: np.ndarray) -> pd.DataFrame:
-            found = [p for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()) if b - a > 1 and b <= end
-                     for p in _tile_pairs({c: v[a:b] for c, v in rest.items()}, percent)]
-            return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+            found = {p for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()) if b - a > 1 and b <= end
+                     for p in _tile_pairs({c: v[a:b] for c, v in rest.items()}, percent)} - seen
+            if len(seen) + len(found) > SEEN_PAIRS:
+                seen.clear()
+            seen.update(found)
+            return pd.DataFrame(sorted(found), columns=["a", "b", "bound"], dtype="int64")
 
         for batch in batches:
             rest = {c: np.concatenate([rest[c], batch[c].to_numpy(COLUMNS[c])]) for c in given}
@@ -283,16 +300,18 @@ def _by_tile(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.select(*TILE, *given).mapInPandas(run, PAIRS).distinct()
 
 
-def _tile_pairs(tile: dict[str, np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A pair has a set of the tile's own band and, in a tile of two blocks, one of each."""
+def _tile_pairs(tile: dict[str, np.ndarray], percent: int) -> list[tuple[int, int, int]]:
+    """A pair has a set of the tile's own band and, in a tile of two blocks, one of each. The places of the tile's
+    shingle bound the overlap too, if it is the first that the sets share; where it is not, the pair is met there."""
     size = min(map(len, tile["bits"]))
     maps = [folded(b, size) for b in tile["bits"]]
     if len(maps) <= SMALL_TILE:
         return _small_tile_pairs(tile, maps, percent)
     own, x, y, no, n = (tile[c] for c in ("own", "x", "y", "no", "n"))
+    left = n - tile["place"]
     roots = tile.get("root")
     words = np.array([np.frombuffer(m.to_bytes(size, "little"), dtype="<u8") for m in maps])
-    out: list[tuple[int, int]] = []
+    out: list[tuple[int, int, int]] = []
     active = np.zeros(len(maps), dtype=bool)
     for k in range(1, len(maps)):
         near = (own[:k] | own[k]) & ((x[:k] & y[k]) | (y[:k] & x[k])) & (no[:k] != no[k])
@@ -305,21 +324,27 @@ def _tile_pairs(tile: dict[str, np.ndarray], percent: int) -> list[tuple[int, in
         mine, theirs = words[k], words[places]
         lack = n[k] - np.bitwise_count(mine & ~theirs).sum(axis=1, dtype=np.int64)
         overlap = np.minimum(lack, n[places] - np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64))
-        places = places[100 * overlap >= percent * (n[k] + n[places] - overlap)]
+        overlap = np.minimum(overlap, np.minimum(left[k], left[places]))
+        union = n[k] + n[places] - overlap
+        may = 100 * overlap >= percent * union
+        places, bound = places[may], 1000 * overlap[may] // union[may]
         if roots is None and len(places):
             active[places] = active[k] = True
-            places = places[:1]
-        out += [(min(int(no[k]), p), max(int(no[k]), p)) for p in no[places].tolist()]
-    return out + [(p, p) for p in no[active].tolist()]
+            best = int(np.argmax(bound))
+            places, bound = places[best : best + 1], bound[best : best + 1]
+        mine_no = int(no[k])
+        out += [(min(mine_no, p), max(mine_no, p), s) for p, s in zip(no[places].tolist(), bound.tolist(), strict=True)]
+    return out + [(p, p, 1000) for p in no[active].tolist()]
 
 
-def _small_tile_pairs(tile: dict[str, np.ndarray], maps: list[int], percent: int) -> list[tuple[int, int]]:
+def _small_tile_pairs(tile: dict[str, np.ndarray], maps: list[int], percent: int) -> list[tuple[int, int, int]]:
     own, x, y, no, n = (tile[c].tolist() for c in ("own", "x", "y", "no", "n"))
+    left = (tile["n"] - tile["place"]).tolist()
     roots = tile["root"].tolist() if "root" in tile else None
-    out: list[tuple[int, int]] = []
+    out: list[tuple[int, int, int]] = []
     active: set[int] = set()
     for k in range(1, len(no)):
-        first = True
+        found = []
         for p in range(k):
             if (
                 (own[p] or own[k])
@@ -328,14 +353,17 @@ def _small_tile_pairs(tile: dict[str, np.ndarray], maps: list[int], percent: int
                 and (roots is None or roots[p] != roots[k])
                 and 100 * n[p] >= percent * n[k]
                 and 100 * n[k] >= percent * n[p]
-                and may_link(maps[k], maps[p], n[k], n[p], percent)
             ):
-                if roots is None:
-                    active.update((no[p], no[k]))
-                if roots is not None or first:
-                    out.append((min(no[k], no[p]), max(no[k], no[p])))
-                first = False
-    return out + [(p, p) for p in active]
+                overlap = min(most_overlap(maps[k], maps[p], n[k], n[p]), left[k], left[p])
+                union = n[k] + n[p] - overlap
+                if 100 * overlap >= percent * union:
+                    found.append((1000 * overlap // union, p))
+        if found and roots is None:
+            active.update(no[p] for _, p in found)
+            active.add(no[k])
+            found = [max(found)]
+        out += [(min(no[k], no[p]), max(no[k], no[p]), s) for s, p in found]
+    return out + [(p, p, 1000) for p in active]
 
 
 def linked(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
@@ -376,16 +404,20 @@ def join(
     small_batches(spark, 10_000)  # rows are short here
     first = written(_by_tile(met.join(maps, "no"), percent), "pairs")
     small_batches(spark)
-    active = first.where("a = b").select(F.col("a").alias("no"))
+    active = first.where("a = b").select(F.col("a").alias("no")).distinct()
     shingles = written(_candidate_shingles(plain, sets, active), "shingles")
-    links = written(linked(first.where("a < b"), shingles, percent), "links")
+    # a few likely partners of each set are enough to connect most groups
+    likely = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("bound")).alias("bound"), "a"))), 1, PARTNERS)
+    first = first.where("a < b").groupBy("b").agg(likely.alias("likely"))
+    first = written(first.select(F.explode("likely.a").alias("a"), "b").distinct(), "pairs")
+    links = written(linked(first, shingles, percent), "links")
     roots = written(components(links), "roots")
     known = met.join(active, "no", "left_semi").join(roots.withColumnRenamed("node", "no"), "no", "left")
     known = known.withColumn("root", F.coalesce("root", "no")).join(maps, "no")
     small_batches(spark, 10_000)
     more = written(_by_tile(known, percent), "pairs")
     small_batches(spark)
-    more_links = written(linked(more.join(first, ["a", "b"], "left_anti"), shingles, percent), "links")
+    more_links = written(linked(more.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), shingles, percent), "links")
 
     roots = components(links.union(more_links))
     rooted = sets.select("digest", "no").join(roots.withColumnRenamed("node", "no"), "no", "left")
