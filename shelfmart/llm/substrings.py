@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from shelfmart.llm.common import small_batches, table, text_bytes
 
 LENGTH, GRAM = 50, 20
-BLOCK_BYTES = 3 << 20
-BLOCKS_A_BUCKET = 2  # about so many blocks' anchors meet in a bucket
+BLOCK_BYTES = 3 << 19
+BLOCKS_A_BUCKET = 4  # about so many blocks' anchors meet in a bucket
 HOT_BLOCKS = 2_000  # an anchor in more blocks sends its windows one by one, to buckets of their own hash
-PIECE = 1 << 18  # window starts hashed at once
-PLACE_BITS = 19
+PIECE = 1 << 17  # window starts hashed at once
+PLACE_BITS = 18
 WINDOWS_AT_ONCE = 200_000  # sorted together, where one anchor has no more
 BASE = 0x9E3779B97F4A7C15  # odd, of the polynomial hash modulo 2^64
 UNIQUE, REPEATED, HOT = 0, 1, 2
