@@ -151,10 +151,11 @@ class Block:
 
     def questions(self) -> list[tuple[int, bytes]]:
         """Per bucket: the block's anchors, the lowest bit set where two of its documents have it."""
-        first, last = np.full(len(self.hashes), np.iinfo(np.int64).max), np.full(len(self.hashes), -1)
-        np.minimum.at(first, self.which, self.anchors.doc)
-        np.maximum.at(last, self.which, self.anchors.doc)
-        shared = (self.ids[first] != self.ids[last]) if len(first) else np.empty(0, bool)
+        ids, bounds = self.ids[self.anchors.doc], np.iinfo(np.int64)
+        least, greatest = np.full(len(self.hashes), bounds.max), np.full(len(self.hashes), bounds.min)
+        np.minimum.at(least, self.which, ids)
+        np.maximum.at(greatest, self.which, ids)
+        shared = least != greatest
         return _blobs(self.hashes | shared.astype(U64), _bucket(self.hashes, self.buckets))
 
     def stretches(self, codes: np.ndarray) -> None:

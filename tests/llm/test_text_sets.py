@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,6 +178,13 @@ def test_repeated_substrings(spark, edge_rows, monkeypatch, hot):
     assert substrings.deduplicate(docs.limit(0)).count() == 0
 
 
+def test_anchors_of_repeated_rows_are_shared_in_any_order():
+    for ids in ([1, 2, 1], [1, 1, 2], [2, 1, 2], [5, 5, 5]):
+        rows = pd.DataFrame({"k": ids, "t": [prose(2, 120)] * 3, "named": [True] * 3})
+        asked = np.concatenate([np.frombuffer(data, dtype=np.uint64) for _, data in substrings.Block(rows, 1).questions()])
+        assert len(asked) and (asked & np.uint64(1) == (len(set(ids)) > 1)).all(), ids
+
+
 def test_suffix_order_and_collisions(monkeypatch):
     rng = random.Random(4)
     texts = [bytes(rng.choice(b"ab") for _ in range(60)) for _ in range(40)]
