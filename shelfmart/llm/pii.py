@@ -20,8 +20,9 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-# A token's rest from its first digit or at sign on; what stands before that in the token is added afterwards.
-CANDIDATE = r"[0-9@]\S{4,127}+"
+# A whole token with a digit or an at sign, of any length from LEAST_CANDIDATE on.
+CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+LEAST_CANDIDATE = 4  # characters; shorter tokens are counts, days and list numbers
 CANDIDATE_KIND = len(KINDS)
 CONTEXT_WORDS, CONTEXT_CHARS = 2, 48
 MASKS = [f"<{kind}>" for kind in KINDS]
@@ -80,19 +81,9 @@ def _before(text: Column, start: Column, chars: int) -> Column:
 
 
 def token_spans(text: Column) -> Column:
-    """Tokens with a digit or an at sign, widened to the left by up to 64 characters of the token."""
-    found = spans(text, CANDIDATE_KIND, CANDIDATE, lambda m: F.lit(True), F.rlike(text, F.lit("[0-9@]")))
-
-    def widened(s: Column) -> Column:
-        left = F.regexp_extract(_before(text, s["start"], 64), r"\S*$", 0)
-        return F.struct(
-            s["kind"],
-            (s["start"] - F.length(left)).alias("start"),
-            s["end"],
-            F.concat(left, s["value"]).alias("value"),
-        )
-
-    return F.transform(found, widened)
+    """Whole tokens with a digit or an at sign."""
+    long_enough = lambda m: F.length(m) >= LEAST_CANDIDATE
+    return spans(text, CANDIDATE_KIND, CANDIDATE, long_enough, F.rlike(text, F.lit("[0-9@]")))
 
 
 def _with_context(text: Column, found: Column) -> Column:

@@ -70,6 +70,21 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert masked[1] == rows[1][1].replace("user1@mail.example.org", "<email>")
 
 
+def test_candidates_are_whole_tokens_of_any_length(spark):
+    unseen = ["EMP-0042", "AB1234", "KX99", "user12", "@joe", "k" * 200 + "@" + "7" * 300]
+    rows = [(i, f"filler contact mail: user{i}@mail.example.org end") for i in range(60)]
+    rows += [(100 + k, f"reach contact mail: {token} now") for k, token in enumerate(unseen)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.find(docs).collect()}
+    for k, token in enumerate(unseen):
+        assert [(s.kind, s.start, s.value) for s in out[100 + k].found] == [(0, 20, token)]
+    # short identifiers count in a context's total: 5 emails of 8 instances are no share of 0.9
+    rows = [(i, f"filler order by: user{i}@mail.example.org end") for i in range(5)]
+    rows += [(10 + i, f"filler order by: EMP-00{i} end") for i in range(3)]
+    out = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(len(r.found) == (r.doc_id < 5) for r in out)
+
+
 def _columns():
     from pyspark.sql import functions as F
 
