@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
+    # Recursive queries end when a level adds nothing, after any number of rows.
+    "spark.sql.cteRecursionRowLimit": "-1",
 }
 
 

@@ -29,6 +29,15 @@ def test_categories_resolve_parents_and_drop_orphans(spark):
     assert rows(rejected(dimensions.flag_categories(staged)).select("category_id", "violation")) == [(8, "name_null")]
 
 
+def test_trees_of_more_than_a_million_categories(spark):
+    n = 1_000_100
+    tree = spark.range(1, n + 1).selectExpr("cast(id as int) category_id", "if(id % 2 = 1, 0, cast(id - 1 as int)) parent_id", "0 sort_order", "'c' name")
+    lost = spark.createDataFrame([(n + 1, n + 2, 1, "X")], CATEGORY)
+    staged = tree.select("category_id", "parent_id", "sort_order", "name").unionAll(lost)
+    assert dimensions.categories(staged).count() == n
+    assert rows(dimensions.unrooted_categories(staged).select("category_id")) == [(n + 1,)]
+
+
 def test_category_may_change_between_root_and_child(spark):
     first = dimensions.categories(spark.createDataFrame([(1, 0, 1, "A"), (2, 1, 2, "B")], CATEGORY))
     second = dimensions.categories(spark.createDataFrame([(1, 2, 5, "A2"), (2, 0, 6, "B2")], CATEGORY), first)
