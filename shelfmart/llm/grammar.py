@@ -25,10 +25,8 @@ from shelfmart.session import shared_dir
 END_ID = 1
 BLOCK_IDS = 3 << 17
 SHARD_BYTES = 32 << 20  # of text
-ROUNDS = 5
-SLOT_BITS = 18
-PAIRS_A_ROUND = 2048
-LEAST_PAIRS = 64  # how often a pair must occur to become a rule
+LEAST_PAIRS = 2  # how often a pair must occur, without overlap, to become a rule
+NO_PAIR = np.uint64(0xFFFFFFFFFFFFFFFF)
 FILE_SCHEMA = (
     "shard int, block long, first_id long, n_ids long, doc_ids array<string>, doc_lengths array<long>, "
     "first_rule long, rules binary, rule_lengths binary, symbols binary"
@@ -43,72 +41,80 @@ class Grammar:
     symbols: np.ndarray
 
 
-def _slots(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Neighbouring symbols as one number each, and their slots in a table of pairs."""
-    pairs = seq[:-1].astype(np.uint64)
+def _pairs_of(seq: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The symbols at the places `at` and the next ones as one number each. Of a run of equal symbols every second
+    place alone is a pair; the other places get NO_PAIR."""
+    pairs = seq[at].astype(np.uint64)
     pairs <<= np.uint64(32)
-    pairs |= seq[1:]
-    return pairs, ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-
-
-def _frequent_pairs(pairs: np.ndarray, slots: np.ndarray) -> list[tuple[int, int, int]]:
-    """(count, left, right) of the most frequent neighbours, most frequent first. A slot counts one pair of those that
-    fall into it, exactly; the others wait for a later round."""
-    held = np.zeros(1 << SLOT_BITS, dtype=np.uint64)
-    held[slots] = pairs
-    counts = np.bincount(slots[held[slots] == pairs], minlength=1 << SLOT_BITS)
-    often = np.flatnonzero(counts >= LEAST_PAIRS)
-    values, n = held[often], counts[often]
-    order = np.lexsort((values, -n))[:PAIRS_A_ROUND]
-    return [(int(c), int(v >> np.uint64(32)), int(v & np.uint64(0xFFFFFFFF))) for c, v in zip(n[order], values[order])]
-
-
-def _chosen(found: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Pairs that can be replaced at once: no symbol is the left of one and the right of another, so that places of
-    different pairs never overlap. A pair of equal symbols is taken only as the most frequent one, alone."""
-    if found and found[0][1] == found[0][2]:
-        return [found[0][1:]]
-    lefts, rights, out = set(), set(), []
-    for _, left, right in found:
-        if left != right and left not in rights and right not in lefts:
-            lefts.add(left)
-            rights.add(right)
-            out.append((left, right))
-    return out
-
-
-def _replaced(seq: np.ndarray, pairs: np.ndarray, slots: np.ndarray, chosen: list, first: int) -> np.ndarray:
-    keys = np.array([(a << 32) | b for a, b in chosen], dtype=np.uint64)
-    mine = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-    rule = np.full(1 << SLOT_BITS, -1, dtype=np.int64)
-    rule[mine] = np.arange(len(keys))
-    which = rule[slots]
-    places = np.flatnonzero(which >= 0)
-    places = places[keys[which[places]] == pairs[places]]
-    if chosen[0][0] == chosen[0][1]:  # every second place of a run
-        start = np.r_[True, np.diff(places) > 1]
-        nth = np.arange(len(places)) - np.maximum.accumulate(np.where(start, np.arange(len(places)), 0))
-        places = places[nth % 2 == 0]
-    out = seq.copy()
-    out[places] = first + which[places]
-    keep = np.ones(len(seq), dtype=bool)
-    keep[places + 1] = False
-    return out[keep]
-
-
-def compress(ids: np.ndarray, first_rule: int, rounds: int = ROUNDS) -> Grammar:
-    """Replace the most frequent pairs by rules, round by round, until a round finds none."""
+    pairs |= seq[at + 1]
+    same = at[seq[at] == seq[at + 1]]
+    if len(same):
+        run = np.flatnonzero(np.r_[True, np.diff(same) > 1])
+        nth = np.arange(len(same)) - np.repeat(run, np.diff(np.r_[run, len(same)]))
+        pairs[np.searchsorted(at, same[nth % 2 == 1])] = NO_PAIR
+    return pairs
+
+
+def _frequent(pairs: np.ndarray, least: int) -> np.ndarray:
+    """The pairs that occur `least` times, most frequent first."""
+    ordered = np.sort(pairs[pairs != NO_PAIR])
+    begin = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.empty(0, np.int64)
+    counts = np.diff(np.r_[begin, len(ordered)])
+    often = counts >= least
+    values, counts = ordered[begin[often]], counts[often]
+    return values[np.argsort(-counts, kind="stable")]
+
+
+def _chosen(found: np.ndarray, symbols: int) -> np.ndarray:
+    """Of pairs, most frequent first, those replaced at once: a symbol is left or right as in the most frequent pair
+    that has it, and a pair is taken where both its symbols agree, so that places of different pairs never overlap. A
+    pair of equal symbols is taken where no more frequent pair has them. The first pair is always taken."""
+    left, right = (found >> np.uint64(32)).astype(np.int64), (found & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    rank = np.arange(len(found))
+    as_left, as_right = np.full(symbols, len(found)), np.full(symbols, len(found))
+    as_left[left[::-1]], as_right[right[::-1]] = rank[::-1], rank[::-1]  # the last value stays
+    apart = (as_left[left] < as_right[left]) & (as_right[right] < as_left[right])
+    alone = (left == right) & (as_left[left] == rank) & (as_right[left] == rank)
+    return found[apart | alone]
+
+
+def compress(ids: np.ndarray, first_rule: int, least: int = LEAST_PAIRS) -> Grammar:
+    """Replace frequent pairs by rules, round by round, until no pair occurs `least` times.
+
+    A pair that is too rare stays so where its symbols stay, so a round looks only at `open_`, the places where the last
+    one found a frequent pair or changed a symbol of theirs.
+    """
     seq = ids.astype(np.uint32)
-    rules: list[tuple[int, int]] = []
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        pairs, slots = _slots(seq)
-        chosen = _chosen(_frequent_pairs(pairs, slots))
-        if not chosen:
+    made: list[np.ndarray] = []
+    symbols = first_rule
+    open_ = np.ones(max(len(seq) - 1, 0), dtype=bool)
+    while open_.any():
+        at = np.flatnonzero(open_)
+        pairs = _pairs_of(seq, at)
+        found = _frequent(pairs, least)
+        if not len(found):
             break
-        seq = _replaced(seq, pairs, slots, chosen, first_rule + len(rules))
-        rules += chosen
+        ordered = np.sort(found)
+        index = np.minimum(np.searchsorted(ordered, pairs), len(ordered) - 1)
+        frequent = ordered[index] == pairs
+        chosen = _chosen(found, symbols)
+        rule = np.full(len(ordered), -1)
+        rule[np.searchsorted(ordered, chosen)] = np.arange(len(chosen))
+        which = np.where(frequent, rule[index], -1)
+        places, which = at[which >= 0], which[which >= 0]
+        seq[places] = symbols + which
+        keep = np.ones(len(seq), dtype=bool)
+        keep[places + 1] = False
+        open_[at] = frequent | (pairs == NO_PAIR)
+        open_ = np.r_[open_, False]
+        open_[places] = True
+        seq, open_, new = seq[keep], open_[keep], np.flatnonzero(seq[keep] >= symbols)
+        open_[new[new > 0] - 1] = True
+        open_ = open_[:-1]
+        made.append(chosen)
+        symbols += len(chosen)
+    flat = np.concatenate(made) if made else np.empty(0, dtype=np.uint64)
+    rules = list(zip((flat >> np.uint64(32)).tolist(), (flat & np.uint64(0xFFFFFFFF)).tolist()))
     lengths: list[int] = []
     size = lambda s: 1 if s < first_rule else lengths[s - first_rule]
     for left, right in rules:

@@ -133,6 +133,25 @@ def test_grammar_round_trips():
     assert len(grammar.compress(np.tile(np.arange(9), 400), 50_000).symbols) < 500
 
 
+def test_grammar_ends_when_no_pair_occurs_twice():
+    rng = np.random.default_rng(1)
+    passage = rng.integers(0, 40_000, 1000)
+    copies = np.concatenate([passage, [40_001], passage, [40_002], passage])
+    g = grammar.compress(copies, 50_000)
+    assert len(g.symbols) == 5 and g.rule_lengths.max() == 1000  # before: no rule
+    words = np.tile(rng.integers(0, 300, 3000), 3)
+    for ids in (rng.integers(0, 5, 3000), np.zeros(999, int), words, np.r_[np.zeros(500, int), words]):
+        g = grammar.compress(ids, 50_000)
+        assert grammar.expand(g).tolist() == ids.tolist()
+        seen, last, symbols = Counter(), {}, g.symbols.tolist()
+        for k, pair in enumerate(zip(symbols, symbols[1:])):
+            if last.get(pair) != k - 1 or pair[0] != pair[1]:
+                seen[pair] += 1
+                last[pair] = k
+        assert max(seen.values(), default=0) < 2
+        assert len({tuple(r) for r in g.rules.tolist()}) == len(g.rules)
+
+
 def test_token_files_of_edge_rows(spark, coder, edge_docs, edge_rows, tmp_path):
     grammar.write(edge_docs, str(tmp_path / "ids"), tokenizer_path())
     rows = grammar.read(spark, str(tmp_path / "ids")).orderBy("start").collect()
