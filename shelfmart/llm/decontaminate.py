@@ -4,8 +4,10 @@ The automaton holds every substring of the items' word sequences. Document words
 knows the longest stretch of words that ends there and occurs in an item. Where that is at least `WINDOW` words, or a
 whole shorter item, the stretch is hit, and the state reached names the items.
 
-Items go into automata of bounded size by a hash of their id. The documents stream through one after the other, so
-neither the driver nor a task ever holds more of the benchmark than one automaton's share.
+Items go into parts of bounded size by a hash. A task builds the automaton of one part and streams its documents through;
+with several parts the documents are read once a part, and what the parts found is written and united by row. So
+neither the driver nor a task holds more of the benchmark than one part, which is larger than its share only for an item
+that is.
 """
 
 from __future__ import annotations
@@ -14,14 +16,16 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmart.llm.common import small_batches, table, text_bytes
+from shelfmart.llm.common import small_batches, table, text_bytes, written
 
 WINDOW = 13
 COVERAGE = 20  # a document is contaminated when one word in this many is hit
 AUTOMATON_BYTES = 1 << 19  # of item text in one automaton
 # On UTF-8 bytes, where lower() changes A to Z alone and every byte of another character is in the class.
+STRETCHES = "array<struct<start:int,end:int>>"
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -130,13 +134,15 @@ class SuffixAutomaton:
         return [(a, b) for a, b in stretches], items
 
 
-def _parts(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items' words, in parts of bounded size; an item is whole in one part."""
+def _parts(benchmark: DataFrame, item_id: str, text: str) -> list[DataFrame]:
+    """The items in parts of bounded size; an item is whole in one part, repeated rows are there once."""
     n = max(1, -(-text_bytes(benchmark, text) // AUTOMATON_BYTES))
-    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("body"))
-    for k in range(n):
-        mine = items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k) if n > 1 else items
-        yield [(r["item"], words_of(r["body"])) for r in mine.collect() if r["item"] is not None]
+    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("body")).where("item IS NOT NULL")
+    if n == 1:
+        return [items.distinct()]
+    part = F.pmod(F.xxhash64("item", "body"), F.lit(n))
+    parted = written(items.withColumn("part", part), "decontamination-items")
+    return [parted.where(F.col("part") == k).select("item", "body").distinct() for k in range(n)]
 
 
 def matches(
@@ -153,35 +159,86 @@ def matches(
     spark = docs.sparkSession
     new = ["n_words", "n_hit", "stretches", "item_ids", "contaminated"]
     kept = [c for c in (docs.columns if doc_columns is None else doc_columns) if c not in new]
-    automata = [
-        spark.sparkContext.broadcast(SuffixAutomaton(part, window)) for part in _parts(benchmark, item_id, item_text)
-    ]
+    parts = _parts(benchmark, item_id, item_text)
+    small_batches(spark)
+    if len(parts) == 1:
+        items = _broadcast(spark, parts[0])
 
-    def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            out = []
-            for body in texts:
-                words = words_of(body)
-                places: list[tuple[int, int]] = []
-                names: set[str] = set()
-                for automaton in automata:
-                    found, items = automaton.value.hits(words)
-                    places += found
-                    names.update(automaton.value.names[k] for k in items)
-                if len(automata) > 1:
-                    places = _united(places)
-                n_hit = sum(b - a for a, b in places)
-                stretches = [{"start": a, "end": b} for a, b in places]
-                out.append((len(words), n_hit, stretches, sorted(names), 0 < n_hit and coverage * n_hit >= len(words)))
-            yield pd.DataFrame(out, columns=new)
+        def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            automaton = _automaton(items.value, window)
+            for texts in batches:
+                out = []
+                for body in texts:
+                    n_words, places, names = _matched(automaton, body)
+                    n_hit = sum(b - a for a, b in places)
+                    stretches = [{"start": a, "end": b} for a, b in places]
+                    out.append((n_words, n_hit, stretches, names, 0 < n_hit and coverage * n_hit >= n_words))
+                yield pd.DataFrame(out, columns=new)
 
-    small_batches(spark)
-    kind = (
-        "n_words long, n_hit long, stretches array<struct<start:int,end:int>>, item_ids array<string>, "
-        "contaminated boolean"
+        kind = f"n_words long, n_hit long, stretches {STRETCHES}, item_ids array<string>, contaminated boolean"
+        found = F.pandas_udf(search, f"struct<{kind}>")
+        return docs.select(*kept, found(F.col(text)).alias("_found")).select(*kept, "_found.*")
+
+    # Row numbers are written, so that they are the same for every part.
+    numbered = docs.select(*kept, F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_row"))
+    rows = written(numbered, "decontamination-rows")
+    every = None
+    for k, part in enumerate(parts):
+        found = _found_in_part(rows, part, window, all_rows=k == 0)
+        every = found if every is None else every.unionAll(found)
+    unite = F.pandas_udf(lambda column: column.map(_united_stretches), STRETCHES)
+    lists = every.groupBy("_row").agg(
+        F.max("n_words").alias("n_words"),
+        F.flatten(F.collect_list("stretches")).alias("_places"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
+    )
+    found = written(lists.select("_row", "n_words", unite("_places").alias("stretches"), "item_ids"), "decontamination-found")
+    n_hit = F.aggregate("stretches", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    hit = (F.col("n_hit") > 0) & (F.lit(coverage) * F.col("n_hit") >= F.col("n_words"))
+    return (
+        rows.select(*kept, "_row")
+        .join(found, "_row")
+        .withColumn("n_hit", n_hit)
+        .select(*kept, "n_words", "n_hit", "stretches", "item_ids", hit.alias("contaminated"))
     )
-    found = F.pandas_udf(search, f"struct<{kind}>")
-    return docs.select(*kept, found(F.col(text)).alias("_found")).select(*kept, "_found.*")
+
+
+def _broadcast(spark: SparkSession, part: DataFrame) -> Broadcast:
+    return spark.sparkContext.broadcast([(r["item"], r["body"]) for r in part.collect()])
+
+
+def _automaton(items: list[tuple[str, str | None]], window: int) -> SuffixAutomaton:
+    return SuffixAutomaton([(item, words_of(body)) for item, body in items], window)
+
+
+def _matched(automaton: SuffixAutomaton, body: str | None) -> tuple[int, list[tuple[int, int]], list[str]]:
+    words = words_of(body)
+    places, items = automaton.hits(words)
+    return len(words), places, sorted({automaton.names[k] for k in items})
+
+
+def _found_in_part(rows: DataFrame, part: DataFrame, window: int, all_rows: bool) -> DataFrame:
+    """Written rows (`_row`, n_words, stretches, item_ids) that the part's items hit, or all rows."""
+    items = _broadcast(rows.sparkSession, part)
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = _automaton(items.value, window)
+        for batch in batches:
+            out = []
+            for row, body in zip(batch["_row"], batch["_text"], strict=True):
+                n_words, places, names = _matched(automaton, body)
+                if all_rows or places:
+                    out.append((row, n_words, [{"start": a, "end": b} for a, b in places], names))
+            yield pd.DataFrame(out, columns=["_row", "n_words", "stretches", "item_ids"])
+
+    kind = f"_row long, n_words long, stretches {STRETCHES}, item_ids array<string>"
+    found = written(rows.select("_row", "_text").mapInPandas(search, kind), "decontamination-part")
+    items.destroy()
+    return found
+
+
+def _united_stretches(stretches) -> list[dict[str, int]]:
+    return [{"start": a, "end": b} for a, b in _united([(s["start"], s["end"]) for s in stretches])]
 
 
 def _united(places: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark import Broadcast
 from pyspark.sql import functions as F
 
 from shelfmart.llm import components as C, decontaminate, jaccard, substrings, toxicity
@@ -65,6 +66,28 @@ def test_decontamination_of_edge_rows(spark, edge_docs, edge_rows, monkeypatch,
     assert decontaminate.matches(edge_docs, benchmark.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_one_part_of_a_benchmark_is_held_at_once(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "AUTOMATON_BYTES", 2000)
+    held, most, put, destroy = [], [], type(spark.sparkContext).broadcast, Broadcast.destroy
+
+    def record(self, value):
+        made = put(self, value)
+        held.append(made)
+        most.append(len(held))
+        return made
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", record)
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a: (held.remove(self), destroy(self, *a)))
+    items = [(k, prose(500 + k, 60)) for k in range(30)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    both = " ".join(items[0][1].split()[:20] + items[1][1].split()[:20])
+    docs = spark.createDataFrame([(1, both), (2, prose(900, 50)), (3, None)], "doc_id long, text string")
+    out = {r.doc_id: r for r in decontaminate.matches(docs, benchmark).collect()}
+    assert (out[1].n_words, out[1].n_hit, out[1].item_ids, out[1].contaminated) == (40, 40, ["0", "1"], True)
+    assert (out[2].n_hit, out[3].n_words) == (0, 0)
+    assert len(most) > 3 and max(most) == 1
+
+
 def test_stretches_are_cut_out():
     text = "Äb, eins zwei drei! vier"
     assert decontaminate.words_of(text) == ["Äb".encode(), b"eins", b"zwei", b"drei", b"vier"]
