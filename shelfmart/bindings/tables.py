@@ -499,7 +499,7 @@ STAGED = {
 
 
 def staged(spark, sf_dir, name: str) -> DataFrame:
-    """A staging table after a first load."""
+    """A staging table after a first load, stored once per session and data set."""
     read = shop_reader(spark, sf_dir)
     batches = {
         "orders": lambda: shop.coerce_orders(website_orders(spark, sf_dir)),
@@ -511,7 +511,8 @@ def staged(spark, sf_dir, name: str) -> DataFrame:
         "marketplace_orders": lambda: marketplace_orders(spark, sf_dir),
         "marketplace_order_lines": lambda: marketplace_lines(spark, sf_dir),
     }
-    return stage(None, batches[name](), STAGED[name], RUN_AT)
+    load = lambda path: stage(None, batches[name](), STAGED[name], RUN_AT).write.parquet(path)
+    return spark.read.parquet(_once(spark, sf_dir, f"staged-{name}", load))
 
 
 _WRITTEN: dict[tuple[str, str, str], object] = {}
@@ -543,8 +544,11 @@ def mart(spark: SparkSession, sf_dir: str) -> Mart:
     if key not in _WRITTEN:
         store = new_store(spark, sf_dir, "mart")
         for name, table in STAGED.items():
-            store.write(table.name, staged(spark, sf_dir, name))
+            rows = staged(spark, sf_dir, name)
+            if table.block is not None:
+                rows = rows.withColumn(staging.BLOCK, F.expr(f"{table.keys[0]} div {table.block}"))
+            store.write(table.name, rows, staging.BLOCK if table.block is not None else None)
         _WRITTEN[key] = refresh.transform(
             store, days(spark), seeds.sales_channels(spark), seeds.order_statuses(spark), RUN_AT, stock_statuses(spark)
-        )
+        ).mart
     return _WRITTEN[key]

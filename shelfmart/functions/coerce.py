@@ -39,7 +39,7 @@ def activity_label(flag: Column) -> Column:
     return F.when(flag == 1, "active").otherwise("inactive")
 
 
-def json_payload(*columns: str) -> Column:
+def json_payload(*columns: str | Column) -> Column:
     """The row as JSON text, NULL fields included."""
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 

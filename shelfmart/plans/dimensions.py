@@ -10,7 +10,7 @@ from shelfmart.functions.calendar import at
 from shelfmart.functions.coerce import activity_label
 from shelfmart.functions.keys import MARKETPLACE, WEBSITE, surrogate
 from shelfmart.operators.merge import insert_if_absent, merge_full
-from shelfmart.operators.quarantine import VIOLATION, accepted, flag, missing, too_long
+from shelfmart.operators.quarantine import VIOLATION, accepted, flag, missing, rejected, too_long
 from shelfmart.seeds import CANCELLED, COMPLETED, FALLBACK_CANCELLED, FALLBACK_COMPLETED, PROCESSING
 from shelfmart.sources.shop import LABEL_LANGUAGE
 
@@ -21,6 +21,37 @@ PRODUCT_UPDATES = ["title", "price", "quantity_in_stock", "stock_status", "statu
 CUSTOMER_UPDATES = ["customer_group"]
 
 CHANNEL_KEY = ["source_channel"]
+PUBLISHER_KEYS = ["publisher_id", "source_manufacturer_id"]
+CATEGORY_KEYS = ["category_id", "source_category_id", *CHANNEL_KEY]
+PRODUCT_KEYS = ["product_id", "source_product_id", *CHANNEL_KEY]
+CUSTOMER_KEYS = ["customer_id", "source_customer_id", *CHANNEL_KEY]
+
+
+ROW_HASH = "row_hash"
+
+# Dimensions are stored in blocks of this many source ids.
+DIM_BLOCK = "id_block"
+BLOCK_IDS = 1_000_000
+
+
+def stored_form(incoming: DataFrame, source_id: str, updates: list[str]) -> DataFrame:
+    """A dimension as stored: with its block of ids, and a hash of the columns a change would show in. The time of the
+    last update is not one of them."""
+    tracked = [F.col(c) for c in updates if c != "last_updated"]
+    # a hash passes over nulls, so which columns are null is hashed as well
+    row_hash = F.xxhash64(*tracked, *[c.isNull() for c in tracked])
+    return incoming.withColumns({DIM_BLOCK: F.expr(f"{source_id} div {BLOCK_IDS}"), ROW_HASH: row_hash})
+
+
+def changed_rows(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of `incoming` that are new or differ from what is stored; only keys and hashes of the table are read."""
+    known = stored.select(*keys, F.col(ROW_HASH).alias("_known"))
+    found = incoming.join(known, keys, "left")
+    return found.where(F.col("_known").isNull() | (F.col("_known") != F.col(ROW_HASH))).drop("_known")
+
+
+def public(stored: DataFrame) -> DataFrame:
+    return stored.drop(DIM_BLOCK, ROW_HASH)
 
 
 def _merged(existing: DataFrame | None, incoming: DataFrame, keys: list[str], updates: list[str]) -> DataFrame:
@@ -38,7 +69,7 @@ def publishers(manufacturers: DataFrame, existing: DataFrame | None = None) -> D
         "name",
         "description",
     )
-    return _merged(existing, incoming, ["publisher_id", "source_manufacturer_id"], PUBLISHER_UPDATES)
+    return _merged(existing, incoming, PUBLISHER_KEYS, PUBLISHER_UPDATES)
 
 
 def flag_categories(categories: DataFrame) -> DataFrame:
@@ -70,6 +101,12 @@ def unrooted_categories(staged: DataFrame) -> DataFrame:
     return lost.withColumn(VIOLATION, F.lit("no_root"))
 
 
+def rejected_categories(staged: DataFrame) -> DataFrame:
+    """All categories that are left out, with the reason."""
+    flagged = flag_categories(staged)
+    return rejected(flagged).unionByName(unrooted_categories(staged))
+
+
 def categories(staged: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Roots are age groups; a child takes its parent's key and name. Those of `unrooted_categories` are left out."""
     found = _rooted(accepted(flag_categories(staged))).select(
@@ -82,7 +119,7 @@ def categories(staged: DataFrame, existing: DataFrame | None = None) -> DataFram
         F.lit(WEBSITE).alias("source_channel"),
         *["name", "parent_id", "parent_name", "is_age_group", "sort_order"],
     )
-    return _merged(existing, incoming, ["category_id", "source_category_id", *CHANNEL_KEY], CATEGORY_UPDATES)
+    return _merged(existing, incoming, CATEGORY_KEYS, CATEGORY_UPDATES)
 
 
 def flag_products(products: DataFrame) -> DataFrame:
@@ -121,7 +158,7 @@ def products(
             *["date_available", "date_added", at(run_at).alias("last_updated")],
         )
     )
-    return _merged(existing, incoming, ["product_id", "source_product_id", *CHANNEL_KEY], PRODUCT_UPDATES)
+    return _merged(existing, incoming, PRODUCT_KEYS, PRODUCT_UPDATES)
 
 
 def customers(staged: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -135,7 +172,7 @@ def customers(staged: DataFrame, existing: DataFrame | None = None) -> DataFrame
         F.col("date_added").cast("date").alias("date_registered"),
         "is_newsletter",
     )
-    return _merged(existing, incoming, ["customer_id", "source_customer_id", *CHANNEL_KEY], CUSTOMER_UPDATES)
+    return _merged(existing, incoming, CUSTOMER_KEYS, CUSTOMER_UPDATES)
 
 
 def website_statuses(orders: DataFrame) -> DataFrame:

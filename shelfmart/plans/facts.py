@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmart.functions.coerce import MONEY, RATE, base_amount
 from shelfmart.functions.keys import CHANNEL_ID, MARKETPLACE, WEBSITE, date_key, month_of_date_key, surrogate, title_key
 from shelfmart.operators.merge import merge_full
-from shelfmart.operators.quarantine import flag, flag_unknown_day, missing, too_long
+from shelfmart.operators.quarantine import accepted, flag, flag_unknown_day, missing, too_long
 
 # Columns a repeated source key overwrites; date, rate, product and tax stay as first loaded.
 ORDER_UPDATES = ["status_id", "total_amount", "total_amount_uah", "date_modified"]
@@ -17,6 +17,8 @@ ORDER_KEYS = ["order_id", "source_order_id", "channel_id"]
 LINE_KEYS = ["line_id", "source_line_id", "channel_id"]
 MONTH = "order_month"
 
+ORDER_MISSING = "order_missing"
+
 
 def _statuses(dim_status: DataFrame, channel: str, source_name: str) -> DataFrame:
     return dim_status.where(F.col("source_channel") == channel).select(F.col("source_id").alias(source_name), "status_id")
@@ -43,21 +45,42 @@ def flag_marketplace_orders(staged: DataFrame, dim_date: DataFrame) -> DataFrame
     return flag_unknown_day(
         staged.withColumn("date_id", date_key(F.col("created"))),
         dim_date,
-        {"city_length": too_long("delivery_city", 128)},
+        {"key_null": missing("marketplace_order_id"), "city_length": too_long("delivery_city", 128)},
     )
 
 
 def flag_lines(staged: DataFrame) -> DataFrame:
-    """A line takes its day from a loaded order, so only its own figures can be at fault."""
-    figures = [c for c in ("total", "cost_with_discount") if c in staged.columns]
-    return flag(
-        staged,
-        {
-            "quantity_null": missing("quantity"),
-            "quantity_range": F.col("quantity") < 0,
-            **{f"{c}_null": missing(c) for c in figures if c == "total"},
-        },
+    """The first of its own rules a line breaks."""
+    return flag(staged, _line_rules(staged))
+
+
+def _line_rules(staged: DataFrame) -> dict[str, Column]:
+    return {
+        "quantity_null": missing("quantity"),
+        "quantity_range": F.col("quantity") < 0,
+        **({"total_null": missing("total")} if "total" in staged.columns else {}),
+    }
+
+
+def _with_order(lines: DataFrame, key: str, fact_orders: DataFrame, channel: str) -> DataFrame:
+    """Lines beside the key, day and rate of their order, NULL where it is not loaded."""
+    order = fact_orders.where(F.col("channel_id") == CHANNEL_ID[channel]).select(
+        F.col("source_order_id").alias(key), F.col("order_id").alias("_order"), "date_id", "currency_value"
     )
+    return lines.join(order, key, "left")
+
+
+def flag_website_lines(lines: DataFrame, fact_orders: DataFrame) -> DataFrame:
+    """Lines with their order and the first rule each breaks: one of its own, no loaded order to take the day and the
+    rate from, or an amount that does not fit at that rate."""
+    placed = _with_order(lines, "order_id", fact_orders, WEBSITE)
+    too_large = base_amount(F.col("total"), F.col("currency_value")).isNull()
+    return flag(placed, {**_line_rules(lines), ORDER_MISSING: missing("_order"), "amount_range": too_large})
+
+
+def flag_marketplace_lines(lines: DataFrame, fact_orders: DataFrame) -> DataFrame:
+    placed = _with_order(lines, "marketplace_order_id", fact_orders, MARKETPLACE)
+    return flag(placed, {**_line_rules(lines), ORDER_MISSING: missing("_order")})
 
 
 def website_orders(checked: DataFrame, dim_customer: DataFrame, dim_status: DataFrame) -> DataFrame:
@@ -112,28 +135,25 @@ def merge_lines(existing: DataFrame | None, incoming: DataFrame) -> DataFrame:
     return incoming if existing is None else merge_full(existing, incoming, LINE_KEYS, LINE_UPDATES)
 
 
-def website_lines(checked: DataFrame, fact_orders: DataFrame, dim_product: DataFrame) -> DataFrame:
-    """Lines at the rate their order was first loaded with."""
-    order = fact_orders.where(F.col("channel_id") == CHANNEL_ID[WEBSITE]).select(
-        F.col("source_order_id").alias("_order"), "order_id", "date_id", "currency_value"
-    )
+def website_lines(lines: DataFrame, fact_orders: DataFrame, dim_product: DataFrame) -> DataFrame:
+    """Lines of loaded orders that break no rule, at the rate their order was first loaded with."""
+    return placed_website_lines(accepted(flag_website_lines(lines, fact_orders)), dim_product)
+
+
+def placed_website_lines(placed: DataFrame, dim_product: DataFrame) -> DataFrame:
     product = dim_product.where(F.col("source_channel") == WEBSITE).select(
-        F.col("source_product_id").alias("_product"), "product_id", "category_id"
+        F.col("source_product_id").alias("_product"), F.col("product_id").alias("_key"), "category_id"
     )
-    return (
-        checked.withColumnsRenamed({"order_id": "_order", "product_id": "_product"})
-        .join(order, "_order")
-        .join(product, "_product", "left")
-        .select(
-            surrogate(WEBSITE, F.col("order_product_id")).alias("line_id"),
-            F.col("order_product_id").cast("long").alias("source_line_id"),
-            *["order_id", "product_id", "category_id", F.lit(CHANNEL_ID[WEBSITE]).alias("channel_id"), "date_id"],
-            F.col("quantity").alias("quantity_sold"),
-            F.col("price").cast(MONEY).alias("unit_price"),
-            F.col("total").cast(MONEY).alias("line_total"),
-            base_amount(F.col("total"), F.col("currency_value")).alias("line_total_uah"),
-            F.col("tax").cast(MONEY).alias("tax"),
-        )
+    return placed.withColumnRenamed("product_id", "_product").join(product, "_product", "left").select(
+        surrogate(WEBSITE, F.col("order_product_id")).alias("line_id"),
+        F.col("order_product_id").cast("long").alias("source_line_id"),
+        *[F.col("_order").alias("order_id"), F.col("_key").alias("product_id"), "category_id"],
+        *[F.lit(CHANNEL_ID[WEBSITE]).alias("channel_id"), "date_id"],
+        F.col("quantity").alias("quantity_sold"),
+        F.col("price").cast(MONEY).alias("unit_price"),
+        F.col("total").cast(MONEY).alias("line_total"),
+        base_amount(F.col("total"), F.col("currency_value")).alias("line_total_uah"),
+        F.col("tax").cast(MONEY).alias("tax"),
     )
 
 
@@ -146,27 +166,25 @@ def products_by_title(dim_product: DataFrame) -> DataFrame:
     )
 
 
-def marketplace_lines(checked: DataFrame, fact_orders: DataFrame, dim_product: DataFrame) -> DataFrame:
-    """Lines matched to a product by title as far as possible; an unmatched line keeps no product."""
-    order = fact_orders.where(F.col("channel_id") == CHANNEL_ID[MARKETPLACE]).select(
-        F.col("source_order_id").alias("_order"), "order_id", "date_id"
-    )
+def marketplace_lines(lines: DataFrame, fact_orders: DataFrame, dim_product: DataFrame) -> DataFrame:
+    """Lines of loaded orders that break no rule, matched to a product by title as far as possible; an unmatched line
+    keeps no product."""
+    return placed_marketplace_lines(accepted(flag_marketplace_lines(lines, fact_orders)), dim_product)
+
+
+def placed_marketplace_lines(placed: DataFrame, dim_product: DataFrame) -> DataFrame:
     amount = F.col("cost_with_discount").cast(MONEY)
-    return (
-        checked.withColumnRenamed("marketplace_order_id", "_order")
-        .join(order, "_order")
-        .withColumn("_title", title_key(F.col("item_name")))
-        .join(products_by_title(dim_product), "_title", "left")
-        .select(
-            surrogate(MARKETPLACE, F.col("purchase_id")).alias("line_id"),
-            F.col("purchase_id").alias("source_line_id"),
-            *["order_id", "product_id", "category_id", F.lit(CHANNEL_ID[MARKETPLACE]).alias("channel_id"), "date_id"],
-            F.col("quantity").alias("quantity_sold"),
-            F.col("price").cast(MONEY).alias("unit_price"),
-            amount.alias("line_total"),
-            amount.alias("line_total_uah"),
-            F.lit(0).cast(MONEY).alias("tax"),
-        )
+    titled = placed.withColumn("_title", title_key(F.col("item_name")))
+    return titled.join(products_by_title(dim_product), "_title", "left").select(
+        surrogate(MARKETPLACE, F.col("purchase_id")).alias("line_id"),
+        F.col("purchase_id").alias("source_line_id"),
+        *[F.col("_order").alias("order_id"), "product_id", "category_id"],
+        *[F.lit(CHANNEL_ID[MARKETPLACE]).alias("channel_id"), "date_id"],
+        F.col("quantity").alias("quantity_sold"),
+        F.col("price").cast(MONEY).alias("unit_price"),
+        amount.alias("line_total"),
+        amount.alias("line_total_uah"),
+        F.lit(0).cast(MONEY).alias("tax"),
     )
 
 
@@ -177,3 +195,13 @@ def both_channels(website: DataFrame, marketplace: DataFrame) -> DataFrame:
 def with_month(fact: DataFrame) -> DataFrame:
     """Add the column the stored fact tables are partitioned by."""
     return fact.withColumn(MONTH, month_of_date_key(F.col("date_id")))
+
+
+# Revenue and orders by channel, month and status, kept beside the facts
+TOTALS = "order_months"
+
+
+def month_totals(fact_orders: DataFrame) -> DataFrame:
+    return fact_orders.groupBy("channel_id", MONTH, "status_id").agg(
+        F.sum("total_amount_uah").alias("revenue"), F.count("*").alias("orders")
+    )

@@ -18,3 +18,4 @@ class Mart:
     dim_order_status: DataFrame
     fact_orders: DataFrame
     fact_order_lines: DataFrame
+    order_months: DataFrame

@@ -9,11 +9,11 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from shelfmart import schemas
 from shelfmart.functions.calendar import at
-from shelfmart.functions.keys import MARKETPLACE, WEBSITE
+from shelfmart.functions.keys import CHANNEL_ID, MARKETPLACE, WEBSITE
 from shelfmart.operators.constants import fixed_table
 from shelfmart.operators.quarantine import VIOLATION, accepted, rejected
 from shelfmart.plans import dimensions, facts, staging
@@ -21,12 +21,14 @@ from shelfmart.plans.mart import Mart
 from shelfmart.plans.staging import BLOCK, StagingTable, collapsed, stored_version
 from shelfmart.sources import marketplace, shop
 from shelfmart.sources.watermark import sync_record, watermarks
-from shelfmart.storage import TableStore
+from shelfmart.storage import Merged, TableStore
 
 logger = logging.getLogger(__name__)
 
 SYNC_LOG = "sync_log"
-TRANSFORM_LOG = "transform_log"
+TRANSFORM_LOG, TRANSFORM_LOG_SCHEMA = "transform_log", "run_at timestamp_ntz, version long"
+COUNT_LOG = "transform_counts"
+COUNT_LOG_SCHEMA = "run_at timestamp_ntz, position int, step string, inserted long, updated long, rejected long"
 
 
 @dataclass(frozen=True)
@@ -36,21 +38,29 @@ class Landed:
     failed: int
 
 
+def _violation(batch: DataFrame, table: StagingTable) -> DataFrame:
+    """A row without a key breaks the last rule of a batch."""
+    keyless = F.when(reduce(or_, [F.col(key).isNull() for key in table.keys]), "key_null")
+    return batch.withColumn(VIOLATION, F.coalesce(VIOLATION, keyless) if VIOLATION in batch.columns else keyless)
+
+
+def _split(store: TableStore, name: str, flagged: DataFrame) -> Landed:
+    """Flagged rows stored once and counted while they are written. `rows` are all of them."""
+    bad = F.col(VIOLATION).isNotNull()
+    seen = Observation()
+    rows, _ = store.spool(name, flagged.observe(seen, F.count_if(~bad).alias("good"), F.count_if(bad).alias("bad")))
+    return Landed(rows, seen.get["good"], seen.get["bad"])
+
+
 def land(store: TableStore, table: StagingTable, batch: DataFrame, run_at: dt.datetime) -> Landed:
     """Store a batch once, count it while writing, and merge the stored rows into the staging table.
 
     Rows that break a rule or lack a key are counted and set aside.
     """
-    keyless = F.when(reduce(or_, [F.col(key).isNull() for key in table.keys]), "key_null")
-    batch = batch.withColumn(VIOLATION, F.coalesce(VIOLATION, keyless) if VIOLATION in batch.columns else keyless)
-    bad = F.col(VIOLATION).isNotNull()
-    seen = Observation()
-    counted = batch.observe(seen, F.count_if(~bad).alias("staged"), F.count_if(bad).alias("failed"))
-    landed = store.write(f"batch_{table.name}", counted)
-    staged, failed = seen.get["staged"], seen.get["failed"]
-    if failed:
-        store.append(f"rejected_{table.name}", rejected(landed))
-    good = accepted(landed)
+    landed = _split(store, table.name, _violation(batch, table))
+    if landed.failed:
+        store.append(f"rejected_{table.name}", rejected(landed.rows))
+    good = accepted(landed.rows)
     rows = collapsed(good, table, run_at)
     if table.block is None:
         store.merge(table.name, rows, table.keys, table.updated, version_by=stored_version(table))
@@ -60,7 +70,7 @@ def land(store: TableStore, table: StagingTable, batch: DataFrame, run_at: dt.da
             table.name, rows, table.keys, table.updated, BLOCK, table.keys[0], fixed_by_key=True,
             version_by=stored_version(table),
         )
-    return Landed(good, staged, failed)
+    return Landed(good, landed.staged, landed.failed)
 
 
 def _logged(
@@ -110,24 +120,55 @@ def load_website(
     _logged(store, WEBSITE, run_at, sync_type, work)
 
 
+PAGE_LOG = "rejected_pages"
+
+
 def stage_marketplace(
     store: TableStore, pages: DataFrame, run_at: dt.datetime, since: dt.date | None = None, until: dt.date | None = None
 ) -> tuple[int, int]:
-    """Pages into staging; rows that break a rule are set aside and counted, the rest of their batch goes on."""
-    orders = land(store, staging.MARKETPLACE_ORDERS, marketplace.flagged_orders(pages, since, until), run_at)
-    lines = land(store, staging.MARKETPLACE_ORDER_LINES, marketplace.flagged_order_lines(pages, since, until), run_at)
+    """Pages into staging. Their text is parsed once; orders and lines are taken from the stored pages. Pages that are
+    no documents and rows that break a rule are set aside, the rest of their batch goes on. Staged orders and set-aside
+    rows are returned."""
+    seen = Observation()
+    bad = marketplace.failed(pages)
+    landed, _ = store.spool("pages", pages.observe(seen, F.count_if(bad).alias("bad")))
+    if seen.get["bad"]:
+        store.append(PAGE_LOG, marketplace.failed_pages(landed))
+    orders = land(store, staging.MARKETPLACE_ORDERS, marketplace.flagged_orders(landed, since, until), run_at)
+    lines = land(store, staging.MARKETPLACE_ORDER_LINES, marketplace.flagged_order_lines(landed, since, until), run_at)
     return orders.staged, orders.failed + lines.failed
 
 
+def stage_new_files(
+    store: TableStore, folder: str, run_at: dt.datetime, max_files: int | None = None, timeout: int | None = None
+) -> tuple[int, int]:
+    """`stage_marketplace` for the files of a folder that this store has not taken before."""
+    totals = [0, 0]
+
+    def merge(pages: DataFrame, batch_id: int) -> None:
+        staged, failed = stage_marketplace(store, pages, run_at)
+        totals[0] += staged
+        totals[1] += failed
+
+    checkpoint = f"{store.root}/_checkpoints/marketplace"
+    marketplace.each_new_batch(store.spark, folder, checkpoint, merge, max_files, timeout)
+    return totals[0], totals[1]
+
+
 def load_marketplace(
     store: TableStore,
-    pages: DataFrame,
+    pages: DataFrame | str,
     run_at: dt.datetime,
     since: dt.date | None = None,
     until: dt.date | None = None,
     sync_type: str = "scheduled",
 ) -> None:
-    _logged(store, MARKETPLACE, run_at, sync_type, lambda: stage_marketplace(store, pages, run_at, since, until))
+    """Pages of a frame, or those files of a landing folder that no load has taken before."""
+    if isinstance(pages, str):
+        work = lambda: stage_new_files(store, pages, run_at)
+    else:
+        work = lambda: stage_marketplace(store, pages, run_at, since, until)
+    _logged(store, MARKETPLACE, run_at, sync_type, work)
 
 
 def _start_empty(store: TableStore, run_at: dt.datetime) -> None:
@@ -151,19 +192,36 @@ def _start_empty(store: TableStore, run_at: dt.datetime) -> None:
             land(store, table, rows(), run_at)
 
 
+@dataclass(frozen=True)
+class Run:
+    """What a transform left: the tables to read, and what its steps did (COUNT_LOG_SCHEMA)."""
+
+    mart: Mart
+    counts: DataFrame
+
+
+@dataclass(frozen=True)
+class Mark:
+    """What a transform has worked through: rows staged up to its time, in folders up to a version of the store."""
+
+    run_at: dt.datetime
+    version: int = 0
+
+
 def cycle(
     store: TableStore,
     read: shop.Reader,
-    pages: DataFrame,
+    pages: DataFrame | str,
     run_at: dt.datetime,
     dim_date: DataFrame,
     dim_sales_channel: DataFrame,
     seed_statuses: DataFrame,
     stock_statuses: DataFrame | None = None,
     sync_type: str = "scheduled",
-) -> Mart:
-    """One scheduled run: both loads from their own high-water mark, then the transform of what they changed. A
-    source that fails is logged and does not hold up the other."""
+) -> Run:
+    """One scheduled run: both loads, then the transform of what they changed. The website is read from its high-water
+    mark, and of a landing folder only files that are new. A source that fails is logged and does not hold up the other.
+    """
     channels = fixed_table(store.spark, [(WEBSITE,), (MARKETPLACE,)], "channel string")
     marks = watermarks(store.log(SYNC_LOG, schemas.SYNC_LOG), channels).toLocalIterator()
     since = {row["channel"]: row["since"] for row in marks}
@@ -178,23 +236,152 @@ def cycle(
         except Exception:
             logger.exception("load of %s failed", channel)
     _start_empty(store, run_at)
-    done = store.log(TRANSFORM_LOG, "run_at timestamp_ntz").agg(F.max("run_at").alias("run_at")).first()["run_at"]
-    mart = transform(store, dim_date, dim_sales_channel, seed_statuses, run_at, stock_statuses, done)
-    store.append(TRANSFORM_LOG, store.spark.range(1).select(at(run_at).alias("run_at")))
-    return mart
+    log = store.log(TRANSFORM_LOG, TRANSFORM_LOG_SCHEMA)
+    done = log.agg(F.max(F.struct("run_at", "version")).alias("done")).first()["done"]
+    version = store.newest(STAGED)
+    after = Mark(done["run_at"], done["version"]) if done else None
+    run = transform(store, dim_date, dim_sales_channel, seed_statuses, run_at, stock_statuses, after)
+    entry = store.spark.range(1).select(at(run_at).alias("run_at"), F.lit(version).cast("long").alias("version"))
+    store.append(TRANSFORM_LOG, entry)
+    return run
+
+
+# Rows that could not be loaded yet, by kind: the staging table and its key
+
+PENDING_SCHEMA = "source_id long, violation string, since timestamp_ntz"
+RESOLVED_LOG, RESOLVED_SCHEMA = "quarantine_resolved", f"kind string, {PENDING_SCHEMA}, resolved_at timestamp_ntz"
+
+STAGED = [
+    t.name
+    for t in (
+        staging.WEBSITE_ORDERS, staging.WEBSITE_ORDER_LINES, staging.WEBSITE_PRODUCTS, staging.WEBSITE_CATEGORIES,
+        staging.WEBSITE_MANUFACTURERS, staging.WEBSITE_CUSTOMERS, staging.MARKETPLACE_ORDERS,
+        staging.MARKETPLACE_ORDER_LINES,
+    )
+]
+
+
+def pending(store: TableStore, kind: str) -> DataFrame | None:
+    """Staged rows of a kind that are not loaded: their key, the rule they break and since when."""
+    return store.read(f"pending_{kind}")
+
+
+def quarantine(store: TableStore) -> DataFrame:
+    """All rows that are staged and not loaded, of every kind."""
+    whole = store.spark.createDataFrame([], f"kind string, {PENDING_SCHEMA}")
+    for kind in KINDS:
+        rows = pending(store, kind)
+        if rows is not None:
+            whole = whole.unionByName(rows.select(F.lit(kind).alias("kind"), "*"))
+    return whole
+
+
+def settle(store: TableStore, kind: str, checked: DataFrame, key: str, run_at: dt.datetime, failed: int) -> None:
+    """Bring the pending rows of a kind up to date with the rows a run has checked (one per key, with their violation).
+    What is loaded now leaves the table and is logged as resolved, what still breaks a rule keeps its first day, and
+    rows that were not checked stay."""
+    old = pending(store, kind)
+    if old is None and not failed:
+        return
+    seen = checked.select(F.col(key).cast("long").alias("source_id"), F.col(VIOLATION).alias("_now"), F.lit(True).alias("_seen"))
+    if old is None:
+        old = store.spark.createDataFrame([], PENDING_SCHEMA)
+    both = old.join(seen, "source_id", "full_outer")
+    broken = F.when(F.col("_seen"), F.col("_now")).otherwise(F.col(VIOLATION))
+    rows = both.where(F.col("since").isNotNull() | F.col("_now").isNotNull()).select(
+        "source_id", broken.alias("_broken"), VIOLATION, "since"
+    )
+    rows, _ = store.spool(f"settled_{kind}", rows)
+    since = F.coalesce("since", at(run_at)).alias("since")
+    still = rows.where(F.col("_broken").isNotNull())
+    store.write(f"pending_{kind}", still.select("source_id", F.col("_broken").alias(VIOLATION), since))
+    gone = rows.where(F.col("_broken").isNull())
+    store.append(
+        RESOLVED_LOG,
+        gone.select(F.lit(kind).alias("kind"), "source_id", VIOLATION, "since", at(run_at).alias("resolved_at")),
+    )
 
 
-def _changed(rows: DataFrame, after: dt.datetime | None) -> DataFrame:
-    return rows if after is None else rows.where(F.col("ingested_at") > at(after))
+def _due(store: TableStore, kind: str, table: StagingTable, after: Mark | None) -> DataFrame:
+    """Staged rows a transform has to look at: those staged since, from folders written since, and those pending, from
+    the blocks of their keys."""
+    staged = store.read(table.name).drop("raw_json")
+    if after is None:
+        return staged
+    fresh = store.read_since(table.name, after.version).drop("raw_json").where(F.col("ingested_at") > at(after.run_at))
+    waiting = pending(store, kind)
+    if waiting is None:
+        return fresh
+    key = table.keys[0]
+    keys = waiting.select(F.col("source_id").alias(key))
+    if BLOCK in staged.columns:
+        blocks = [r[0] for r in keys.select(F.expr(f"{key} div {table.block}")).distinct().toLocalIterator()]
+        staged = staged.where(F.col(BLOCK).isin(blocks))
+    again = staged.join(keys, key, "left_semi").join(fresh.select(key), key, "left_anti")
+    return fresh.unionByName(again)
+
+
+# Which month an order is of, kept by blocks of source ids, so that lines find their orders without the whole fact
+
+ORDER_INDEX = "order_index"
+INDEX_KEYS = ["channel_id", "source_order_id"]
+
+
+def _index_block(channel_id: Column, source_order_id: Column) -> Column:
+    return channel_id * 1_000_000 + F.floor(source_order_id / staging.ORDER_BLOCK)
+
+
+def _keep_index(store: TableStore, orders: DataFrame) -> None:
+    block = _index_block(F.col("channel_id"), F.col("source_order_id")).cast("long").alias(BLOCK)
+    rows = orders.select(*INDEX_KEYS, facts.MONTH, block)
+    store.merge(ORDER_INDEX, rows, INDEX_KEYS, [], partition_by=BLOCK, sort_by="source_order_id", fixed_by_key=True)
+
+
+def orders_of_lines(store: TableStore, lines: DataFrame, key: str, channel: str) -> DataFrame:
+    """The fact of orders, cut down to the months that the orders of these lines are of: the index tells them from the
+    blocks their ids lie in, and the months, as many as the calendar has at most, become a filter of the partitions."""
+    orders, index = store.read("fact_orders"), store.read(ORDER_INDEX)
+    channel_id = CHANNEL_ID[channel]
+    ids = lines.select(F.col(key).cast("long").alias("source_order_id")).distinct()
+    ids, _ = store.spool("order_ids", ids)
+    blocks = [r[0] for r in ids.select(_index_block(F.lit(channel_id), F.col("source_order_id"))).distinct().toLocalIterator()]
+    # an empty fact has no partitions
+    if facts.MONTH not in orders.columns or BLOCK not in index.columns:
+        return orders
+    known = index.where(F.col(BLOCK).isin(blocks) & (F.col("channel_id") == channel_id))
+    months = known.join(ids, "source_order_id", "left_semi").select(facts.MONTH).distinct()
+    return orders.where(F.col(facts.MONTH).isin([r[0] for r in months.toLocalIterator()]))
+
+
+def _keep_totals(store: TableStore, merged: Merged) -> DataFrame:
+    """Totals by month, made anew for the months a merge has touched; what those months summed up to before goes."""
+    old = store.read(facts.TOTALS)
+    if old is None or merged.parts is None:
+        return store.write(facts.TOTALS, facts.month_totals(merged.table))
+    if not merged.parts:
+        return old
+    touched = F.col(facts.MONTH).isin(merged.parts)
+    fresh = facts.month_totals(merged.table.where(touched))
+    return store.write(facts.TOTALS, old.where(~touched).unionByName(fresh))
+
+
+def _keep_dimension(
+    store: TableStore, name: str, incoming: DataFrame, keys: list[str], updates: list[str]
+) -> tuple[DataFrame, tuple[int, int]]:
+    """Merge a dimension; only blocks of ids with new or changed rows are written."""
+    rows = dimensions.stored_form(incoming, keys[1], updates)
+    stored = store.read(name)
+    if stored is not None:
+        rows = dimensions.changed_rows(stored, rows, keys)
+    merged = store.merge(
+        name, rows, keys, [*updates, dimensions.ROW_HASH], partition_by=dimensions.DIM_BLOCK, fixed_by_key=True
+    )
+    return dimensions.public(merged.table), merged.counts["all"]
 
 
-def _changed_lines(lines: DataFrame, orders: DataFrame, key: str, after: dt.datetime | None) -> DataFrame:
-    """Lines staged after a run, and all lines of orders staged after it: an order may come after its lines."""
-    if after is None:
-        return lines
-    touched = orders.select(key, F.lit(True).alias("_touched"))
-    staged_after = F.col("ingested_at") > at(after)
-    return lines.join(touched, key, "left").where(staged_after | F.col("_touched").isNotNull()).drop("_touched")
+KINDS = (
+    "publishers", "categories", "products", "website_orders", "marketplace_orders", "website_lines", "marketplace_lines",
+)
 
 
 def transform(
@@ -204,53 +391,74 @@ def transform(
     seed_statuses: DataFrame,
     run_at: dt.datetime,
     stock_statuses: DataFrame | None = None,
-    changed_after: dt.datetime | None = None,
-) -> Mart:
-    """Dimensions, then facts, from the staging tables of `store`. Facts are stored by month.
+    changed_after: Mark | None = None,
+) -> Run:
+    """Dimensions, then facts, from the staging tables of `store`. Facts are stored by month, dimensions by id.
 
-    With `changed_after` only orders and lines staged after that run are worked through and only the months they touch
-    are rewritten. Staged rows that did not change would come out as they are stored already.
+    With `changed_after` only orders and lines staged since then are worked through, besides those that could not be
+    loaded before, and only the months they touch are rewritten. Rows that break a rule, lack
+    their order or have no root are recorded as pending (`quarantine`) and tried again by every run.
     """
+    spark = store.spark
     if stock_statuses is None:
-        stock_statuses = store.spark.createDataFrame([], schemas.SHOP["stock_statuses"])
-    publisher = store.write(
-        "dim_publisher", dimensions.publishers(store.read(staging.WEBSITE_MANUFACTURERS.name), store.read("dim_publisher"))
-    )
-    category = store.write(
-        "dim_category", dimensions.categories(store.read(staging.WEBSITE_CATEGORIES.name), store.read("dim_category"))
-    )
-    product = store.write(
-        "dim_product",
-        dimensions.products(
-            store.read(staging.WEBSITE_PRODUCTS.name), publisher, category, stock_statuses, run_at,
-            store.read("dim_product"),
-        ),
+        stock_statuses = spark.createDataFrame([], schemas.SHOP["stock_statuses"])
+    counts: list[tuple[str, int, int, int]] = []
+
+    def checked(kind: str, flagged: DataFrame, key: str) -> Landed:
+        found = _split(store, kind, flagged)
+        settle(store, kind, found.rows, key, run_at, found.failed)
+        return found
+
+    manufacturers = store.read(staging.WEBSITE_MANUFACTURERS.name)
+    found = checked("publishers", dimensions.flag_publishers(manufacturers), "manufacturer_id")
+    publisher, done = _keep_dimension(
+        store, "dim_publisher", dimensions.publishers(manufacturers), dimensions.PUBLISHER_KEYS,
+        dimensions.PUBLISHER_UPDATES,
     )
-    customer = store.write(
-        "dim_customer", dimensions.customers(store.read(staging.WEBSITE_CUSTOMERS.name), store.read("dim_customer"))
-    )
-    web_orders = _changed(store.read(staging.WEBSITE_ORDERS.name), changed_after)
-    mkt_orders = _changed(store.read(staging.MARKETPLACE_ORDERS.name), changed_after)
-    known = store.read("dim_order_status")
-    statuses = dimensions.add_statuses(
-        seed_statuses if known is None else known, dimensions.website_statuses(web_orders)
-    )
-    statuses = store.write(
-        "dim_order_status", dimensions.add_statuses(statuses, dimensions.marketplace_statuses(mkt_orders))
+    counts.append(("publishers", *done, found.failed))
+
+    tree = store.read(staging.WEBSITE_CATEGORIES.name)
+    lost = dimensions.rejected_categories(tree).select("category_id", F.col(VIOLATION).alias("_lost"))
+    flagged = tree.select("category_id").join(lost, "category_id", "left").withColumnRenamed("_lost", VIOLATION)
+    found = checked("categories", flagged, "category_id")
+    category, done = _keep_dimension(
+        store, "dim_category", dimensions.categories(tree), dimensions.CATEGORY_KEYS, dimensions.CATEGORY_UPDATES
     )
+    counts.append(("categories", *done, found.failed))
+
+    staged = store.read(staging.WEBSITE_PRODUCTS.name)
+    found = checked("products", dimensions.flag_products(staged).select("product_id", VIOLATION), "product_id")
+    product, done = _keep_dimension(
+        store, "dim_product", dimensions.products(staged, publisher, category, stock_statuses, run_at),
+        dimensions.PRODUCT_KEYS, dimensions.PRODUCT_UPDATES,
+    )
+    counts.append(("products", *done, found.failed))
+
+    customer, done = _keep_dimension(
+        store, "dim_customer", dimensions.customers(store.read(staging.WEBSITE_CUSTOMERS.name)),
+        dimensions.CUSTOMER_KEYS, dimensions.CUSTOMER_UPDATES,
+    )
+    counts.append(("customers", *done, 0))
+
+    web_staged = _due(store, "website_orders", staging.WEBSITE_ORDERS, changed_after)
+    mkt_staged = _due(store, "marketplace_orders", staging.MARKETPLACE_ORDERS, changed_after)
+    if store.read("dim_order_status") is None:
+        store.write("dim_order_status", seed_statuses)
+    seen = dimensions.website_statuses(web_staged).unionByName(dimensions.marketplace_statuses(mkt_staged))
+    merged = store.merge("dim_order_status", seen, ["source_id", "source_channel"], [])
+    statuses = merged.table
+    counts.append(("order_statuses", *merged.counts["all"], 0))
     days = store.write("dim_date", dim_date)
 
-    web_checked = facts.flag_website_orders(web_orders, days)
-    mkt_checked = facts.flag_marketplace_orders(mkt_orders, days)
-    store.append("rejected_website_facts", rejected(web_checked))
-    store.append("rejected_marketplace_facts", rejected(mkt_checked))
-    bulk = changed_after is None
-    orders = store.merge(
+    web = checked("website_orders", facts.flag_website_orders(web_staged, days), "order_id")
+    mkt = checked("marketplace_orders", facts.flag_marketplace_orders(mkt_staged, days), "marketplace_order_id")
+    of_channel = {c: F.col("channel_id") == CHANNEL_ID[c] for c in (WEBSITE, MARKETPLACE)}
+    merged = store.merge(
         "fact_orders",
         facts.with_month(
             facts.both_channels(
-                facts.website_orders(accepted(web_checked), customer, statuses),
-                facts.marketplace_orders(accepted(mkt_checked), statuses),
+                facts.website_orders(accepted(web.rows), customer, statuses),
+                facts.marketplace_orders(accepted(mkt.rows), statuses),
             )
         ),
         facts.ORDER_KEYS,
@@ -258,19 +466,34 @@ def transform(
         partition_by=facts.MONTH,
         sort_by="date_added",
         fixed_by_key=True,  # the day an order is created on never changes in staging
-        bulk=bulk,
         version_by=["date_modified"],
+        groups=of_channel,
     )
-    web_lines = _changed_lines(store.read(staging.WEBSITE_ORDER_LINES.name), web_orders, "order_id", changed_after)
-    mkt_lines = _changed_lines(
-        store.read(staging.MARKETPLACE_ORDER_LINES.name), mkt_orders, "marketplace_order_id", changed_after
-    )
-    lines = store.merge(
+    orders = merged.table
+    counts.append(("website_orders", *merged.counts[WEBSITE], web.failed))
+    counts.append(("marketplace_orders", *merged.counts[MARKETPLACE], mkt.failed))
+    totals = _keep_totals(store, merged)
+    if merged.parts is None:
+        _keep_index(store, orders)
+    elif merged.parts:
+        _keep_index(store, orders.where(F.col(facts.MONTH).isin(merged.parts)))
+
+    def with_orders(kind, table, key, channel, flag_lines):
+        lines = _due(store, kind, table, changed_after)
+        of_lines = orders if changed_after is None else orders_of_lines(store, lines, key, channel)
+        return checked(kind, flag_lines(lines, of_lines), table.keys[0])
+
+    web = with_orders("website_lines", staging.WEBSITE_ORDER_LINES, "order_id", WEBSITE, facts.flag_website_lines)
+    mkt = with_orders(
+        "marketplace_lines", staging.MARKETPLACE_ORDER_LINES, "marketplace_order_id", MARKETPLACE,
+        facts.flag_marketplace_lines,
+    )
+    merged = store.merge(
         "fact_order_lines",
         facts.with_month(
             facts.both_channels(
-                facts.website_lines(accepted(facts.flag_lines(web_lines)), orders, product),
-                facts.marketplace_lines(accepted(facts.flag_lines(mkt_lines)), orders, product),
+                facts.placed_website_lines(accepted(web.rows), product),
+                facts.placed_marketplace_lines(accepted(mkt.rows), product),
             )
         ),
         facts.LINE_KEYS,
@@ -278,37 +501,15 @@ def transform(
         partition_by=facts.MONTH,
         sort_by="order_id",
         fixed_by_key=True,
-        bulk=bulk,
+        groups=of_channel,
+    )
+    counts.append(("website_lines", *merged.counts[WEBSITE], web.failed))
+    counts.append(("marketplace_lines", *merged.counts[MARKETPLACE], mkt.failed))
+    mart = Mart(
+        days, dim_sales_channel, category, publisher, product, customer, statuses, orders, merged.table, totals
     )
-    return Mart(days, dim_sales_channel, category, publisher, product, customer, statuses, orders, lines)
-
-
-def transform_counts(
-    manufacturers: DataFrame,
-    categories: DataFrame,
-    products: DataFrame,
-    customers: DataFrame,
-    website_orders: DataFrame,
-    marketplace_orders: DataFrame,
-    known_statuses: DataFrame,
-) -> DataFrame:
-    """Rows each step of a transform writes, in run order: child categories for the categories, and new
-    marketplace statuses for the statuses."""
-    children = categories.where(F.col("parent_id").isNotNull())
-    fresh = dimensions.marketplace_statuses(marketplace_orders).join(
-        known_statuses, ["source_id", "source_channel"], "left_anti"
+    rows = fixed_table(
+        spark, [(run_at, position, *row) for position, row in enumerate(counts, start=1)], COUNT_LOG_SCHEMA
     )
-    steps = [
-        ("publishers", manufacturers),
-        ("categories", children),
-        ("products", products),
-        ("customers", customers),
-        ("order_statuses", fresh),
-        ("website_orders", website_orders),
-        ("marketplace_orders", marketplace_orders),
-    ]
-    counts = None
-    for number, (step, rows) in enumerate(steps, start=1):
-        row = rows.agg(F.lit(number).alias("position"), F.lit(step).alias("step"), F.count("*").alias("affected"))
-        counts = row if counts is None else counts.unionByName(row)
-    return counts
+    store.append(COUNT_LOG, rows)
+    return Run(mart, rows)

@@ -5,10 +5,9 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from shelfmart.functions.calendar import at
-from shelfmart.functions.coerce import json_payload
 from shelfmart.operators.merge import collapse, merge_batch
 
 
@@ -92,11 +91,8 @@ def collapsed(batch: DataFrame, table: StagingTable, run_at: dt.datetime) -> Dat
     """
     version = [c for c in table.version if c in batch.columns]
     stored = [c for c in batch.columns if c not in version or c in table.updated]
-    rows = batch.withColumn("ingested_at", at(run_at))
-    if not table.keeps_payload or "raw_json" in stored:
-        return collapse(rows, table.keys, table.updated, version)
-    rows = collapse(rows.withColumn("raw_json", F.struct(*stored)), table.keys, table.updated, version)
-    return rows.withColumn("raw_json", json_payload("raw_json.*"))
+    payload = stored if table.keeps_payload else []
+    return collapse(batch.withColumn("ingested_at", at(run_at)), table.keys, table.updated, version, payload)
 
 
 def stage(existing: DataFrame | None, batch: DataFrame, table: StagingTable, run_at: dt.datetime) -> DataFrame:

@@ -7,19 +7,46 @@ only the partitions its batch touches.
 
 from __future__ import annotations
 
-import functools
+import re
 import time
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
 
-from shelfmart.operators.merge import merge_batch, merge_full
+from shelfmart.operators.merge import CHANGE, INSERTED, UPDATED, batch_changes, full_changes
+from shelfmart.session import shared_dir
 
 # `whole` rows start a table anew; partitions named before them no longer count.
 CURRENT = "name string, part string, version long, path string, whole boolean"
 
 
+# Batches of more rows than a broadcast would hold take one full outer join with the partitions they touch.
+BULK_ROWS = 50_000
+
+
+def _version(path: str) -> int:
+    return int(re.search(r"/v=(\d+)", path)[1])
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Rows written once to the shared folder, for plans outside a store that read them several times."""
+    path = f"{shared_dir(df.sparkSession)}/kept/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@dataclass(frozen=True)
+class Merged:
+    """A table after a merge, the partitions that were rewritten (None: all), and inserted and updated rows by group."""
+
+    table: DataFrame
+    parts: list | None
+    counts: dict[str, tuple[int, int]]
+
+
 class TableStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -45,6 +72,13 @@ class TableStore:
             self._publish(name, version, {p: f"{path}/{partition_by}={p}" for p in parts}, whole=True)
         return self.read(name)
 
+    def spool(self, name: str, rows: DataFrame) -> tuple[DataFrame, int]:
+        """Rows stored once, for several steps that read them, and their number, counted while they are written."""
+        path = f"{self.root}/_spool/{name}/v={time.time_ns()}"
+        seen = Observation()
+        rows.observe(seen, F.count("*").alias("rows")).write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path), seen.get["rows"]
+
     def merge(
         self,
         name: str,
@@ -54,34 +88,50 @@ class TableStore:
         partition_by: str | None = None,
         sort_by: str | None = None,
         fixed_by_key: bool = False,
-        bulk: bool = False,
+        bulk: bool | None = None,
         version_by: Sequence[str] = (),
-    ) -> DataFrame:
-        """Merge a batch (one row per key) into a table and return it as stored.
-
-        Only touched partitions are read and rewritten. Where the partition follows from the key (`fixed_by_key`)
-        the batch alone tells which those are; otherwise the keys of the table are looked up as well. `bulk` is for
-        a batch about as large as the table. With `version_by`, a row older than the stored one changes nothing.
+        groups: Mapping[str, Column] | None = None,
+    ) -> Merged:
+        """Merge a batch (one row per key) into a table; the result tells what was done, counted while writing.
+
+        The batch is stored once. Only touched partitions are read and rewritten. Where the partition follows from the
+        key (`fixed_by_key`) the batch alone tells which those are; otherwise the keys of the table are looked up as well.
+        `bulk` is for a batch about as large as what it touches; left out, the number of its rows decides. With
+        `version_by`, a row older than the stored one changes nothing. `groups` are the rows to be counted apart.
         """
-        merge_rows = functools.partial(merge_full if bulk else merge_batch, version=version_by)
+        groups = groups or {"all": F.lit(True)}
         table = self.read(name)
         if table is None or (partition_by is not None and self._whole_path(name) is not None):
-            return self.write(name, batch, partition_by, sort_by)
-        if partition_by is None:
-            return self.write(name, merge_rows(table, batch, keys, updated))
-        touched = batch.select(partition_by)
-        if not fixed_by_key:
-            known = table.select(*keys, partition_by).join(batch.select(*keys), list(keys), "left_semi")
-            touched = touched.unionByName(known.select(partition_by))
-        parts = [row[0] for row in touched.distinct().toLocalIterator()]
-        if not parts:
-            return table
-        version = time.time_ns()
-        path = f"{self.root}/{name}/v={version}"
-        rows = merge_rows(table.where(F.col(partition_by).isin(parts)), batch, keys, updated)
-        self._write_partitions(path, rows, partition_by, sort_by)
-        self._publish(name, version, {str(p): f"{path}/{partition_by}={p}" for p in parts}, whole=False)
-        return self.read(name)
+            seen = Observation()
+            counted = batch.observe(seen, *[F.count_if(which).alias(g) for g, which in groups.items()])
+            return Merged(self.write(name, counted, partition_by, sort_by), None, {g: (seen.get[g], 0) for g in groups})
+        batch, rows = self.spool(name, batch)
+        if not rows:
+            return Merged(table, [], {g: (0, 0) for g in groups})
+        change = full_changes if (rows > BULK_ROWS if bulk is None else bulk) else batch_changes
+        parts = None
+        if partition_by is not None:
+            touched = batch.select(partition_by)
+            if not fixed_by_key:
+                known = table.select(*keys, partition_by).join(batch.select(*keys), list(keys), "left_semi")
+                touched = touched.unionByName(known.select(partition_by))
+            parts = [row[0] for row in touched.distinct().toLocalIterator()]
+            table = table.where(F.col(partition_by).isin(parts))
+        seen = Observation()
+        counts = [
+            F.count_if(which & (F.col(CHANGE) == what)).alias(f"{g} {what}")
+            for g, which in groups.items()
+            for what in (INSERTED, UPDATED)
+        ]
+        merged = change(table, batch, keys, updated, version_by).observe(seen, *counts).drop(CHANGE)
+        if parts is None:
+            self.write(name, merged)
+        else:
+            version = time.time_ns()
+            path = f"{self.root}/{name}/v={version}"
+            self._write_partitions(path, merged, partition_by, sort_by)
+            self._publish(name, version, {str(p): f"{path}/{partition_by}={p}" for p in parts}, whole=False)
+        return Merged(self.read(name), parts, {g: tuple(seen.get[f"{g} {what}"] for what in (INSERTED, UPDATED)) for g in groups})
 
     def read(self, name: str) -> DataFrame | None:
         paths = self._paths(name)
@@ -90,6 +140,20 @@ class TableStore:
         tables = self.spark.read.option("basePath", f"{self.root}/{name}").parquet(*paths)
         return tables.drop("v")
 
+    def read_since(self, name: str, version: int) -> DataFrame | None:
+        """The folders of a table that were written after `version`; None if there is no table."""
+        table = self.read(name)
+        newer = [path for path in self._paths(name) if _version(path) > version]
+        if table is None or len(newer) == len(self._paths(name)):
+            return table
+        if not newer:
+            return table.limit(0)
+        return self.spark.read.option("basePath", f"{self.root}/{name}").schema(table.schema).parquet(*newer)
+
+    def newest(self, names: Iterable[str]) -> int:
+        """The newest version of any of the tables, 0 if there is none."""
+        return max((_version(path) for name in names for path in self._paths(name)), default=0)
+
     def _write_partitions(self, path: str, df: DataFrame, partition_by: str, sort_by: str | None) -> None:
         """Rebalanced by partition, so that adaptive execution cuts one that holds much of the data into several
         tasks and packs small ones together."""

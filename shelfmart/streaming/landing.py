@@ -1,33 +1,20 @@
 """Marketplace pages as a file stream: each micro-batch is merged into the staging tables.
 
-The stream's checkpoint remembers which files were read, which replaces a polling schedule. A batch replayed after a
-failure is merged again with the same staging tables; only its set-aside rows are then logged twice.
+The stream's checkpoint remembers which files were read, which replaces a polling schedule; the scheduled run takes its
+pages from the same file log. A batch replayed after a failure is merged again with the same staging tables; only its
+set-aside rows are then logged twice.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
-
-from shelfmart.plans.refresh import stage_marketplace
-from shelfmart.sources import marketplace
+from shelfmart.plans.refresh import stage_new_files
 from shelfmart.storage import TableStore
 
 
 def ingest_available(
     store: TableStore, folder: str, run_at: dt.datetime, max_files: int | None = None, timeout: int | None = None
-) -> None:
-    """Merge every page file not read before, then stop."""
-
-    def merge(pages: DataFrame, batch_id: int) -> None:
-        stage_marketplace(store, pages, run_at)
-
-    query = (
-        marketplace.page_stream(store.spark, folder, max_files)
-        .writeStream.foreachBatch(merge)
-        .option("checkpointLocation", f"{store.root}/_checkpoints/marketplace")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination(timeout)
+) -> tuple[int, int]:
+    """Merge every page file not read before, then stop. Staged orders and set-aside rows are returned."""
+    return stage_new_files(store, folder, run_at, max_files, timeout)

@@ -18,7 +18,9 @@ def test_merge_rewrites_touched_partitions_only(spark, tmp_path):
     schema = "id int, value string, part int"
     store.write("t", spark.createDataFrame([(1, "a", 1), (2, "b", 2), (3, "c", 3)], schema), partition_by="part")
     batch = spark.createDataFrame([(1, "A", 2), (4, "D", 4)], schema)
-    found = store.merge("t", batch, ["id"], ["value"], partition_by="part")
+    merged = store.merge("t", batch, ["id"], ["value"], partition_by="part")
+    found = merged.table
+    assert merged.counts == {"all": (1, 1)} and sorted(merged.parts) == [1, 2, 4]
     assert rows(found.select("id", "value", "part")) == [(1, "A", 1), (2, "b", 2), (3, "c", 3), (4, "D", 4)]
     versions = {path.split("/v=")[1].split("/")[0] for path in store._paths("t")}
     assert len(store._paths("t")) == 4 and len(versions) == 2
@@ -81,7 +83,7 @@ def test_website_log_counts_orders_and_products(spark, small, loaded):
 def test_changed_rows_alone_give_the_same_facts(spark, small, tmp_path):
     """A second batch worked through with `changed_after` against the same batch in a full transform."""
     stores = [TableStore(spark, str(tmp_path / name)) for name in ("part", "whole")]
-    for store, after in zip(stores, (T.RUN_AT, None)):
+    for store, after in zip(stores, (refresh.Mark(T.RUN_AT), None)):
         refresh.load_website(store, T.shop_reader(spark, small), T.EVERYTHING, T.RUN_AT)
         orders = T.marketplace_orders(spark, small)
         early = F.col("changed") < "1998-01-01"

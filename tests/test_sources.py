@@ -7,7 +7,7 @@ from decimal import Decimal
 from shelfmart import schemas
 from shelfmart.bindings import tables as T
 from shelfmart.operators.constants import fixed_table
-from shelfmart.operators.quarantine import outcome_counts, rejected
+from shelfmart.operators.quarantine import accepted, outcome_counts, rejected
 from shelfmart.plans import staging
 from shelfmart.sources import marketplace, profile, shop, watermark
 from shelfmart.storage import TableStore
@@ -59,7 +59,8 @@ def test_orders_are_flattened_and_bad_ones_named(spark, tmp_path):
     first = flagged.where("marketplace_order_id = 1 AND violation IS NULL").first()
     assert (first["amount"], first["cost"], first["cost_with_discount"]) == (Decimal("10.50"), None, Decimal("9.99"))
     assert (first["delivery_city"], first["delivery_service"]) == ("Lviv", "Post")
-    assert "Person" not in first["raw_json"] and "123" not in first["raw_json"]
+    kept = staging.stage(None, accepted(flagged), staging.MARKETPLACE_ORDERS, dt.datetime(2020, 2, 1)).where("marketplace_order_id = 1").first()
+    assert "Lviv" in kept["raw_json"] and "Person" not in kept["raw_json"] and "123" not in kept["raw_json"]
     assert rows(outcome_counts(flagged)) == [(3, 2)]
     assert marketplace.orders(pages).count() == 6
     assert marketplace.orders(pages, dt.date(2020, 1, 7)).count() == 1
@@ -128,4 +129,4 @@ def test_profile(spark):
 
 def test_rejected_rows_keep_their_columns(spark, tmp_path):
     bad = rejected(marketplace.flagged_orders(landed(spark, tmp_path)))
-    assert {"violation", "raw_json", "ttn"} <= set(bad.columns)
+    assert {"violation", "ttn"} <= set(bad.columns)
