@@ -237,6 +237,14 @@ BLOCKS = {
       FROM mkt_lines l JOIN mkt_facts f ON f.source_order_id = l.marketplace_order_id
       LEFT JOIN titles t ON t.title_key = lower(trim(l.item_name))
       LEFT JOIN dim_product p ON p.product_id = t.product_id""",
+    "landed_facts": """
+      SELECT * FROM web_facts
+      UNION ALL SELECT * FROM mkt_facts
+      WHERE source_order_id IN (SELECT marketplace_order_id FROM mkt_orders WHERE length(ttn) <= 64)""",
+    "late_orders": """
+      SELECT *, date_id NOT BETWEEN 19960101 AND 20001231 AS late FROM fact_orders""",
+    "late_lines": """
+      SELECT l.*, late FROM fact_order_lines l JOIN late_orders o USING (order_id)""",
     "fact_order_lines": "SELECT * FROM web_line_facts UNION ALL SELECT * FROM mkt_line_facts",
     "done": "SELECT status_id FROM statuses WHERE status_group = 2",
     "completed_orders": "SELECT * FROM fact_orders WHERE status_id IN (SELECT status_id FROM done)",
@@ -474,10 +482,30 @@ ORACLES = {
     ),
     "src_marketplace_lines": _present("SELECT * FROM mkt_lines", "price cost cost_with_discount"),
     "stream_marketplace_ingest": _present(
-        f"SELECT *, {RUN_AT} AS ingested_at FROM mkt_orders WHERE length(ttn) <= 64",
-        MKT_ORDER_CASTS["doubles"],
+        f"""
+      SELECT o.*, {RUN_AT} AS ingested_at, line_count, line_quantity, line_cost_with_discount
+      FROM mkt_orders o LEFT JOIN (
+        SELECT marketplace_order_id, count(*) AS line_count, sum(quantity) AS line_quantity,
+               sum(cost_with_discount) AS line_cost_with_discount
+        FROM mkt_lines GROUP BY marketplace_order_id) l USING (marketplace_order_id)
+      WHERE length(ttn) <= 64""",
+        MKT_ORDER_CASTS["doubles"] + " line_cost_with_discount",
         "created changed ingested_at",
     ),
+    "cycle_incremental": _present(
+        """
+      SELECT channel_id, order_month, orders, revenue_uah, lines, matched, units, line_total_uah
+      FROM (SELECT channel_id, date_id // 100 AS order_month, count(*) AS orders, sum(total_amount_uah) AS revenue_uah
+            FROM landed_facts GROUP BY ALL)
+      FULL JOIN (SELECT channel_id, date_id // 100 AS order_month, count(*) AS lines, count(product_id) AS matched,
+                        sum(quantity_sold) AS units, sum(line_total_uah) AS line_total_uah
+                 FROM fact_order_lines WHERE order_id IN (SELECT order_id FROM landed_facts) GROUP BY ALL)
+      USING (channel_id, order_month)""",
+        "revenue_uah line_total_uah",
+    ),
+    "src_marketplace_defaults": _present(
+        "SELECT purchase_id, CASE WHEN purchase_id % 3 = 0 THEN 1 ELSE quantity END AS quantity FROM mkt_lines"
+    ),
     "sync_watermark": _present(
         "SELECT c.channel, coalesce(max(completed_at), TIMESTAMP '2015-01-01') AS since "
         "FROM (VALUES ('website'), ('marketplace'), ('phone')) c(channel) "
@@ -689,15 +717,40 @@ ORACLES = {
       SELECT channel_id, source_order_id, date_id, 'date_unknown' AS violation
       FROM fact_orders WHERE date_id NOT BETWEEN 19960101 AND 20001231"""
     ),
-    "transform_counts": _present(
+    "quarantine_redrive": _present(
         """
-      SELECT 1 AS position, 'publishers' AS step, count(*) AS affected FROM supplier
-      UNION ALL SELECT 2, 'categories', count(*) FROM nation
-      UNION ALL SELECT 3, 'products', count(*) FROM part
-      UNION ALL SELECT 4, 'customers', count(*) FROM customer
-      UNION ALL SELECT 5, 'order_statuses', count(DISTINCT status) FROM mkt_orders WHERE status = 45
-      UNION ALL SELECT 6, 'website_orders', count(*) FROM web_orders
-      UNION ALL SELECT 7, 'marketplace_orders', count(*) FROM mkt_orders"""
+      SELECT kind, violation, n AS first_run, 0 AS second_run, n AS resolved, n AS loaded FROM (
+        SELECT CASE channel_id WHEN 1 THEN 'website_orders' ELSE 'marketplace_orders' END AS kind,
+               'date_unknown' AS violation, count(*) AS n
+        FROM late_orders WHERE late GROUP BY ALL
+        UNION ALL
+        SELECT CASE channel_id WHEN 1 THEN 'website_lines' ELSE 'marketplace_lines' END, 'order_missing', count(*)
+        FROM late_lines WHERE late GROUP BY ALL)"""
+    ),
+    "transform_counts": _present(
+        f"""
+      SELECT run_at, position, step, inserted, CAST(0 AS BIGINT) AS updated, rejected FROM (
+        SELECT 1 AS position, 'publishers' AS step, count(*) AS a, 0 AS b, 0 AS r FROM supplier
+        UNION ALL SELECT 2, 'categories', count(*), 0, 0 FROM dim_category
+        UNION ALL SELECT 3, 'products', count(*), 0, 0 FROM part
+        UNION ALL SELECT 4, 'customers', count(*), 0, 0 FROM customer
+        UNION ALL SELECT 5, 'order_statuses', count(DISTINCT status), 0, 0 FROM mkt_orders WHERE status = 45
+        UNION ALL SELECT 5 + channel_id, CASE channel_id WHEN 1 THEN 'website_orders' ELSE 'marketplace_orders' END,
+                         count(*) FILTER (NOT late), count(*) FILTER (late), count(*) FILTER (late)
+                  FROM late_orders GROUP BY channel_id
+        UNION ALL SELECT 7 + channel_id, CASE channel_id WHEN 1 THEN 'website_lines' ELSE 'marketplace_lines' END,
+                         count(*) FILTER (NOT late), count(*) FILTER (late), count(*) FILTER (late)
+                  FROM late_lines GROUP BY channel_id)
+      CROSS JOIN LATERAL (VALUES ({RUN_AT}, a, r), ({SECOND_RUN_AT}, b, 0)) v(run_at, inserted, rejected)""",
+        times="run_at",
+    ),
+    "seed_load": _present(
+        f"""
+      SELECT 'rule' AS seed, CAST(rule_id AS BIGINT) AS id, rule_name AS label FROM supplier_rules
+      UNION ALL SELECT 'rule', (SELECT max(rule_id) FROM supplier_rules) + n, name
+                FROM (VALUES {_values((n, name) for n, (_, name, _, _) in enumerate(DEFAULT_RULES, start=1))}) d(n, name)
+      UNION ALL SELECT 'channel', channel_id, channel_name FROM channels
+      UNION ALL SELECT 'status', status_id, name_en FROM statuses"""
     ),
     # Reports
     "kpi_summary": _present(
@@ -738,10 +791,35 @@ ORACLES = {
       SELECT report_type, 'parquet' AS format,
              '{{"from_date": "1995-01-01", "to_date": "2001-07-31", "channel_id": null, "category_id": null}}'
                AS parameters,
-             {AS_OF} AS generated_at, CAST(NULL AS INTEGER) AS generated_by, CAST(NULL AS VARCHAR) AS schedule, row_count
+             {AS_OF} AS generated_at, 7 AS generated_by, CAST(NULL AS VARCHAR) AS schedule, row_count
       FROM ({DISPATCH})""",
         times="generated_at",
     ),
+    "report_run": _present(f"SELECT report_type, row_count AS counted, row_count, 1 AS entries FROM ({DISPATCH})"),
+    "audit_append": _present(
+        f"""
+      SELECT user_id, event_type AS action, props AS resource, CAST(NULL AS VARCHAR) AS ip_address,
+             CAST(NULL AS VARCHAR) AS detail, ts AS created_at FROM events
+      UNION ALL
+      SELECT 7, 'generate_report', 'report:' || report_type, NULL,
+             '{{"format": "parquet", "from": "1995-01-01", "to": "2001-07-31"}}', {AS_OF}
+      FROM (VALUES {_values((name,) for name in REPORT_BODIES)}) r(report_type)""",
+        times="created_at",
+    ),
+    "report_headers": _present(
+        f"""
+      SELECT category_name AS "Category Name", parent_name AS "Parent Name", units_sold AS "Units Sold",
+             CAST(revenue_uah AS DOUBLE) AS "Revenue Uah" FROM ({_by_category(FROM, TO)})"""
+    ),
+    "report_page": _present(
+        f"""
+      SELECT CAST(product_id AS VARCHAR) AS "Product Id", coalesce(title, '') AS "Title", coalesce(author, '') AS "Author",
+             coalesce(isbn, '') AS "Isbn",
+             CASE WHEN quantity_in_stock <> 0 THEN CAST(quantity_in_stock AS VARCHAR) ELSE '' END AS "Quantity In Stock",
+             CASE WHEN price <> 0 THEN CAST(price AS VARCHAR) ELSE '' END AS "Price",
+             coalesce(stock_status, '') AS "Stock Status", coalesce(status, '') AS "Status",
+             coalesce(category_name, '') AS "Category Name", coalesce(age_group, '') AS "Age Group" FROM ({INVENTORY})"""
+    ),
     "dashboard_bundle": _present(
         f"""
       SELECT 'kpi' AS section, 'all' AS item, unnest(['total_revenue_mtd', 'orders_mtd', 'top_book_units',

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from shelfmart import schemas, seeds
 from shelfmart.bindings import tables as T
 from shelfmart.functions.calendar import calendar, calendar_between
-from shelfmart.functions.coerce import base_amount, json_payload, marketplace_money, sanitise, website_money
+from shelfmart.functions.coerce import (
+    base_amount, json_payload, marketplace_money, printable, sanitise, website_money, with_headers,
+)
 from shelfmart.functions.keys import CHANNEL_ID, MARKETPLACE, WEBSITE, date_from_key, date_key
 from shelfmart.operators.constants import fixed_table
 from shelfmart.operators.merge import insert_if_absent
@@ -70,9 +72,35 @@ def src_marketplace_lines(spark, sf_dir):
 
 
 def stream_marketplace_ingest(spark, sf_dir):
+    """All landed files taken by the stream: the orders, each with the figures of its lines."""
     store = T.new_store(spark, sf_dir, "stream")
-    ingest_available(store, T.landing_folder(spark, sf_dir), T.RUN_AT, max_files=4)
-    return store.read(staging.MARKETPLACE_ORDERS.name).drop("raw_json", staging.BLOCK)
+    ingest_available(store, T.landing_folder(spark, sf_dir), T.RUN_AT)
+    lines = store.read(staging.MARKETPLACE_ORDER_LINES.name).groupBy("marketplace_order_id").agg(
+        F.count("*").alias("line_count"),
+        F.sum("quantity").alias("line_quantity"),
+        F.sum("cost_with_discount").alias("line_cost_with_discount"),
+    )
+    orders = store.read(staging.MARKETPLACE_ORDERS.name).drop("raw_json", staging.BLOCK)
+    return orders.join(lines, "marketplace_order_id", "left")
+
+
+def cycle_incremental(spark, sf_dir):
+    """Facts by channel and month after two scheduled runs, which are those of one full load."""
+    store = T.cycled_store(spark, sf_dir)
+    keys = ["channel_id", "order_month"]
+    orders = store.read("fact_orders").groupBy(*keys).agg(
+        F.count("*").alias("orders"), F.sum("total_amount_uah").alias("revenue_uah")
+    )
+    lines = store.read("fact_order_lines").groupBy(*keys).agg(
+        F.count("*").alias("lines"), F.count("product_id").alias("matched"),
+        F.sum("quantity_sold").alias("units"), F.sum("line_total_uah").alias("line_total_uah"),
+    )
+    return orders.join(lines, keys, "full_outer")
+
+
+def src_marketplace_defaults(spark, sf_dir):
+    """Purchases without a quantity count as one."""
+    return marketplace.order_lines(T.sparse_pages(spark, sf_dir)).select("purchase_id", "quantity")
 
 
 def sync_watermark(spark, sf_dir):
@@ -387,15 +415,48 @@ def fact_quarantine(spark, sf_dir):
     )
 
 
+def quarantine_redrive(spark, sf_dir):
+    """Rows set aside for want of their day or order, what became of them when the calendar had grown, and how many
+    facts they are now."""
+    store = T.redriven_store(spark, sf_dir)
+    keys = ["kind", "violation"]
+    still = refresh.quarantine(store).groupBy(*keys).agg(F.count("*").alias("second_run"))
+    resolved = store.log(refresh.RESOLVED_LOG, refresh.RESOLVED_SCHEMA)
+    orders, lines = store.read("fact_orders"), store.read("fact_order_lines")
+    web, other = F.col("channel_id") == CHANNEL_ID[WEBSITE], F.col("channel_id") == CHANNEL_ID[MARKETPLACE]
+    loaded = _union(
+        rows.select(F.lit(kind).alias("kind"), F.col(key).alias("source_id"))
+        for kind, rows, key in (
+            ("website_orders", orders.where(web), "source_order_id"),
+            ("marketplace_orders", orders.where(other), "source_order_id"),
+            ("website_lines", lines.where(web), "source_line_id"),
+            ("marketplace_lines", lines.where(other), "source_line_id"),
+        )
+    )
+    facts_of = resolved.join(loaded, ["kind", "source_id"]).groupBy(*keys).agg(F.count("*").alias("loaded"))
+    counted = resolved.groupBy(*keys).agg(F.count("*").alias("resolved"))
+    whole = store.read("first_run").join(still, keys, "full_outer").join(counted, keys, "full_outer")
+    return whole.join(facts_of, keys, "full_outer").na.fill(0)
+
+
 def transform_counts(spark, sf_dir):
-    return refresh.transform_counts(
-        T.staged(spark, sf_dir, "manufacturers"),
-        dim_category(spark, sf_dir),
-        T.staged(spark, sf_dir, "products"),
-        T.staged(spark, sf_dir, "customers"),
-        T.staged(spark, sf_dir, "orders"),
-        T.staged(spark, sf_dir, "marketplace_orders"),
-        seeds.order_statuses(spark).where("source_id <> 45"),
+    """What the steps of two transforms did, the first with rejected rows, the second with those that became loadable."""
+    log = T.redriven_store(spark, sf_dir).log(refresh.COUNT_LOG, refresh.COUNT_LOG_SCHEMA)
+    return log
+
+
+def seed_load(spark, sf_dir):
+    """Seeds loaded into a store that has some customers' rules already, and once more: nothing is there twice."""
+    store = T.new_store(spark, sf_dir, "seeds")
+    store.write(refresh.RULES, T.supplier_rules(spark, sf_dir))
+    for _ in range(2):
+        refresh.seed(store, T.RULES_CREATED)
+    return _union(
+        [
+            store.read(refresh.RULES).select(F.lit("rule").alias("seed"), F.col("rule_id").cast("long").alias("id"), F.col("rule_name").alias("label")),
+            store.read(refresh.CHANNELS).select(F.lit("channel").alias("seed"), F.col("channel_id").cast("long").alias("id"), F.col("channel_name").alias("label")),
+            store.read("dim_order_status").select(F.lit("status").alias("seed"), F.col("status_id").alias("id"), F.col("name_en").alias("label")),
+        ]
     )
 
 
@@ -490,18 +551,52 @@ def report_dispatch(spark, sf_dir):
     )
 
 
-def report_catalogue(spark, sf_dir):
-    """Every report written as Parquet, with its catalogue row and the number of rows read back."""
+def _requests():
+    return [export.Request(name, FROM, TO) for name in reports.REPORTS]
+
+
+def _reported(spark, sf_dir, *runs):
     store = T.new_store(spark, sf_dir, "reports")
-    written = []
-    for name, frame in _dispatched(spark, sf_dir).items():
-        path = f"{store.root}/files/{name}"
-        export.write_report(sanitise(frame), path, "parquet")
-        store.append("catalogue", export.catalogue_row(spark, name, "parquet", path, T.AS_OF, FROM, TO))
-        found = spark.read.parquet(path)
-        written.append(found.agg(F.lit(name).alias("report_type"), F.count("*").alias("row_count")))
-    catalogue = spark.read.parquet(f"{store.root}/catalogue").drop("report_id", "file_path")
-    return catalogue.join(_union(written), "report_type")
+    for run_id in runs:
+        export.run_reports(store, T.mart(spark, sf_dir), _requests(), T.AS_OF, run_id, user_id=7)
+    return store
+
+
+def report_catalogue(spark, sf_dir):
+    """Every report written as Parquet by one run, with its catalogue row and the number of rows that were written."""
+    store = _reported(spark, sf_dir, "all")
+    counted = export.report_log(store).select("report_type", F.col("rows").alias("row_count"))
+    return export.catalogue(store).drop("report_id", "file_path").join(counted, "report_type")
+
+
+def report_run(spark, sf_dir):
+    """A run that was repeated leaves each report once: the rows in its files and those counted while writing."""
+    store = _reported(spark, sf_dir, "again", "again")
+    logged = {r["report_type"]: r for r in export.report_log(store).collect()}
+    found = _union(
+        spark.read.parquet(r["file_path"]).agg(
+            F.lit(name).alias("report_type"), F.lit(r["rows"]).alias("counted"), F.count("*").alias("row_count")
+        )
+        for name, r in logged.items()
+    )
+    times = export.report_log(store).groupBy("report_type").agg(F.count("*").alias("entries"))
+    return found.join(times, "report_type")
+
+
+def audit_append(spark, sf_dir):
+    """The actions of a report run among all that users did."""
+    ours = export.audit(_reported(spark, sf_dir, "audited")).drop("log_id")
+    return T.audit_log(spark, sf_dir).drop("log_id").unionByName(ours)
+
+
+def report_headers(spark, sf_dir):
+    """A report as a spreadsheet has it."""
+    return with_headers(reports.sales_by_category(T.mart(spark, sf_dir), FROM, TO).drop("pct_of_total"))
+
+
+def report_page(spark, sf_dir):
+    """A report as a page has it: text, blank where there is nothing."""
+    return printable(reports.inventory_status(T.mart(spark, sf_dir)))
 
 
 def dashboard_bundle(spark, sf_dir):
@@ -540,7 +635,7 @@ def _stock(spark, sf_dir):
 
 
 def _swings(spark, sf_dir):
-    return alerts.revenue_swing(T.mart(spark, sf_dir).fact_orders, T.alert_rules(spark))
+    return alerts.revenue_swing(T.mart(spark, sf_dir).order_months, T.alert_rules(spark))
 
 
 def _silent(spark, sf_dir):
@@ -637,7 +732,8 @@ def channel_list(spark, sf_dir):
 
 REGISTERED = [
     src_orders_incremental, src_order_lines_semi, src_products_enriched, src_categories_full, src_publishers_full,
-    src_customers_incremental, src_marketplace_orders, src_marketplace_lines, stream_marketplace_ingest,
+    src_customers_incremental, src_marketplace_orders, src_marketplace_lines, src_marketplace_defaults,
+    stream_marketplace_ingest, cycle_incremental,
     sync_watermark, dim_date, seed_order_status, source_profile,
     coerce_website_money, coerce_marketplace_money, raw_json_payload, date_key_roundtrip, currency_convert,
     report_sanitise,
@@ -645,11 +741,12 @@ REGISTERED = [
     upsert_mkt_orders, upsert_mkt_lines, quarantine_counts, insert_absent, sync_log_append,
     dim_publisher, dim_category, dim_category_deep, category_quarantine, dim_product, dim_customer, dim_status_website, dim_status_marketplace,
     fact_orders_website, fact_orders_marketplace, fact_orders_all, fact_lines_website, fact_lines_marketplace,
-    fact_quarantine, transform_counts,
+    fact_quarantine, quarantine_redrive, transform_counts, seed_load,
     kpi_summary, kpi_mtd, kpi_top_book, kpi_low_stock, kpi_low_stock_supplier_rules, kpi_last_sync,
     revenue_by_channel, top_books, top_books_website, sales_by_category, sales_by_category_marketplace,
     seasonal_trend, seasonal_trend_website, inventory_status, inventory_status_filtered, weekly_sales,
-    weekly_sales_order_grain, report_dispatch, report_catalogue, dashboard_bundle,
+    weekly_sales_order_grain, report_dispatch, report_catalogue, report_run, audit_append,
+    report_headers, report_page, dashboard_bundle,
     alert_dispatch, alert_low_stock, alert_cooldown, alert_revenue_swing, alert_no_orders, alert_events_new,
     alert_notifications, alert_run_twice, alert_books,
     sync_history, alert_event_history, audit_history, report_history, alert_rule_list, channel_list,

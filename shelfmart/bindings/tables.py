@@ -19,7 +19,7 @@ from shelfmart.plans.mart import Mart
 from shelfmart.plans.staging import stage
 from shelfmart.session import configure, shared_dir
 from shelfmart.sources import shop
-from shelfmart.storage import TableStore
+from shelfmart.storage import TableStore, together
 
 AS_OF = dt.datetime(2001, 7, 31, 12)
 RUN_AT = dt.datetime(2001, 8, 2)
@@ -289,14 +289,17 @@ def marketplace_lines(spark, sf_dir) -> DataFrame:
     return purchases(spark, sf_dir, _lines_of(spark, sf_dir, website=False))
 
 
-def landing_documents(spark, sf_dir) -> DataFrame:
-    """One envelope of JSON text per marketplace order and ship year.
+def landing_documents(spark, sf_dir, sparse: bool = False) -> DataFrame:
+    """One envelope of JSON text per marketplace order and ship year. In a `sparse` one every third purchase has no
+    quantity.
 
     Purchases are grouped by order and year; line numbers are single digits, so an envelope holds at most 3,660 of
     them however many lines an order has.
     """
+    lacking = F.lit(sparse) & (F.col("purchase_id") % 3 == 0)
     item = F.struct(
-        F.col("purchase_id").alias("id"), "item_id", "item_name", "quantity",
+        F.col("purchase_id").alias("id"), "item_id", "item_name",
+        F.when(~lacking, F.col("quantity")).alias("quantity"),
         *[F.col(c).cast("string").alias(c) for c in ("price", "cost", "cost_with_discount")],
     )
     once = stage(None, marketplace_lines(spark, sf_dir), staging.MARKETPLACE_ORDER_LINES, RUN_AT)
@@ -318,6 +321,13 @@ def landing_documents(spark, sf_dir) -> DataFrame:
     return order.join(bought, "marketplace_order_id", "left").select(F.to_json(envelope).alias("value"))
 
 
+def sparse_pages(spark, sf_dir) -> DataFrame:
+    """Parsed pages whose purchases partly lack a quantity."""
+    text = landing_documents(spark, sf_dir, sparse=True)
+    parsed = F.from_json("value", schemas.PAGE_FIELDS, {"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"})
+    return text.select(parsed.alias("page")).select("page.*", F.lit(None).cast("string").alias(schemas.CORRUPT))
+
+
 def landing_folder(spark, sf_dir) -> str:
     """The envelopes written as JSON lines, once per session and data set."""
     return _once(spark, sf_dir, "landing", lambda path: landing_documents(spark, sf_dir).write.text(path))
@@ -537,18 +547,69 @@ def new_store(spark, sf_dir, name: str) -> TableStore:
     return TableStore(spark, _folder(spark, sf_dir, name))
 
 
+def _staged_store(spark, sf_dir, name: str) -> TableStore:
+    store = new_store(spark, sf_dir, name)
+
+    def fill(key):
+        table, rows = STAGED[key], staged(spark, sf_dir, key)
+        if table.block is not None:
+            rows = rows.withColumn(staging.BLOCK, F.expr(f"{table.keys[0]} div {table.block}"))
+        store.write(table.name, rows, staging.BLOCK if table.block is not None else None)
+
+    together(*[lambda k=key: fill(k) for key in STAGED])
+    return store
+
+
 def mart(spark: SparkSession, sf_dir: str) -> Mart:
     """The star schema of a first load, written once per session and data set."""
     configure(spark)
     key = (spark.sparkContext.applicationId, sf_dir, "mart")
     if key not in _WRITTEN:
-        store = new_store(spark, sf_dir, "mart")
-        for name, table in STAGED.items():
-            rows = staged(spark, sf_dir, name)
-            if table.block is not None:
-                rows = rows.withColumn(staging.BLOCK, F.expr(f"{table.keys[0]} div {table.block}"))
-            store.write(table.name, rows, staging.BLOCK if table.block is not None else None)
+        store = _staged_store(spark, sf_dir, "mart")
         _WRITTEN[key] = refresh.transform(
             store, days(spark), seeds.sales_channels(spark), seeds.order_statuses(spark), RUN_AT, stock_statuses(spark)
         ).mart
     return _WRITTEN[key]
+
+
+SHORT_CALENDAR = (dt.date(1996, 1, 1), dt.date(2000, 12, 31))
+
+
+def redriven_store(spark, sf_dir) -> TableStore:
+    """A store after a transform with a calendar too short for all orders and a second one with the whole calendar.
+    The status that a third of the marketplace orders has is no seed here."""
+    key = (spark.sparkContext.applicationId, sf_dir, "redriven")
+    if key not in _WRITTEN:
+        store = _staged_store(spark, sf_dir, "redriven")
+        known = seeds.order_statuses(spark).where("source_id <> 45")
+        channels = seeds.sales_channels(spark)
+        refresh.transform(store, calendar(spark, *SHORT_CALENDAR), channels, known, RUN_AT, stock_statuses(spark))
+        first = refresh.quarantine(store).groupBy("kind", "violation").agg(F.count("*").alias("first_run"))
+        store.write("first_run", first)
+        mark = refresh.Mark(RUN_AT, store.newest(refresh.STAGED))
+        refresh.transform(store, days(spark), channels, known, SECOND_RUN_AT, stock_statuses(spark), mark)
+        _WRITTEN[key] = store
+    return _WRITTEN[key]
+
+
+def cycled_store(spark, sf_dir) -> TableStore:
+    """A store after two scheduled runs: early website orders and half of the landed files, then all that is new."""
+    key = (spark.sparkContext.applicationId, sf_dir, "cycled")
+    if key not in _WRITTEN:
+        store = new_store(spark, sf_dir, "cycled")
+        folder = f"{store.root}/landing"
+        read, whole = shop_reader(spark, sf_dir), spark.read.text(landing_folder(spark, sf_dir))
+        half = F.pmod(F.xxhash64("value"), F.lit(2))
+        early = lambda name: read(name).where(F.col("date_modified") < at(CUT)) if name == "orders" else read(name)
+        start = fixed_table(
+            spark, [(0, c, "historical", EVERYTHING, EVERYTHING, 0, 0, "success", None) for c in CHANNEL_ID], schemas.SYNC_LOG
+        )
+        store.append(refresh.SYNC_LOG, start)
+        for number, (reader, run_at) in enumerate([(early, CUT), (read, RUN_AT)]):
+            whole.where(half == number).write.mode("append").text(folder)
+            refresh.cycle(
+                store, reader, folder, run_at, days(spark), seeds.sales_channels(spark), seeds.order_statuses(spark),
+                stock_statuses(spark),
+            )
+        _WRITTEN[key] = store
+    return _WRITTEN[key]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _SHIFT = 1 << 31
 _LEVELS = 32
@@ -48,20 +48,35 @@ def match_thresholds(
     return items.join(pairs, value).join(limits, "_limit").select(*items.columns, *rule_cols)
 
 
+# Points of the running sum are worked through in stretches of this many integers, so that no task holds more.
+_STRETCH_BITS = 16
+
+
 def count_matches(items: DataFrame, value: str, rules: DataFrame, threshold: str) -> DataFrame:
-    """One row with `pairs`, the rows `match_thresholds` has, and `items`, how many items have any. Counted from the
-    rows per value and per threshold; no pair of an item and a rule is made."""
-    per_value = items.groupBy(value).agg(F.count("*").alias("_items"))
-    per_limit = rules.groupBy(F.col(threshold).alias("_limit")).agg(F.count("*").alias("_rules"))
-    pairs = reached(per_value.select(value), value, per_limit.select("_limit"), "_limit")
-    per_pair = pairs.join(per_value, value).join(per_limit, "_limit")
-    return (
-        per_pair.groupBy(value)
-        .agg(F.max("_items").alias("_items"), F.sum("_rules").alias("_rules"))
-        .agg(
-            F.coalesce(F.sum(F.col("_items") * F.col("_rules")), F.lit(0)).alias("pairs"),
-            F.coalesce(F.sum("_items"), F.lit(0)).alias("items"),
-        )
+    """One row with `pairs`, the rows `match_thresholds` has, and `items`, how many items have any.
+
+    A running sum: items per value and rules per threshold are points on one line, and an item reaches the rules at its
+    point and above. Points are cut into stretches; the rules of all stretches above are summed over the stretches, of
+    which there are 65,536 at most, and those within over the points of each. No value meets a threshold.
+    """
+    point = lambda number: F.greatest(F.lit(-_SHIFT), F.least(number.cast("long"), F.lit(_SHIFT - 1)))
+    of_items = items.where(F.col(value).isNotNull()).groupBy(point(F.col(value)).alias("point"))
+    of_rules = rules.where(F.col(threshold) >= -_SHIFT).groupBy(point(F.floor(threshold)).alias("point"))
+    none = F.lit(0).cast("long")
+    points = of_items.agg(F.count("*").alias("items"), none.alias("rules")).unionByName(
+        of_rules.agg(none.alias("items"), F.count("*").alias("rules"))
+    )
+    points = points.groupBy("point").agg(F.sum("items").alias("items"), F.sum("rules").alias("rules"))
+    points = points.withColumn("stretch", F.expr(f"shiftright(point, {_STRETCH_BITS})"))
+    higher = Window.orderBy(F.desc("stretch")).rowsBetween(Window.unboundedPreceding, -1)
+    above = points.groupBy("stretch").agg(F.sum("rules").alias("_rules"))
+    above = above.select("stretch", F.coalesce(F.sum("_rules").over(higher), none).alias("above"))
+    inside = Window.partitionBy("stretch").orderBy(F.desc("point")).rowsBetween(Window.unboundedPreceding, 0)
+    reached_rules = F.col("above") + F.sum("rules").over(inside)
+    found = points.join(above, "stretch").select("items", reached_rules.alias("reached"))
+    return found.agg(
+        F.coalesce(F.sum(F.col("items") * F.col("reached")), none).alias("pairs"),
+        F.coalesce(F.sum(F.when(F.col("reached") > 0, F.col("items"))), none).alias("items"),
     )
 
 

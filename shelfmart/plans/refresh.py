@@ -11,7 +11,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
-from shelfmart import schemas
+from shelfmart import schemas, seeds
 from shelfmart.functions.calendar import at
 from shelfmart.functions.keys import CHANNEL_ID, MARKETPLACE, WEBSITE
 from shelfmart.operators.constants import fixed_table
@@ -21,7 +21,7 @@ from shelfmart.plans.mart import Mart
 from shelfmart.plans.staging import BLOCK, StagingTable, collapsed, stored_version
 from shelfmart.sources import marketplace, shop
 from shelfmart.sources.watermark import sync_record, watermarks
-from shelfmart.storage import Merged, TableStore
+from shelfmart.storage import Merged, TableStore, together
 
 logger = logging.getLogger(__name__)
 
@@ -105,17 +105,26 @@ def load_website(
 ) -> None:
     """Website batch into staging; the log counts orders and products."""
 
-    def work():
+    def orders():
         changed = shop.coerce_orders(shop.orders(read, since, until))
-        orders = land(store, staging.WEBSITE_ORDERS, changed, run_at)
-        lines = shop.coerce_order_lines(shop.order_lines(read, orders.rows))
+        found = land(store, staging.WEBSITE_ORDERS, changed, run_at)
+        lines = shop.coerce_order_lines(shop.lines_since(read, found.rows, since, until))
         land(store, staging.WEBSITE_ORDER_LINES, lines, run_at)
-        products = shop.coerce_products(shop.products(read, since, until))
-        n_products = land(store, staging.WEBSITE_PRODUCTS, products, run_at).staged
-        land(store, staging.WEBSITE_CATEGORIES, shop.coerce_categories(shop.categories(read)), run_at)
-        land(store, staging.WEBSITE_MANUFACTURERS, shop.publishers(read), run_at)
-        land(store, staging.WEBSITE_CUSTOMERS, shop.coerce_customers(shop.customers(read, since, until)), run_at)
-        return orders.staged + n_products, 0
+        return found.staged
+
+    def work():
+        n_orders, n_products, *_ = together(
+            orders,
+            lambda: land(
+                store, staging.WEBSITE_PRODUCTS, shop.coerce_products(shop.products(read, since, until)), run_at
+            ).staged,
+            lambda: land(store, staging.WEBSITE_CATEGORIES, shop.coerce_categories(shop.categories(read)), run_at),
+            lambda: land(store, staging.WEBSITE_MANUFACTURERS, shop.publishers(read), run_at),
+            lambda: land(
+                store, staging.WEBSITE_CUSTOMERS, shop.coerce_customers(shop.customers(read, since, until)), run_at
+            ),
+        )
+        return n_orders + n_products, 0
 
     _logged(store, WEBSITE, run_at, sync_type, work)
 
@@ -134,8 +143,10 @@ def stage_marketplace(
     landed, _ = store.spool("pages", pages.observe(seen, F.count_if(bad).alias("bad")))
     if seen.get["bad"]:
         store.append(PAGE_LOG, marketplace.failed_pages(landed))
-    orders = land(store, staging.MARKETPLACE_ORDERS, marketplace.flagged_orders(landed, since, until), run_at)
-    lines = land(store, staging.MARKETPLACE_ORDER_LINES, marketplace.flagged_order_lines(landed, since, until), run_at)
+    orders, lines = together(
+        lambda: land(store, staging.MARKETPLACE_ORDERS, marketplace.flagged_orders(landed, since, until), run_at),
+        lambda: land(store, staging.MARKETPLACE_ORDER_LINES, marketplace.flagged_order_lines(landed, since, until), run_at),
+    )
     return orders.staged, orders.failed + lines.failed
 
 
@@ -230,11 +241,14 @@ def cycle(
         # no filter on the day of creation: an order of any age may have changed
         MARKETPLACE: lambda: load_marketplace(store, pages, run_at, sync_type=sync_type),
     }
-    for channel, load in loads.items():
+
+    def attempt(channel):
         try:
-            load()
+            loads[channel]()
         except Exception:
             logger.exception("load of %s failed", channel)
+
+    together(*[lambda c=channel: attempt(c) for channel in loads])
     _start_empty(store, run_at)
     log = store.log(TRANSFORM_LOG, TRANSFORM_LOG_SCHEMA)
     done = log.agg(F.max(F.struct("run_at", "version")).alias("done")).first()["done"]
@@ -246,6 +260,21 @@ def cycle(
     return run
 
 
+# Seeds, loaded once and completed by every later run
+
+CHANNELS, RULES = "sales_channels", "alert_rules"
+
+
+def seed(store: TableStore, created_at: dt.datetime, website_url: str | None = None, marketplace_url: str | None = None) -> None:
+    """Sales channels, order statuses and alert rules a store does not have yet. What is there stays as it is: rules are
+    told apart by type and name, so that a changed threshold is kept."""
+    spark = store.spark
+    store.merge(CHANNELS, seeds.sales_channels(spark, website_url, marketplace_url), ["channel_id"], [])
+    store.merge("dim_order_status", seeds.order_statuses(spark), ["source_id", "source_channel"], [])
+    wanted, rules = seeds.alert_rules(spark, created_at), store.read(RULES)
+    store.write(RULES, wanted if rules is None else seeds.with_missing_rules(rules, wanted))
+
+
 # Rows that could not be loaded yet, by kind: the staging table and its key
 
 PENDING_SCHEMA = "source_id long, violation string, since timestamp_ntz"
@@ -409,49 +438,66 @@ def transform(
         settle(store, kind, found.rows, key, run_at, found.failed)
         return found
 
-    manufacturers = store.read(staging.WEBSITE_MANUFACTURERS.name)
-    found = checked("publishers", dimensions.flag_publishers(manufacturers), "manufacturer_id")
-    publisher, done = _keep_dimension(
-        store, "dim_publisher", dimensions.publishers(manufacturers), dimensions.PUBLISHER_KEYS,
-        dimensions.PUBLISHER_UPDATES,
-    )
-    counts.append(("publishers", *done, found.failed))
-
-    tree = store.read(staging.WEBSITE_CATEGORIES.name)
-    lost = dimensions.rejected_categories(tree).select("category_id", F.col(VIOLATION).alias("_lost"))
-    flagged = tree.select("category_id").join(lost, "category_id", "left").withColumnRenamed("_lost", VIOLATION)
-    found = checked("categories", flagged, "category_id")
-    category, done = _keep_dimension(
-        store, "dim_category", dimensions.categories(tree), dimensions.CATEGORY_KEYS, dimensions.CATEGORY_UPDATES
-    )
-    counts.append(("categories", *done, found.failed))
-
-    staged = store.read(staging.WEBSITE_PRODUCTS.name)
-    found = checked("products", dimensions.flag_products(staged).select("product_id", VIOLATION), "product_id")
-    product, done = _keep_dimension(
-        store, "dim_product", dimensions.products(staged, publisher, category, stock_statuses, run_at),
-        dimensions.PRODUCT_KEYS, dimensions.PRODUCT_UPDATES,
-    )
-    counts.append(("products", *done, found.failed))
+    def publishers():
+        staged = store.read(staging.WEBSITE_MANUFACTURERS.name)
+        found = checked("publishers", dimensions.flag_publishers(staged), "manufacturer_id")
+        table, done = _keep_dimension(
+            store, "dim_publisher", dimensions.publishers(staged), dimensions.PUBLISHER_KEYS, dimensions.PUBLISHER_UPDATES
+        )
+        return table, ("publishers", *done, found.failed)
+
+    def categories():
+        staged = store.read(staging.WEBSITE_CATEGORIES.name)
+        lost = dimensions.rejected_categories(staged).select("category_id", F.col(VIOLATION).alias("_lost"))
+        flagged = staged.select("category_id").join(lost, "category_id", "left").withColumnRenamed("_lost", VIOLATION)
+        found = checked("categories", flagged, "category_id")
+        table, done = _keep_dimension(
+            store, "dim_category", dimensions.categories(staged), dimensions.CATEGORY_KEYS, dimensions.CATEGORY_UPDATES
+        )
+        return table, ("categories", *done, found.failed)
+
+    def products():
+        staged = store.read(staging.WEBSITE_PRODUCTS.name)
+        found = checked("products", dimensions.flag_products(staged).select("product_id", VIOLATION), "product_id")
+        table, done = _keep_dimension(
+            store, "dim_product", dimensions.products(staged, publisher, category, stock_statuses, run_at),
+            dimensions.PRODUCT_KEYS, dimensions.PRODUCT_UPDATES,
+        )
+        return table, ("products", *done, found.failed)
 
-    customer, done = _keep_dimension(
-        store, "dim_customer", dimensions.customers(store.read(staging.WEBSITE_CUSTOMERS.name)),
-        dimensions.CUSTOMER_KEYS, dimensions.CUSTOMER_UPDATES,
-    )
-    counts.append(("customers", *done, 0))
+    def customers():
+        table, done = _keep_dimension(
+            store, "dim_customer", dimensions.customers(store.read(staging.WEBSITE_CUSTOMERS.name)),
+            dimensions.CUSTOMER_KEYS, dimensions.CUSTOMER_UPDATES,
+        )
+        return table, ("customers", *done, 0)
 
     web_staged = _due(store, "website_orders", staging.WEBSITE_ORDERS, changed_after)
     mkt_staged = _due(store, "marketplace_orders", staging.MARKETPLACE_ORDERS, changed_after)
-    if store.read("dim_order_status") is None:
-        store.write("dim_order_status", seed_statuses)
-    seen = dimensions.website_statuses(web_staged).unionByName(dimensions.marketplace_statuses(mkt_staged))
-    merged = store.merge("dim_order_status", seen, ["source_id", "source_channel"], [])
-    statuses = merged.table
-    counts.append(("order_statuses", *merged.counts["all"], 0))
-    days = store.write("dim_date", dim_date)
-
-    web = checked("website_orders", facts.flag_website_orders(web_staged, days), "order_id")
-    mkt = checked("marketplace_orders", facts.flag_marketplace_orders(mkt_staged, days), "marketplace_order_id")
+
+    def order_statuses():
+        if store.read("dim_order_status") is None:
+            store.write("dim_order_status", seed_statuses)
+        seen = dimensions.website_statuses(web_staged).unionByName(dimensions.marketplace_statuses(mkt_staged))
+        merged = store.merge("dim_order_status", seen, ["source_id", "source_channel"], [])
+        return merged.table, ("order_statuses", *merged.counts["all"], 0)
+
+    def checked_orders():
+        days = store.write("dim_date", dim_date)
+        web, mkt = together(
+            lambda: checked("website_orders", facts.flag_website_orders(web_staged, days), "order_id"),
+            lambda: checked(
+                "marketplace_orders", facts.flag_marketplace_orders(mkt_staged, days), "marketplace_order_id"
+            ),
+        )
+        return days, web, mkt
+
+    (publisher, of_publishers), (category, of_categories), (customer, of_customers), (statuses, of_statuses), checks = (
+        together(publishers, categories, customers, order_statuses, checked_orders)
+    )
+    days, web, mkt = checks
+    product, of_products = products()
+    counts += [of_publishers, of_categories, of_products, of_customers, of_statuses]
     of_channel = {c: F.col("channel_id") == CHANNEL_ID[c] for c in (WEBSITE, MARKETPLACE)}
     merged = store.merge(
         "fact_orders",
@@ -472,21 +518,22 @@ def transform(
     orders = merged.table
     counts.append(("website_orders", *merged.counts[WEBSITE], web.failed))
     counts.append(("marketplace_orders", *merged.counts[MARKETPLACE], mkt.failed))
-    totals = _keep_totals(store, merged)
-    if merged.parts is None:
-        _keep_index(store, orders)
-    elif merged.parts:
-        _keep_index(store, orders.where(F.col(facts.MONTH).isin(merged.parts)))
+    touched = orders if merged.parts is None else orders.where(F.col(facts.MONTH).isin(merged.parts))
+    totals, _ = together(lambda: _keep_totals(store, merged), lambda: _keep_index(store, touched))
 
     def with_orders(kind, table, key, channel, flag_lines):
         lines = _due(store, kind, table, changed_after)
         of_lines = orders if changed_after is None else orders_of_lines(store, lines, key, channel)
         return checked(kind, flag_lines(lines, of_lines), table.keys[0])
 
-    web = with_orders("website_lines", staging.WEBSITE_ORDER_LINES, "order_id", WEBSITE, facts.flag_website_lines)
-    mkt = with_orders(
-        "marketplace_lines", staging.MARKETPLACE_ORDER_LINES, "marketplace_order_id", MARKETPLACE,
-        facts.flag_marketplace_lines,
+    web, mkt = together(
+        lambda: with_orders(
+            "website_lines", staging.WEBSITE_ORDER_LINES, "order_id", WEBSITE, facts.flag_website_lines
+        ),
+        lambda: with_orders(
+            "marketplace_lines", staging.MARKETPLACE_ORDER_LINES, "marketplace_order_id", MARKETPLACE,
+            facts.flag_marketplace_lines,
+        ),
     )
     merged = store.merge(
         "fact_order_lines",

@@ -14,6 +14,7 @@ from shelfmart.operators.threshold import count_matches, match_thresholds
 from shelfmart.plans.facts import MONTH
 from shelfmart.plans.mart import Mart
 from shelfmart.seeds import COMPLETED
+from shelfmart.storage import kept
 
 
 def _between_days(fact: DataFrame, first: dt.date, last: dt.date) -> DataFrame:
@@ -57,6 +58,25 @@ def _completed_sums(mart: Mart, orders: DataFrame, *keys: str) -> DataFrame:
     return completed(mart, sums)
 
 
+def _whole_months(first: dt.date, last: dt.date) -> bool:
+    return first.day == 1 and (last + dt.timedelta(days=1)).day == 1
+
+
+def _monthly_sums(mart: Mart, first: dt.date, last: dt.date, channel_id: int | None = None) -> DataFrame:
+    """Completed revenue and orders by year, month and channel: from the kept totals where the period is made of whole
+    months, else from the orders of its days."""
+    if _whole_months(first, last):
+        month = F.col(MONTH)
+        low, high = date_key_of(first) // 100, date_key_of(last) // 100
+        totals = _of_channel(mart.order_months.where(month.between(low, high)), channel_id)
+        sums = completed(mart, totals)
+        return sums.select(F.floor(month / 100).cast("int").alias("year"), (month % 100).cast("int").alias("month"), "channel_id", "revenue", "orders")
+    days = mart.dim_date.where(F.col("full_date").between(F.lit(first), F.lit(last)))
+    orders = _of_channel(_between_days(mart.fact_orders, first, last), channel_id)
+    sums = _completed_sums(mart, orders, "date_id", "channel_id").join(days.select("date_id", "year", "month"), "date_id")
+    return sums.select("year", "month", "channel_id", "revenue", "orders")
+
+
 def _zero(column: Column) -> Column:
     return F.coalesce(column, F.lit(0))
 
@@ -65,9 +85,9 @@ def _zero(column: Column) -> Column:
 
 
 def kpi_mtd(mart: Mart, as_of: dt.datetime) -> DataFrame:
+    """From the kept totals of the month."""
     first, following = month_bounds(as_of.date())
-    orders = _between_days(mart.fact_orders, first, following - dt.timedelta(days=1))
-    return _completed_sums(mart, orders).agg(
+    return _monthly_sums(mart, first, following - dt.timedelta(days=1)).agg(
         _zero(F.sum("revenue")).alias("total_revenue_mtd"), _zero(F.sum("orders")).alias("orders_mtd")
     )
 
@@ -76,7 +96,10 @@ def kpi_top_book(mart: Mart, as_of: dt.datetime) -> DataFrame:
     """Best-selling title of the month over orders of any status; units are added per product before the join."""
     first, following = month_bounds(as_of.date())
     lines = _between_days(mart.fact_order_lines, first, following - dt.timedelta(days=1))
-    sold = lines.groupBy("product_id").agg(F.sum("quantity_sold").alias("units"))
+    return _best_title(mart, lines.groupBy("product_id").agg(F.sum("quantity_sold").alias("units")))
+
+
+def _best_title(mart: Mart, sold: DataFrame) -> DataFrame:
     return (
         sold.join(mart.dim_product.select("product_id", "title"), "product_id")
         .groupBy("title")
@@ -119,11 +142,14 @@ def kpi_last_sync(sync_log: DataFrame) -> DataFrame:
     return sync_log.where(F.col("status") == "success").agg(newest(WEBSITE), newest(MARKETPLACE))
 
 
-def kpi_summary(mart: Mart, rules: DataFrame, sync_log: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """The four blocks in one row; without a best seller its columns are NULL."""
+def kpi_summary(
+    mart: Mart, rules: DataFrame, sync_log: DataFrame, as_of: dt.datetime, top_book: DataFrame | None = None
+) -> DataFrame:
+    """The four blocks in one row; without a best seller its columns are NULL. A best seller worked out before may be
+    handed in."""
     blocks = {
         "mtd": (kpi_mtd(mart, as_of), ["total_revenue_mtd", "orders_mtd"]),
-        "top_book": (kpi_top_book(mart, as_of), ["top_book_title", "top_book_units"]),
+        "top_book": (top_book or kpi_top_book(mart, as_of), ["top_book_title", "top_book_units"]),
         "low_stock": (kpi_low_stock(mart, rules), ["low_stock_count"]),
         "last_sync": (kpi_last_sync(sync_log), ["last_sync_website", "last_sync_marketplace"]),
     }
@@ -139,14 +165,12 @@ def kpi_summary(mart: Mart, rules: DataFrame, sync_log: DataFrame, as_of: dt.dat
 def revenue_by_channel(mart: Mart, first: dt.date, last: dt.date) -> DataFrame:
     """Monthly completed revenue and orders per channel; a month without orders has a row of zeros.
 
-    Orders are added up per day, channel and status first, which leaves a few rows per day. Each channel row
-    explodes into the months of the period, and the calendar drops the months it does not hold.
+    Each channel row explodes into the months of the period, and the calendar drops the months it does not hold.
     """
     days = mart.dim_date.where(F.col("full_date").between(F.lit(first), F.lit(last)))
     months = days.select("year", "month", "month_name").distinct()
     sold = (
-        _completed_sums(mart, _between_days(mart.fact_orders, first, last), "date_id", "channel_id")
-        .join(days.select("date_id", "year", "month"), "date_id")
+        _monthly_sums(mart, first, last)
         .groupBy("year", "month", "channel_id")
         .agg(F.sum("revenue").alias("revenue"), F.sum("orders").alias("orders"))
     )
@@ -171,15 +195,19 @@ def revenue_by_channel(mart: Mart, first: dt.date, last: dt.date) -> DataFrame:
 
 def seasonal_trend(mart: Mart, first: dt.date, last: dt.date, channel_id: int | None = None) -> DataFrame:
     days = mart.dim_date.where(F.col("full_date").between(F.lit(first), F.lit(last)))
-    orders = _of_channel(_between_days(mart.fact_orders, first, last), channel_id)
-    sold = _completed_sums(mart, orders, "date_id")
+    sold = (
+        _monthly_sums(mart, first, last, channel_id)
+        .groupBy("year", "month")
+        .agg(F.sum("revenue").alias("revenue"), F.sum("orders").alias("orders"))
+    )
     return (
-        days.select("date_id", "year", "month", "month_name", "season")
-        .join(sold, "date_id", "left")
-        .groupBy("year", "month", "month_name", "season")
-        .agg(
-            _zero(F.sum("revenue")).alias("total_revenue_uah"),
-            _zero(F.sum("orders")).alias("order_count"),
+        days.select("year", "month", "month_name", "season")
+        .distinct()
+        .join(sold, ["year", "month"], "left")
+        .select(
+            *["year", "month", "month_name", "season"],
+            _zero(F.col("revenue")).alias("total_revenue_uah"),
+            _zero(F.col("orders")).alias("order_count"),
         )
         .orderBy("year", "month")
     )
@@ -192,11 +220,15 @@ def top_books(mart: Mart, first: dt.date, last: dt.date, channel_id: int | None
     sold = (
         _lines_of_completed(mart, first, last, channel_id)
         .groupBy("product_id")
-        .agg(F.sum("quantity_sold").alias("units_sold"), F.sum("line_total_uah").alias("revenue_uah"))
+        .agg(F.sum("quantity_sold").alias("units"), F.sum("line_total_uah").alias("revenue"))
     )
+    return _best_books(mart, sold, limit)
+
+
+def _best_books(mart: Mart, sold: DataFrame, limit: int) -> DataFrame:
     return (
         sold.join(mart.dim_product.select("product_id", "title", "author"), "product_id")
-        .select("product_id", "title", "author", "units_sold", "revenue_uah")
+        .select("product_id", "title", "author", F.col("units").alias("units_sold"), F.col("revenue").alias("revenue_uah"))
         .orderBy(descending("units_sold"), ascending("product_id"))
         .limit(limit)
     )
@@ -210,6 +242,10 @@ def sales_by_category(mart: Mart, first: dt.date, last: dt.date, channel_id: int
         .groupBy("category_id")
         .agg(F.sum("quantity_sold").alias("units"), F.sum("line_total_uah").alias("revenue"))
     )
+    return _shares(mart, sold)
+
+
+def _shares(mart: Mart, sold: DataFrame) -> DataFrame:
     total = sold.agg(F.sum("revenue").cast("decimal(38,4)")).scalar()
     category = mart.dim_category.select("category_id", F.col("name").alias("category_name"), "parent_name")
     share = F.col("revenue_uah") * 100 / F.nullif(total, F.lit(0).cast("decimal(38,4)"))
@@ -337,6 +373,25 @@ DASHBOARD_TO = dt.date(2099, 12, 31)
 DASHBOARD_TOP_BOOKS = 10
 
 
+def dashboard_sums(mart: Mart, as_of: dt.datetime, until: dt.date = DASHBOARD_TO) -> DataFrame:
+    """The lines since the start of the year added up by product and by category in one pass: `units`, `revenue` and
+    `sold` (lines) of completed orders, `month_units` and `month_lines` of all orders of the month."""
+    year = dt.date(as_of.year, 1, 1)
+    first, following = month_bounds(as_of.date())
+    done = _completed_between(mart, year, until, None).select("order_id", F.lit(True).alias("done"))
+    lines = _between_days(mart.fact_order_lines, year, until).join(done, "order_id", "left")
+    in_month = F.col("date_id").between(date_key_of(first), date_key_of(following - dt.timedelta(days=1)))
+    units, revenue = F.col("quantity_sold"), F.col("line_total_uah")
+    return lines.groupingSets([["product_id"], ["category_id"]], "product_id", "category_id").agg(
+        F.grouping("product_id").alias("by_category"),
+        F.sum(F.when(F.col("done"), units)).alias("units"),
+        F.sum(F.when(F.col("done"), revenue)).alias("revenue"),
+        F.count_if(F.col("done")).alias("sold"),
+        F.sum(F.when(in_month, units)).alias("month_units"),
+        F.count_if(in_month).alias("month_lines"),
+    )
+
+
 def dashboard(
     mart: Mart,
     rules: DataFrame,
@@ -345,10 +400,13 @@ def dashboard(
     revenue_from: dt.date = DASHBOARD_FROM,
     until: dt.date = DASHBOARD_TO,
 ) -> dict[str, DataFrame]:
-    year = dt.date(as_of.year, 1, 1)
+    """All blocks from one pass over the year's orders and lines, whose sums are written once, and the kept totals."""
+    sums = kept(dashboard_sums(mart, as_of, until), "dashboard")
+    books, categories = sums.where("by_category = 0"), sums.where("by_category = 1 AND sold > 0")
+    month = books.where("month_lines > 0").select("product_id", F.col("month_units").alias("units"))
     return {
-        "kpi": kpi_summary(mart, rules, sync_log, as_of),
+        "kpi": kpi_summary(mart, rules, sync_log, as_of, _best_title(mart, month)),
         "revenue_by_channel": revenue_by_channel(mart, revenue_from, until),
-        "top_books": top_books(mart, year, until, None, DASHBOARD_TOP_BOOKS),
-        "sales_by_category": sales_by_category(mart, year, until, None),
+        "top_books": _best_books(mart, books.where("sold > 0"), DASHBOARD_TOP_BOOKS),
+        "sales_by_category": _shares(mart, categories),
     }

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -32,24 +33,60 @@ def parquet_reader(spark: SparkSession, folder: str) -> Reader:
     return lambda name: spark.read.schema(schemas.SHOP[name]).parquet(f"{folder}/{name}")
 
 
-def jdbc_reader(
-    spark: SparkSession,
-    url: str,
-    table_names: Mapping[str, str],
-    partition_bounds: Mapping[str, tuple[str, int, int, int]] | None = None,
-    **options: str,
-) -> Reader:
-    """Tables behind a JDBC url. `partition_bounds` gives (column, low, high, partitions) for the large ones, so
-    that a first load is read by many tasks."""
+@dataclass(frozen=True)
+class JdbcReader:
+    """Tables behind a JDBC url, called with a table name. `partition_bounds` gives (column, low, high, partitions) for
+    the large ones, so that a first load is read by many tasks. Lines of changed orders are selected in the database."""
 
-    def read(name: str) -> DataFrame:
-        source = spark.read.format("jdbc").option("url", url).option("dbtable", table_names[name]).options(**options)
-        if partition_bounds and name in partition_bounds:
-            column, low, high, parts = partition_bounds[name]
-            source = source.options(partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=parts)
-        return source.load()
+    spark: SparkSession
+    url: str
+    table_names: Mapping[str, str]
+    partition_bounds: Mapping[str, tuple[str, int, int, int]] = field(default_factory=dict)
+    options: Mapping[str, str] = field(default_factory=dict)
+    rows_a_partition: int = 1_000_000
 
-    return read
+    def __call__(self, name: str) -> DataFrame:
+        return self._load(self.table_options(name))
+
+    def table_options(self, name: str) -> dict[str, str]:
+        return {"dbtable": self.table_names[name], **_bounds(*self.partition_bounds.get(name, ()))}
+
+    def _load(self, options: Mapping[str, str]) -> DataFrame:
+        return self.spark.read.format("jdbc").option("url", self.url).options(**self.options).options(**options).load()
+
+    def changed_lines_query(self, since: dt.datetime, until: dt.datetime | None) -> str:
+        """Lines of the orders changed in the window, as a sub-select: no other line leaves the database."""
+        window = f"o.date_modified >= '{_sql_time(since)}'"
+        if until is not None:
+            window += f" AND o.date_modified <= '{_sql_time(until)}'"
+        lines, orders = self.table_names["order_products"], self.table_names["orders"]
+        return f"SELECT p.* FROM {lines} p WHERE p.order_id IN (SELECT o.order_id FROM {orders} o WHERE {window})"
+
+    def bounds_options(self, query: str) -> dict[str, str]:
+        """The least and greatest line of the window, and how many there are: one row."""
+        inner = "MIN(q.order_product_id) AS low, MAX(q.order_product_id) AS high, COUNT(*) AS lines"
+        return {"dbtable": f"(SELECT {inner} FROM ({query}) q) AS bounds"}
+
+    def changed_lines_options(self, query: str, low: int | None, high: int | None, lines: int) -> dict[str, str]:
+        """The sub-select as the table to read, cut by line id into partitions of about equal numbers of lines."""
+        parts = -(-lines // self.rows_a_partition)
+        cut = _bounds("order_product_id", low, high + 1, parts) if parts > 1 else {}
+        return {"dbtable": f"({query}) AS changed_lines", **cut}
+
+    def changed_lines(self, since: dt.datetime, until: dt.datetime | None = None) -> DataFrame:
+        query = self.changed_lines_query(since, until)
+        found = self._load(self.bounds_options(query)).first()
+        return self._load(self.changed_lines_options(query, found["low"], found["high"], found["lines"]))
+
+
+def _bounds(column=None, low=None, high=None, parts=None) -> dict[str, str]:
+    if column is None:
+        return {}
+    return {"partitionColumn": column, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(parts)}
+
+
+def _sql_time(moment: dt.datetime) -> str:
+    return moment.isoformat(sep=" ")
 
 
 def _labels(read: Reader, name: str, *columns: str) -> DataFrame:
@@ -65,6 +102,15 @@ def orders(read: Reader, since: dt.datetime, until: dt.datetime | None = None) -
     return _changed(read("orders"), "date_modified", since, until).select(*ORDER_COLUMNS)
 
 
+def lines_since(
+    read: Reader, changed_orders: DataFrame, since: dt.datetime, until: dt.datetime | None = None
+) -> DataFrame:
+    """Lines of the orders changed in a window: selected by the database if there is one, else by a join."""
+    if isinstance(read, JdbcReader):
+        return read.changed_lines(since, until)
+    return order_lines(read, changed_orders)
+
+
 def order_lines(read: Reader, changed_orders: DataFrame) -> DataFrame:
     """Lines of the changed orders; no id list passes through the driver."""
     return read("order_products").join(changed_orders.select("order_id"), "order_id", "left_semi")

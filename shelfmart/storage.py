@@ -7,13 +7,17 @@ only the partitions its batch touches.
 
 from __future__ import annotations
 
+import json
 import re
+import threading
 import time
 import uuid
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from shelfmart.operators.merge import CHANGE, INSERTED, UPDATED, batch_changes, full_changes
@@ -31,6 +35,12 @@ def _version(path: str) -> int:
     return int(re.search(r"/v=(\d+)", path)[1])
 
 
+def together(*works: Callable[[], object]) -> list:
+    """Results of steps that do not need each other, run at the same time, so that small jobs share the cluster."""
+    with ThreadPoolExecutor(len(works)) as pool:
+        return [done.result() for done in [pool.submit(work) for work in works]]
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """Rows written once to the shared folder, for plans outside a store that read them several times."""
     path = f"{shared_dir(df.sparkSession)}/kept/{name}-{uuid.uuid4().hex}"
@@ -52,18 +62,29 @@ class TableStore:
         self.spark = spark
         self.root = root.rstrip("/")
         self._current: dict[str, dict[str, str]] | None = None
+        self._schemas: dict[str, StructType] = {}
+        self._lock, self._appending = threading.Lock(), threading.Lock()
 
     # Snapshots
 
-    def write(self, name: str, df: DataFrame, partition_by: str | None = None, sort_by: str | None = None) -> DataFrame:
-        """Replace a table and return it as stored."""
+    def write(
+        self,
+        name: str,
+        df: DataFrame,
+        partition_by: str | None = None,
+        sort_by: str | None = None,
+        last: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+    ) -> DataFrame:
+        """Replace a table and return it as stored. `last` is applied to the rows right before they are written: what is
+        observed there is counted by the tasks that write, and by a plan whose input turns out to be empty as well."""
         version = time.time_ns()
         path = f"{self.root}/{name}/v={version}"
+        self._schemas.pop(name, None)
         if partition_by is None:
-            df.write.parquet(path)
+            last(df).write.parquet(path)
             self._publish(name, version, {"": path}, whole=True)
         else:
-            self._write_partitions(path, df, partition_by, sort_by)
+            self._write_partitions(path, df, partition_by, sort_by, last)
             written = self.spark.read.schema(df.schema).parquet(path)
             found = written.select(F.col(partition_by).cast("string").alias("part")).distinct()
             parts = [row["part"] for row in found.toLocalIterator()]
@@ -103,8 +124,9 @@ class TableStore:
         table = self.read(name)
         if table is None or (partition_by is not None and self._whole_path(name) is not None):
             seen = Observation()
-            counted = batch.observe(seen, *[F.count_if(which).alias(g) for g, which in groups.items()])
-            return Merged(self.write(name, counted, partition_by, sort_by), None, {g: (seen.get[g], 0) for g in groups})
+            count = lambda rows: rows.observe(seen, *[F.count_if(which).alias(g) for g, which in groups.items()])
+            table = self.write(name, batch, partition_by, sort_by, count)
+            return Merged(table, None, {g: (seen.get[g], 0) for g in groups})
         batch, rows = self.spool(name, batch)
         if not rows:
             return Merged(table, [], {g: (0, 0) for g in groups})
@@ -123,63 +145,78 @@ class TableStore:
             for g, which in groups.items()
             for what in (INSERTED, UPDATED)
         ]
-        merged = change(table, batch, keys, updated, version_by).observe(seen, *counts).drop(CHANGE)
+        merged = change(table, batch, keys, updated, version_by)
+        count = lambda rows: rows.observe(seen, *counts).drop(CHANGE)
         if parts is None:
-            self.write(name, merged)
+            self.write(name, merged, last=count)
         else:
             version = time.time_ns()
             path = f"{self.root}/{name}/v={version}"
-            self._write_partitions(path, merged, partition_by, sort_by)
+            self._write_partitions(path, merged, partition_by, sort_by, count)
             self._publish(name, version, {str(p): f"{path}/{partition_by}={p}" for p in parts}, whole=False)
         return Merged(self.read(name), parts, {g: tuple(seen.get[f"{g} {what}"] for what in (INSERTED, UPDATED)) for g in groups})
 
     def read(self, name: str) -> DataFrame | None:
         paths = self._paths(name)
-        if not paths:
-            return None
-        tables = self.spark.read.option("basePath", f"{self.root}/{name}").parquet(*paths)
-        return tables.drop("v")
+        return self._at(name, paths) if paths else None
 
     def read_since(self, name: str, version: int) -> DataFrame | None:
         """The folders of a table that were written after `version`; None if there is no table."""
-        table = self.read(name)
-        newer = [path for path in self._paths(name) if _version(path) > version]
-        if table is None or len(newer) == len(self._paths(name)):
-            return table
-        if not newer:
-            return table.limit(0)
-        return self.spark.read.option("basePath", f"{self.root}/{name}").schema(table.schema).parquet(*newer)
+        paths = self._paths(name)
+        newer = [path for path in paths if _version(path) > version]
+        if not paths:
+            return None
+        return self._at(name, newer) if newer else self._at(name, paths).limit(0)
+
+    def _at(self, name: str, paths: list[str]) -> DataFrame:
+        """Folders of a table. Its columns are read from files once and remembered; a table that gets others is written
+        anew as a whole."""
+        reader = self.spark.read.option("basePath", f"{self.root}/{name}")
+        if name in self._schemas:
+            reader = reader.schema(self._schemas[name])
+        rows = reader.parquet(*paths).drop("v")
+        self._schemas[name] = rows.schema
+        return rows
 
     def newest(self, names: Iterable[str]) -> int:
         """The newest version of any of the tables, 0 if there is none."""
         return max((_version(path) for name in names for path in self._paths(name)), default=0)
 
-    def _write_partitions(self, path: str, df: DataFrame, partition_by: str, sort_by: str | None) -> None:
+    def _write_partitions(
+        self,
+        path: str,
+        df: DataFrame,
+        partition_by: str,
+        sort_by: str | None,
+        last: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+    ) -> None:
         """Rebalanced by partition, so that adaptive execution cuts one that holds much of the data into several
         tasks and packs small ones together."""
         order = [partition_by, *([sort_by] if sort_by else [])]
-        df.hint("rebalance", partition_by).sortWithinPartitions(*order).write.partitionBy(partition_by).parquet(path)
+        rows = df.hint("rebalance", partition_by).sortWithinPartitions(*order)
+        last(rows).write.partitionBy(partition_by).parquet(path)
 
     def _publish(self, name: str, version: int, paths: dict[str, str], whole: bool) -> None:
-        entries = [
-            F.struct(F.lit(part).alias("part"), F.lit(path).alias("path")) for part, path in sorted(paths.items())
-        ]
+        entries = json.dumps([{"part": part, "path": path} for part, path in sorted(paths.items())])
         rows = self.spark.range(1).select(
             F.lit(name).alias("name"),
-            F.inline(F.array(*entries)).alias("part", "path"),
+            F.inline(F.from_json(F.lit(entries), "array<struct<part: string, path: string>>")),
             F.lit(version).alias("version"),
             F.lit(whole).alias("whole"),
         )
-        rows.coalesce(1).write.mode("append").parquet(f"{self.root}/_current")
-        if self._current is not None:
-            before = {} if whole else self._current.get(name, {})
-            self._current[name] = {**before, **paths}
+        # a folder of its own, since writers of one folder disturb each other
+        rows.coalesce(1).write.parquet(f"{self.root}/_current/{name}-{version}")
+        with self._lock:
+            if self._current is not None:
+                before = {} if whole else self._current.get(name, {})
+                self._current[name] = {**before, **paths}
 
     def _paths(self, name: str) -> list[str]:
         """Current folders of a table: one, or one per partition. The log is read once; this store adds to its copy
         what it publishes itself, and `reload` picks up the changes of others."""
-        if self._current is None:
-            self._current = self._load()
+        with self._lock:
+            if self._current is None:
+                self._current = self._load()
         return sorted(self._current.get(name, {}).values())
 
     def _whole_path(self, name: str) -> str | None:
@@ -189,10 +226,12 @@ class TableStore:
 
     def reload(self) -> None:
         self._current = None
+        self._schemas = {}
 
     def _load(self) -> dict[str, dict[str, str]]:
         try:
-            entries = self.spark.read.schema(CURRENT).parquet(f"{self.root}/_current")
+            log = self.spark.read.schema(CURRENT).option("recursiveFileLookup", True)
+            entries = log.parquet(f"{self.root}/_current")
         except AnalysisException:
             return {}
         newest = entries.groupBy("name", "part").agg(
@@ -213,7 +252,8 @@ class TableStore:
     # Logs
 
     def append(self, name: str, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(f"{self.root}/{name}")
+        with self._appending:
+            rows.write.mode("append").parquet(f"{self.root}/{name}")
 
     def log(self, name: str, schema: str) -> DataFrame:
         """An append-only table; empty until its first append."""

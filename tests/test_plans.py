@@ -23,9 +23,10 @@ def plan(capsys):
     return text
 
 
-# The windows: months ranked per channel.
+# The windows: months ranked per channel, running sums over stock figures.
 WINDOWED = {
     "alert_revenue_swing", "alert_events_new", "alert_notifications", "alert_dispatch",
+    "kpi_low_stock", "kpi_low_stock_supplier_rules", "kpi_summary", "dashboard_bundle",
 }
 
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import re
 from decimal import Decimal
 
 import pytest
@@ -11,6 +12,7 @@ from shelfmart.functions.calendar import calendar
 from shelfmart.functions.keys import KEY_SPAN
 from shelfmart.plans import alerts, export, facts, history, reports
 from shelfmart.plans.mart import Mart
+from shelfmart.storage import TableStore
 from tests.conftest import rows
 
 W, M = KEY_SPAN, 2 * KEY_SPAN
@@ -31,6 +33,7 @@ def build(spark, orders, lines=(), products=None, categories=None):
     line_rows = [(n, p, c, placed[n][0], key[n], q, Decimal(a)) for n, p, c, q, a in lines]
     products = products or [(1, "One", 10, "active", 1), (2, "Two", 5, "active", None), (3, "Three", 1, "inactive", 2), (4, "One", 0, "active", 1)]
     categories = categories or [(1, "Tales", "Kids"), (2, "Kids", None)]
+    fact_orders = facts.with_month(spark.createDataFrame(order_rows, ORDER))
     return Mart(
         dim_date=calendar(spark, dt.date(2019, 1, 1), dt.date(2021, 12, 31)),
         dim_sales_channel=seeds.sales_channels(spark),
@@ -41,8 +44,9 @@ def build(spark, orders, lines=(), products=None, categories=None):
         ),
         dim_customer=None,
         dim_order_status=seeds.order_statuses(spark),
-        fact_orders=facts.with_month(spark.createDataFrame(order_rows, ORDER)),
+        fact_orders=fact_orders,
         fact_order_lines=facts.with_month(spark.createDataFrame(line_rows, LINE)),
+        order_months=facts.month_totals(fact_orders),
     )
 
 
@@ -157,14 +161,84 @@ def test_dispatch_knows_its_reports(mart):
 
 def test_report_files_and_catalogue(spark, mart, tmp_path):
     empty = reports.top_books(mart, dt.date(2021, 1, 1), dt.date(2021, 1, 2))
-    export.write_report(empty, str(tmp_path / "empty"), "parquet")
+    assert export.write_report(empty, str(tmp_path / "empty"), "parquet") == 0
     assert spark.read.parquet(str(tmp_path / "empty")).count() == 0
-    export.write_report(reports.top_books(mart, FEB, END), str(tmp_path / "books"), "csv")
+    books = reports.top_books(mart, FEB, END)
+    assert export.write_report(books, str(tmp_path / "books"), "csv") == books.count() > 0
     assert spark.read.option("header", True).csv(str(tmp_path / "books")).columns[0] == "Product Id"
-    row = export.catalogue_row(spark, "top_books", "csv", "p", dt.datetime(2020, 3, 1), FEB, END, 1).first()
-    assert json.loads(row["parameters"]) == {"from_date": "2020-02-01", "to_date": "2020-02-29", "channel_id": 1, "category_id": None}
-    catalogue = spark.createDataFrame([row], schemas.REPORT_CATALOGUE)
-    assert history.report_history(catalogue).first()["report_type"] == "top_books"
+    export.write_report(books, str(tmp_path / "page"), "page")
+    page = spark.read.option("header", True).csv(str(tmp_path / "page"))
+    assert page.columns == spark.read.option("header", True).csv(str(tmp_path / "books")).columns
+
+
+def test_a_report_run_is_logged_once(spark, mart, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    assert export.report_log(store).count() == 0
+    requests = [export.Request("top_books", FEB, END, "csv", channel_id=1), export.Request("inventory", FEB, END)]
+    for _ in range(2):
+        log = export.run_reports(store, mart, requests, dt.datetime(2020, 3, 1), "r1", user_id=3)
+    export.run_reports(store, mart, requests[1:], dt.datetime(2020, 3, 2), "r2")
+    assert rows(log.select("report_type", "rows")) == [("inventory", 3), ("top_books", 2)]
+    catalogue = export.catalogue(store)
+    assert catalogue.schema.fieldNames() == spark.createDataFrame([], schemas.REPORT_CATALOGUE).schema.fieldNames()
+    assert rows(catalogue.select("report_type", "generated_by")) == [("inventory", 3), ("inventory", None), ("top_books", 3)]
+    first = catalogue.where("report_type = 'top_books'").first()
+    assert json.loads(first["parameters"]) == {"from_date": "2020-02-01", "to_date": "2020-02-29", "channel_id": 1, "category_id": None}
+    assert history.report_history(catalogue).count() == 3 and catalogue.select("report_id").distinct().count() == 3
+    audit = export.audit(store)
+    assert audit.schema.fieldNames() == spark.createDataFrame([], schemas.AUDIT_LOG).schema.fieldNames()
+    assert rows(audit.select("user_id", "action", "resource")) == [
+        (3, "generate_report", "report:inventory"), (3, "generate_report", "report:top_books"), (None, "generate_report", "report:inventory"),
+    ]
+    with pytest.raises(ValueError):
+        export.run_reports(store, mart, [export.Request("nonsense", FEB, END)], NOW, "r3")
+    assert export.report_log(store).count() == 3
+
+
+def test_dashboard_reads_each_fact_once(spark, small, capsys):
+    from shelfmart.bindings import tables as T
+
+    stored = T.mart(spark, small)
+
+    def scans(df):
+        df.explain("formatted")
+        text = capsys.readouterr().out
+        found = re.findall(r"Location: \w+ ?\[?[^\n]*?/(fact_order_lines|fact_orders)/", text)
+        return sorted(found)
+
+    assert scans(reports.dashboard_sums(stored, T.AS_OF)) == ["fact_order_lines", "fact_orders"]
+    blocks = reports.dashboard(stored, T.alert_rules(spark), T.sync_log(spark, small), T.AS_OF)
+    for block in blocks.values():
+        assert scans(block) == []
+    assert scans(alerts.revenue_swing(stored.order_months, T.alert_rules(spark))) == []
+
+
+def test_dashboard_blocks_are_those_of_the_reports(spark, small):
+    from shelfmart.bindings import tables as T
+
+    stored, rules, log = T.mart(spark, small), T.alert_rules(spark), T.sync_log(spark, small)
+    blocks = reports.dashboard(stored, rules, log, T.AS_OF)
+    year, end = dt.date(2001, 1, 1), reports.DASHBOARD_TO
+    assert rows(blocks["kpi"]) == rows(reports.kpi_summary(stored, rules, log, T.AS_OF))
+    assert rows(blocks["top_books"]) == rows(reports.top_books(stored, year, end, None, 10))
+    assert rows(blocks["sales_by_category"]) == rows(reports.sales_by_category(stored, year, end))
+
+
+def test_months_in_part_and_whole_give_the_same_sums(mart):
+    whole = reports.revenue_by_channel(mart, dt.date(2020, 1, 1), END)
+    part = reports.revenue_by_channel(mart, dt.date(2020, 1, 2), END)
+    assert rows(whole) == rows(part)
+    assert "order_months" not in repr(mart.fact_orders.columns)
+
+
+def test_rule_types_nobody_evaluates_are_logged(spark, mart, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    rules = rules_of(spark, rule(1, "mystery", "1"), rule(2, "mystery", "2"), rule(3, "odd", "1", on=False), rule(4, "no_orders", "1"))
+    alerts.run_alerts(store, mart, rules, NOW, "all@example.org")
+    log = store.log(alerts.RUN_LOG, alerts.RUN_LOG_SCHEMA)
+    assert rows(log.select("rule_type", "error")) == [
+        ("low_stock", None), ("mystery", "unknown type"), ("no_orders", None), ("revenue_spike", None),
+    ]
 
 
 def test_dashboard(spark, mart):
@@ -202,13 +276,13 @@ def test_cooldown_edge(spark, mart):
 def test_revenue_swing(spark, mart):
     rules = rules_of(spark, rule(1, "revenue_spike", "10", 1), rule(2, "revenue_spike", "10", 2), rule(3, "revenue_spike", "1299"),
                      rule(4, "revenue_spike", "1301"))
-    found = alerts.revenue_swing(mart.fact_orders, rules)
+    found = alerts.revenue_swing(mart.order_months, rules)
     # Website: 120 after 10. Marketplace: one month only. All: 140 after 10.
     assert rows(found.select("rule_id", "current_rev", "prior_rev", "direction")) == [
         (1, 120.0, 10.0, "increase"), (3, 140.0, 10.0, "increase"),
     ]
     nothing_before = build(spark, [(1, 1, "2020-01-01", "0", True), (2, 1, "2020-02-01", "5", True)])
-    assert alerts.revenue_swing(nothing_before.fact_orders, rules).count() == 0
+    assert alerts.revenue_swing(nothing_before.order_months, rules).count() == 0
 
 
 def test_no_orders(spark, mart):
@@ -227,7 +301,7 @@ def test_events_notifications_and_dispatch(spark, mart):
     rules = rules_of(spark, rule(1, "low_stock", "5", email="stock@example.org"), rule(2, "revenue_spike", "10", 1),
                      rule(3, "no_orders", "1"), rule(4, "mystery", "1"), rule(5, "low_stock", "0", on=False))
     stock = alerts.low_stock(mart, rules, events_of(spark, (9, 9, "2020-01-01")), NOW)
-    swings = alerts.revenue_swing(mart.fact_orders, rules)
+    swings = alerts.revenue_swing(mart.order_months, rules)
     silent = alerts.no_orders(mart.fact_orders, rules, NOW)
     events = alerts.new_events(stock, swings, NOW)
     assert [f.name for f in events.schema] == [f.name for f in spark.createDataFrame([], schemas.ALERT_EVENT).schema]

@@ -130,3 +130,35 @@ def test_profile(spark):
 def test_rejected_rows_keep_their_columns(spark, tmp_path):
     bad = rejected(marketplace.flagged_orders(landed(spark, tmp_path)))
     assert {"violation", "ttn"} <= set(bad.columns)
+
+
+def test_changed_lines_are_selected_by_the_database(at):
+    reader = shop.JdbcReader(
+        None, "jdbc:x", {"orders": "oc_order", "order_products": "oc_order_product"},
+        {"order_products": ("order_product_id", 1, 90, 3)}, rows_a_partition=100,
+    )
+    query = reader.changed_lines_query(at("2020-01-01"), at("2020-01-02 03:04:05"))
+    assert query == (
+        "SELECT p.* FROM oc_order_product p WHERE p.order_id IN (SELECT o.order_id FROM oc_order o "
+        "WHERE o.date_modified >= '2020-01-01 00:00:00' AND o.date_modified <= '2020-01-02 03:04:05')"
+    )
+    assert "<=" not in reader.changed_lines_query(at("2020-01-01"), None)
+    assert reader.bounds_options(query)["dbtable"].startswith("(SELECT MIN(q.order_product_id)")
+    table = {"dbtable": f"({query}) AS changed_lines"}
+    assert reader.changed_lines_options(query, None, None, 0) == table == reader.changed_lines_options(query, 5, 9, 100)
+    assert reader.changed_lines_options(query, 5, 904, 250) == {
+        **table, "partitionColumn": "order_product_id", "lowerBound": "5", "upperBound": "905", "numPartitions": "3",
+    }
+    assert reader.table_options("orders") == {"dbtable": "oc_order"}
+    assert reader.table_options("order_products")["numPartitions"] == "3"
+
+
+def test_lines_of_a_database_are_not_joined(spark, small, at, monkeypatch):
+    loads = []
+    monkeypatch.setattr(shop.JdbcReader, "_load", lambda self, options: loads.append(options["dbtable"]) or spark.createDataFrame([(1, 2, 2)], "low long, high long, lines long"))
+    reader = shop.JdbcReader(spark, "jdbc:x", {"orders": "o", "order_products": "p"})
+    shop.lines_since(reader, None, at("2020-01-01"))
+    assert len(loads) == 2 and loads[1].endswith("AS changed_lines")
+    read = T.shop_reader(spark, small)
+    changed = shop.orders(read, at("2000-06-01"))
+    assert rows(shop.lines_since(read, changed, at("2000-06-01"))) == rows(shop.order_lines(read, changed))
