@@ -27,7 +27,7 @@ BOUNDARY, COPIES = 1.10, 4  # a vector is posted to centroids within this ratio
 DEGREE = 16  # of the centroid graph
 PROBE_SAMPLE, PROBE_RECALL = 200, 0.97
 BLOCK = 2_000  # vectors, or queries, of one task's block
-SPARE = 16  # candidates kept beyond the wanted ones until scores are exact
+ROUNDING = 1e-10  # of a score by matrix product, relative to the norms; exact scores decide within it
 
 
 @dataclass
@@ -128,6 +128,19 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.add.reduce(x * q, axis=1)
 
 
+def _nearest(q: np.ndarray, x: np.ndarray, scores: np.ndarray, least: np.ndarray, uids: np.ndarray, keep: int):
+    """Places and exact scores of the `keep` best vectors, equal scores by their least id. `scores` may be rounded, so
+    all within rounding of the last one wanted are scored exactly before the cut."""
+    top = np.arange(len(scores))
+    if len(scores) > keep:
+        last = np.partition(scores, len(scores) - keep)[len(scores) - keep]
+        room = ROUNDING * np.sqrt((q * q).sum()) * np.sqrt((x * x).sum(axis=1).max())
+        top = np.flatnonzero(scores >= last - room)
+    exact = _exact(q, x[top])
+    best = np.lexsort((uids[top], least[top], -exact))[:keep]
+    return top[best], exact[best]
+
+
 def distinct_vectors(vectors: DataFrame, k: int) -> DataFrame:
     """(uid, x, ids): equal vectors once, with their k + 1 smallest ids; more can never be among k neighbours. The
     copies are thinned within hashed parts first, so no task sees all copies of a vector."""
@@ -187,9 +200,10 @@ def search(
     """query_id, rank (from 1), vec_id and score of the k nearest vectors found for every query row, nearest first, ties
     to the smaller id; a query's own id is no candidate.
 
-    Vectors that are null, zero or hold null or non-finite components take no part, nor do rows without an id or of
-    another length than most. Repeated rows count once. Other columns are not returned. With no usable vectors the
-    result is empty; with fewer than k candidates a query has as many rows.
+    Vectors that are null, zero or hold null or non-finite components take no part, nor do rows without an id. Repeated
+    rows count once. Other columns are not returned. With no usable vectors the result is empty; with fewer than k
+    candidates a query has as many rows. A query id with several vectors is as near to another as its nearest one.
+    Vectors of different lengths have no product and raise ValueError.
     """
     spark = vectors.sparkSession
     small_batches(spark, 2_000)
@@ -200,11 +214,16 @@ def search(
         F.col(embedding).cast("array<double>").alias("x"),
         F.coalesce(is_query, F.lit(False)).alias("is_query"),
     )
-    usual = rows.groupBy(F.size("x").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").first()
-    if usual is None:
+    length = rows.agg(F.min(F.size("x")).alias("low"), F.max(F.size("x")).alias("high")).first()
+    if length["low"] is None:
         return spark.createDataFrame([], schema)
-    rows = rows.where(F.size("x") == usual["n"])
-    distinct = written(distinct_vectors(rows.select("id", "x"), k), "vectors")
+    if length["low"] != length["high"]:
+        raise ValueError(f"vectors must have one length; found {length['low']} to {length['high']}")
+    asked = rows.where("is_query").select("id", "x").distinct()
+    # an id with several vectors is no candidate of its own by any of them
+    own = asked.groupBy("id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    keep = k + (own or 1)
+    distinct = written(distinct_vectors(rows.select("id", "x"), keep), "vectors")
     index = fit(distinct, distinct.count(), k)
     shared = spark.sparkContext.broadcast(index)
 
@@ -227,8 +246,9 @@ def search(
         pairs = ",".join(f"{int(a)}:{int(b)}" for a, b in blocks.items())
         return F.expr(f"cast(str_to_map('{pairs}', ',', ':') as map<int,int>)")
 
-    posted, list_blocks = dealt(distinct.select("uid", "x").mapInPandas(post, "uid long, x array<double>, lists array<int>"), "uid")
-    asked = rows.where("is_query").select("id", "x").distinct()
+    posted, list_blocks = dealt(distinct.select("uid", F.col("ids")[0].alias("least"), "x").mapInPandas(
+        post, "uid long, least long, x array<double>, lists array<int>"
+    ), "uid")
     routed, query_blocks = dealt(asked.mapInPandas(route, "id long, x array<double>, lists array<int>"), "id")
 
     def spread(df: DataFrame, other: str, blocks: dict[int, int]) -> DataFrame:
@@ -242,30 +262,30 @@ def search(
     def meet(key: tuple, queries: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(mine):
-            uids, x = mine["uid"].to_numpy(np.int64), _matrix(mine["x"])
+            uids, least, x = mine["uid"].to_numpy(np.int64), mine["least"].to_numpy(np.int64), _matrix(mine["x"])
             q = _matrix(queries["x"])
             scores = q @ x.T
             for n, query in enumerate(queries["id"]):
-                top = _best(scores[n], k + 1 + SPARE)
-                exact = _exact(q[n], x[top])
-                best = np.lexsort((uids[top], -exact))[: k + 1 + SPARE]
-                out.append((query, uids[top][best].tobytes(), exact[best].tobytes()))
-        return pd.DataFrame(out, columns=["query_id", "uids", "scores"])
+                top, exact = _nearest(q[n], x, scores[n], least, uids, keep)
+                out.append((query, uids[top].tobytes(), least[top].tobytes(), exact.tobytes()))
+        return pd.DataFrame(out, columns=["query_id", "uids", "least", "scores"])
 
     left = spread(routed, "uid", list_blocks).groupBy(*tile)
     right = spread(posted, "id", query_blocks).groupBy(*tile)
-    found = left.cogroup(right).applyInPandas(meet, "query_id long, uids binary, scores binary")
+    found = left.cogroup(right).applyInPandas(meet, "query_id long, uids binary, least binary, scores binary")
     parts = max(1, -(-asked.count() // 500))
 
     def merge(key: tuple, lists: pd.DataFrame) -> pd.DataFrame:
         out = []
         for query, mine in lists.groupby("query_id"):
             uids = np.concatenate([np.frombuffer(u, dtype=np.int64) for u in mine["uids"]])
+            least = np.concatenate([np.frombuffer(u, dtype=np.int64) for u in mine["least"]])
             scores = np.concatenate([np.frombuffer(s, dtype=np.float64) for s in mine["scores"]])
-            uids, first = np.unique(uids, return_index=True)
-            # all with the score of the last one wanted: ties are settled by the ids behind them
-            last = np.sort(scores[first])[::-1][: k + 1][-1]
-            out += [(query, u, s) for u, s in zip(uids.tolist(), scores[first].tolist(), strict=True) if s >= last]
+            order = np.argsort(-scores, kind="stable")
+            uids, least, scores = uids[order], least[order], scores[order]
+            uids, first = np.unique(uids, return_index=True)  # by the nearest of the query's vectors
+            best = np.lexsort((uids, least[first], -scores[first]))[:keep]
+            out += [(query, u, s) for u, s in zip(uids[best].tolist(), scores[first][best].tolist(), strict=True)]
         return pd.DataFrame(out, columns=["query_id", "uid", "score"])
 
     bucket = F.pmod(F.xxhash64("query_id"), F.lit(parts))
