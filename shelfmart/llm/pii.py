@@ -87,11 +87,16 @@ def token_spans(text: Column) -> Column:
 
 
 def _with_context(text: Column, found: Column) -> Column:
-    """Spans with the two words before them, lower case and without digits; null where there are fewer."""
+    """Spans with the two words before them, lower case and without digits. Both words have to lie within CONTEXT_CHARS
+    characters before the span: a longer one, such as a key or a link, is no lexical context, and the span has none."""
 
     def context(s: Column) -> Column:
         before = F.lower(_before(text, s["start"], CONTEXT_CHARS))
-        words = F.regexp_extract(before, r"(?<!\S)(\S+\s+\S+)\s*$", 1)
+        # the word at the cut may be the end of a longer one, so a character before it has to be seen
+        whole = s["start"] <= CONTEXT_CHARS
+        words = F.when(whole, F.regexp_extract(before, r"(?<!\S)(\S+\s+\S+)\s*$", 1)).otherwise(
+            F.regexp_extract(before, r"\s(\S+\s+\S+)\s*$", 1)
+        )
         return F.nullif(F.regexp_replace(F.regexp_replace(words, "[0-9]+", "0"), r"\s+", " "), F.lit(""))
 
     return F.transform(
@@ -116,14 +121,15 @@ def extracted(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def learned_patterns(edges: DataFrame, rounds: int, min_support: int, min_share: float) -> DataFrame:
+def learned_patterns(edges: DataFrame, min_support: int, min_share: float) -> DataFrame:
     """(context, kind) pairs that earn trust. `edges`: context, instance, kind (null: untrusted token), n.
 
     In each round an instance is trusted with the kind it was found as, or with that of a trusted pattern before it.
-    A pattern needs `min_support` different trusted instances of one kind and `min_share` of all its occurrences.
+    A pattern needs `min_support` different trusted instances of one kind and `min_share` of all its occurrences. A
+    pattern that is trusted stays so, and the rounds end when one finds no further pattern.
     """
     patterns = None
-    for _ in range(rounds):
+    while True:
         scored = edges
         if patterns is not None:
             promoted = (
@@ -142,17 +148,19 @@ def learned_patterns(edges: DataFrame, rounds: int, min_support: int, min_share:
                 F.when(F.col("kind").isNotNull(), F.struct("n", "support", -F.col("kind")))
             ).alias("top"),
         )
-        patterns = written(
-            best.where(
-                (F.col("top.support") >= min_support) & (F.col("top.n") >= F.lit(min_share) * F.col("total"))
-            ).select("context", (-F.col("top.col3")).alias("kind")),
-            "pii-patterns",
-        )
-    return patterns
+        trusted = best.where(
+            (F.col("top.support") >= min_support) & (F.col("top.n") >= F.lit(min_share) * F.col("total"))
+        ).select("context", (-F.col("top.col3")).alias("kind"))
+        if patterns is not None:
+            trusted = trusted.join(patterns, "context", "left_anti")
+        fresh = written(trusted, "pii-patterns")
+        if fresh.isEmpty():
+            return fresh if patterns is None else patterns
+        patterns = fresh if patterns is None else written(patterns.unionByName(fresh), "pii-patterns")
 
 
 def find(
-    docs: DataFrame, text: str = "text", rounds: int = 3, min_support: int = 5, min_share: float = 0.9
+    docs: DataFrame, text: str = "text", min_support: int = 5, min_share: float = 0.9
 ) -> DataFrame:
     """`docs` without its text, with `base` (spans of the base patterns) and `found` (these and the learned ones), both
     arrays of (kind, start, end, value) by kind and start.
@@ -174,7 +182,7 @@ def find(
         .agg(F.count("*").alias("n")),
         "pii-edges",
     )
-    patterns = learned_patterns(edges, rounds, min_support, min_share)
+    patterns = learned_patterns(edges, min_support, min_share)
     learned = (
         rows.select("_row", F.explode("_tokens").alias("s"))
         .where(F.col("s.context").isNotNull())

@@ -37,8 +37,14 @@ BASE_RULES = [
     Rule("hex", r"(?<![0-9a-f])[0-9a-f]{16,}+", lambda m: F.lit(True), "16 characters", ()),
 ]
 MORE_RULES = [
-    Rule("pem", r"-----BEGIN (?:[A-Z]{2,12} ){0,2}PRIVATE KEY-----", lambda m: F.lit(True), "any", ("PRIVATE KEY-----",)),
-    Rule("forge", r"(?<![A-Za-z0-9_])gh[opsur]_[A-Za-z0-9]{36,255}+", lambda m: F.lit(True), "36 characters", ("gh",)),
+    # the whole block; its first line alone where the last one is missing
+    Rule(
+        "pem",
+        r"-----BEGIN (?:[A-Z]{2,12} ){0,2}PRIVATE KEY-----"
+        r"(?:(?:(?!-----)[\s\S])*+-----END (?:[A-Z]{2,12} ){0,2}PRIVATE KEY-----)?",
+        lambda m: F.lit(True), "any", ("PRIVATE KEY-----",),
+    ),
+    Rule("forge", r"(?<![A-Za-z0-9_])gh[opsur]_[A-Za-z0-9]{36,}+", lambda m: F.lit(True), "36 characters", ("gh",)),
 ]
 RULES = BASE_RULES + MORE_RULES
 

@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from shelfmart.llm import pii, secrets
 
 PII = {
@@ -115,3 +117,43 @@ def test_ledger_scans_only_unseen_blobs_and_versions(spark):
     assert secrets.scan_unseen(docs, ledger, secrets.BASE_RULES).count() == 2
     again, whole = secrets.scan(more, ledger)
     assert whole.count() == 3 and again.where("size(found) = 1").count() == 3
+
+
+def test_contexts_spread_until_none_is_new(spark):
+    """A chain: what one context has shown to be an identifier makes the next context trusted, eight times over."""
+    seeds = [(i, f"alpha one 10.0.0.{i} x") for i in range(6)]
+    known, texts = [f"10.0.0.{i}" for i in range(6)], []
+    steps = ["beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta", "iota"]
+    # each step's context shows tokens that the context before has shown, and as many of its own
+    shown = [f"v0x{i}" for i in range(6)]
+    texts += [f"alpha one {v} x" for v in shown]
+    texts += [f"alpha one 10.0.{i % 250}.{i} x" for i in range(60)]
+    for n, step in enumerate(steps, start=1):
+        fresh = [f"v{n}x{i}" for i in range(6)]
+        texts += [f"{step} two {v} x" for v in shown * 10 + fresh]
+        shown = fresh
+    docs = spark.createDataFrame(seeds + [(100 + k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    found = pii.find(docs).select(F.explode("found").alias("s")).select("s.value").distinct()
+    learned = {r["value"] for r in found.collect()} - set(known)
+    assert {f"v{n}x{i}" for n in range(9) for i in range(6)} <= learned
+
+
+def test_long_words_are_no_context(spark):
+    rows_ = [(i, f"the address 10.0.0.{i} x") for i in range(40)]
+    rows_ += [(50, "the address q7-token x"), (51, "w" * 60 + " address q8-token x"), (52, "x" * 43 + "the address q9-token x")]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string")
+    found = {r["value"] for r in pii.find(docs).select(F.explode("found").alias("s")).select("s.value").collect()}
+    assert "q7-token" in found and not {"q8-token", "q9-token"} & found
+
+
+def test_whole_keys_are_found(spark):
+    body = "\n".join("MIIEpAIBAAKCAQEA" * 4 for _ in range(3))
+    block = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    token = "ghp_" + "aB3" * 134
+    docs = spark.createDataFrame([(1, f"key {block} end"), (2, f"cut -----BEGIN PRIVATE KEY-----\nabc"), (3, f"t {token} z")], "doc_id long, text string")
+    kinds = {k: r.name for k, r in enumerate(secrets.RULES)}
+    found = {
+        (r["doc_id"], kinds[r["s"]["kind"]]): r["s"]["value"]
+        for r in docs.select("doc_id", F.explode(secrets.findings(F.col("text"))).alias("s")).collect()
+    }
+    assert found[1, "pem"] == block and found[2, "pem"] == "-----BEGIN PRIVATE KEY-----" and found[3, "forge"] == token
