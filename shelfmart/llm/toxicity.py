@@ -10,9 +10,8 @@ The model is trained on a bounded sample drawn by hash; scoring reads every docu
 from __future__ import annotations
 
 import re
-import zlib
-from collections import Counter
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,14 +48,36 @@ class Model:
         return _sigmoid(self.bias + sum(map(self.weights.__getitem__, sorted(known))))
 
 
-def _telling_words(positive: list[list[bytes]], unlabelled: list[list[bytes]]) -> list[bytes]:
+class Documents:
+    """The words of documents as numbers, so that the driver holds each different word once."""
+
+    def __init__(self, numbers: dict[bytes, int]):
+        self.numbers = numbers
+        self.words = array("l")
+        self.sizes: list[int] = []
+
+    def add(self, words: Iterable[bytes]) -> None:
+        before = len(self.words)
+        self.words.extend(self.numbers.setdefault(w, len(self.numbers)) for w in words)
+        self.sizes.append(len(self.words) - before)
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Document and word of each occurrence."""
+        return np.repeat(np.arange(len(self)), self.sizes), np.array(self.words, dtype=np.int64)
+
+
+def _telling_words(positive: Documents, unlabelled: Documents) -> list[bytes]:
     """Words whose share of documents differs between the two samples by more than chance explains."""
-    in_p, in_u = Counter(w for d in positive for w in d), Counter(w for d in unlabelled for w in d)
+    numbers = positive.numbers
+    in_p, in_u = (np.bincount(d.pairs()[1], minlength=len(numbers)).tolist() for d in (positive, unlabelled))
     n_p, n_u = max(len(positive), 1), max(len(unlabelled), 1)
     out = []
-    for word, p in in_p.items():
-        u = in_u[word]
-        if p + u >= LEAST_DOCUMENTS:
+    for word, k in numbers.items():
+        p, u = in_p[k], in_u[k]
+        if p and p + u >= LEAST_DOCUMENTS:
             share = (p + u) / (n_p + n_u)
             deviation = np.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u))
             if deviation and abs(p / n_p - u / n_u) >= LEAST_EVIDENCE * deviation:
@@ -69,18 +90,21 @@ def _sigmoid(z: float) -> float:
 
 
 def train(
-    positive: list[list[bytes]], unlabelled: list[list[bytes]], prior: float, epochs: int = 200, rate: float = 0.05,
-    l2: float = 5e-4,
+    positive: Documents, unlabelled: Documents, prior: float, epochs: int = 200, rate: float = 0.05, l2: float = 5e-4
 ) -> Model:
     """Full-batch Adam on the non-negative risk: prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)),
     with the logistic loss."""
     vocabulary = {w: k for k, w in enumerate(_telling_words(positive, unlabelled))}
-    if not positive or not unlabelled or not vocabulary:
+    if not len(positive) or not len(unlabelled) or not vocabulary:
         return Model({}, float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))))
 
-    def matrix(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        found = [[vocabulary[w] for w in doc if w in vocabulary] for doc in docs]
-        return np.repeat(np.arange(len(docs)), [len(f) for f in found]), np.array([k for f in found for k in f], int)
+    place = np.full(len(positive.numbers), -1)
+    place[[positive.numbers[w] for w in vocabulary]] = list(vocabulary.values())
+
+    def matrix(docs: Documents) -> tuple[np.ndarray, np.ndarray]:
+        rows, columns = docs.pairs()
+        columns = place[columns]
+        return rows[columns >= 0], columns[columns >= 0]
 
     (pr, pc), (ur, uc) = matrix(positive), matrix(unlabelled)
     n_p, n_u, size = len(positive), len(unlabelled), len(vocabulary)
@@ -145,13 +169,12 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         .mapInPandas(features, "k long, kind int, words binary")
         .orderBy("k")
         .limit(2 * (POSITIVES + UNLABELLED))
-        .collect()
-    )
-    return train(
-        [bytes(r["words"]).split() for r in rows if r["kind"] == 1],
-        [bytes(r["words"]).split() for r in rows if r["kind"] == 0],
-        prior,
     )
+    numbers: dict[bytes, int] = {}
+    samples = {1: Documents(numbers), 0: Documents(numbers)}
+    for r in rows.toLocalIterator():
+        samples[r["kind"]].add(bytes(r["words"]).split())
+    return train(samples[1], samples[0], prior)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

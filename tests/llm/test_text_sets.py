@@ -274,7 +274,11 @@ def test_negative_risk_is_not_driven_below_zero():
     rng = np.random.default_rng(1)
     common = [b"w%d" % k for k in range(30)]
     make = lambda bad: [*rng.choice(common, 8).tolist(), *([b"bad"] if bad else [])]
-    positive = [make(True) for _ in range(60)]
-    unlabelled = [make(k % 10 == 0) for k in range(600)]
+    numbers = {}
+    positive, unlabelled = toxicity.Documents(numbers), toxicity.Documents(numbers)
+    for _ in range(60):
+        positive.add(make(True))
+    for k in range(600):
+        unlabelled.add(make(k % 10 == 0))
     model = toxicity.train(positive, unlabelled, 0.1)
     assert model.score("bad w1 w2") > 0.5 > 0.3 > model.score("w1 w2")
