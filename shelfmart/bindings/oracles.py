@@ -67,6 +67,14 @@ MKT_LINE_FROZEN = ["marketplace_order_id", "item_id", "item_name", "price", "cos
 MKT_LINE_UPDATED = ["quantity", "cost_with_discount"]
 
 
+def _json(columns: list[str]) -> str:
+    """Columns as JSON text; names and titles of the sample hold nothing that has to be escaped."""
+    texts = ("name", "model", "item_name")
+    value = lambda c: f"""'"' || {c} || '"'""" if c in texts else f"CAST({c} AS VARCHAR)"
+    fields = [f"""'"{c}":' || coalesce({value(c)}, 'null')""" for c in columns]
+    return "'{' || " + " || ',' || ".join(fields) + " || '}'"
+
+
 def _line_pick(source: str, key: str, frozen: list[str], updated: list[str], extra: list[str] | None = None) -> str:
     order = WEB_LINE_ORDER if key == "order_product_id" else MKT_LINE_ORDER
     return _pick(source, key, frozen, updated + (extra or []), order)
@@ -602,11 +610,11 @@ ORACLES = {
     ),
     "upsert_order_lines": _present(
         _line_pick(
-            f"(SELECT *, {UPSERTED} AS ingested_at FROM line_versions)",
+            f"(SELECT *, {UPSERTED} AS ingested_at, {_json(['order_product_id', *WEB_LINE_ORDER])} AS raw_json FROM line_versions)",
             "order_product_id",
             WEB_LINE_FROZEN,
             WEB_LINE_UPDATED,
-            ["ingested_at"],
+            ["ingested_at", "raw_json"],
         ),
         "price total tax",
         "ingested_at",
@@ -659,11 +667,11 @@ ORACLES = {
     ),
     "upsert_mkt_lines": _present(
         _line_pick(
-            f"(SELECT *, {UPSERTED} AS ingested_at FROM mkt_line_versions)",
+            f"(SELECT *, {UPSERTED} AS ingested_at, {_json(['marketplace_order_id', 'purchase_id', *MKT_LINE_ORDER[1:]])} AS raw_json FROM mkt_line_versions)",
             "purchase_id",
             MKT_LINE_FROZEN,
             MKT_LINE_UPDATED,
-            ["ingested_at"],
+            ["ingested_at", "raw_json"],
         ),
         "price cost cost_with_discount",
         "ingested_at",

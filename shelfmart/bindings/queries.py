@@ -203,9 +203,10 @@ def report_sanitise(spark, sf_dir):
 # Staging
 
 
-def _upserted(table, first, second):
+def _upserted(table, first, second, with_payload=False):
     loaded = stage(None, first, table, T.RUN_AT)
-    return stage(loaded, second, table, T.SECOND_RUN_AT).drop("raw_json")
+    merged = stage(loaded, second, table, T.SECOND_RUN_AT)
+    return merged if with_payload else merged.drop("raw_json")
 
 
 def upsert_orders(spark, sf_dir):
@@ -219,6 +220,7 @@ def upsert_order_lines(spark, sf_dir):
         staging.WEBSITE_ORDER_LINES,
         T.order_products(spark, sf_dir, T.lines_first(spark, sf_dir, lines)),
         T.order_products(spark, sf_dir, T.lines_second(spark, sf_dir, lines)),
+        with_payload=True,
     )
 
 
@@ -296,6 +298,7 @@ def upsert_mkt_lines(spark, sf_dir):
         staging.MARKETPLACE_ORDER_LINES,
         T.purchases(spark, sf_dir, T.lines_first(spark, sf_dir, lines)),
         T.purchases(spark, sf_dir, T.lines_second(spark, sf_dir, lines)),
+        with_payload=True,
     )
 
 
