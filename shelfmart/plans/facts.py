@@ -62,10 +62,10 @@ def _line_rules(staged: DataFrame) -> dict[str, Column]:
     }
 
 
-def _with_order(lines: DataFrame, key: str, fact_orders: DataFrame, channel: str) -> DataFrame:
-    """Lines beside the key, day and rate of their order, NULL where it is not loaded."""
+def _with_order(lines: DataFrame, key: str, fact_orders: DataFrame, channel: str, *more: str) -> DataFrame:
+    """Lines beside the key, the day and `more` of their order, NULL where it is not loaded."""
     order = fact_orders.where(F.col("channel_id") == CHANNEL_ID[channel]).select(
-        F.col("source_order_id").alias(key), F.col("order_id").alias("_order"), "date_id", "currency_value"
+        F.col("source_order_id").alias(key), F.col("order_id").alias("_order"), "date_id", *more
     )
     return lines.join(order, key, "left")
 
@@ -73,7 +73,7 @@ def _with_order(lines: DataFrame, key: str, fact_orders: DataFrame, channel: str
 def flag_website_lines(lines: DataFrame, fact_orders: DataFrame) -> DataFrame:
     """Lines with their order and the first rule each breaks: one of its own, no loaded order to take the day and the
     rate from, or an amount that does not fit at that rate."""
-    placed = _with_order(lines, "order_id", fact_orders, WEBSITE)
+    placed = _with_order(lines, "order_id", fact_orders, WEBSITE, "currency_value")
     too_large = base_amount(F.col("total"), F.col("currency_value")).isNull()
     return flag(placed, {**_line_rules(lines), ORDER_MISSING: missing("_order"), "amount_range": too_large})
 
