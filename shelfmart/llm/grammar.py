@@ -55,14 +55,21 @@ def _pairs_of(seq: np.ndarray, at: np.ndarray) -> np.ndarray:
     return pairs
 
 
+def _scattered(pairs: np.ndarray) -> np.ndarray:
+    """An order of pairs that has nothing to do with their symbols."""
+    x = pairs * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+
+
 def _frequent(pairs: np.ndarray, least: int) -> np.ndarray:
-    """The pairs that occur `least` times, most frequent first."""
+    """The pairs that occur `least` times, most frequent first. Equally frequent ones are scattered, so that of a chain of
+    them, as a repeated passage gives, a part of its links is taken at once, wherever they lie."""
     ordered = np.sort(pairs[pairs != NO_PAIR])
     begin = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.empty(0, np.int64)
     counts = np.diff(np.r_[begin, len(ordered)])
     often = counts >= least
     values, counts = ordered[begin[often]], counts[often]
-    return values[np.argsort(-counts, kind="stable")]
+    return values[np.lexsort((_scattered(values), -counts))]
 
 
 def _chosen(found: np.ndarray, symbols: int) -> np.ndarray:
@@ -159,7 +166,8 @@ def expand(g: Grammar, symbols: np.ndarray | None = None) -> np.ndarray:
 
 
 def slice_ids(g: Grammar, start: int, n: int) -> np.ndarray:
-    """Ids `start` to `start + n` of a block; only the symbols that hold them are expanded."""
+    """Ids `start` to `start + n` of a block. The lengths tell which symbol holds the first one and, on the way down the
+    rules, which side to take, so that only rules that hold wanted ids are opened."""
     is_rule = g.symbols >= g.first_rule
     lengths = np.ones(len(g.symbols), dtype=np.int64)
     lengths[is_rule] = g.rule_lengths[g.symbols[is_rule] - g.first_rule]
@@ -167,8 +175,20 @@ def slice_ids(g: Grammar, start: int, n: int) -> np.ndarray:
     low, high = np.searchsorted(ends, start, side="right"), np.searchsorted(ends, start + n - 1, side="right") + 1
     if n <= 0 or low >= len(ends):
         return g.symbols[:0]
-    skip = start - (ends[low] - lengths[low])
-    return expand(g, g.symbols[low:high])[skip : skip + n]
+    skip = int(start - (ends[low] - lengths[low]))
+    waiting, out = g.symbols[low:high][::-1].tolist(), []
+    while waiting and len(out) < n:
+        symbol = waiting.pop()
+        rule = symbol - g.first_rule
+        size = int(g.rule_lengths[rule]) if rule >= 0 else 1
+        if skip >= size:
+            skip -= size
+        elif rule < 0:
+            out.append(symbol)
+        else:
+            left, right = g.rules[rule].tolist()
+            waiting += [right, left]
+    return np.array(out, dtype="<u4")
 
 
 def grammar_of(row) -> Grammar:

@@ -205,3 +205,32 @@ def test_token_counts_match_a_word_piece_model(edge_docs, edge_rows):
     out = wordpieces.token_counts(edge_docs.withColumn("n_words", F.lit("x")), path)
     assert Counter((r.doc_id, r.n_words, r.n_tokens) for r in out.collect()) == want
     assert wordpieces.token_counts(edge_docs.limit(0), path).count() == 0
+
+
+def test_a_repeated_chain_takes_few_rounds(monkeypatch):
+    """A passage of ascending ids that occurs twice: links of one frequency are taken many at a time."""
+    rounds = []
+    chosen = grammar._chosen
+    monkeypatch.setattr(grammar, "_chosen", lambda *a: rounds.append(1) or chosen(*a))
+    ids = np.tile(np.arange(8_000, dtype=np.uint32), 2)
+    g = grammar.compress(ids, 10_000)
+    assert len(rounds) < 60 and grammar.expand(g).tolist() == ids.tolist()
+    assert g.rule_lengths.sum() < 40 * len(ids)
+
+
+def test_a_slice_opens_few_rules():
+    class Counted(np.ndarray):
+        opened = 0
+
+        def __getitem__(self, key):
+            if np.isscalar(key):
+                Counted.opened += 1
+            return np.asarray(super().__getitem__(key))
+
+    ids = np.tile(np.arange(4_000, dtype=np.uint32), 4)
+    g = grammar.compress(ids, 10_000)
+    g.rules = g.rules.view(Counted)
+    for start in (0, 1, 3_999, 7_777, len(ids) - 1):
+        Counted.opened = 0
+        assert grammar.slice_ids(g, start, 1).tolist() == ids[start : start + 1].tolist()
+        assert Counted.opened < 200 < len(g.rules)
