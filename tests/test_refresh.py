@@ -307,3 +307,38 @@ def test_steps_may_append_at_the_same_time(spark, tmp_path):
     assert [TableStore(spark, str(tmp_path)).read(f"t{k}").first()["id"] for k in range(6)] == list(range(6))
     with pytest.raises(ZeroDivisionError):
         together(lambda: 1, lambda: 1 // 0)
+
+
+def test_stores_share_staging_tables(spark, small, tmp_path):
+    mart, redriven = (T._staged_store(spark, small, name) for name in ("shared-a", "shared-b"))
+    for table in T.STAGED.values():
+        assert mart._paths(table.name) == redriven._paths(table.name)
+    assert rows(TableStore(spark, mart.root).read(staging.WEBSITE_CATEGORIES.name)) == rows(
+        redriven.read(staging.WEBSITE_CATEGORIES.name)
+    )
+
+
+def test_a_shared_table_is_merged_and_the_other_store_keeps_its_rows(spark, tmp_path):
+    schema = "id long, value string, part long"
+    first, second = TableStore(spark, f"{tmp_path}/a"), TableStore(spark, f"{tmp_path}/b")
+    first.write("t", spark.createDataFrame([(1, "a", 0), (11, "b", 1)], schema))
+    first.write("p", spark.createDataFrame([(1, "a", 0), (11, "b", 1)], schema), partition_by="part")
+    second.share(first, ["t", "p"])
+    batch = spark.createDataFrame([(11, "B", 1), (12, "c", 1)], schema)
+    for name in ("t", "p"):
+        merged = second.merge(name, batch, ["id"], ["value"], "part", fixed_by_key=True)
+        assert merged.counts == {"all": (1, 1)}
+        assert rows(TableStore(spark, second.root).read(name).select("id", "value")) == [(1, "a"), (11, "B"), (12, "c")]
+        assert rows(first.read(name).select("id", "value")) == [(1, "a"), (11, "b")]
+
+
+def test_rows_stored_between_steps_are_dropped(spark, small, tmp_path):
+    """What is left are the checked rows of small dimensions."""
+    store = TableStore(spark, str(tmp_path))
+    first_load(spark, small, store)
+    refresh.land(store, staging.WEBSITE_CATEGORIES, spark.createDataFrame([], store.read(staging.WEBSITE_CATEGORIES.name).schema), T.RUN_AT)
+    left = {p.parent.parent.name for p in (tmp_path / "_spool").rglob("*.parquet")}
+    assert not left & {
+        "website_orders", "website_lines", "marketplace_orders", "marketplace_lines", "fact_orders", "fact_order_lines",
+        staging.WEBSITE_ORDERS.name, staging.WEBSITE_ORDER_LINES.name, "order_index", "settled_website_lines",
+    }
