@@ -342,3 +342,10 @@ def test_rows_stored_between_steps_are_dropped(spark, small, tmp_path):
         "website_orders", "website_lines", "marketplace_orders", "marketplace_lines", "fact_orders", "fact_order_lines",
         staging.WEBSITE_ORDERS.name, staging.WEBSITE_ORDER_LINES.name, "order_index", "settled_website_lines",
     }
+
+
+def test_landed_files_are_compressed(spark, small):
+    import os
+
+    files = [f for f in os.listdir(T.landing_folder(spark, small)) if f.startswith("part-")]
+    assert files and all(f.endswith(".gz") for f in files)
