@@ -1,12 +1,15 @@
 """Exact Jaccard self-join of word 5-gram sets.
 
-Equal sets are one. Two sets that reach the threshold share one of the first shingles of each in any common order;
-shingles that a small sketch of the corpus counts as frequent come last, so few sets meet in them. Sets that share such
-a shingle meet in tiles of near sizes, large groups in blocks of bounded size. There the bit counts of hashed bitmaps
-bound the overlap from above, and pairs that may reach the threshold are checked on their sorted shingles.
-
-A group of near copies has many more pairs than are needed to connect it. So each set of a tile is first checked with
-one possible partner; the links found make components, and only pairs of different components are checked after that.
+Equal sets are one. A group of near copies has many more pairs than are needed to connect it. So each set is first
+checked with one other that agrees with it in a few sampled shingles and that many sets agree with; the links found make
+components, and only pairs of different components are looked for after that.
+
+Two sets that reach the threshold share one of the first shingles of each in any common order; shingles that a small
+sketch of the corpus counts as frequent come last, so few sets meet in them. A shingle whose sets are all of one component
+is left out. Few sets that share one are paired by a join, many meet in tiles of near sizes and in blocks of bounded
+size. The places of the shared shingle and the bit counts of hashed bitmaps bound the overlap from above. Of the pairs
+that may reach the threshold a tile gives as many as connect its sets; the groups that they make are then compared on
+their shingles, again in blocks of bounded size and until they are connected.
 """
 
 from __future__ import annotations
@@ -26,7 +29,11 @@ N = 5
 PERCENT = 80
 SKETCH_BITS, SLICE_BITS = 18, 12
 FREQUENT = 16  # times the mean of the sketch's counters
+KEYS = 8  # sampled shingles of a set
+AGREE = 2  # of them that a likely partner shares
+FEW = 64  # sets that share a shingle and are paired by a join
 TILE_ROWS = 2000
+BLOCK_SHINGLES = 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 PART = 1 << 19  # bytes of text hashed at once
 BLANK = np.zeros(256, dtype=bool)
@@ -176,8 +183,15 @@ def numbered(docs: DataFrame, text: str) -> DataFrame:
     )
 
 
+def sampled(shingles: np.ndarray) -> np.ndarray:
+    """The first shingle of a sorted set from each of KEYS places of the range of hashes on, starting over at its end:
+    similar sets agree in most of them."""
+    places = np.arange(KEYS, dtype=np.uint64) * np.uint64((1 << 64) // KEYS)
+    return np.unique(shingles[np.searchsorted(shingles, places) % len(shingles)])
+
+
 def distinct_sets(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
-    """(no, digest, id of a document, n, rare, frequent, bits): each set once, empty ones left out. `rare` and
+    """(no, digest, id of a document, n, keys, rare, frequent, bits): each set once, empty ones left out. `rare` and
     `frequent` are the shingles it is met by."""
     counts = sketch(docs, text)
     frequent = np.where(counts > FREQUENT * max(1.0, counts.mean()), np.log2(np.maximum(counts, 1)), 0).astype(np.uint8)
@@ -193,49 +207,77 @@ def distinct_sets(docs: DataFrame, doc_id: str, text: str, percent: int) -> Data
                     rank = order.value[_counter(s)]
                     first = np.lexsort((s, rank))[: len(s) - -(-percent * len(s) // 100) + 1]
                     met, often = s[first].view(np.int64), rank[first] > 0
-                    out.append((_digest(s), key, len(s), met[~often], met[often], bitmap(s)))
-            yield pd.DataFrame(out, columns=["digest", "id", "n", "rare", "frequent", "bits"])
+                    keys = sampled(s).view(np.int64)
+                    out.append((_digest(s), key, len(s), keys, met[~often], met[often], bitmap(s)))
+            yield pd.DataFrame(out, columns=["digest", "id", "n", "keys", "rare", "frequent", "bits"])
 
     kind = dict(docs.dtypes)[doc_id]
-    schema = "digest binary, id string, n long, rare array<long>, frequent array<long>, bits binary"
+    schema = "digest binary, id string, n long, keys array<long>, rare array<long>, frequent array<long>, bits binary"
     rows = docs.select(F.col(doc_id).cast("string").alias("k"), F.col(text).alias("t")).mapInPandas(describe, schema)
     once = rows.dropDuplicates(["digest"]).withColumn("no", F.monotonically_increasing_id())
     return once.withColumn("id", F.col("id").cast(kind))
 
 
-def tiles(sets: DataFrame, percent: int) -> DataFrame:
-    """Rows (h, band, i, j, own, x, y, no, place): the sets that share shingle `h`, in tiles of sizes near each other;
-    `place` is the shingle's in the set's order.
+def partners(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) that are likely near copies, at most one for each set: of the sets that share a sampled shingle, each
+    meets only the one that shares its samples with most sets, and keeps the one it agrees with most itself."""
+    keyed = sets.select("no", F.explode("keys").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    met = keyed.join(sizes, "key")
+    weighed = met.join(met.groupBy("no").agg(F.sum("size").alias("weight")), "no")
+    middle = weighed.groupBy("key").agg(F.max(F.struct("weight", "no")).alias("best"))
+    met = met.join(middle.select("key", F.col("best.no").alias("other")), "key").where("no <> other")
+    agree = met.groupBy("no", "other").agg(F.count("*").alias("agree")).where(F.col("agree") >= AGREE)
+    best = agree.groupBy("no").agg(F.max(F.struct("agree", "other")).alias("best"))
+    return best.select(F.least("no", "best.other").alias("a"), F.greatest("no", "best.other").alias("b")).distinct()
 
-    A tile of band b holds the sets of b (own) and of b + 1. Groups above TILE_ROWS are cut into blocks of that size;
-    tile (i, j) holds two blocks, x and y saying which of them a row is of. Groups of rare shingles are small and are
-    counted where they meet; those of frequent ones are counted before, so that no task holds a whole one.
+
+def meetings(sets: DataFrame) -> DataFrame:
+    """Rows (h, no, n, root, place, rows): the sets that share shingle `h` with one of another component; `place` is the
+    shingle's in the set's order, `rows` says how many sets have it.
+
+    Groups of rare shingles are small and are counted where they meet; those of frequent ones are counted before, so that
+    no task holds a whole one.
     """
-    own_band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(percent / 100)) + 1e-9).cast("int")
-    before = {"rare": F.lit(0), "frequent": F.size("rare")}
 
-    def postings(column: str) -> DataFrame:
-        rows = sets.select(
-            F.posexplode(column).alias("_at", "h"), own_band.alias("_band"), "no", before[column].alias("_from")
-        )
-        return rows.select("h", "_band", "no", (F.col("_at") + F.col("_from")).alias("place"))
+    def postings(column: str, before: Column) -> DataFrame:
+        rows = sets.select(F.posexplode(column).alias("_at", "h"), before.alias("_from"), "no", "n", "root")
+        return rows.select("h", "no", "n", "root", (F.col("_at") + F.col("_from")).alias("place"))
+
+    rare, often = postings("rare", F.lit(0)), postings("frequent", F.size("rare"))
+    here, columns = Window.partitionBy("h"), ["h", "no", "n", "root", "place", "rows"]
+    figures = {"rows": F.count("*"), "_least": F.min("root"), "_greatest": F.max("root")}
+    rare = rare.withColumns({name: found.over(here) for name, found in figures.items()})
+    groups = often.groupBy("h").agg(*[found.alias(name) for name, found in figures.items()])
+    mixed = F.col("_least") < F.col("_greatest")
+    return rare.where(mixed).select(*columns).unionByName(often.join(groups.where(mixed), "h").select(*columns))
+
+
+def few_pairs(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a shingle with at most FEW sets. The places of the shingle bound
+    the overlap, if it is the first that the sets share; where it is not, the pair is met there."""
+    few = met.where(F.col("rows") <= FEW).drop("rows")
+    x, y = few.alias("x"), few.alias("y")
+    overlap = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    near = (100 + percent) * overlap >= percent * (F.col("x.n") + F.col("y.n"))
+    other = (F.col("x.no") < F.col("y.no")) & (F.col("x.root") != F.col("y.root"))
+    joined = x.join(y, (F.col("x.h") == F.col("y.h")) & other & near)
+    return joined.select(F.col("x.no").alias("a"), F.col("y.no").alias("b")).distinct()
 
-    rare = postings("rare").withColumn("rows", F.count("*").over(Window.partitionBy("h"))).where("rows > 1")
-    often = postings("frequent")
-    groups = often.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1")
-    blocks = F.ceil(F.col("rows") / TILE_ROWS).cast("int")
 
-    def banded(rows: DataFrame) -> DataFrame:
-        twice = rows.withColumn("band", F.explode(F.array(F.col("_band"), F.col("_band") - 1)))
-        return twice.withColumn("own", F.col("band") == F.col("_band"))
+def tiles(met: DataFrame, percent: int) -> DataFrame:
+    """Rows (h, band, i, j, own, x, y, no, place, n, root): the sets that share shingle `h` with more than FEW, in tiles of
+    sizes near each other.
 
-    here = Window.partitionBy("h", "band")
-    crowded = (F.col("_here") > 1) & F.col("_any")
-    rare = banded(rare).withColumn("_here", F.count("*").over(here)).withColumn("_any", F.max("own").over(here))
+    A tile of band b holds the sets of b (own) and of b + 1. Groups above TILE_ROWS are cut into blocks of that size;
+    tile (i, j) holds two blocks, x and y saying which of them a row is of.
+    """
+    own_band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(percent / 100)) + 1e-9).cast("int")
+    blocks = F.ceil(F.col("rows") / TILE_ROWS).cast("int")
     return (
-        rare.where(crowded)
-        .drop("_here", "_any")
-        .unionByName(banded(often.join(groups, "h")))
+        met.where(F.col("rows") > FEW)
+        .withColumn("_band", own_band)
+        .withColumn("band", F.explode(F.array(F.col("_band"), F.col("_band") - 1)))
         .withColumn("_block", F.pmod(F.xxhash64("no"), blocks).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select(
@@ -243,41 +285,49 @@ def tiles(sets: DataFrame, percent: int) -> DataFrame:
             "band",
             F.least("_block", "_other").alias("i"),
             F.greatest("_block", "_other").alias("j"),
-            "own",
+            (F.col("band") == F.col("_band")).alias("own"),
             (F.col("_block") <= F.col("_other")).alias("x"),
             (F.col("_block") >= F.col("_other")).alias("y"),
             "no",
             "place",
+            "n",
+            "root",
         )
     )
 
 
 TILE = ["h", "band", "i", "j"]
-PAIRS = "a long, b long, bound int"
-
-
 COLUMNS = {
     "own": bool, "x": bool, "y": bool, "no": np.int64, "place": np.int64, "n": np.int64, "root": np.int64, "bits": object,
 }
 SMALL_TILE = 16
-PARTNERS = 4  # that a set is checked with before components are known
 SEEN_PAIRS = 300_000  # that a task remembers, to send a pair once
 
 
-def _by_tile(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of every tile that may reach the threshold. Tiles are read in order, so that a task holds one batch and one
-    tile.
+class Connected:
+    """Items with the number of their component, and the pairs that have connected them."""
 
-    Without a column `root`: each set with the likeliest partner before it, and (no, no) for every set with any possible
-    partner. With it: all possible pairs of sets with different roots. `bound` is a bound of the similarity, in
-    thousandths.
-    """
-    given = [c for c in COLUMNS if c in rows.columns]
+    def __init__(self, numbers: np.ndarray, names: np.ndarray):
+        self.of, self.names, self.pairs = numbers.copy(), names, []
+
+    def connect(self, k: int, others: np.ndarray) -> None:
+        """Connect `k` with each of `others`, by a pair for every component that is new to it."""
+        found, first = np.unique(self.of[others], return_index=True)
+        for number, p in zip(found.tolist(), others[first].tolist(), strict=True):
+            if number != self.of[k]:
+                self.of[self.of == number] = self.of[k]
+                a, b = int(self.names[k]), int(self.names[p])
+                self.pairs.append((min(a, b), max(a, b)))
+
+
+def _by_tile(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of every tile that may reach the threshold, of sets with different roots: as many as connect the sets
+    that have such a pair. Tiles are read in order, so that a task holds one batch and one tile."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = {c: np.empty(0, dtype=COLUMNS[c]) for c in given}
+        rest = {c: np.empty(0, dtype=kind) for c, kind in COLUMNS.items()}
         rest_keys = np.empty((0, len(TILE)), dtype=np.int64)
-        seen: set[tuple[int, int, int]] = set()
+        seen: set[tuple[int, int]] = set()
 
         def pairs(end: int, cuts: np.ndarray) -> pd.DataFrame:
             found = {p for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()) if b - a > 1 and b <= end
@@ -285,10 +335,10 @@ def _by_tile(rows: DataFrame, percent: int) -> DataFrame:
             if len(seen) + len(found) > SEEN_PAIRS:
                 seen.clear()
             seen.update(found)
-            return pd.DataFrame(sorted(found), columns=["a", "b", "bound"], dtype="int64")
+            return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
         for batch in batches:
-            rest = {c: np.concatenate([rest[c], batch[c].to_numpy(COLUMNS[c])]) for c in given}
+            rest = {c: np.concatenate([rest[c], batch[c].to_numpy(kind)]) for c, kind in COLUMNS.items()}
             rest_keys = np.concatenate([rest_keys, batch[TILE].to_numpy(np.int64)])
             cuts = np.r_[0, np.flatnonzero((rest_keys[1:] != rest_keys[:-1]).any(axis=1)) + 1, len(rest_keys)]
             yield pairs(cuts[-2], cuts)
@@ -297,73 +347,65 @@ def _by_tile(rows: DataFrame, percent: int) -> DataFrame:
         yield pairs(len(rest_keys), np.array([0, len(rest_keys)]))
 
     dealt = rows.repartition(*TILE).sortWithinPartitions(*TILE, "no")
-    return dealt.select(*TILE, *given).mapInPandas(run, PAIRS).distinct()
+    return dealt.select(*TILE, *COLUMNS).mapInPandas(run, "a long, b long").distinct()
 
 
-def _tile_pairs(tile: dict[str, np.ndarray], percent: int) -> list[tuple[int, int, int]]:
+def _tile_pairs(tile: dict[str, np.ndarray], percent: int) -> list[tuple[int, int]]:
     """A pair has a set of the tile's own band and, in a tile of two blocks, one of each. The places of the tile's
     shingle bound the overlap too, if it is the first that the sets share; where it is not, the pair is met there."""
+    if not tile["own"].any():
+        return []
     size = min(map(len, tile["bits"]))
     maps = [folded(b, size) for b in tile["bits"]]
     if len(maps) <= SMALL_TILE:
         return _small_tile_pairs(tile, maps, percent)
-    own, x, y, no, n = (tile[c] for c in ("own", "x", "y", "no", "n"))
+    own, x, y, no, n, roots = (tile[c] for c in ("own", "x", "y", "no", "n", "root"))
     left = n - tile["place"]
-    roots = tile.get("root")
     words = np.array([np.frombuffer(m.to_bytes(size, "little"), dtype="<u8") for m in maps])
-    out: list[tuple[int, int, int]] = []
-    active = np.zeros(len(maps), dtype=bool)
+    found = Connected(np.arange(len(maps)), no)
     for k in range(1, len(maps)):
-        near = (own[:k] | own[k]) & ((x[:k] & y[k]) | (y[:k] & x[k])) & (no[:k] != no[k])
-        near &= (100 * n[:k] >= percent * n[k]) & (100 * n[k] >= percent * n[:k])
-        if roots is not None:
-            near &= roots[:k] != roots[k]
+        near = (own[:k] | own[k]) & ((x[:k] & y[k]) | (y[:k] & x[k])) & (no[:k] != no[k]) & (roots[:k] != roots[k])
+        least = np.minimum(left[:k], left[k])
+        near &= 100 * least >= percent * (n[:k] + n[k] - least)
         places = np.flatnonzero(near)
         if not len(places):
             continue
         mine, theirs = words[k], words[places]
         lack = n[k] - np.bitwise_count(mine & ~theirs).sum(axis=1, dtype=np.int64)
         overlap = np.minimum(lack, n[places] - np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64))
-        overlap = np.minimum(overlap, np.minimum(left[k], left[places]))
-        union = n[k] + n[places] - overlap
-        may = 100 * overlap >= percent * union
-        places, bound = places[may], 1000 * overlap[may] // union[may]
-        if roots is None and len(places):
-            active[places] = active[k] = True
-            best = int(np.argmax(bound))
-            places, bound = places[best : best + 1], bound[best : best + 1]
-        mine_no = int(no[k])
-        out += [(min(mine_no, p), max(mine_no, p), s) for p, s in zip(no[places].tolist(), bound.tolist(), strict=True)]
-    return out + [(p, p, 1000) for p in no[active].tolist()]
-
-
-def _small_tile_pairs(tile: dict[str, np.ndarray], maps: list[int], percent: int) -> list[tuple[int, int, int]]:
-    own, x, y, no, n = (tile[c].tolist() for c in ("own", "x", "y", "no", "n"))
+        found.connect(k, places[100 * overlap >= percent * (n[k] + n[places] - overlap)])
+    return found.pairs
+
+
+def _small_tile_pairs(tile: dict[str, np.ndarray], maps: list[int], percent: int) -> list[tuple[int, int]]:
+    own, x, y, no, n, roots = (tile[c].tolist() for c in ("own", "x", "y", "no", "n", "root"))
     left = (tile["n"] - tile["place"]).tolist()
-    roots = tile["root"].tolist() if "root" in tile else None
-    out: list[tuple[int, int, int]] = []
-    active: set[int] = set()
+    out: list[tuple[int, int]] = []
     for k in range(1, len(no)):
-        found = []
         for p in range(k):
-            if (
-                (own[p] or own[k])
-                and ((x[p] and y[k]) or (y[p] and x[k]))
-                and no[p] != no[k]
-                and (roots is None or roots[p] != roots[k])
-                and 100 * n[p] >= percent * n[k]
-                and 100 * n[k] >= percent * n[p]
-            ):
-                overlap = min(most_overlap(maps[k], maps[p], n[k], n[p]), left[k], left[p])
-                union = n[k] + n[p] - overlap
-                if 100 * overlap >= percent * union:
-                    found.append((1000 * overlap // union, p))
-        if found and roots is None:
-            active.update(no[p] for _, p in found)
-            active.add(no[k])
-            found = [max(found)]
-        out += [(min(no[k], no[p]), max(no[k], no[p]), s) for s, p in found]
-    return out + [(p, p, 1000) for p in active]
+            if (own[p] or own[k]) and ((x[p] and y[k]) or (y[p] and x[k])) and no[p] != no[k] and roots[p] != roots[k]:
+                overlap = min(left[k], left[p])
+                if 100 * overlap >= percent * (n[k] + n[p] - overlap):
+                    overlap = most_overlap(maps[k], maps[p], n[k], n[p])
+                    if 100 * overlap >= percent * (n[k] + n[p] - overlap):
+                        out.append((min(no[k], no[p]), max(no[k], no[p])))
+    return out
+
+
+def possible(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may reach the threshold by their bitmaps."""
+
+    def check(n_a: pd.Series, n_b: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for n, m, x, y in zip(n_a.tolist(), n_b.tolist(), a, b, strict=True):
+            size = min(len(x), len(y))
+            overlap = most_overlap(folded(x, size), folded(y, size), n, m)
+            out.append(100 * overlap >= percent * (n + m - overlap))
+        return pd.Series(out, dtype=bool)
+
+    left, right = (maps.select(F.col("no").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
+    both = pairs.join(left, "a").join(right, "b")
+    return both.where(F.pandas_udf(check, "boolean")("n_a", "n_b", "bits_a", "bits_b")).select("a", "b")
 
 
 def linked(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
@@ -383,6 +425,54 @@ def linked(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     return both.where(F.pandas_udf(check, "boolean")("s", "t")).select("a", "b")
 
 
+def connecting(edges: DataFrame, sets: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect whatever links do, among the sets that are in one component of `edges`; `sets` (no, n,
+    root) tells which are connected already.
+
+    The sets of a component meet with their shingles; large components in blocks of about BLOCK_SHINGLES, tile (i, j)
+    holding two of them. A tile gives as many links as connect its sets.
+    """
+    groups = components(edges).select(F.col("node").alias("no"), F.col("root").alias("g"))
+    placed = written(groups.join(sets, "no"), "groups")
+    sizes = placed.groupBy("g").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    rows = (
+        placed.join(sizes, "g")
+        .withColumn("_block", F.pmod(F.xxhash64("no"), "blocks").cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(
+            "g",
+            F.least("_block", "_other").alias("i"),
+            F.greatest("_block", "_other").alias("j"),
+            (F.col("_block") <= F.col("_other")).alias("x"),
+            (F.col("_block") >= F.col("_other")).alias("y"),
+            "no",
+            "root",
+        )
+        .join(shingles, "no")
+    )
+
+    def compare(tile: pd.DataFrame) -> pd.DataFrame:
+        tile = tile.sort_values("no")
+        sets = [np.frombuffer(data, dtype=np.uint64) for data in tile["shingles"]]
+        x, y = tile["x"].to_numpy(bool), tile["y"].to_numpy(bool)
+        n = np.array(list(map(len, sets)))
+        begin = np.cumsum(n) - n
+        distinct, which = np.unique(np.concatenate(sets), return_inverse=True)
+        mine = np.zeros(len(distinct), dtype=np.int64)
+        found = Connected(tile["root"].to_numpy(np.int64), tile["no"].to_numpy(np.int64))
+        for k in range(1, len(sets)):
+            open_ = (found.of[:k] != found.of[k]) & ((x[:k] & y[k]) | (y[:k] & x[k]))
+            if open_.any():
+                own = which[begin[k] : begin[k] + n[k]]
+                mine[own] = 1
+                both = np.add.reduceat(mine[which[: begin[k]]], begin[:k])
+                mine[own] = 0
+                found.connect(k, np.flatnonzero(open_ & (100 * both >= percent * (n[:k] + n[k] - both))))
+        return pd.DataFrame(found.pairs, columns=["a", "b"], dtype="int64")
+
+    return rows.groupBy("g", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+
+
 def join(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, carry: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -398,26 +488,23 @@ def join(
     plain = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t"), *carry)
     rows = written(numbered(plain, "_t"), "sets")
     sets = written(distinct_sets(plain, "_id", "_t", percent), "distinct-sets")
-    met = written(tiles(sets, percent), "tiles")
     maps = sets.select("no", "n", "bits")
 
+    def shingles_of(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("no")).distinct()
+        return written(_candidate_shingles(plain, sets, ends), "shingles")
+
+    likely = written(possible(partners(sets), maps, percent), "pairs")
+    links = written(linked(likely, shingles_of(likely), percent), "links")
+    roots = components(links).withColumnRenamed("node", "no")
+    rooted = written(sets.select("no", "n").join(roots, "no", "left").withColumn("root", F.coalesce("root", "no")), "roots")
+    met = written(meetings(sets.select("no", "rare", "frequent").join(rooted, "no")), "meetings")
+    few = possible(few_pairs(met, percent), maps, percent)
     small_batches(spark, 10_000)  # rows are short here
-    first = written(_by_tile(met.join(maps, "no"), percent), "pairs")
-    small_batches(spark)
-    active = first.where("a = b").select(F.col("a").alias("no")).distinct()
-    shingles = written(_candidate_shingles(plain, sets, active), "shingles")
-    # a few likely partners of each set are enough to connect most groups
-    likely = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("bound")).alias("bound"), "a"))), 1, PARTNERS)
-    first = first.where("a < b").groupBy("b").agg(likely.alias("likely"))
-    first = written(first.select(F.explode("likely.a").alias("a"), "b").distinct(), "pairs")
-    links = written(linked(first, shingles, percent), "links")
-    roots = written(components(links), "roots")
-    known = met.join(active, "no", "left_semi").join(roots.withColumnRenamed("node", "no"), "no", "left")
-    known = known.withColumn("root", F.coalesce("root", "no")).join(maps, "no")
-    small_batches(spark, 10_000)
-    more = written(_by_tile(known, percent), "pairs")
+    many = written(_by_tile(tiles(met, percent).join(maps.select("no", "bits"), "no"), percent), "pairs")
     small_batches(spark)
-    more_links = written(linked(more.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), shingles, percent), "links")
+    more = written(few.union(many).distinct(), "pairs")
+    more_links = written(connecting(more, rooted, shingles_of(more), percent), "links")
 
     roots = components(links.union(more_links))
     rooted = sets.select("digest", "no").join(roots.withColumnRenamed("node", "no"), "no", "left")

@@ -151,6 +151,31 @@ def test_jaccard_components(spark, edge_rows, monkeypatch, tile_rows):
     assert all(r.component_id == r.doc_id for r in got if r.keep and r.doc_id is not None)
 
 
+@pytest.mark.parametrize("few, tile_rows", [(1, 2000), (1, 3), (4, 3)])
+def test_jaccard_components_of_large_groups(spark, edge_rows, monkeypatch, few, tile_rows):
+    monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "TILE_ROWS", tile_rows)
+    monkeypatch.setattr(jaccard, "SMALL_TILE", tile_rows)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 300)
+    monkeypatch.setattr(jaccard, "AGREE", jaccard.KEYS + 1)  # no set has a likely partner
+    rows = [(i if i is None else i + 1000, t) for i, t in edge_rows] + _variants()
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == _component_ids(rows)
+
+
+def test_near_copies_are_not_met_by_every_shingle(spark, monkeypatch):
+    rows, kept, write = [], [], jaccard.written
+    for k in range(200):
+        words = prose(7, 120).split()
+        words[k % 120] = f"changed{k}"
+        rows.append((k, " ".join(words)))
+    monkeypatch.setattr(jaccard, "written", lambda df, name: kept.append((name, write(df, name))) or kept[-1][1])
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(k, 0) for k in range(200)}
+    made = {name: df.count() for name, df in kept}
+    assert max(made.values()) <= 3 * len(rows), made
+
+
 def test_jaccard_of_no_rows(no_docs):
     assert jaccard.join(no_docs).count() == 0
 
