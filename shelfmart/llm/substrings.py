@@ -107,7 +107,8 @@ def _anchors_of(parts: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
     part = owner[at]
     shift = np.array([p[1] for p in parts])[part] - begins[part]
     doc = np.array([p[0] for p in parts])[part]
-    return doc, starts[at] + shift, starts[end] + shift, place[at] + shift, gram[place[at]] & ~U64(1)
+    # least hashes are small, so they are mixed once more to fall evenly on the buckets
+    return doc, starts[at] + shift, starts[end] + shift, place[at] + shift, _mixed(gram[place[at]]) & ~U64(1)
 
 
 def anchors(texts: list[bytes]) -> Anchors:

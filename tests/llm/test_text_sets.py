@@ -233,6 +233,13 @@ def test_anchors_of_repeated_rows_are_shared_in_any_order():
         assert len(asked) and (asked & np.uint64(1) == (len(set(ids)) > 1)).all(), ids
 
 
+def test_anchors_fall_evenly_on_the_buckets():
+    texts = ["".join(random.Random(k).choices("abcdefgh ", k=2000)) for k in range(40)]
+    rows = pd.DataFrame({"k": range(40), "t": texts, "named": True})
+    sizes = [len(blob) for _, blob in substrings.Block(rows, 32).questions()]
+    assert len(sizes) == 32 and max(sizes) < 2 * np.mean(sizes), sizes
+
+
 def test_suffix_order_and_collisions(monkeypatch):
     rng = random.Random(4)
     texts = [bytes(rng.choice(b"ab") for _ in range(60)) for _ in range(40)]
