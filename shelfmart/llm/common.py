@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfmart.session import shared_dir
@@ -39,3 +40,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
     return os.fspath(public_tokenizers.path(name))
+
+
+def ranges(begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range after another."""
+    ends = np.cumsum(lengths, dtype=np.int64)
+    out = np.repeat(begin - (ends - lengths), lengths)
+    out += np.arange(len(out))
+    return out

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmart.llm.common import small_batches, table, text_bytes, tokenizer_path
+from shelfmart.llm.common import ranges, small_batches, table, text_bytes, tokenizer_path
 from shelfmart.llm.tokens import encoder
 from shelfmart.session import shared_dir
 
@@ -26,7 +26,8 @@ END_ID = 1
 BLOCK_IDS = 3 << 17
 SHARD_BYTES = 32 << 20  # of text
 LEAST_PAIRS = 2  # how often a pair must occur, without overlap, to become a rule
-NO_PAIR = np.uint64(0xFFFFFFFFFFFFFFFF)
+TEXT_AT_ONCE = 3 << 19  # characters encoded at once; the more, the more often their different words repeat
+LAST = np.uint64(0xFFFFFFFFFFFFFFFF)  # greater than any pair, with or without its place
 FILE_SCHEMA = (
     "shard int, block long, first_id long, n_ids long, doc_ids array<string>, doc_lengths array<long>, "
     "first_rule long, rules binary, rule_lengths binary, symbols binary"
@@ -41,48 +42,71 @@ class Grammar:
     symbols: np.ndarray
 
 
-def _pairs_of(seq: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The symbols at the places `at` and the next ones as one number each. Of a run of equal symbols every second
-    place alone is a pair; the other places get NO_PAIR."""
-    pairs = seq[at].astype(np.uint64)
+def _second_of_runs(same: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of the places `at`, those `same`, by index, hold equal symbols: which are no pair, since of a run of equal symbols
+    every second place alone is one."""
+    if not len(same):
+        return same
+    run = np.flatnonzero(np.r_[True, np.diff(at[same]) > 1])
+    nth = np.arange(len(same)) - np.repeat(run, np.diff(np.r_[run, len(same)]))
+    return same[nth % 2 == 1]
+
+
+def _pairs_at(seq: np.ndarray, at: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols at the places `at` and the next ones as one number each, ascending, and their places. Pair and place
+    are sorted as one number where they fit into it, which is much cheaper than to sort or look up by pair."""
+    left, right = seq[at].astype(np.uint64), seq[1:][at]
+    skipped = _second_of_runs(np.flatnonzero(left == right), at)
+    bits, place_bits = int(symbols).bit_length(), len(seq).bit_length()
+    if 2 * bits + place_bits > 64:
+        left <<= np.uint64(32)
+        left |= right
+        left[skipped] = LAST
+        order = np.argsort(left)[: len(at) - len(skipped)]
+        return left[order], at[order]
+    left <<= np.uint64(bits)
+    left |= right
+    left <<= np.uint64(place_bits)
+    left |= at.view(np.uint64)
+    left[skipped] = LAST
+    left.sort()
+    left = left[: len(at) - len(skipped)]
+    places = (left & np.uint64((1 << place_bits) - 1)).view(np.int64)
+    left >>= np.uint64(place_bits)
+    pairs = left >> np.uint64(bits)
     pairs <<= np.uint64(32)
-    pairs |= seq[at + 1]
-    same = at[seq[at] == seq[at + 1]]
-    if len(same):
-        run = np.flatnonzero(np.r_[True, np.diff(same) > 1])
-        nth = np.arange(len(same)) - np.repeat(run, np.diff(np.r_[run, len(same)]))
-        pairs[np.searchsorted(at, same[nth % 2 == 1])] = NO_PAIR
-    return pairs
+    left &= np.uint64((1 << bits) - 1)
+    pairs |= left
+    return pairs, places
 
 
 def _scattered(pairs: np.ndarray) -> np.ndarray:
-    """An order of pairs that has nothing to do with their symbols."""
+    """An order of pairs that has nothing to do with their symbols; different pairs have different numbers."""
     x = pairs * np.uint64(0x9E3779B97F4A7C15)
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
 
 
-def _frequent(pairs: np.ndarray, least: int) -> np.ndarray:
-    """The pairs that occur `least` times, most frequent first. Equally frequent ones are scattered, so that of a chain of
+def _by_frequency(pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The order of pairs that puts the most frequent first. Equally frequent ones are scattered, so that of a chain of
     them, as a repeated passage gives, a part of its links is taken at once, wherever they lie."""
-    ordered = np.sort(pairs[pairs != NO_PAIR])
-    begin = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.empty(0, np.int64)
-    counts = np.diff(np.r_[begin, len(ordered)])
-    often = counts >= least
-    values, counts = ordered[begin[often]], counts[often]
-    return values[np.lexsort((_scattered(values), -counts))]
+    order = np.argsort(_scattered(pairs))
+    fewer = counts.max(initial=0) - counts[order]
+    if len(fewer) and fewer.max() < 1 << 16:
+        fewer = fewer.astype(np.uint16)  # sorted by radix
+    return order[np.argsort(fewer, kind="stable")]
 
 
 def _chosen(found: np.ndarray, symbols: int) -> np.ndarray:
-    """Of pairs, most frequent first, those replaced at once: a symbol is left or right as in the most frequent pair
+    """Of pairs, most frequent first, which are replaced at once: a symbol is left or right as in the most frequent pair
     that has it, and a pair is taken where both its symbols agree, so that places of different pairs never overlap. A
     pair of equal symbols is taken where no more frequent pair has them. The first pair is always taken."""
-    left, right = (found >> np.uint64(32)).astype(np.int64), (found & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    left, right = (found >> np.uint64(32)).view(np.int64), (found & np.uint64(0xFFFFFFFF)).view(np.int64)
     rank = np.arange(len(found))
     as_left, as_right = np.full(symbols, len(found)), np.full(symbols, len(found))
     as_left[left[::-1]], as_right[right[::-1]] = rank[::-1], rank[::-1]  # the last value stays
     apart = (as_left[left] < as_right[left]) & (as_right[right] < as_left[right])
     alone = (left == right) & (as_left[left] == rank) & (as_right[left] == rank)
-    return found[apart | alone]
+    return np.flatnonzero(apart | alone)
 
 
 def compress(ids: np.ndarray, first_rule: int, least: int = LEAST_PAIRS) -> Grammar:
@@ -93,76 +117,66 @@ def compress(ids: np.ndarray, first_rule: int, least: int = LEAST_PAIRS) -> Gram
     """
     seq = ids.astype(np.uint32)
     made: list[np.ndarray] = []
-    symbols = first_rule
-    open_ = np.ones(max(len(seq) - 1, 0), dtype=bool)
-    while open_.any():
-        at = np.flatnonzero(open_)
-        pairs = _pairs_of(seq, at)
-        found = _frequent(pairs, least)
-        if not len(found):
+    lengths = np.ones(first_rule, dtype="<u4")  # of all symbols
+    open_ = np.ones(len(seq), dtype=bool)
+    open_[-1:] = False
+    while len(at := np.flatnonzero(open_)):
+        symbols = len(lengths)
+        pairs, places = _pairs_at(seq, at, symbols)
+        begin = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
+        counts = np.diff(np.r_[begin, len(pairs)])
+        often = counts >= least  # scattered masks are made places, which are much cheaper to select by
+        open_[places[np.flatnonzero(np.repeat(~often, counts))]] = False
+        often = np.flatnonzero(often)
+        begin, counts = begin[often], counts[often]
+        if not len(begin):
             break
-        ordered = np.sort(found)
-        index = np.minimum(np.searchsorted(ordered, pairs), len(ordered) - 1)
-        frequent = ordered[index] == pairs
-        chosen = _chosen(found, symbols)
-        rule = np.full(len(ordered), -1)
-        rule[np.searchsorted(ordered, chosen)] = np.arange(len(chosen))
-        which = np.where(frequent, rule[index], -1)
-        places, which = at[which >= 0], which[which >= 0]
-        seq[places] = symbols + which
+        order = _by_frequency(pairs[begin], counts)
+        order = order[_chosen(pairs[begin[order]], symbols)]
+        begin, counts = begin[order], counts[order]
+        places = places[ranges(begin, counts)]
+        seq[places] = np.repeat(np.arange(symbols, symbols + len(begin), dtype=np.uint32), counts)
         keep = np.ones(len(seq), dtype=bool)
         keep[places + 1] = False
-        open_[at] = frequent | (pairs == NO_PAIR)
-        open_ = np.r_[open_, False]
+        if len(places) > len(seq) >> 5:
+            keep = np.flatnonzero(keep)
+        seq, open_ = seq[keep], open_[keep]
+        places.sort()
+        places -= np.arange(len(places))  # each place before took one symbol away
         open_[places] = True
-        seq, open_, new = seq[keep], open_[keep], np.flatnonzero(seq[keep] >= symbols)
-        open_[new[new > 0] - 1] = True
-        open_ = open_[:-1]
-        made.append(chosen)
-        symbols += len(chosen)
-    flat = np.concatenate(made) if made else np.empty(0, dtype=np.uint64)
-    rules = list(zip((flat >> np.uint64(32)).tolist(), (flat & np.uint64(0xFFFFFFFF)).tolist()))
-    lengths: list[int] = []
-    size = lambda s: 1 if s < first_rule else lengths[s - first_rule]
-    for left, right in rules:
-        lengths.append(size(left) + size(right))
-    return Grammar(
-        first_rule, np.array(rules, dtype="<u4").reshape(-1, 2), np.array(lengths, dtype="<u4"), seq.astype("<u4")
-    )
+        open_[np.maximum(places - 1, 0)] = True
+        open_[-1:] = False
+        chosen = pairs[begin]
+        rules = np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1).astype("<u4")
+        made.append(rules)
+        lengths = np.r_[lengths, lengths[rules].sum(axis=1, dtype="<u4")]
+    rules = np.concatenate(made) if made else np.empty((0, 2), dtype="<u4")
+    return Grammar(first_rule, rules, lengths[first_rule:], seq.astype("<u4"))
 
 
 def _expansions(g: Grammar) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all rules one after another, and where each rule's begin."""
-    starts = np.r_[0, np.cumsum(g.rule_lengths, dtype=np.int64)]
+    """The ids of all symbols one after another, and where each symbol's begin. Rules are expanded many at a time: all
+    up to the next one that opens one of them."""
+    starts = np.r_[np.arange(g.first_rule), g.first_rule + np.r_[0, np.cumsum(g.rule_lengths, dtype=np.int64)]]
     flat = np.empty(starts[-1], dtype="<u4")
-    for k, (left, right) in enumerate(g.rules.tolist()):
-        at = starts[k]
-        for symbol in (left, right):
-            if symbol < g.first_rule:
-                flat[at] = symbol
-                at += 1
-            else:
-                j = symbol - g.first_rule
-                n = starts[j + 1] - starts[j]
-                flat[at : at + n] = flat[starts[j] : starts[j + 1]]
-                at += n
+    flat[: g.first_rule] = np.arange(g.first_rule)
+    greater, at = g.rules.max(axis=1), 0
+    while at < len(g.rules):
+        later = greater[at:] >= g.first_rule + at
+        end = at + int(later.argmax()) if later.any() else len(g.rules)
+        opened = g.rules[at:end].ravel()
+        flat[starts[g.first_rule + at] : starts[g.first_rule + end]] = _opened(opened, flat, starts)
+        at = end
     return flat, starts
 
 
+def _opened(symbols: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    begin = starts[symbols]
+    return flat[ranges(begin, starts[symbols.astype(np.int64) + 1] - begin)]
+
+
 def expand(g: Grammar, symbols: np.ndarray | None = None) -> np.ndarray:
-    symbols = g.symbols if symbols is None else symbols
-    flat, starts = _expansions(g)
-    is_rule = symbols >= g.first_rule
-    lengths = np.ones(len(symbols), dtype=np.int64)
-    lengths[is_rule] = g.rule_lengths[symbols[is_rule] - g.first_rule]
-    ends = np.cumsum(lengths)
-    out = np.repeat(symbols, lengths)
-    begin = np.zeros(len(symbols), dtype=np.int64)
-    begin[is_rule] = starts[symbols[is_rule] - g.first_rule]
-    where = np.repeat(is_rule, lengths)
-    inside = np.arange(len(out)) - np.repeat(ends - lengths, lengths)
-    out[where] = flat[(np.repeat(begin, lengths) + inside)[where]]
-    return out
+    return _opened(g.symbols if symbols is None else symbols, *_expansions(g))
 
 
 def slice_ids(g: Grammar, start: int, n: int) -> np.ndarray:
@@ -210,6 +224,19 @@ def write(
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = encoder(tokenizer)
+
+        def encoded() -> Iterator[tuple[str | None, bytes]]:
+            keys, texts, characters = [], [], 0
+            for batch in batches:
+                for key, text in zip(batch["k"], batch["t"], strict=True):
+                    keys.append(key)
+                    texts.append(text)
+                    characters += len(text or "")
+                    if characters >= TEXT_AT_ONCE:
+                        yield from zip(keys, coder.encode(texts), strict=True)
+                        keys, texts, characters = [], [], 0
+            yield from zip(keys, coder.encode(texts), strict=True)
+
         first_rule = len(coder.closes)
         shard, block, first_id = TaskContext.get().partitionId(), 0, 0
         names: list[str | None] = []
@@ -224,14 +251,13 @@ def write(
             )
             return pd.DataFrame([row], columns=[c.split()[0] for c in FILE_SCHEMA.split(", ")])
 
-        for batch in batches:
-            for key, data in zip(batch["k"], coder.encode(batch["t"]), strict=True):
-                names.append(key)
-                parts.append(data + end)
-                size += len(data) // 4 + 1
-                if size >= BLOCK_IDS:
-                    yield closed()
-                    block, first_id, names, parts, size = block + 1, first_id + size, [], [], 0
+        for key, data in encoded():
+            names.append(key)
+            parts.append(data + end)
+            size += len(data) // 4 + 1
+            if size >= BLOCK_IDS:
+                yield closed()
+                block, first_id, names, parts, size = block + 1, first_id + size, [], [], 0
         if names:
             yield closed()
 

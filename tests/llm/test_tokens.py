@@ -234,3 +234,64 @@ def test_a_slice_opens_few_rules():
         Counted.opened = 0
         assert grammar.slice_ids(g, start, 1).tolist() == ids[start : start + 1].tolist()
         assert Counted.opened < 200 < len(g.rules)
+
+
+def test_encoder_looks_up_a_repeated_word_once(coder, monkeypatch):
+    class Counted(dict):
+        looked_up = 0
+
+        def get(self, key, default=None):
+            Counted.looked_up += 1
+            return super().get(key, default)
+
+        def __getitem__(self, key):
+            Counted.looked_up += 1
+            return super().__getitem__(key)
+
+    monkeypatch.setattr(coder, "lowered", Counted())
+    texts = ["one two, three. " * 500, "Two THREE; one"]
+    assert coder.encode(texts) == [ids_of(coder, t).tobytes() for t in texts]
+    assert Counted.looked_up < 30  # before: a lookup for each of 1,503 words
+
+
+def test_encoder_on_latin_characters(coder):
+    rng = random.Random(2)
+    signs = [chr(k) for k in range(1, 0x100)]
+    texts = ["".join(rng.choice(signs[: rng.choice([127, 255])]) for _ in range(rng.randint(1, 20))) for _ in range(400)]
+    for text, data in zip(texts, coder.encode(texts), strict=True):
+        assert data == ids_of(coder, text).tobytes(), text
+
+
+def test_rounds_look_up_no_pairs(monkeypatch):
+    rng = np.random.default_rng(2)
+    ids = np.tile(rng.integers(0, 900, 5_000), 2)
+    monkeypatch.setattr(np, "searchsorted", None)  # before: all places of a round were looked up among its pairs
+    assert grammar.expand(grammar.compress(ids, 1_000)).tolist() == ids.tolist()
+
+
+def test_rules_are_expanded_many_at_a_time(monkeypatch):
+    ids = np.tile(np.arange(8_000, dtype=np.uint32), 2)
+    g = grammar.compress(ids, 10_000)
+    opened, calls = grammar._opened, []
+    monkeypatch.setattr(grammar, "_opened", lambda *a: calls.append(1) or opened(*a))
+    assert grammar.expand(g).tolist() == ids.tolist()
+    assert len(calls) < 61 < len(g.rules)  # before: one rule after another
+
+
+def test_grammar_of_symbols_too_wide_for_one_number():
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 40_000, 40_000)
+    ids = np.r_[passage, np.zeros(99, int), passage]
+    g = grammar.compress(ids, 1 << 24)  # two symbols of 25 bits and a place of 17
+    assert len(g.symbols) < 50 and grammar.expand(g).tolist() == ids.tolist()
+
+
+def test_token_files_of_long_texts(spark, coder, tmp_path):
+    """Texts longer than those encoded at once, in several blocks."""
+    texts = [None, "Ab, c " * 900_000, "d e " * 10, "f. " * 400_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    grammar.write(docs, str(tmp_path / "ids"), tokenizer_path())
+    rows = grammar.read(spark, str(tmp_path / "ids")).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [0, 1, 2, 3]
+    for r, part, times in zip(rows, ("", "Ab, c", "d e", "f."), (0, 900_000, 10, 400_000)):
+        assert bytes(r.ids) == ids_of(coder, part).tobytes() * times + (1).to_bytes(4, "little")
