@@ -52,9 +52,10 @@ def _second_of_runs(same: np.ndarray, at: np.ndarray) -> np.ndarray:
     return same[nth % 2 == 1]
 
 
-def _pairs_at(seq: np.ndarray, at: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols at the places `at` and the next ones as one number each, ascending, and their places. Pair and place
-    are sorted as one number where they fit into it, which is much cheaper than to sort or look up by pair."""
+def _pairs_at(seq: np.ndarray, at: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The symbols at the places `at` and the next ones as one number each, ascending, their places, and the bits of the
+    second symbol. Pair and place are sorted as one number where they fit into it, which is much cheaper than to sort or
+    look up by pair."""
     left, right = seq[at].astype(np.uint64), seq[1:][at]
     skipped = _second_of_runs(np.flatnonzero(left == right), at)
     bits, place_bits = int(symbols).bit_length(), len(seq).bit_length()
@@ -63,7 +64,7 @@ def _pairs_at(seq: np.ndarray, at: np.ndarray, symbols: int) -> tuple[np.ndarray
         left |= right
         left[skipped] = LAST
         order = np.argsort(left)[: len(at) - len(skipped)]
-        return left[order], at[order]
+        return left[order], at[order], 32
     left <<= np.uint64(bits)
     left |= right
     left <<= np.uint64(place_bits)
@@ -73,11 +74,7 @@ def _pairs_at(seq: np.ndarray, at: np.ndarray, symbols: int) -> tuple[np.ndarray
     left = left[: len(at) - len(skipped)]
     places = (left & np.uint64((1 << place_bits) - 1)).view(np.int64)
     left >>= np.uint64(place_bits)
-    pairs = left >> np.uint64(bits)
-    pairs <<= np.uint64(32)
-    left &= np.uint64((1 << bits) - 1)
-    pairs |= left
-    return pairs, places
+    return left, places, bits
 
 
 def _scattered(pairs: np.ndarray) -> np.ndarray:
@@ -122,18 +119,20 @@ def compress(ids: np.ndarray, first_rule: int, least: int = LEAST_PAIRS) -> Gram
     open_[-1:] = False
     while len(at := np.flatnonzero(open_)):
         symbols = len(lengths)
-        pairs, places = _pairs_at(seq, at, symbols)
-        begin = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
-        counts = np.diff(np.r_[begin, len(pairs)])
+        pairs, places, bits = _pairs_at(seq, at, symbols)
+        bounds = np.r_[0, np.flatnonzero(pairs[1:] != pairs[:-1]) + 1, len(pairs)]
+        begin, counts = bounds[:-1], np.diff(bounds)
         often = counts >= least  # scattered masks are made places, which are much cheaper to select by
         open_[places[np.flatnonzero(np.repeat(~often, counts))]] = False
         often = np.flatnonzero(often)
         begin, counts = begin[often], counts[often]
         if not len(begin):
             break
-        order = _by_frequency(pairs[begin], counts)
-        order = order[_chosen(pairs[begin[order]], symbols)]
-        begin, counts = begin[order], counts[order]
+        found = pairs[begin]
+        found = found >> np.uint64(bits) << np.uint64(32) | found & np.uint64((1 << bits) - 1)
+        order = _by_frequency(found, counts)
+        order = order[_chosen(found[order], symbols)]
+        begin, counts, chosen = begin[order], counts[order], found[order]
         places = places[ranges(begin, counts)]
         seq[places] = np.repeat(np.arange(symbols, symbols + len(begin), dtype=np.uint32), counts)
         keep = np.ones(len(seq), dtype=bool)
@@ -146,7 +145,6 @@ def compress(ids: np.ndarray, first_rule: int, least: int = LEAST_PAIRS) -> Gram
         open_[places] = True
         open_[np.maximum(places - 1, 0)] = True
         open_[-1:] = False
-        chosen = pairs[begin]
         rules = np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1).astype("<u4")
         made.append(rules)
         lengths = np.r_[lengths, lengths[rules].sum(axis=1, dtype="<u4")]
