@@ -3,23 +3,25 @@
 Every window of `LENGTH` bytes has an anchor: its least hashed gram. Equal windows have equal anchors at equal places, so
 it is enough to compare windows whose anchors are equal, and anchors are few. Documents are dealt to blocks of bounded
 size. A first round finds the anchors that occur in more than one document; a second sends the stretches of text around
-those anchors to the anchors' buckets, where the suffixes that begin the windows are sorted and every window learns the
-smallest document that holds it; a third removes what is covered.
+those anchors to the anchors' buckets, where the suffixes that begin at the anchors, and what stands before them read
+backwards, are sorted and every window learns the smallest document that holds it; a third removes what is covered.
 
 The sort compares suffixes by prefix polynomial hashes: binary search finds how far two of them agree, so a comparison
-takes logarithmic time in the window's length. Windows found equal are compared byte by byte before they count.
+takes logarithmic time in the window's length. How far neighbours agree, and that they are in order, is told by their
+bytes. Two windows with their anchor at one place are equal if their stretches agree as far as they reach on both sides.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmart.llm.common import small_batches, table, text_bytes
+from shelfmart.llm.common import ranges, small_batches, table, text_bytes
 
 LENGTH, GRAM = 50, 20
 BLOCK_BYTES = 3 << 19
@@ -139,15 +141,66 @@ def _blobs(values: np.ndarray, bucket: np.ndarray) -> list[tuple[int, bytes]]:
     return [(int(bucket[a]), values[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:]) if b > a]
 
 
+def in_order(rows: pd.DataFrame) -> tuple[pd.DataFrame, list[bytes]]:
+    """The rows of a block and their texts in an order that follows from them alone; rows in no order are equal."""
+    texts = [(t or "").encode() for t in rows["t"]]
+    ids, named = rows["k"].tolist(), rows["named"].tolist()
+    order = sorted(range(len(texts)), key=lambda i: (ids[i], named[i], texts[i]))
+    return rows.iloc[order].reset_index(drop=True), [texts[i] for i in order]
+
+
+@dataclass
+class Places:
+    """Where stretches of a block lie, in the order of its text: the document, the start of the first window, the number
+    of windows, and the place of the stretch among those the block sends, -1 where an earlier document of the block has
+    it."""
+
+    doc: np.ndarray
+    start: np.ndarray
+    count: np.ndarray
+    stretch: np.ndarray
+
+    def packed(self) -> bytes:
+        steps = [np.diff(x, prepend=0).astype("<i4").tobytes() for x in (self.doc, self.start)]
+        return zlib.compress(b"".join([*steps, self.count.astype("u1").tobytes(), self.stretch.astype("<i4").tobytes()]), 1)
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Places:
+        data = zlib.decompress(data)
+        n = len(data) // 13
+        doc, start = (np.cumsum(np.frombuffer(data, "<i4", n, at), dtype=np.int64) for at in (0, 4 * n))
+        return cls(doc, start, np.frombuffer(data, "u1", n, 8 * n).astype(np.int64), np.frombuffer(data, "<i4", n, 9 * n))
+
+    def covered(self, bits: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """Removed runs of each document that has some. `bits` says which windows of a stretch an earlier document has,
+        for the least document of the block that has the stretch; any later one repeats that one."""
+        marks = np.full(len(self.doc), (1 << 32) - 1, dtype=np.uint32)
+        open_ = np.flatnonzero(self.stretch >= 0)
+        marks[open_] = bits[self.stretch[open_]]
+        some = np.flatnonzero(marks)
+        counts = self.count[some]
+        nth = ranges(np.zeros(len(some), dtype=np.int64), counts)
+        hit = (np.repeat(marks[some], counts) >> nth.astype(np.uint32) & 1).astype(bool)
+        at = (np.repeat(self.start[some], counts) + nth)[hit]
+        doc = np.repeat(self.doc[some], counts)[hit]
+        if not len(at):
+            return {}
+        new = np.r_[True, (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + LENGTH)]
+        last = np.r_[new[1:], True]
+        runs: dict[int, list[tuple[int, int]]] = {}
+        for d, begin, end in zip(doc[new].tolist(), at[new].tolist(), (at[last] + LENGTH).tolist(), strict=True):
+            runs.setdefault(d, []).append((begin, end))
+        return runs
+
+
 class Block:
     """The documents of a block that have an id; everything follows from them alone, whatever their order."""
 
     def __init__(self, rows: pd.DataFrame, buckets: int):
-        self.rows, self.buckets = rows, buckets
-        self.texts = [(t or "").encode() for t in rows["t"]]
+        rows, self.texts = in_order(rows)
+        self.buckets = buckets
         self.ids = rows["k"].to_numpy(np.int64)
-        self.named = rows["named"].to_numpy(bool)
-        self.anchors = anchors([t if n else b"" for t, n in zip(self.texts, self.named, strict=True)])
+        self.anchors = anchors([t if n else b"" for t, n in zip(self.texts, rows["named"], strict=True)])
         self.hashes, self.which = np.unique(self.anchors.hash, return_inverse=True)
 
     def questions(self) -> list[tuple[int, bytes]]:
@@ -159,38 +212,42 @@ class Block:
         shared = least != greatest
         return _blobs(self.hashes | shared.astype(U64), _bucket(self.hashes, self.buckets))
 
-    def stretches(self, codes: np.ndarray) -> None:
-        """Stretches of text around repeated anchors, equal ones once, by bucket. `self.of` has the anchors' or
-        windows' places and their stretch: (document, first start, last start, stretch)."""
+    def stretches(self, codes: np.ndarray) -> Places:
+        """Finds the stretches of text around repeated anchors, equal ones once, by bucket, and returns the places of
+        all. A hot anchor has a stretch for each of its windows."""
         a = self.anchors
         code = codes[self.which]
+        chosen = np.flatnonzero(code != UNIQUE)
+        hot = code[chosen] == HOT
+        each = np.where(hot, a.last[chosen] - a.first[chosen] + 1, 1)
+        nth = ranges(np.zeros(len(chosen), dtype=np.int64), each)
+        chosen, hot = np.repeat(chosen, each), np.repeat(hot, each)
+        doc, start = a.doc[chosen].astype(np.int64), a.first[chosen] + nth
+        end = np.where(hot, start, a.last[chosen])
+        begins = np.cumsum([0, *map(len, self.texts)])[doc] + start
+        text = b"".join(self.texts)
         known: dict[bytes, int] = {}
-        least, hashes, of = [], [], []
-        for k in np.flatnonzero(code != UNIQUE).tolist():
-            doc, first, last, place = int(a.doc[k]), int(a.first[k]), int(a.last[k]), int(a.place[k])
-            hot = code[k] == HOT
-            text, me = self.texts[doc], int(self.ids[doc])
-            for s, e in [(x, x) for x in range(first, last + 1)] if hot else [(first, last)]:
-                key = bytes([place - s]) + text[s : e + LENGTH]
-                number = known.setdefault(key, len(known))
-                if number == len(least):
-                    least.append(me)
-                    if hot:
-                        hashes.append(int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "little"))
-                    else:
-                        hashes.append(int(a.hash[k]))
-                elif me < least[number]:
-                    least[number] = me
-                of.append((doc, s, e, number))
-        keys = list(known)
-        bucket = _bucket(np.array(hashes, dtype=U64), self.buckets)
-        order = sorted(range(len(keys)), key=lambda i: (bucket[i], keys[i]))
+        number = np.array(
+            [
+                known.setdefault(b"%c%b" % (place, text[s:e]), len(known))
+                for place, s, e in zip((a.place[chosen] - start).tolist(), begins.tolist(), (begins + end - start + LENGTH).tolist())
+            ],
+            dtype=np.int64,
+        )
+        keys, me = list(known), self.ids[doc]
+        least = np.full(len(keys), np.iinfo(np.int64).max)
+        np.minimum.at(least, number, me)
+        hashes = np.empty(len(keys), dtype=U64)
+        hashes[number] = a.hash[chosen]
+        for k in np.unique(number[hot]).tolist():
+            hashes[k] = int.from_bytes(hashlib.blake2b(keys[k], digest_size=8).digest(), "little")
+        bucket = _bucket(hashes, self.buckets)
+        order = np.argsort(bucket, kind="stable")
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order))
-        self.keys = [keys[i] for i in order]
-        self.least = np.array(least, dtype=np.int64)[order] if order else np.empty(0, np.int64)
-        self.bucket = bucket[order] if order else np.empty(0, np.int64)
-        self.of = [(doc, s, e, int(rank[i])) for doc, s, e, i in of]
+        self.keys = [keys[i] for i in order.tolist()]
+        self.least, self.bucket = least[order], bucket[order]
+        return Places(doc, start, end - start + 1, np.where(me > least[number], -1, rank[number]))
 
     def messages(self) -> list[tuple[int, bytes, bytes, bytes]]:
         cuts = np.r_[0, np.flatnonzero(np.diff(self.bucket)) + 1, len(self.bucket)]
@@ -201,25 +258,6 @@ class Block:
                 out.append((int(self.bucket[a]), self.least[a:b].tobytes(), sizes.tobytes(), b"".join(self.keys[a:b])))
         return out
 
-    def covered(self, bits: np.ndarray) -> list[list[tuple[int, int]]]:
-        """Removed runs of each document. `bits` says which windows of a stretch an earlier document has, for the
-        least document of the block that has the stretch; any later one repeats that one."""
-        runs: list[list[tuple[int, int]]] = [[] for _ in self.texts]
-        every = (1 << 32) - 1
-        for doc, first, last, number in self.of:
-            marks = every if self.ids[doc] > self.least[number] else int(bits[number])
-            s = first
-            while marks and s <= last:
-                if marks & 1:
-                    here, start, end = runs[doc], s, s + LENGTH
-                    if here and start <= here[-1][1]:
-                        here[-1] = (here[-1][0], end)
-                    else:
-                        here.append((start, end))
-                marks >>= 1
-                s += 1
-        return runs
-
 
 def answer_anchors(hashes: list[np.ndarray]) -> list[np.ndarray]:
     """For the anchors of several blocks: unique, in more than one document, or in too many blocks to meet in one
@@ -307,46 +345,59 @@ def least_of_windows(keys: list[bytes], least: np.ndarray, length: int = LENGTH)
     return first, out
 
 
+def _sorted_rows(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of each row of bytes, groups lying together, and in how many bytes a row agrees with the one ranked before
+    it, -1 at the beginning of a group."""
+    n, most = rows.shape
+    order = suffix_order(rows.ravel(), PrefixHashes(rows.ravel()), np.arange(n) * most, group, most)
+
+    def agreement(order):
+        one, two = rows[order[:-1]], rows[order[1:]]
+        other = one != two
+        common = np.where(other.any(axis=1), other.argmax(axis=1), most)
+        at = np.minimum(common, most - 1)[:, None]
+        rising = np.take_along_axis(one, at, 1) <= np.take_along_axis(two, at, 1)
+        within = group[order[1:]] == group[order[:-1]]
+        return np.r_[-1, np.where(within, common, -1)], bool((rising[:, 0] | ~within).all())
+
+    common, sound = agreement(order)
+    if not sound:  # hashes collided
+        order = np.array(sorted(range(n), key=lambda i: (group[i], rows[i].tobytes())))
+        common, _ = agreement(order)
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.arange(n)
+    return rank, common
+
+
+def _bytes_from(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most: int) -> np.ndarray:
+    """Rows of `most` bytes from the starts on, zero beyond their lengths."""
+    rows = np.lib.stride_tricks.sliding_window_view(np.r_[text, np.zeros(most, dtype=np.uint8)], most)[starts]
+    rows[np.arange(most) >= lengths[:, None]] = 0
+    return rows
+
+
 def _settle(
     keys: list[bytes], crowded: np.ndarray, group: np.ndarray, sizes: np.ndarray, first: np.ndarray, out: np.ndarray,
     length: int,
 ) -> None:
     """Lower `out` for the windows of the stretches `crowded`, whole groups of equal anchors lying together."""
-    counts = sizes - length + 1
+    size, group = sizes[crowded], np.unique(group[crowded], return_inverse=True)[1]
     text = np.frombuffer(b"".join(keys[k][1:] for k in crowded), dtype=np.uint8)
-    base = np.cumsum(sizes[crowded]) - sizes[crowded]
-    owner = np.repeat(np.arange(len(crowded)), counts[crowded])
-    nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts[crowded]) - counts[crowded], counts[crowded])
+    place = np.array([keys[k][0] for k in crowded])
+    anchor = np.cumsum(size) - size + place
+    after, after_common = _sorted_rows(_bytes_from(text, anchor, size - place, length), group)
+    before, before_common = _sorted_rows(_bytes_from(text[::-1], len(text) - anchor, place, length - GRAM), group)
     # windows can only be equal where the anchor is at the same place in them
-    place = np.array([keys[k][0] for k in crowded])[owner] - nth
-    segment = group[crowded][owner] * length + place
-    by = np.argsort(segment, kind="stable")
-    segment = segment[by]
-    new = np.r_[True, segment[1:] != segment[:-1]]
-    alone = new & np.r_[new[1:], True]
-    by, segment = by[~alone], segment[~alone]
-    if not len(by):
-        return
-    starts = (base[owner] + nth)[by]
-    h = PrefixHashes(text)
-    order = suffix_order(text, h, starts, segment, length)
-    starts, segment, by = starts[order], segment[order], by[order]
-    same = np.r_[False, (segment[1:] == segment[:-1]) & (_common(h, starts[1:], starts[:-1], length) >= length)]
-    pair = np.flatnonzero(same)
-    views = np.lib.stride_tricks.sliding_window_view(text, length)
-    bad = [p for at in range(0, len(pair), 65536) for p in pair[at : at + 65536][
-        (views[starts[pair[at : at + 65536]]] != views[starts[pair[at : at + 65536] - 1]]).any(axis=1)]]
-    window = first[crowded][owner[by]] + nth[by]
-    if bad:  # hashes collided: equal windows by their bytes
-        best: dict[bytes, int] = {}
-        for s, w in zip(starts, window, strict=True):
-            key = views[s].tobytes()
-            best[key] = min(best.get(key, int(out[w])), int(out[w]))
-        for s, w in zip(starts, window, strict=True):
-            out[w] = best[views[s].tobytes()]
-        return
-    head = np.flatnonzero(~same)
-    out[window] = np.repeat(np.minimum.reduceat(out[window], head), np.diff(np.r_[head, len(window)]))
+    for at in range(place.max() + 1):
+        mine = np.flatnonzero((place >= at) & (place - at <= size - length))
+        # which agree up to the window's end, and from its beginning
+        right = np.cumsum(after_common < length - at)[after[mine]]
+        left = np.cumsum(before_common < at)[before[mine]]
+        both = right * (len(size) + 1) + left
+        by = np.argsort(both, kind="stable")
+        head = np.flatnonzero(np.r_[True, np.diff(both[by]) != 0])
+        window = (first[crowded[mine]] + place[mine] - at)[by]
+        out[window] = np.repeat(np.minimum.reduceat(out[window], head), np.diff(np.r_[head, len(by)]))
 
 
 def answer_stretches(messages: list[tuple[np.ndarray, list[bytes]]]) -> list[np.ndarray]:
@@ -367,10 +418,9 @@ def answer_stretches(messages: list[tuple[np.ndarray, list[bytes]]]) -> list[np.
     return out
 
 
-def _answers(rows: pd.DataFrame, kind: int, dtype) -> np.ndarray:
+def _answers(rows: pd.DataFrame, dtype) -> np.ndarray:
     """Answers to a block in the order of buckets."""
-    mine = rows[rows["kind"] == kind].sort_values("bucket")
-    return np.concatenate([np.frombuffer(a, dtype=dtype) for a in mine["answer"]] or [np.empty(0, dtype)])
+    return np.concatenate([np.frombuffer(a, dtype=dtype) for a in rows.sort_values("bucket")["answer"]] or [np.empty(0, dtype)])
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -398,45 +448,53 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     def answer(key: tuple, mine: pd.DataFrame) -> pd.DataFrame:
         codes = answer_anchors([np.frombuffer(h, dtype=U64) for h in mine["hashes"]])
-        return mine.assign(kind=0, answer=[c.tobytes() for c in codes]).drop(columns="hashes")
+        return mine.assign(answer=[c.tobytes() for c in codes]).drop(columns="hashes")
 
     def send(key: tuple, mine: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(mine):
-            block = Block(mine, buckets)
-            block.stretches(_answers(answers, 0, np.uint8))
-            out = [(b, int(key[0]), *parts) for b, *parts in block.messages()]
+            block, me = Block(mine, buckets), int(key[0])
+            places = block.stretches(_answers(answers, np.uint8))
+            out = [(b, me, *parts) for b, *parts in block.messages()]
+            if len(places.doc):
+                out.append((-1 - me, me, b"", b"", places.packed()))
         return pd.DataFrame(out, columns=["bucket", "block", "least", "sizes", "stretches"])
 
     def compare(key: tuple, mine: pd.DataFrame) -> pd.DataFrame:
+        if key[0] < 0:  # what a block has to know in the last round
+            return mine[["block", "bucket"]].assign(answer=mine["stretches"])
         messages = []
         for least, sizes, body in zip(mine["least"], mine["sizes"], mine["stretches"], strict=True):
             ends = np.cumsum(np.frombuffer(sizes, dtype=np.uint8), dtype=np.int64).tolist()
             messages.append((np.frombuffer(least, dtype=np.int64), [body[a:b] for a, b in zip([0, *ends], ends)]))
         found = [a.tobytes() for a in answer_stretches(messages)]
-        return mine[["block", "bucket"]].assign(kind=1, answer=found)
+        return mine[["block", "bucket"]].assign(answer=found)
 
     def finish(key: tuple, mine: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(mine):
             return pd.DataFrame(columns=["k", "named", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-        block = Block(mine, buckets)
-        block.stretches(_answers(answers, 0, np.uint8))
+        rows, texts = in_order(mine)
+        known, runs_of = answers["bucket"] < 0, {}
+        if known.any():
+            places = Places.unpacked(answers.loc[known, "answer"].iloc[0])
+            runs_of = places.covered(_answers(answers[~known], "<u4"))
         out = []
-        for data, runs in zip(block.texts, block.covered(_answers(answers, 1, "<u4")), strict=True):
+        for doc, data in enumerate(texts):
+            runs = runs_of.get(doc, [])
             edges = [0, *[x for run in runs for x in run], len(data)]
             kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
             out.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept))
         names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-        return pd.concat([mine[["k", "named"]].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
+        return pd.concat([rows[["k", "named"]], pd.DataFrame(out, columns=names)], axis=1)
 
-    reply = "block int, bucket int, kind int, answer binary"
+    reply = "block int, bucket int, answer binary"
     asked = by_block.applyInPandas(ask, "bucket int, block int, hashes binary")
     codes = asked.groupBy("bucket").applyInPandas(answer, reply)
     sent = by_block.cogroup(codes.groupBy("block")).applyInPandas(
         send, "bucket int, block int, least binary, sizes binary, stretches binary"
     )
     bits = sent.groupBy("bucket").applyInPandas(compare, reply)
-    out = by_block.cogroup(codes.unionByName(bits).groupBy("block")).applyInPandas(
+    out = by_block.cogroup(bits.groupBy("block")).applyInPandas(
         finish, "k long, named boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
     return out.select(F.when(F.col("named"), F.col("k")).alias(doc_id), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")

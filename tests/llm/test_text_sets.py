@@ -257,6 +257,47 @@ def test_suffix_order_and_collisions(monkeypatch):
     assert substrings.least_of_windows(stretches, np.arange(9))[1].tolist() == want
 
 
+def test_a_stretch_is_sorted_once_and_not_once_a_window(monkeypatch):
+    rng, sorted_ = random.Random(6), []
+    some = lambda n: bytes(rng.choice(b"ab\0") for _ in range(n))
+    befores, afters = [some(30) for _ in range(4)], [some(30) for _ in range(4)]
+    stretches = []
+    for _ in range(60):
+        place, more = rng.randrange(31), rng.randrange(31)
+        head, tail = rng.choice(befores)[30 - place :], rng.choice(afters)[: max(more, 30 - place)]
+        stretches.append(bytes([place]) + head + b"x" * 20 + tail)
+    stretches = list(dict.fromkeys(stretches))
+    order = substrings.suffix_order
+    monkeypatch.setattr(substrings, "suffix_order", lambda d, h, starts, *more: sorted_.append(len(starts)) or order(d, h, starts, *more))
+    least = np.arange(len(stretches))[::-1].copy()
+    first, out = substrings.least_of_windows(stretches, least)
+    best = {}
+    windows = [(k[0] - s, k[1 + s : 51 + s], least[i]) for i, k in enumerate(stretches) for s in range(len(k) - 50)]
+    for place, window, i in windows:
+        best[place, window] = min(best.get((place, window), i), i)
+    assert out.tolist() == [best[place, window] for place, window, _ in windows] and first[-1] == len(windows)
+    assert sum(sorted_) == 2 * len(stretches) < len(windows)
+
+
+def test_places_of_stretches_survive_packing():
+    rng = np.random.default_rng(3)
+    places = substrings.Places(
+        np.sort(rng.integers(0, 9, 200)), np.arange(200) * 40, rng.integers(1, 32, 200), np.r_[np.arange(150), np.full(50, -1)]
+    )
+    again = substrings.Places.unpacked(places.packed())
+    for name in ("doc", "start", "count", "stretch"):
+        assert getattr(again, name).tolist() == getattr(places, name).tolist()
+    bits = rng.integers(0, 1 << 31, 150).astype(np.uint32) & rng.integers(0, 1 << 31, 150).astype(np.uint32)
+    marked = {}
+    for doc, start, count, stretch in zip(places.doc, places.start, places.count, places.stretch):
+        for nth in range(count):
+            if stretch < 0 or bits[stretch] >> nth & 1:
+                marked.setdefault(int(doc), set()).update(range(start + nth, start + nth + 50))
+    runs = {d: {x for a, b in r for x in range(a, b)} for d, r in again.covered(bits).items()}
+    assert runs == marked
+    assert all(b < c for r in again.covered(bits).values() for (_, b), (c, _) in zip(r[:-1], r[1:]))
+
+
 # Toxicity
 
 
