@@ -16,6 +16,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     # Stored rows carry JSON text, which takes about half the room in this form.
     "spark.sql.parquet.compression.codec": "zstd",
+    # Stored ids and repeated values take a few bytes a row in a file and some hundred in a broadcast, so that a join
+    # is planned by the size its rows have in memory; a side that is shuffled is measured anyway.
+    "spark.sql.sources.fileCompressionFactor": "32",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
     # Recursive queries end when a level adds nothing, after any number of rows.

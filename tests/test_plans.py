@@ -11,6 +11,7 @@ from shelfmart.bindings.queries import registry as queries
 from shelfmart.operators.merge import merge_batch
 from shelfmart.plans import reports
 from shelfmart.sources import shop
+from shelfmart.storage import TableStore
 
 UNWANTED = ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas", "InArrow", "PythonUDF")
 
@@ -80,6 +81,17 @@ def test_small_batch_does_not_shuffle_its_target(spark, plan, tmp_path):
     assert not re.search(r"Exchange\b.*hashpartitioning", text)
 
 
+def test_well_compressed_keys_are_not_broadcast(spark, plan, tmp_path):
+    """A million keys in a file of few bytes a row would be a hundred times as large on the driver."""
+    store = TableStore(spark, str(tmp_path))
+    keys = store.write("keys", spark.range(1_000_000).selectExpr("id AS key", "'website' AS kind", "id % 3 AS what"))
+    rows = store.write("rows", spark.range(4_000_000).selectExpr("id AS key", "uuid() AS text"))
+    assert sum(f.stat().st_size for f in (tmp_path / "keys").rglob("*.parquet")) < 10 << 20
+    assert "BroadcastExchange" not in plan(rows.join(keys.select("key", "kind"), "key", "left_semi"))
+    few = store.write("few", spark.range(36).selectExpr("id AS key", "'x' AS label"))
+    assert "BroadcastExchange" in plan(rows.join(few, "key", "left"))
+
+
 def test_sums_not_orders_are_shuffled_by_status(spark, small, plan):
     """With a status table too large to broadcast the look-up stays above the sums by status."""
     limit = "spark.sql.autoBroadcastJoinThreshold"
