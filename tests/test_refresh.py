@@ -31,6 +31,16 @@ def test_merge_rewrites_touched_partitions_only(spark, tmp_path):
     assert TableStore(spark, str(tmp_path)).read("other") is None
 
 
+def test_a_table_is_listed_once_until_it_changes(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    store.write("t", spark.createDataFrame([(1, "a", 1)], "id int, value string, part int"), partition_by="part")
+    before = store.read("t")
+    assert store.read("t") is before
+    store.merge("t", spark.createDataFrame([(2, "b", 2)], "id int, value string, part int"), ["id"], ["value"], "part")
+    assert store.read("t") is not before and rows(store.read("t").select("id")) == [(1,), (2,)]
+    assert rows(before.select("id")) == [(1,)]
+
+
 def test_merge_with_partitions_fixed_by_key(spark, tmp_path):
     store = TableStore(spark, str(tmp_path))
     schema = "id int, value string, part int"
