@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmart import schemas, seeds
+from shelfmart import schemas, seeds, storage
 from shelfmart.bindings import tables as T
 from shelfmart.plans import refresh, staging
 from shelfmart.storage import TableStore
@@ -31,6 +31,26 @@ def test_merge_rewrites_touched_partitions_only(spark, tmp_path):
     assert TableStore(spark, str(tmp_path)).read("other") is None
 
 
+def test_a_merge_in_waves_does_what_one_does(spark, tmp_path, monkeypatch):
+    made = []
+    write = TableStore._write_partitions
+    monkeypatch.setattr(TableStore, "_write_partitions", lambda self, *a: made.append(a[0]) or write(self, *a))
+    found = {}
+    for wave in (1 << 30, 1):
+        monkeypatch.setattr(storage, "WAVE_BYTES", wave)
+        store = TableStore(spark, str(tmp_path / str(wave)))
+        some = lambda *ids: spark.range(60).where(F.col("id").isin(*ids)).selectExpr("id", "id * 10 AS value", "id div 10 AS part")
+        store.write("t", some(*range(0, 60, 3)), partition_by="part")
+        made.clear()
+        batch = some(0, 1, 3, 12, 13, 41, 42, 59).withColumn("value", F.col("value") + 1)
+        groups = {"even": F.col("id") % 2 == 0, "odd": F.col("id") % 2 == 1}
+        merged = store.merge("t", batch, ["id"], ["value"], "part", fixed_by_key=True, groups=groups)
+        found[wave] = rows(merged.table.select("id", "value", "part")), merged.counts, sorted(merged.parts), len(made)
+    assert found[1][:3] == found[1 << 30][:3]
+    assert found[1][3] == 4 and found[1 << 30][3] == 1
+    assert found[1][1] == {"even": (0, 3), "odd": (4, 1)}
+
+
 def test_a_table_is_listed_once_until_it_changes(spark, tmp_path):
     store = TableStore(spark, str(tmp_path))
     store.write("t", spark.createDataFrame([(1, "a", 1)], "id int, value string, part int"), partition_by="part")
